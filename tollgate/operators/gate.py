@@ -12,8 +12,8 @@ def gate_status(releases: DataFrame, findings: DataFrame) -> DataFrame:
     """BLOCK if any blocking finding group, else WARN if any, else PASS;
     releases without findings pass."""
     counts = findings.groupBy("release_id").agg(
-        F.count_if(F.col("severity") == "block").cast("int").alias("block_count"),
-        F.count_if(F.col("severity") == "warn").cast("int").alias("warning_count"))
+        F.count_if(F.col("severity") == "block").cast("bigint").alias("block_count"),
+        F.count_if(F.col("severity") == "warn").cast("bigint").alias("warning_count"))
     r = releases.select("release_id").join(counts, "release_id", "left")
     b = F.coalesce(F.col("block_count"), F.lit(0))
     w = F.coalesce(F.col("warning_count"), F.lit(0))

@@ -15,7 +15,7 @@ def pii_cells(prep: Prepared) -> DataFrame:
     return (prep.df.select("release_id", "_row", F.explode("pii_hits").alias("h"))
             .select("release_id", (F.col("_row") + 1).alias("row"),
                     F.col("h.col_pos").alias("col_pos"), F.col("h.column").alias("column"),
-                    F.col("h.kind").alias("kind"), F.col("h.matches").alias("matches")))
+                    F.col("h.kind").alias("kind"), F.col("h.matches").cast("bigint").alias("matches")))
 
 
 def pii_by_kind(prep: Prepared) -> DataFrame:

@@ -142,7 +142,8 @@ def prepare(df: DataFrame, *, release_id: str = "release", release_col: str | No
     id_text = F.lit(None).cast("string")
     if roles.id and (isinstance(dtypes[roles.id], T.StringType) or pii_fn.is_numeric(dtypes[roles.id])):
         id_text = text_fn.scalar_text(F.col(f"`{roles.id}`"), dtypes[roles.id])
-    raw_json = F.to_json(F.struct(*[F.col(f"`{c}`") for c in columns]))
+    raw_json = F.to_json(F.struct(*[F.col(f"`{c}`") for c in columns]),
+                         {"ignoreNullFields": "false"})
     stage = base.select(
         "release_id", "__ord",
         *[_digest(norm[c]).alias(digest_names[c]) for c in columns],

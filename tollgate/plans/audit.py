@@ -109,14 +109,14 @@ def audit_summary(prep: Prepared, releases: DataFrame, findings: DataFrame) -> D
     return out.select(
         "release_id", "status",
         F.coalesce("row_count", zero).alias("row_count"),
-        F.lit(len(prep.columns)).alias("column_count"),
+        F.lit(len(prep.columns)).cast("bigint").alias("column_count"),
         "block_count", "warning_count",
         *[F.coalesce(c, zero).alias(c) for c in (
             "pii_cell_count", "exact_duplicate_pairs", "near_duplicate_pairs", "leakage_pairs",
             "conflicting_groups", "near_comparisons")],
         "near_limit",
         F.coalesce("near_capped", F.lit(False)).alias("near_capped"),
-        F.lit(lim.token_limit).cast("int").alias("near_token_limit"),
+        F.lit(lim.token_limit).cast("bigint").alias("near_token_limit"),
         F.coalesce("rows_at_token_limit", zero).alias("rows_at_token_limit"),
         F.coalesce("label_classes", zero).alias("label_classes"),
         F.lit(prep.roles.label).cast("string").alias("label_column"),
