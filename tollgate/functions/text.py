@@ -96,8 +96,34 @@ def _nfkc_udf(values: pd.Series) -> pd.Series:
                      dtype=object)
 
 
+_ICU = {}
+
+
+def icu_available() -> bool:
+    """Whether the JVM has ICU4J (bundled with Spark 4 for collations);
+    checked once on the driver, without a job."""
+    if "ok" not in _ICU:
+        try:
+            from pyspark import SparkContext
+
+            jvm = SparkContext._active_spark_context._jvm
+            jvm.java.lang.Class.forName("com.ibm.icu.text.Normalizer")
+            _ICU["ok"] = True
+        except Exception:
+            _ICU["ok"] = False
+    return _ICU["ok"]
+
+
 def nfkc(col: Column) -> Column:
-    """NFKC of a string column; Python sees only cells that need it."""
+    """NFKC of a string column.
+
+    JVM-side through ICU4J's static ``Normalizer.compose(text, compat=true)``
+    (a quick check makes already-normal text cheap).  Without ICU4J, an
+    Arrow-batched pandas UDF, fed only the cells a JVM regex flags as
+    possibly changing."""
+    if icu_available():
+        return F.call_function("reflect", F.lit("com.ibm.icu.text.Normalizer"),
+                               F.lit("compose"), col, F.lit(True))
     return F.coalesce(
         _nfkc_udf(F.when(col.rlike(nfkc_trigger_regex()), col)), col)
 

@@ -19,6 +19,7 @@ from ..config import ID_CANDIDATES, LABEL_CANDIDATES, SPLIT_CANDIDATES, Limits,
 from ..functions import pii as pii_fn
 from ..functions import text as text_fn
 from ..functions import tokens as tok_fn
+from ..session import ensure_checkpoint_dir
 from .rows import file_order_key, with_row_number
 
 INTERNAL_PREFIX = "__"
@@ -73,6 +74,19 @@ def fingerprint(digests: dict[str, Column], keep: list[str]) -> Column:
     return F.unhex(F.sha2(body, 256))
 
 
+def parallelism_floor(df: DataFrame) -> DataFrame:
+    """Spread a table that arrives in fewer partitions than the session has
+    cores (a small file with one row group) before the per-row text work.
+    Large inputs already arrive in thousands of splits and are left as they
+    are, so the raw rows are never shuffled at scale."""
+    target = df.sparkSession.sparkContext.defaultParallelism
+    try:
+        n = df.rdd.getNumPartitions()
+    except Exception:
+        return df
+    return df.repartition(target) if n < target else df
+
+
 @dataclass
 class Prepared:
     """The prepared table and what was resolved to build it."""
@@ -114,12 +128,18 @@ def prepare(df: DataFrame, *, release_id: str = "release", release_col: str | No
     order = order + file_order_key(df)
     rid = (F.col(release_col).cast("string") if release_col else F.lit(release_id))
 
+    # --- the order key is taken at the scan, before any redistribution
+    keyed = df.select(
+        rid.alias("release_id"),
+        F.struct(*[o.alias(f"k{i}") for i, o in enumerate(order)]).alias("__ord"),
+        *[F.col(f"`{c}`") for c in columns])
+    keyed = parallelism_floor(keyed)
+
     # --- pass 1: NFKC once per string column, everything else from it
     nfkc_cols = {c: f"__nfkc_{i}" for i, c in enumerate(columns)
                  if isinstance(dtypes[c], T.StringType)}
-    base = df.select(
-        rid.alias("release_id"),
-        F.struct(*[o.alias(f"k{i}") for i, o in enumerate(order)]).alias("__ord"),
+    base = keyed.select(
+        "release_id", "__ord",
         *[F.col(f"`{c}`") for c in columns],
         *[text_fn.nfkc(F.col(f"`{c}`")).alias(n) for c, n in nfkc_cols.items()],
     )
@@ -166,8 +186,15 @@ def prepare(df: DataFrame, *, release_id: str = "release", release_col: str | No
         "label_norm", "split_norm", "tokens", F.size("tokens").alias("k"), "at_limit",
         "pii_hits", "row_hash", "id_text",
     )
-    numbered = with_row_number(prepared, [F.col("__ord")], group="release_id",
-                               checkpoint=checkpoint).drop("__ord")
+    # one pass over the raw rows; everything after reads this narrow table
+    prepared = prepared.persist()
+    numbered = with_row_number(prepared, [F.col("__ord")], group="release_id").drop("__ord")
+    if checkpoint:
+        # the recovery point every detector starts from: a reliable copy of
+        # the narrow table in the cluster's checkpoint folder
+        ensure_checkpoint_dir(df.sparkSession)
+        numbered = numbered.checkpoint(eager=True)
+        prepared.unpersist()
     numbered = numbered.persist()
     n_releases = 1
     if release_col is not None:

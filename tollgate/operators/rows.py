@@ -37,9 +37,16 @@ def file_order_key(df: DataFrame) -> list[Column]:
 
 
 def with_row_number(df: DataFrame, order_by: list[Column], *, group: str | None = None,
-                    name: str = "_row", checkpoint: bool = True) -> DataFrame:
+                    name: str = "_row", checkpoint: bool = False) -> DataFrame:
     """Add ``name``: 0-based dense position in ``order_by`` order, restarting
-    for every value of ``group`` (when given)."""
+    for every value of ``group`` (when given).
+
+    The sorted table is persisted (or, with ``checkpoint``, written to the
+    checkpoint folder) so the counting pass and the numbering pass read the
+    same partitions.  Positions stay stable even if a block is recomputed:
+    the range bounds are fixed once the sort's shuffle exists, and the keys
+    (with the file-order tiebreaker) are unique.
+    """
     spark = df.sparkSession
     keys = ([F.col(group)] if group else []) + list(order_by)
     sort_cols = [f"__rn_k{i}" for i in range(len(keys))]
@@ -49,6 +56,8 @@ def with_row_number(df: DataFrame, order_by: list[Column], *, group: str | None
     if checkpoint:
         ensure_checkpoint_dir(spark)
         ordered = ordered.checkpoint(eager=True)
+    else:
+        ordered = ordered.persist()
 
     pid = F.shiftright(F.col("__rn_mid"), _LOCAL_BITS)
     local = F.col("__rn_mid").bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1))

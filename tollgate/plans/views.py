@@ -73,11 +73,17 @@ def _key(spark: SparkSession, sf_dir: str, what: str):
 
 
 def documents_prepared(spark: SparkSession, sf_dir: str, limits: Limits = Limits()) -> Prepared:
-    key = _key(spark, sf_dir, ("prep", limits))
+    # the prepared table depends on the token limit only; budgets share it
+    key = _key(spark, sf_dir, ("prep", limits.token_limit))
     if key not in _CACHE:
         _CACHE[key] = prepare(documents_view(spark, sf_dir), release_id="documents",
                               roles=DOCS_ROLES, limits=limits, order_by=[F.col("doc_id")])
-    return _CACHE[key]
+    base = _CACHE[key]
+    if base.limits == limits:
+        return base
+    return Prepared(df=base.df, roles=base.roles, columns=base.columns, dtypes=base.dtypes,
+                    limits=limits, multi_release=base.multi_release,
+                    n_releases=base.n_releases)
 
 
 def documents_audit(spark: SparkSession, sf_dir: str, limits: Limits = Limits()) -> AuditResult:
