@@ -122,8 +122,8 @@ def nfkc(col: Column) -> Column:
     Arrow-batched pandas UDF, fed only the cells a JVM regex flags as
     possibly changing."""
     if icu_available():
-        return F.call_function("reflect", F.lit("com.ibm.icu.text.Normalizer"),
-                               F.lit("compose"), col, F.lit(True))
+        return F.when(col.isNotNull(), F.call_function(
+            "reflect", F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), col, F.lit(True)))
     return F.coalesce(
         _nfkc_udf(F.when(col.rlike(nfkc_trigger_regex()), col)), col)
 
