@@ -71,7 +71,8 @@ def _label_distribution(prep: Prepared) -> DataFrame:
     lab = F.when(F.col("label_norm") == "", F.lit("(empty)")).otherwise(F.col("label_norm"))
     counts = (prep.df.groupBy("release_id", lab.alias("__label"))
               .agg(F.count(F.lit(1)).alias("count"), F.min("_row").alias("__first")))
-    numbered = with_row_number(counts, [F.col("__first")], group="release_id", name="__idx")
+    numbered = with_row_number(counts, [F.col("__first")], group="release_id", name="__idx",
+                               max_groups=prep.n_releases)
     idx = (F.col("__idx") + 1).cast("string")
     return numbered.select(
         "release_id",

@@ -5,12 +5,12 @@ equi-join, so no nested loop ever appears in the plan:
 
 1. rows with at least 5 tokens collapse to distinct token sets (a set
    repeated a million times is one row with multiplicity m);
-2. every token gets a dense id ordered by (set frequency, token), rarest
-   first, and each set becomes an ascending int array;
-3. each set emits its prefix: the first k - ceil(0.82 k) + 1 ids.  Two sets
-   with Jaccard >= 0.82 share a prefix id, so the candidates are an
-   equi-join on (release, id);
-4. the join condition itself keeps only the pair's first shared prefix id
+2. tokens are ordered globally by (number of sets holding them, token),
+   rarest first, and each set sorts its tokens in that order;
+3. each set emits its prefix: the first k - ceil(0.82 k) + 1 tokens.  Two
+   sets with Jaccard >= 0.82 share a prefix token, so the candidates are an
+   equi-join on (release, token);
+4. the join condition itself keeps only the pair's first shared prefix token
    (no duplicate candidates, no dropDuplicates shuffle), applies the size
    and position bounds, and verifies the Jaccard test in integers -- only
    verified pairs ever leave the join.
@@ -34,11 +34,6 @@ from ..config import JACCARD_DEN, JACCARD_NUM, MIN_NEAR_TOKENS
 from ..functions.tokens import jaccard_ok, min_size, percent_text, prefix_length
 from .findings import bounded_broadcast, evidence_rows, finding_rows, plural, top_k
 from .prepare import Prepared
-from .rows import with_row_number
-
-#: Vocabularies up to this many tokens are broadcast to the id lookup.
-VOCAB_BROADCAST_ROWS = 2_000_000
-
 
 # ---------------------------------------------------------------------------
 # Token statistics and comparison telemetry
@@ -107,17 +102,19 @@ def _token_sets(prep: Prepared) -> DataFrame:
                  F.count(F.lit(1)).alias("n_fp"),
                  F.min("first").alias("first_row"),
                  F.any_value("tokens").alias("tokens")))
+    # global order: (number of sets holding the token, token) -- rarest first.
+    # Each set sorts its own tokens by that key; no global numbering needed.
     vocab = (sets.select(F.explode("tokens").alias("token")).groupBy("token")
              .agg(F.count(F.lit(1)).alias("df")))
-    vocab = with_row_number(vocab, [F.col("df"), F.col("token")], name="tid")
-    n_vocab = vocab.count()
-    lookup = vocab.select("token", F.col("tid").cast("int").alias("tid"))
-    if n_vocab <= VOCAB_BROADCAST_ROWS:
-        lookup = F.broadcast(lookup)
-    ids = (sets.select("release_id", "set_key", F.explode("tokens").alias("token"))
-           .join(lookup, "token")
-           .groupBy("release_id", "set_key")
-           .agg(F.array_sort(F.collect_list("tid")).alias("ids")))
+    # the lookup has one row per token; a hot token is skewed only on the
+    # exploded side, which AQE splits (skew join) -- or the lookup is
+    # broadcast when its materialised size is small
+    ordered = (sets.select("release_id", "set_key", F.explode("tokens").alias("token"))
+               .join(vocab, "token")
+               .groupBy("release_id", "set_key")
+               .agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("__o")))
+    ids = ordered.select("release_id", "set_key",
+                         F.transform("__o", lambda s: s["token"]).alias("ids"))
     return (sets.drop("tokens").join(ids, ["release_id", "set_key"])
             .withColumn("k", F.size("ids")))
 
@@ -133,7 +130,7 @@ def _similar_set_pairs(prep: Prepared) -> DataFrame:
     sets = token_sets(prep)
     pre = sets.select(
         "release_id", "set_key", "first_row", "m", "k", "ids",
-        F.posexplode(F.slice("ids", 1, prefix_length(F.col("k")))).alias("pos", "tid"))
+        F.posexplode(F.slice("ids", 1, prefix_length(F.col("k")))).alias("pos", "tok"))
     a, b = pre.alias("a"), pre.alias("b")
     ka, kb = F.col("a.k"), F.col("b.k")
     pa, pb = F.col("a.pos"), F.col("b.pos")
@@ -142,7 +139,7 @@ def _similar_set_pairs(prep: Prepared) -> DataFrame:
     need = F.floor(((ka + kb) * JACCARD_NUM + (JACCARD_NUM + JACCARD_DEN - 1))
                    / (JACCARD_NUM + JACCARD_DEN))
     cond = ((F.col("a.release_id") == F.col("b.release_id"))
-            & (F.col("a.tid") == F.col("b.tid"))
+            & (F.col("a.tok") == F.col("b.tok"))
             & (F.col("a.first_row") < F.col("b.first_row"))
             & (kb >= min_size(ka)) & (ka >= min_size(kb))
             & (F.least(ka - pa, kb - pb) >= need)

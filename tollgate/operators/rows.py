@@ -37,7 +37,8 @@ def file_order_key(df: DataFrame) -> list[Column]:
 
 
 def with_row_number(df: DataFrame, order_by: list[Column], *, group: str | None = None,
-                    name: str = "_row", checkpoint: bool = False) -> DataFrame:
+                    name: str = "_row", checkpoint: bool = False,
+                    max_groups: int = 1) -> DataFrame:
     """Add ``name``: 0-based dense position in ``order_by`` order, restarting
     for every value of ``group`` (when given).
 
@@ -70,7 +71,9 @@ def with_row_number(df: DataFrame, order_by: list[Column], *, group: str | None
     offsets = counts.select(
         "__rn_pid", *gcols, "__rn_first",
         F.coalesce(F.sum("__rn_n").over(w), F.lit(0)).alias("__rn_off"))
-    if counts.count() <= OFFSETS_BROADCAST_ROWS:
+    # the offsets table has at most (#sort partitions + #groups) rows
+    bound = ordered.rdd.getNumPartitions() + (max_groups if group else 1)
+    if bound <= OFFSETS_BROADCAST_ROWS:
         offsets = F.broadcast(offsets)
     numbered = (ordered.withColumn("__rn_pid", pid).withColumn("__rn_local", local)
                 .join(offsets, ["__rn_pid", *gcols])
