@@ -110,15 +110,19 @@ class Prepared:
 def prepare(df: DataFrame, *, release_id: str = "release", release_col: str | None = None,
             roles: Roles | None = None, release: Release | None = None,
             limits: Limits = Limits(), order_by: list[Column] | None = None,
-            checkpoint: bool = True) -> Prepared:
+            checkpoint: bool = True, carry: tuple[str, ...] = ()) -> Prepared:
     """Build the prepared table of an audited DataFrame.
 
     ``release_col`` names a column that assigns rows to releases (many
     releases audited in one job); otherwise all rows form ``release_id``.
     ``order_by`` fixes the row order (row numbers in evidence); by default
-    the order rows have in their source files.
+    the order rows have in their source files.  ``carry`` columns ride
+    along untouched (not audited) so the same prepared table can later be
+    regrouped into other releases (see :func:`regroup`).
     """
-    columns = [c for c in df.columns if c != release_col and not c.startswith(INTERNAL_PREFIX)]
+    columns = [c for c in df.columns
+               if c != release_col and c not in carry and not c.startswith(INTERNAL_PREFIX)]
+    carried = [F.col(f"`{c}`") for c in carry]
     if release is not None:
         check_configured_columns(columns, release)
     roles = resolve_roles(columns, release, roles)
@@ -132,14 +136,14 @@ def prepare(df: DataFrame, *, release_id: str = "release", release_col: str | No
     keyed = df.select(
         rid.alias("release_id"),
         F.struct(*[o.alias(f"k{i}") for i, o in enumerate(order)]).alias("__ord"),
-        *[F.col(f"`{c}`") for c in columns])
+        *carried, *[F.col(f"`{c}`") for c in columns])
     keyed = parallelism_floor(keyed)
 
     # --- pass 1: NFKC once per string column, everything else from it
     nfkc_cols = {c: f"__nfkc_{i}" for i, c in enumerate(columns)
                  if isinstance(dtypes[c], T.StringType)}
     base = keyed.select(
-        "release_id", "__ord",
+        "release_id", "__ord", *carried,
         *[F.col(f"`{c}`") for c in columns],
         *[text_fn.nfkc(F.col(f"`{c}`")).alias(n) for c, n in nfkc_cols.items()],
     )
@@ -165,7 +169,7 @@ def prepare(df: DataFrame, *, release_id: str = "release", release_col: str | No
     raw_json = F.to_json(F.struct(*[F.col(f"`{c}`") for c in columns]),
                          {"ignoreNullFields": "false"})
     stage = base.select(
-        "release_id", "__ord",
+        "release_id", "__ord", *carried,
         *[_digest(norm[c]).alias(digest_names[c]) for c in columns],
         label_norm.alias("label_norm"),
         split_norm.alias("split_norm"),
@@ -179,7 +183,7 @@ def prepare(df: DataFrame, *, release_id: str = "release", release_col: str | No
     excl_exact = {roles.id} if roles.id else set()
     excl_split = {r for r in (roles.id, roles.split) if r}
     prepared = stage.select(
-        "release_id", "__ord",
+        "release_id", "__ord", *carried,
         fingerprint(digests, [c for c in columns if c not in excl_exact]).alias("fp_exact"),
         fingerprint(digests, [c for c in columns if c not in excl_split]).alias("fp_split"),
         fingerprint(digests, [c for c in columns if c not in feature_excl]).alias("fp_feature"),
@@ -202,3 +206,17 @@ def prepare(df: DataFrame, *, release_id: str = "release", release_col: str | No
     return Prepared(df=numbered, roles=roles, columns=columns, dtypes=dtypes,
                     limits=limits, multi_release=release_col is not None,
                     n_releases=n_releases)
+
+
+def regroup(prep: Prepared, release_col: str) -> Prepared:
+    """The same prepared rows split into the releases named by a carried
+    column, renumbered inside each release in their previous order.  No
+    pass over the raw rows: fingerprints, tokens and PII hits do not depend
+    on the release, and every detector groups by ``release_id``."""
+    df = (prep.df.withColumn("release_id", F.col(f"`{release_col}`").cast("string"))
+          .withColumnRenamed("_row", "__prev"))
+    n_releases = df.select("release_id").distinct().count()
+    numbered = with_row_number(df, [F.col("__prev")], group="release_id",
+                               max_groups=n_releases).drop("__prev").persist()
+    return Prepared(df=numbered, roles=prep.roles, columns=prep.columns, dtypes=prep.dtypes,
+                    limits=prep.limits, multi_release=True, n_releases=n_releases)

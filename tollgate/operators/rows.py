@@ -72,7 +72,8 @@ def with_row_number(df: DataFrame, order_by: list[Column], *, group: str | None
         "__rn_pid", *gcols, "__rn_first",
         F.coalesce(F.sum("__rn_n").over(w), F.lit(0)).alias("__rn_off"))
     # the offsets table has at most (#sort partitions + #groups) rows
-    bound = ordered.rdd.getNumPartitions() + (max_groups if group else 1)
+    sort_partitions = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    bound = sort_partitions + (max_groups if group else 1)
     if bound <= OFFSETS_BROADCAST_ROWS:
         offsets = F.broadcast(offsets)
     numbered = (ordered.withColumn("__rn_pid", pid).withColumn("__rn_local", local)

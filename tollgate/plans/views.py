@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Limits, Release, Roles
-from ..operators.prepare import Prepared, prepare
+from ..operators.prepare import Prepared, prepare, regroup
 from ..plans.audit import AuditResult, audit
 
 DOCS_RELEASE = Release(release_id="documents", dataset_name="documents",
@@ -76,8 +76,9 @@ def documents_prepared(spark: SparkSession, sf_dir: str, limits: Limits = Limits
     # the prepared table depends on the token limit only; budgets share it
     key = _key(spark, sf_dir, ("prep", limits.token_limit))
     if key not in _CACHE:
-        _CACHE[key] = prepare(documents_view(spark, sf_dir), release_id="documents",
-                              roles=DOCS_ROLES, limits=limits, order_by=[F.col("doc_id")])
+        _CACHE[key] = prepare(documents_view(spark, sf_dir, with_source=True),
+                              release_id="documents", roles=DOCS_ROLES, limits=limits,
+                              order_by=[F.col("doc_id")], carry=("source",))
     base = _CACHE[key]
     if base.limits == limits:
         return base
@@ -98,9 +99,11 @@ def sources_audit(spark: SparkSession, sf_dir: str, limits: Limits = Limits()) -
     """Every source a release of its own, audited in one job."""
     key = _key(spark, sf_dir, ("sources", limits))
     if key not in _CACHE:
-        df = documents_view(spark, sf_dir, with_source=True)
-        _CACHE[key] = audit(df, source_releases(spark, sf_dir), release_col="source",
-                            roles=DOCS_ROLES, limits=limits, order_by=[F.col("doc_id")])
+        # the documents' prepared table, regrouped by source: no second pass
+        # over the raw text
+        prep = regroup(documents_prepared(spark, sf_dir, limits), "source")
+        _CACHE[key] = audit(prep.df, source_releases(spark, sf_dir), prepared=prep,
+                            limits=limits)
     return _CACHE[key]
 
 
