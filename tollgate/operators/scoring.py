@@ -20,7 +20,7 @@ def prediction_keys(findings: DataFrame, evidence: DataFrame, row_ids: DataFrame
     """
     f = findings.select("release_id", "finding_id", "category")
     e = evidence.join(f, ["release_id", "finding_id"])
-    ids = row_ids.select("release_id", "row", "id_text")
+    ids = _named_rows(evidence, row_ids)
     a = ids.select("release_id", F.col("row").alias("row"), F.col("id_text").alias("id_a"))
     b = ids.select("release_id", F.col("row").alias("other_row"), F.col("id_text").alias("id_b"))
     e = e.join(a, ["release_id", "row"], "left").join(b, ["release_id", "other_row"], "left")
@@ -41,6 +41,16 @@ def prediction_keys(findings: DataFrame, evidence: DataFrame, row_ids: DataFrame
             .dropDuplicates(["case_id", "key"]))
 
 
+def _named_rows(evidence: DataFrame, row_ids: DataFrame) -> DataFrame:
+    """Only the row ids that evidence names: evidence is capped per finding,
+    so the (release, row) list is small and broadcast, and the full row-id
+    table is streamed through a hash join instead of being shuffled."""
+    named = (evidence.select("release_id", F.explode(F.array("row", "other_row")).alias("row"))
+             .where(F.col("row").isNotNull()).distinct())
+    return row_ids.select("release_id", "row", "id_text").join(F.broadcast(named),
+                                                               ["release_id", "row"])
+
+
 def _categories(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(c, i + 1) for i, c in enumerate(CATEGORIES)],
                                  "category string, category_order int")
@@ -95,7 +105,7 @@ def clean_rows_flagged(evidence: DataFrame, row_ids: DataFrame,
         e = e.join(control.select("release_id"), "release_id", "left_semi")
     rows = (e.select("release_id", F.explode(F.array("row", "other_row")).alias("row"))
             .where(F.col("row").isNotNull()))
-    named = (rows.join(row_ids.select("release_id", "row", "id_text"), ["release_id", "row"], "left")
+    named = (rows.join(_named_rows(e, row_ids), ["release_id", "row"], "left")
              .select("release_id", F.coalesce("id_text", F.concat(F.lit("row-"), F.col("row")
                                                                   .cast("string"))).alias("rid")))
     return named.groupBy("release_id").agg(F.count_distinct("rid").alias("clean_rows_flagged"))
