@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import METADATA_FIELDS, Release
+from ..functions.literals import literal_frame
 from ..functions.text import placeholder_like
 from .findings import evidence_rows, finding_rows
 
@@ -14,7 +15,7 @@ RELEASE_SCHEMA = "release_id string, " + ", ".join(f"{f} string" for f in METADA
 
 def releases_frame(spark: SparkSession, releases: list[Release]) -> DataFrame:
     rows = [tuple([r.release_id] + [getattr(r, f) for f in METADATA_FIELDS]) for r in releases]
-    return spark.createDataFrame(rows, RELEASE_SCHEMA)
+    return literal_frame(spark, rows, RELEASE_SCHEMA)
 
 
 def clean_releases(releases: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import IMBALANCE_MAJORITY, IMBALANCE_MIN_ROWS, IMBALANCE_MINORITY
+from ..functions.literals import empty_frame
 from ..functions.tokens import percent_text
 from .findings import bounded_broadcast, evidence_rows, finding_rows, plural, top_k
 from .prepare import Prepared
@@ -21,8 +22,7 @@ def conflict_groups(prep: Prepared) -> DataFrame:
     """Feature groups (id, split and label set aside) holding two or more
     normalised labels; two-level aggregate."""
     if not prep.roles.label:
-        return prep.df.sparkSession.createDataFrame(
-            [], "release_id string, fp_feature binary, labels bigint, first_row bigint")
+        return empty_frame(prep.df.sparkSession, "release_id string, fp_feature binary, labels bigint, first_row bigint")
     return (_label_firsts(prep).groupBy("release_id", "fp_feature")
             .agg(F.count(F.lit(1)).alias("labels"), F.min("first_l").alias("first_row"))
             .where(F.col("labels") >= 2))
@@ -66,8 +66,7 @@ def _label_distribution(prep: Prepared) -> DataFrame:
     ``(empty)``), numbered by first appearance as neutral ``class-NN``
     tokens; label text never leaves this operator."""
     if not prep.roles.label:
-        return prep.df.sparkSession.createDataFrame(
-            [], "release_id string, category string, count bigint, class_index bigint")
+        return empty_frame(prep.df.sparkSession, "release_id string, category string, count bigint, class_index bigint")
     lab = F.when(F.col("label_norm") == "", F.lit("(empty)")).otherwise(F.col("label_norm"))
     counts = (prep.df.groupBy("release_id", lab.alias("__label"))
               .agg(F.count(F.lit(1)).alias("count"), F.min("_row").alias("__first")))

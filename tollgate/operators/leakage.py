@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.literals import empty_frame
 from .findings import bounded_broadcast, evidence_rows, finding_rows, plural, top_k
 from .prepare import Prepared
 
@@ -20,8 +21,8 @@ def leakage_groups(prep: Prepared) -> DataFrame:
     """Per fingerprint: rows with a split, splits, and cross-split pairs
     (n^2 - sum n_s^2) / 2 -- a two-level aggregate, no pair enumeration."""
     if not prep.roles.split:
-        return prep.df.sparkSession.createDataFrame(
-            [], "release_id string, fp_split binary, n bigint, splits bigint, pairs bigint")
+        return empty_frame(prep.df.sparkSession, "release_id string, fp_split binary, "
+                           "n bigint, splits bigint, pairs bigint")
     return (_split_counts(prep).groupBy("release_id", "fp_split")
             .agg(F.sum("n_s").alias("n"), F.count(F.lit(1)).alias("splits"),
                  ((F.sum("n_s") * F.sum("n_s") - F.sum(F.col("n_s") * F.col("n_s"))) / 2)

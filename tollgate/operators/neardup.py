@@ -283,7 +283,8 @@ def _budget_pairs(prep: Prepared) -> DataFrame:
 
 
 def near_pairs_budgeted(prep: Prepared) -> DataFrame:
-    return prep.memo("near_budget_pairs", lambda: _budget_pairs(prep).where("hit"))
+    return prep.memo(f"near_budget_pairs:{prep.limits.pair_budget}",
+                     lambda: _budget_pairs(prep).where("hit"))
 
 
 # ---------------------------------------------------------------------------

@@ -19,11 +19,14 @@ from ..config import ID_CANDIDATES, LABEL_CANDIDATES, SPLIT_CANDIDATES, Limits,
 from ..functions import pii as pii_fn
 from ..functions import text as text_fn
 from ..functions import tokens as tok_fn
-from ..session import ensure_checkpoint_dir
+from ..session import cut_lineage, ensure_checkpoint_dir, tune_session
 from .rows import file_order_key, with_row_number
 
 INTERNAL_PREFIX = "__"
 
+#: Rows per partition for frames whose size has a proven bound.
+ROWS_PER_PARTITION = 500_000
+
 
 def infer_column(columns: list[str], requested: str | None, candidates) -> str | None:
     """Requested name (case-insensitive, no fallback when absent), else the
@@ -100,12 +103,30 @@ class Prepared:
     n_releases: int = 1
     _memo: dict = field(default_factory=dict)
 
-    def memo(self, name: str, build):
-        """Build a derived frame once per audit and keep it cached."""
+    def memo(self, name: str, build, max_rows: int | None = None):
+        """Build a derived frame once per prepared table and keep it cached
+        (checkpointed).  Names must carry every limit the frame depends on.
+        ``max_rows`` is a proven bound on the frame's size: small frames are
+        kept in proportionally few partitions."""
         if name not in self._memo:
-            self._memo[name] = build().persist()
+            built = build()
+            parts = None if max_rows is None else max(1, -(-max_rows // ROWS_PER_PARTITION))
+
+            def keep(df):
+                return cut_lineage(df.coalesce(parts) if parts else df)
+            self._memo[name] = (tuple(keep(b) for b in built) if isinstance(built, tuple)
+                                else keep(built))
         return self._memo[name]
 
+    def with_limits(self, limits: Limits) -> "Prepared":
+        """The same prepared rows under other limits, sharing derived frames
+        (token limits must match: tokens are part of the prepared rows)."""
+        if limits.token_limit != self.limits.token_limit:
+            raise ValueError("a different token limit needs its own prepared table")
+        return Prepared(df=self.df, roles=self.roles, columns=self.columns, dtypes=self.dtypes,
+                        limits=limits, multi_release=self.multi_release,
+                        n_releases=self.n_releases, _memo=self._memo)
+
 
 def prepare(df: DataFrame, *, release_id: str = "release", release_col: str | None = None,
             roles: Roles | None = None, release: Release | None = None,
@@ -120,6 +141,7 @@ def prepare(df: DataFrame, *, release_id: str = "release", release_col: str | No
     along untouched (not audited) so the same prepared table can later be
     regrouped into other releases (see :func:`regroup`).
     """
+    tune_session(df.sparkSession)
     columns = [c for c in df.columns
                if c != release_col and c not in carry and not c.startswith(INTERNAL_PREFIX)]
     carried = [F.col(f"`{c}`") for c in carry]
@@ -216,7 +238,7 @@ def regroup(prep: Prepared, release_col: str) -> Prepared:
     df = (prep.df.withColumn("release_id", F.col(f"`{release_col}`").cast("string"))
           .withColumnRenamed("_row", "__prev"))
     n_releases = df.select("release_id").distinct().count()
-    numbered = with_row_number(df, [F.col("__prev")], group="release_id",
-                               max_groups=n_releases).drop("__prev").persist()
+    numbered = cut_lineage(with_row_number(df, [F.col("__prev")], group="release_id",
+                                           max_groups=n_releases).drop("__prev")).persist()
     return Prepared(df=numbered, roles=prep.roles, columns=prep.columns, dtypes=prep.dtypes,
                     limits=prep.limits, multi_release=True, n_releases=n_releases)

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import CATEGORIES
+from ..functions.literals import literal_frame
 
 
 def prediction_keys(findings: DataFrame, evidence: DataFrame, row_ids: DataFrame,
@@ -52,7 +53,7 @@ def _named_rows(evidence: DataFrame, row_ids: DataFrame) -> DataFrame:
 
 
 def _categories(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(c, i + 1) for i, c in enumerate(CATEGORIES)],
+    return literal_frame(spark, [(c, i + 1) for i, c in enumerate(CATEGORIES)],
                                  "category string, category_order int")
 
 

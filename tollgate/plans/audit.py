@@ -67,9 +67,17 @@ def audit(df: DataFrame, release: Release | DataFrame | None = None, *,
     prep = prepared or prepare(df, release_id=rid, release_col=release_col, roles=roles,
                                release=rel_obj, limits=limits, order_by=order_by)
 
-    parts = [pii.pii_findings(prep), duplicates.exact_findings(prep),
-             neardup.near_findings(prep), leakage.leakage_findings(prep),
-             labels.label_findings(prep), governance.governance_findings(releases)]
+    # detector results are kept on the prepared table, keyed by the limits
+    # they depend on, so audits that differ only in the pair budget share them
+    k, budget = prep.limits.evidence_per_finding, prep.limits.pair_budget
+    # per release: at most 4 PII findings and 2 label findings, k evidence each
+    bound = prep.n_releases * 4 * max(k, 1)
+    parts = [prep.memo(f"pii_findings:{k}", lambda: pii.pii_findings(prep), bound),
+             prep.memo(f"exact_findings:{k}", lambda: duplicates.exact_findings(prep), bound),
+             prep.memo(f"near_findings:{k}:{budget}", lambda: neardup.near_findings(prep), bound),
+             prep.memo(f"leakage_findings:{k}", lambda: leakage.leakage_findings(prep), bound),
+             prep.memo(f"label_findings:{k}", lambda: labels.label_findings(prep), bound),
+             governance.governance_findings(releases)]
     findings = _union([p[0] for p in parts], FINDING_COLUMNS)
     evidence = _union([p[1] for p in parts], EVIDENCE_COLUMNS)
     findings = findings.persist()

@@ -80,11 +80,7 @@ def documents_prepared(spark: SparkSession, sf_dir: str, limits: Limits = Limits
                               release_id="documents", roles=DOCS_ROLES, limits=limits,
                               order_by=[F.col("doc_id")], carry=("source",))
     base = _CACHE[key]
-    if base.limits == limits:
-        return base
-    return Prepared(df=base.df, roles=base.roles, columns=base.columns, dtypes=base.dtypes,
-                    limits=limits, multi_release=base.multi_release,
-                    n_releases=base.n_releases)
+    return base if base.limits == limits else base.with_limits(limits)
 
 
 def documents_audit(spark: SparkSession, sf_dir: str, limits: Limits = Limits()) -> AuditResult:

@@ -6,7 +6,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Session settings the gate relies on (AQE for skew and coalescing).
 GATE_CONF = {
@@ -35,6 +35,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    tune_session(spark)
     return spark
 
 
@@ -62,3 +63,30 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         spark.conf.set("spark.checkpoint.dir", configured)
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
+
+
+#: Plan text is rendered for every execution; audits read many cached
+#: frames, so cap its length (display only; plans themselves are untouched).
+MAX_PLAN_STRING = 100_000
+
+
+def tune_session(spark: SparkSession) -> None:
+    """Session settings an audit relies on, applied only where still at
+    their defaults."""
+    try:
+        current = int(spark.conf.get("spark.sql.maxPlanStringLength"))
+    except Exception:
+        current = None
+    if current is None or current > MAX_PLAN_STRING:
+        spark.conf.set("spark.sql.maxPlanStringLength", str(MAX_PLAN_STRING))
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint of a derived frame: its rows are written once to
+    the cluster's checkpoint folder and later plans start from there (short
+    plans, and a lost executor recomputes from the files, not the lineage)."""
+    ensure_checkpoint_dir(df.sparkSession)
+    cached = df.persist()
+    out = cached.checkpoint(eager=True)
+    cached.unpersist()
+    return out

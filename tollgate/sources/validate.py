@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import FORBIDDEN_KEYS, METADATA_FIELDS, Limits
+from ..functions.literals import empty_frame
 from ..functions.text import utf16_length
 
 VIOLATION_SCHEMA = "table string, column string, rule string, violations bigint"
@@ -55,7 +56,7 @@ def check_columns_scalar(df: DataFrame) -> None:
 def _unpivot(df: DataFrame, table_name: str, rule: str, counts: dict) -> DataFrame:
     spark = df.sparkSession
     if not counts:
-        return spark.createDataFrame([], VIOLATION_SCHEMA)
+        return empty_frame(spark, VIOLATION_SCHEMA)
     agg = df.agg(*[c.cast("bigint").alias(f"__v{i}") for i, c in enumerate(counts.values())])
     parts = [agg.select(F.lit(table_name).alias("table"), F.lit(name).alias("column"),
                         F.lit(rule).alias("rule"), F.col(f"__v{i}").alias("violations"))
@@ -84,7 +85,7 @@ def scalar_violations(df: DataFrame, table_name: str = "dataset") -> DataFrame:
             counts[f.name] = F.count_if(F.isnan(c) | (F.abs(c) == float("inf")))
             rules[f.name] = "non-finite"
     if not counts:
-        return df.sparkSession.createDataFrame([], VIOLATION_SCHEMA)
+        return empty_frame(df.sparkSession, VIOLATION_SCHEMA)
     agg = df.agg(*[v.cast("bigint").alias(f"__v{i}") for i, v in enumerate(counts.values())])
     parts = [agg.select(F.lit(table_name).alias("table"), F.lit(name).alias("column"),
                         F.lit(rules[name]).alias("rule"), F.col(f"__v{i}").alias("violations"))
