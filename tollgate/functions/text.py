@@ -4,10 +4,10 @@ The normalised form of a cell is: Unicode NFKC, trim, whitespace runs to
 one space, lower case -- in that order.  Whitespace means the 25 characters
 of the ECMAScript ``\\s`` class, not Java's ASCII ``\\s``.
 
-NFKC is the one step Spark has no built-in for.  It runs as an Arrow-batched
-pandas UDF, and only on cells that hold a character NFKC could change: a
-JVM-side regex (built below from ``unicodedata``) routes every other cell
-around Python, so Latin, Greek, Cyrillic, CJK ... text never leaves the JVM.
+NFKC is the one step Spark has no built-in for.  It runs in the JVM through
+ICU4J, which Spark 4 bundles, called with ``reflect``; only when ICU4J is
+missing does an Arrow-batched pandas UDF take over, fed just the cells that
+a JVM regex (built below from ``unicodedata``) flags as possibly changing.
 """
 
 from __future__ import annotations
@@ -21,10 +21,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# FIXED VALUES: the ECMAScript whitespace set (\s and String.prototype.trim):
-# TAB LF VT FF CR SPACE NBSP U+1680 U+2000..U+200A LS PS NNBSP MMSP
-# IDEOGRAPHIC-SPACE BOM.
-WS_CLASS = r"[\t\n\x0B\f\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
+# FIXED VALUES: the ECMAScript whitespace set (\s and String.prototype.trim),
+# as code points: TAB LF VT FF CR SPACE NBSP OGHAM-SPACE-MARK U+2000..U+200A
+# LINE-SEPARATOR PARAGRAPH-SEPARATOR NNBSP MMSP IDEOGRAPHIC-SPACE BOM.
+WS_CODEPOINTS = (0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20, 0xA0, 0x1680,
+                 *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF)
+WS_CLASS = "[" + "".join(f"\\x{{{c:X}}}" for c in WS_CODEPOINTS) + "]"
+#: every whitespace character except the space itself
+WS_OTHER = "".join(chr(c) for c in WS_CODEPOINTS if c != 0x20)
 WS_RUN = WS_CLASS + "+"
 
 #: ASCII word-boundary (the ECMAScript \b), usable in Java regexes.
@@ -187,12 +191,18 @@ def normalized(col: Column, dtype: T.DataType, nfkc_col: Column | None = None) -
     """The normalised scalar: never NULL, NULL becomes the text ``null``."""
     if isinstance(dtype, T.StringType):
         base = nfkc_col if nfkc_col is not None else nfkc(col)
-        text = F.lower(F.trim(F.regexp_replace(base, WS_RUN, " ")))
+        text = F.lower(F.trim(collapse_ws(base)))
     else:
         text = F.lower(scalar_text(col, dtype))
     return F.coalesce(text, F.lit("null"))
 
 
+def collapse_ws(col: Column) -> Column:
+    """Whitespace runs to one space: map every other whitespace character to
+    a space (a per-character table lookup), then squeeze runs of spaces."""
+    return F.regexp_replace(F.translate(col, WS_OTHER, " " * len(WS_OTHER)), " {2,}", " ")
+
+
 def js_trim(col: Column) -> Column:
     """String.prototype.trim: strip the ECMAScript whitespace set."""
     return F.regexp_replace(col, f"^{WS_RUN}|{WS_RUN}$", "")
