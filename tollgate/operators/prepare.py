@@ -82,12 +82,17 @@ def parallelism_floor(df: DataFrame) -> DataFrame:
     cores (a small file with one row group) before the per-row text work.
     Large inputs already arrive in thousands of splits and are left as they
     are, so the raw rows are never shuffled at scale."""
-    target = df.sparkSession.sparkContext.defaultParallelism
+    spark = df.sparkSession
+    target = spark.sparkContext.defaultParallelism
     try:
-        n = df.rdd.getNumPartitions()
+        # sum of the leaves' size estimates (file sizes for scans): no job runs
+        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+        size = sum(int(str(leaves.apply(i).stats().sizeInBytes()))
+                   for i in range(leaves.length()))
+        split = int(spark.conf.get("spark.sql.files.maxPartitionBytes", "134217728").rstrip("b"))
     except Exception:
         return df
-    return df.repartition(target) if n < target else df
+    return df.repartition(target) if size // max(split, 1) + 1 < target else df
 
 
 @dataclass
