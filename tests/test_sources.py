@@ -85,3 +85,38 @@ def test_scalar_violations(spark):
     df = spark.createDataFrame([([1.0], float("nan")), (None, 1.0)], "e array<double>, v double")
     got = {(r.column, r.rule, r.violations) for r in validate.scalar_violations(df).collect()}
     assert got == {("e", "non-scalar", 1), ("v", "non-finite", 1)}
+
+
+def test_csv_long_rows_refused_by_row_number(spark, tmp_path):
+    path = write(tmp_path, "l.csv", "id,a\n1,x\n2,y,\n3,z,w\n")
+    got = [(r.row, r.rule) for r in readers.csv_violations(spark, path).orderBy("row").collect()]
+    assert got == [(2, "too-many-cells"), (3, "too-many-cells")]
+    with pytest.raises(IntakeError, match="Row 3 has more values"):
+        readers.read_dataset(spark, path)
+
+
+def test_json_lines_record_rules(spark, tmp_path):
+    path = write(tmp_path, "r.jsonl",
+                 '{"id":1,"label":"a"}\n{"id":2,"other":"b"}\n{"id":3,"label":{"x":1}}\n[1]\n')
+    got = {(r.row, r.rule) for r in validate.json_record_violations(
+        readers.json_lines_records(spark, path)).collect()}
+    assert got == {(2, "schema-mismatch"), (3, "non-scalar"), (4, "not-an-object")}
+    with pytest.raises(IntakeError):
+        readers.read_dataset(spark, path)
+    ok = write(tmp_path, "ok.jsonl", '{"id":1,"label":"a"}\n{"ID":2," label ":"b"}\n')
+    assert readers.json_lines_records(spark, ok).count() == 2
+
+
+def test_report_and_card_sinks(spark, tmp_path):
+    from conftest import frame, ordered
+    from fixtures import UNIT_CLEAN_ROWS, UNIT_GOVERNED
+    from tollgate import audit
+    from tollgate.sources import sinks
+
+    df = frame(spark, UNIT_CLEAN_ROWS)
+    res = audit(df, UNIT_GOVERNED, order_by=ordered(df))
+    sinks.write_report(res, str(tmp_path / "report"))
+    assert spark.read.json(str(tmp_path / "report" / "summary")).first().status == "PASS"
+    sinks.write_cards(res.card(), str(tmp_path / "cards"))
+    text = "\n".join(r.value for r in spark.read.text(str(tmp_path / "cards")).collect())
+    assert "Data card" in text and "PASS" in text

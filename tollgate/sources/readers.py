@@ -7,30 +7,84 @@ NULL; Parquet and tables are native.  Headers are normalised and checked
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..config import Limits
-from .validate import IntakeError, blank_rows_removed, check_columns_scalar, normalize_headers
+from ..operators.rows import file_order_key, with_row_number
+from .validate import (IntakeError, blank_rows_removed, check_columns_scalar,
+                       json_record_violations, normalize_headers)
+
+
+CORRUPT = "__corrupt_record"
+
+
+def _csv_reader(spark: SparkSession):
+    return (spark.read.option("header", True).option("multiLine", True)
+            .option("quote", '"').option("escape", '"').option("inferSchema", False)
+            .option("mode", "PERMISSIVE"))
 
 
-def read_csv(spark: SparkSession, path: str, limits: Limits = Limits()) -> DataFrame:
+def csv_violations(spark: SparkSession, path: str) -> DataFrame:
+    """Data rows (1-based, blank rows skipped) holding more cells than
+    the header.  Spark keeps the text of every row whose cell count differs
+    from the header in the corrupt-record column; its cells are counted as
+    the delimiters outside quoted sections, plus one (so a trailing empty
+    cell counts too)."""
+    n = len(_csv_reader(spark).csv(path).columns)
+    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(n)]
+                          + [T.StructField(CORRUPT, T.StringType())])
+    raw = (_csv_reader(spark).schema(schema).option("enforceSchema", True)
+           .option("columnNameOfCorruptRecord", CORRUPT).csv(path))
+    unquoted = F.regexp_replace(F.col(CORRUPT), r'"(?:[^"]|"")*"', "")
+    cells_in_text = F.size(F.split(unquoted, ",", -1))
+    long_row = F.col(CORRUPT).isNotNull() & (cells_in_text > n)
+    blank = reduce(lambda a, b: a & b,
+                   [F.trim(F.coalesce(F.col(f"c{i}"), F.lit(""))) == "" for i in range(n)])
+    kept = raw.where(~blank | long_row)
+    numbered = with_row_number(kept.select(long_row.alias("__long")), file_order_key(raw))
+    return numbered.where("__long").select((F.col("_row") + 1).alias("row"),
+                                           F.lit("too-many-cells").alias("rule"))
+
+
+def read_csv(spark: SparkSession, path: str, limits: Limits = Limits(),
+             strict: bool = True) -> DataFrame:
     """RFC-style CSV: header row, quoted fields with ``""`` escapes and
     embedded newlines, CRLF; all columns as strings; blank rows dropped and
-    missing cells as ''.  Rows with more cells than the header are refused."""
-    reader = (spark.read.option("header", True).option("multiLine", True)
-              .option("quote", '"').option("escape", '"').option("inferSchema", False)
-              .option("mode", "PERMISSIVE").option("enforceSchema", False))
-    raw = reader.csv(path)
+    missing cells as ''.  Rows with more cells than the header are refused
+    (``strict``), by row number only."""
+    raw = _csv_reader(spark).option("enforceSchema", False).csv(path)
     headers = normalize_headers(raw.columns, limits)
+    if strict:
+        bad = csv_violations(spark, path).orderBy("row").limit(1).collect()
+        if bad:
+            raise IntakeError(f"Row {bad[0].row + 1} has more values than the header.")
     df = raw.toDF(*headers)
     return blank_rows_removed(df)
 
 
+def json_lines_records(spark: SparkSession, path: str) -> DataFrame:
+    """(row, cells) for a JSON Lines file: each line parsed as
+    ``map<string, variant>`` (NULL when the line is not an object)."""
+    lines = spark.read.text(path)
+    lines = lines.where(F.trim(F.col("value")) != "")
+    numbered = with_row_number(lines, file_order_key(spark.read.text(path)))
+    return numbered.select((F.col("_row") + 1).alias("row"),
+                           F.from_json("value", "map<string,variant>").alias("cells"))
+
+
 def read_json(spark: SparkSession, path: str, limits: Limits = Limits(),
               lines: bool = False) -> DataFrame:
     """A top-level array of records, an object with a ``rows`` array, or
     (``lines=True``, the scalable form) one record per line."""
+    if lines:
+        bad = (json_record_violations(json_lines_records(spark, path))
+               .orderBy("row").limit(1).collect())
+        if bad:
+            raise IntakeError(f"Row {bad[0].row} breaks the record rules ({bad[0].rule}).")
     raw = spark.read.option("multiLine", not lines).json(path)
     if not lines and raw.columns == ["rows"]:
         raw = raw.select(F.explode("rows").alias("r")).select("r.*")

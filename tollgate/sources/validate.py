@@ -126,3 +126,19 @@ def blank_rows_removed(df: DataFrame) -> DataFrame:
         return filled
     any_text = reduce(lambda a, b: a | b, [F.trim(F.col(f"`{c}`")) != "" for c in strings])
     return filled.where(any_text)
+
+
+def json_record_violations(records: DataFrame, row_col: str = "row",
+                           map_col: str = "cells") -> DataFrame:
+    """S9 + S10 for JSON records parsed as ``map<string, variant>``: the
+    shape rules of :func:`row_shape_violations`, lines that are not an
+    object, and nested (object or array) cells.  Output: row, rule."""
+    parsed = records.where(F.col(map_col).isNotNull())
+    not_object = (records.where(F.col(map_col).isNull())
+                  .select(F.col(row_col).alias("row"), F.lit("not-an-object").alias("rule")))
+    nested = (parsed.where(F.exists(F.map_values(F.col(map_col)), lambda v: (
+                  F.schema_of_variant(v).startswith("OBJECT")
+                  | F.schema_of_variant(v).startswith("ARRAY"))))
+              .select(F.col(row_col).alias("row"), F.lit("non-scalar").alias("rule")))
+    return (row_shape_violations(parsed, row_col, map_col)
+            .unionByName(not_object).unionByName(nested))
