@@ -64,3 +64,20 @@ def min_size(k: Column) -> Column:
 def percent_text(x: Column) -> Column:
     """``(x*100).toFixed(0)`` for shares in [0, 1]."""
     return F.round(x * 100, 0).cast("bigint").cast("string")
+
+
+# ---------------------------------------------------------------------------
+# Exact pair arithmetic (no double rounding, no 64-bit overflow in between)
+# ---------------------------------------------------------------------------
+
+EXACT = "decimal(38,0)"
+
+
+def exact(col: Column) -> Column:
+    return col.cast(EXACT)
+
+
+def pairs_of(n: Column) -> Column:
+    """n(n-1)/2 exactly."""
+    d = exact(n)
+    return ((d * (d - 1)) / 2).cast(EXACT)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.tokens import pairs_of
 from .findings import bounded_broadcast, evidence_rows, finding_rows, plural, top_k
 from .prepare import Prepared
 
@@ -22,7 +23,7 @@ def exact_pairs(prep: Prepared) -> DataFrame:
     duplicates have no row)."""
     return (exact_groups(prep).groupBy("release_id")
             .agg(F.count(F.lit(1)).alias("groups"),
-                 F.sum(F.col("n") * (F.col("n") - 1) / 2).cast("bigint").alias("pairs")))
+                 F.sum(pairs_of(F.col("n"))).cast("bigint").alias("pairs")))
 
 
 def exact_evidence(prep: Prepared) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.literals import empty_frame
+from ..functions.tokens import exact
 from .findings import bounded_broadcast, evidence_rows, finding_rows, plural, top_k
 from .prepare import Prepared
 
@@ -25,7 +26,8 @@ def leakage_groups(prep: Prepared) -> DataFrame:
                            "n bigint, splits bigint, pairs bigint")
     return (_split_counts(prep).groupBy("release_id", "fp_split")
             .agg(F.sum("n_s").alias("n"), F.count(F.lit(1)).alias("splits"),
-                 ((F.sum("n_s") * F.sum("n_s") - F.sum(F.col("n_s") * F.col("n_s"))) / 2)
+                 ((exact(F.sum("n_s")) * exact(F.sum("n_s"))
+                   - F.sum(exact(F.col("n_s")) * exact(F.col("n_s")))) / 2)
                  .cast("bigint").alias("pairs"))
             .where(F.col("pairs") > 0))
 

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import JACCARD_DEN, JACCARD_NUM, MIN_NEAR_TOKENS
-from ..functions.tokens import jaccard_ok, min_size, percent_text, prefix_length
+from ..functions.tokens import exact, jaccard_ok, min_size, pairs_of, percent_text, prefix_length
 from .findings import bounded_broadcast, evidence_rows, finding_rows, plural, top_k
 from .prepare import Prepared
 
@@ -52,7 +52,8 @@ def token_stats(prep: Prepared) -> DataFrame:
     )
     return agg.select(
         "release_id", "rows", "eligible_rows", "rows_at_token_limit",
-        (F.col("eligible_rows") * (F.col("rows") - 1) - F.col("__s")).cast("bigint")
+        (exact(F.col("eligible_rows")) * exact(F.col("rows") - 1) - exact(F.col("__s")))
+        .cast("bigint")
         .alias("total_comparisons"))
 
 
@@ -98,7 +99,7 @@ def token_sets(prep: Prepared) -> DataFrame:
 def _token_sets(prep: Prepared) -> DataFrame:
     sets = (_subgroups(prep).groupBy("release_id", "set_key")
             .agg(F.sum("c").alias("m"),
-                 F.sum(F.col("c") * (F.col("c") - 1) / 2).cast("bigint").alias("same_fp_pairs"),
+                 F.sum(pairs_of(F.col("c"))).alias("same_fp_pairs"),
                  F.count(F.lit(1)).alias("n_fp"),
                  F.min("first").alias("first_row"),
                  F.any_value("tokens").alias("tokens")))
@@ -157,9 +158,9 @@ def _similar_set_pairs(prep: Prepared) -> DataFrame:
 def near_pair_count_exact(prep: Prepared) -> DataFrame:
     """Exact near-duplicate row pairs per release."""
     cross = similar_set_pairs(prep).groupBy("release_id").agg(
-        F.sum(F.col("ma") * F.col("mb")).alias("cross"))
+        F.sum(exact(F.col("ma")) * exact(F.col("mb"))).alias("cross"))
     within = token_sets(prep).groupBy("release_id").agg(
-        F.sum(F.col("m") * (F.col("m") - 1) / 2 - F.col("same_fp_pairs")).alias("within"))
+        F.sum(pairs_of(F.col("m")) - F.col("same_fp_pairs")).alias("within"))
     return (within.join(cross, "release_id", "full")
             .select("release_id",
                     (F.coalesce("within", F.lit(0)) + F.coalesce("cross", F.lit(0)))
