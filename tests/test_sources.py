@@ -120,3 +120,11 @@ def test_report_and_card_sinks(spark, tmp_path):
     sinks.write_cards(res.card(), str(tmp_path / "cards"))
     text = "\n".join(r.value for r in spark.read.text(str(tmp_path / "cards")).collect())
     assert "Data card" in text and "PASS" in text
+
+
+def test_json_array_shape_rules(spark, tmp_path):
+    bad = write(tmp_path, "s.json", '[{"id":1,"label":"a"},{"id":2,"other":"b"}]')
+    with pytest.raises(IntakeError, match="Row 2"):
+        readers.read_dataset(spark, bad)
+    env = write(tmp_path, "v.json", '{"rows":[{"id":1,"x":true},{"id":2,"x":false}]}')
+    assert readers.read_dataset(spark, env).count() == 2

@@ -76,15 +76,26 @@ def json_lines_records(spark: SparkSession, path: str) -> DataFrame:
                            F.from_json("value", "map<string,variant>").alias("cells"))
 
 
+def json_array_records(spark: SparkSession, path: str) -> DataFrame:
+    """(row, cells) for a JSON file holding an array of records or an object
+    with a ``rows`` array.  Such a file is one document, so each file is
+    parsed by one task (the scalable form is JSON Lines)."""
+    text = spark.read.text(path, wholetext=True)
+    as_array = F.from_json("value", "array<map<string,variant>>")
+    as_envelope = F.from_json("value", "struct<rows: array<map<string,variant>>>")["rows"]
+    records = text.select(F.coalesce(as_array, as_envelope).alias("records"))
+    return records.select(F.posexplode("records").alias("pos", "cells")).select(
+        (F.col("pos") + 1).alias("row"), "cells")
+
+
 def read_json(spark: SparkSession, path: str, limits: Limits = Limits(),
               lines: bool = False) -> DataFrame:
     """A top-level array of records, an object with a ``rows`` array, or
     (``lines=True``, the scalable form) one record per line."""
-    if lines:
-        bad = (json_record_violations(json_lines_records(spark, path))
-               .orderBy("row").limit(1).collect())
-        if bad:
-            raise IntakeError(f"Row {bad[0].row} breaks the record rules ({bad[0].rule}).")
+    records = json_lines_records(spark, path) if lines else json_array_records(spark, path)
+    bad = json_record_violations(records).orderBy("row").limit(1).collect()
+    if bad:
+        raise IntakeError(f"Row {bad[0].row} breaks the record rules ({bad[0].rule}).")
     raw = spark.read.option("multiLine", not lines).json(path)
     if not lines and raw.columns == ["rows"]:
         raw = raw.select(F.explode("rows").alias("r")).select("r.*")
