@@ -132,10 +132,6 @@ def nfkc(col: Column) -> Column:
         _nfkc_udf(F.when(col.rlike(nfkc_trigger_regex()), col)), col)
 
 
-def nfkc_python(value: str) -> str:
-    return unicodedata.normalize("NFKC", value)
-
-
 # ---------------------------------------------------------------------------
 # Scalars to text
 # ---------------------------------------------------------------------------

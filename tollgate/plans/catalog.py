@@ -11,9 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import utf16_length
 from ..operators import duplicates, gate, governance, hashing, labels, leakage, neardup, pii, scoring
-from ..operators.findings import EVIDENCE_COLUMNS
 from ..sources import validate
 from . import views
 from .views import BUDGET_LIMITS

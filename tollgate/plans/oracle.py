@@ -163,10 +163,6 @@ def _with(group: str, body: str, budget: bool = False) -> str:
     return "WITH " + base(group).lstrip() + (budget_ctes() if budget else "") + "\n" + body
 
 
-def _ev(key_sql: str) -> str:
-    return key_sql
-
-
 PCT = "CAST(round(i / (ka + kb - i) * 100) AS BIGINT)"
 
 ORACLE_SQL: dict[str, str] = {}
