@@ -79,6 +79,11 @@ def tune_session(spark: SparkSession) -> None:
         current = None
     if current is None or current > MAX_PLAN_STRING:
         spark.conf.set("spark.sql.maxPlanStringLength", str(MAX_PLAN_STRING))
+    # coalesce shuffle output to the advisory size rather than to as many
+    # tiny tasks as possible (the setting Spark recommends for busy clusters)
+    first = "spark.sql.adaptive.coalescePartitions.parallelismFirst"
+    if spark.conf.get(first, "true") == "true":
+        spark.conf.set(first, "false")
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
