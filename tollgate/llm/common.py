@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import io
 import uuid
+import zipfile
 import zlib
+from pathlib import Path
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,6 +20,9 @@ LOWER = "abcdefghijklmnopqrstuvwxyz"
 #: Maps the bytes A-Z of UTF-8 text to a-z and leaves every other byte.
 FOLD = bytes.maketrans(UPPER.encode(), LOWER.encode())
 
+#: A-Z lower-cased; digits, letters and bytes of other scripts kept; the rest a space.
+PLAIN = bytes(b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -31,9 +37,32 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives this package to the Python workers, once in each application:
+    a zip in the shared folder of ``spark.checkpoint.dir``, added to the job."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    root = Path(__file__).resolve().parent.parent
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    path = sc._jvm.org.apache.hadoop.fs.Path(f"{ensure_checkpoint_dir(spark)}/{root.name}-{uuid.uuid4().hex}.zip")
+    out = path.getFileSystem(sc._jsc.hadoopConfiguration()).create(path)
+    out.write(data.getvalue())
+    out.close()
+    sc.addPyFile(path.toString())
+    _SHIPPED.add(sc.applicationId)
+
+
 def small_batches(df: DataFrame, records: int) -> DataFrame:
-    """Caps the rows of one Arrow batch, so that a batch of very long texts
-    fits a Python worker.  Only lowers the session's setting."""
+    """Ships this package and caps the rows of one Arrow batch, so that a batch
+    of very long texts fits a Python worker.  Only lowers the session's setting."""
+    ship(df.sparkSession)
     conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(conf.get(key, "10000")) <= records:
         conf.set(key, str(records))
@@ -51,6 +80,11 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(FOLD).split() if text else []
 
 
+def plain_words(text: str | None) -> list[bytes]:
+    """Runs of digits, lower-cased letters and characters of other scripts."""
+    return text.encode("utf-8", "surrogatepass").translate(PLAIN).split() if text else []
+
+
 def fold_number(doc_id) -> int:
     """crc32 of the id's decimal text; a null id counts as the empty text."""
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode())
@@ -73,3 +107,25 @@ class WordHashes(dict):
 
     def of(self, words: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
+
+
+def map_arrow(df: DataFrame, make, fields: str, keep: list[str], records: int = 512) -> DataFrame:
+    """``df`` through ``make()`` in Arrow batches.  ``make`` is called once in
+    each task and returns a function from a batch to a dict of columns; the
+    columns in ``keep`` keep their types, ``fields`` names the new ones."""
+    import pyarrow as pa
+    from pyspark.sql import types as T
+
+    schema = T.StructType([df.schema[c] for c in keep] + T.StructType.fromDDL(fields).fields)
+
+    def run(batches):
+        work = make()
+        for batch in batches:
+            if batch.num_rows:
+                cols = work(batch)
+                arrays = [cols[f.name] for f in schema.fields]
+                yield pa.RecordBatch.from_arrays(
+                    [a if isinstance(a, (pa.Array, pa.ChunkedArray)) else pa.array(a) for a in arrays],
+                    names=schema.fieldNames())
+
+    return small_batches(df, records).mapInArrow(run, schema)

@@ -4,10 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import pii_gbt, url_rules
+from . import langid_kn, license_scan, packing, pii_gbt, spaced_seeds, url_rules
 from .common import table
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence notices and expressions in every whole text of ``documents``."""
+    return license_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op6_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ``documents`` in sequences of at most 2048 tokens."""
+    return packing.pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every whole text of ``documents``."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return langid_kn.identify(docs, langid_kn.fit(docs))
+
+
 def op8_pii_boosted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every whole text of ``documents``."""
     return pii_gbt.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -18,6 +34,13 @@ def op9_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(table(spark, sf_dir, "pages").select("page_id", "url"), url_rules.rule_table(spark))
 
 
-QUERIES = {q.__name__: q for q in (op8_pii_boosted, op9_url_rules)}
+def op10_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every ``documents`` row that holds a passage of a ``benchmark`` item."""
+    return spaced_seeds.find(table(spark, sf_dir, "documents").select("doc_id", "text"),
+                             table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
+QUERIES = {q.__name__: q for q in (op1_license_scan, op6_vector_packing, op7_language_id, op8_pii_boosted,
+                                   op9_url_rules, op10_spaced_seeds)}
 
 ORACLE_SQL = {"op9_url_rules": url_rules.ORACLE}
