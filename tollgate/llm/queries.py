@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid_kn, license_scan, packing, pii_gbt, spaced_seeds, url_rules
+from . import jaccard_join, langid_kn, license_scan, packing, pii_gbt, pstable, spaced_seeds, url_rules
 from .common import table
 
 
@@ -13,6 +13,16 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The component of every whole text of ``documents`` under shingle similarity."""
+    return jaccard_join.link(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op4_pstable_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of every ``embeddings`` vector."""
+    return pstable.link_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def op6_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All ``documents`` in sequences of at most 2048 tokens."""
     return packing.pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -40,7 +50,7 @@ def op10_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
                              table(spark, sf_dir, "benchmark").select("item_id", "text"))
 
 
-QUERIES = {q.__name__: q for q in (op1_license_scan, op6_vector_packing, op7_language_id, op8_pii_boosted,
+QUERIES = {q.__name__: q for q in (op1_license_scan, op2_jaccard_join, op4_pstable_dedup, op6_vector_packing, op7_language_id, op8_pii_boosted,
                                    op9_url_rules, op10_spaced_seeds)}
 
-ORACLE_SQL = {"op9_url_rules": url_rules.ORACLE}
+ORACLE_SQL = {"op2_jaccard_join": jaccard_join.ORACLE, "op9_url_rules": url_rules.ORACLE}
