@@ -11,17 +11,38 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tollgate.llm import pii_gbt
+from tollgate.llm import jaccard_join, langid_kn, packing, pii_gbt, spaced_seeds
 from tollgate.llm.common import table
 from tollgate.session import ensure_checkpoint_dir
 
 
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in one of the learned languages stay."""
+    return langid_kn.keep_known(docs, langid_kn.fit(docs))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays."""
+    return jaccard_join.keep_one(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of the benchmark stay."""
+    return spaced_seeds.keep_clean(docs, table(spark, sf_dir, "benchmark"))
+
+
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document stays; its personal data become bracketed kinds."""
     return pii_gbt.redact(docs)
 
 
-STAGES = [("pii", redact_personal_data)]
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document in sequences of tokens."""
+    return packing.pack_documents(docs)
+
+
+STAGES = [("language_id", known_language), ("near_duplicates", near_duplicates), ("decontamination", decontaminate),
+          ("personal_data", redact_personal_data), ("packing", pack)]
 
 #: The models of the stages cannot be expressed in SQL.
 ORACLE_SQL = None

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard_join, langid_kn, license_scan, packing, pii_gbt, pstable, spaced_seeds, url_rules
+from . import gru_lm, html_paths, jaccard_join, langid_kn, license_scan, packing, pii_gbt, pstable, spaced_seeds, url_rules
 from .common import table
 
 
@@ -18,11 +18,21 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.link(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op3_gru_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log-likelihood of every whole text of ``documents``."""
+    return gru_lm.score(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_pstable_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and component of every ``embeddings`` vector."""
     return pstable.link_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
 
+def op5_host_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every ``pages`` row."""
+    return html_paths.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op6_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All ``documents`` in sequences of at most 2048 tokens."""
     return packing.pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -50,7 +60,7 @@ def op10_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
                              table(spark, sf_dir, "benchmark").select("item_id", "text"))
 
 
-QUERIES = {q.__name__: q for q in (op1_license_scan, op2_jaccard_join, op4_pstable_dedup, op6_vector_packing, op7_language_id, op8_pii_boosted,
+QUERIES = {q.__name__: q for q in (op1_license_scan, op2_jaccard_join, op3_gru_scores, op4_pstable_dedup, op5_host_paths, op6_vector_packing, op7_language_id, op8_pii_boosted,
                                    op9_url_rules, op10_spaced_seeds)}
 
 ORACLE_SQL = {"op2_jaccard_join": jaccard_join.ORACLE, "op9_url_rules": url_rules.ORACLE}
