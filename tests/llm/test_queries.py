@@ -1,0 +1,264 @@
+"""The operators on Spark: small tables against brute force, and awkward ones."""
+
+from __future__ import annotations
+
+import hashlib
+import math
+import os
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from tollgate.llm import (gru_lm, html_paths, jaccard_join, langid_kn, license_scan, packing, pii_gbt, pstable, queries,
+                          spaced_seeds, url_rules)
+from tollgate.llm.graph import components
+
+SF = "/root/testdata/sf0.001"
+data = pytest.mark.skipif(not os.path.isdir(SF), reason="test data not present")
+
+LONG = "Word " * 30_000
+AWKWARD = [(1, "same words here now again one"), (1, "same words here now again one"), (2, "same words here now again one"),
+           (None, "same words here now again one"), (3, None), (None, None), (4, ""), (5, " \t\n"), (6, LONG), (7, LONG + "end"),
+           (8, "é漢字 \U0001f600 Ünder a.b@c.de, x+y@d-e.f.gh 1.2.3.4"), (9, "few words"), (9, "other words"),
+           (10, "+1 (527) 555-9774 4111 1111 1111 1111")]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    """Ids null and repeated, texts null, empty and long, columns that clash."""
+    rows = [(i, t, "en" if k % 3 else None, k, "s", [1], "u") for k, (i, t) in enumerate(AWKWARD)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, n long, node string, h array<int>, token string") \
+        .repartition(3).persist()
+
+
+def text_rows(df, *cols):
+    return Counter(tuple(r[c] for c in cols) for r in df.collect())
+
+
+IDS = Counter(i for i, _ in AWKWARD)
+
+
+def test_components(spark):
+    rnd = random.Random(0)
+    for n, m in ((2, 1), (60, 40), (200, 260)):
+        edges = [(rnd.randrange(n), rnd.randrange(n)) for _ in range(m)] + [(k, k + 1) for k in range(n, n + 40)]
+        root = list(range(n + 41))
+        for _ in root:
+            for a, b in edges:
+                root[a] = root[b] = min(root[a], root[b])
+        got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+        assert got == {a: root[a] for e in edges if e[0] != e[1] for a in e}
+    assert components(spark.createDataFrame([], "a long, b long")).isEmpty()
+
+
+def test_licences(spark, docs):
+    out = license_scan.scan(docs)
+    assert text_rows(out, "doc_id") == Counter((i,) for i, _ in AWKWARD for _ in range(1))
+    assert {r.n_words for r in out.where("doc_id = 6").collect()} == {30_000}
+    assert license_scan.scan(docs.limit(0)).isEmpty()
+
+
+def test_jaccard_awkward(spark, docs):
+    out = jaccard_join.link(docs)
+    got = text_rows(out, "doc_id", "n_shingles", "component_id")
+    assert got == Counter([(1, 2, 1), (1, 2, 1), (2, 2, 1), (None, 2, None), (3, 0, 3), (None, 0, None), (4, 0, 4), (5, 0, 5),
+                           (6, 1, 6), (7, 2, 7), (8, 4, 8), (9, 1, 9), (9, 1, 9), (10, 4, 10)])
+    kept = jaccard_join.keep_one(docs)
+    assert kept.columns == docs.columns and 2 not in {r.doc_id for r in kept.collect()} and kept.count() == 13
+    assert jaccard_join.link(docs.limit(0)).isEmpty()
+
+
+def test_jaccard_brute_force(spark):
+    rnd = random.Random(3)
+    passage = [f"p{i}" for i in range(30)]
+    rows = []
+    for g in range(14):
+        base = [f"g{g}w{i}" for i in range(rnd.randint(3, 60))]
+        for _ in range(rnd.choice([1, 2, 9])):
+            t = list(base)
+            for _ in range(rnd.choice([0, 0, 1, 2])):
+                t[rnd.randrange(len(t))] = f"x{rnd.randrange(999)}"
+            rows.append(" ".join(t + (passage if rnd.random() < 0.4 else [])))
+    sets = [{tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} for w in (r.split() for r in rows)]
+    root = list(range(len(rows)))
+    for _ in range(4):
+        for i in range(len(rows)):
+            for j in range(i):
+                if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
+                    root[i] = root[j] = min(root[i], root[j])
+    out = jaccard_join.link(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(5))
+    assert {(r.doc_id, r.n_shingles, r.component_id) for r in out.collect()} == {(i, len(s), root[i]) for i, s in enumerate(sets)}
+
+
+def test_vectors(spark):
+    rng = np.random.default_rng(1)
+    base = rng.standard_normal((12, 16))
+    rows = [(base[i % 12] + rng.standard_normal(16) * s) * rng.uniform(0.1, 9) for i, s in enumerate([0, 0.01, 0.05, 0.1, 0.2] * 24)]
+    rows = [r.astype(np.float32).tolist() for r in rows]
+    rows += [rows[0], rows[0], [0.0] * 16, None, [], [float("nan")] * 16, [None] * 16, [1.0] * 3, [2.0] * 3, [float("inf")] + [1.0] * 15]
+    table = [(i, r, "x", 1) for i, r in enumerate(rows)] + [(None, rows[0], "x", 1)]
+    df = spark.createDataFrame(table, "vec_id long, embedding array<float>, gid string, copies int").repartition(4)
+    unit = [np.array(r, float) / np.linalg.norm(np.array(r, float)) if r and all(v is not None and np.isfinite(v) for v in r)
+            and any(r) else None for r in rows]
+    near = [[j for j in range(len(rows)) if j != i and unit[i] is not None and unit[j] is not None
+             and len(unit[i]) == len(unit[j]) and unit[i] @ unit[j] >= 0.95] for i in range(len(rows))]
+    for block in (None, 7):
+        got = {r.vec_id: r for r in pstable.link_vectors(df, block=block).collect()}
+        assert sum(r.n_links for r in got.values()) >= 0.9 * sum(map(len, near))
+        assert all(got[i].n_links <= len(near[i]) for i in range(len(rows)))
+        assert got[None].n_links == 0 and got[None].component_id is None
+        for i in range(122, len(rows)):
+            assert got[i].n_links == len(near[i])
+        assert got[128].component_id == 127 and not got[128].kept and got[127].kept
+        assert {got[0].component_id, got[120].component_id, got[121].component_id} == {0}
+    assert pstable.link_vectors(df.limit(0)).isEmpty()
+
+
+def test_scores(spark, docs):
+    out = {(r.doc_id, r.n_tokens): r for r in gru_lm.score(docs).collect()}
+    words = [(i, [w for w in re.split("[\x20\x09-\x0d]+", (t or "").translate(str.maketrans(
+        "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))) if w] + [0]) for i, t in AWKWARD]
+    held = lambda i: zlib.crc32(b"" if i is None else str(i).encode()) % 10 == 0
+    c = Counter(w for i, ws in words if not held(i) for w in ws)
+    n, den = sum(c.values()), sum(c.values()) + 0.1 * (len(c) + 1)
+    for i, ws in words:
+        r = out[i, len(ws)]
+        assert (r.held_out, r.train_tokens, r.n_known) == (held(i), n, sum(c[w] > 0 for w in ws))
+        assert math.isclose(r.base_score, sum(math.log10((c[w] + 0.1) / den) for w in ws), rel_tol=1e-9)
+        assert r.score < 0 and math.isfinite(r.score)
+    assert gru_lm.score(docs.limit(0)).isEmpty()
+
+
+def test_languages(spark, docs):
+    model = langid_kn.fit(docs)
+    out = langid_kn.identify(docs, model)
+    assert Counter(r.doc_id for r in out.collect()) == IDS
+    assert {r.lang_pred for r in out.where("doc_id in (3, 4, 5, 10)").collect()} == {"und"}
+    kept = langid_kn.keep_known(docs, model)
+    assert kept.schema == docs.schema
+    assert {r.lang_pred for r in langid_kn.identify(docs, None).collect()} == {"und"}
+    assert langid_kn.fit(docs.limit(0)) is None
+
+
+def test_personal_data(spark, docs):
+    out = pii_gbt.scan(docs).collect()
+    assert Counter(r.doc_id for r in out) == IDS
+    by = {r.doc_id: r for r in out}
+    assert (by[8].n_email, by[8].n_ip, by[10].n_phone, by[10].n_card) == (2, 1, 1, 1)
+    assert by[3].spans == "" and by[3].base_sha256 == hashlib.sha256(b"").hexdigest()
+    text = {r.doc_id: r.text for r in pii_gbt.redact(docs).collect()}
+    assert text[8] == "é漢字 \U0001f600 Ünder [EMAIL], [EMAIL] [IP]" and text[10] == "[PHONE] [CARD]" and text[3] is None
+    assert pii_gbt.scan(docs.limit(0)).isEmpty()
+
+
+def _spans(t):
+    out = [(m.start(), 0, m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+    out += [(m.start(), 1, m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t)
+            if all(int(p) <= 255 for p in m[0].split("."))]
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t):
+        d = re.sub("[^0-9]", "", m[0])
+        if 12 <= len(d) <= 19 and sum(int(c) if k % 2 == 0 else int(c) * 2 - 9 * (c > "4") for k, c in enumerate(d[::-1])) % 10 == 0:
+            out.append((m.start(), 2, m.end()))
+    out += [(m.start(), 3, m.end()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 9 <= len(re.sub("[^0-9]", "", m[0])) <= 15]
+    return ",".join(f"{pii_gbt.KINDS[k]}:{a}:{b}" for a, k, b in sorted(out))
+
+
+def test_base_spans_on_random_text(spark):
+    rnd = random.Random(6)
+    bits = ["a@b.c", "x.y%", "@", ".", "..", "1", "12", "256", "0001", "4111111111111111", "+", "+4", " ", "-", "(", ")", "é", "\U0001f600", "\n", "d-e"]
+    texts = ["".join(rnd.choices(bits, k=rnd.randint(0, 25))) for _ in range(1500)]
+    texts += ["a@b.c%d@e.f", "1.2.3.4.5.6.7.8", "a" * 50_000, "1" * 50_000, "a@b.c " * 900, "1 " * 30_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in pii_gbt.scan(df, pii_gbt.Trees()).collect()}
+    assert [i for i, t in enumerate(texts) if got[i].spans != _spans(t)
+            or got[i].base_sha256 != hashlib.sha256(_spans(t).encode()).hexdigest()] == []
+
+
+def test_urls(spark):
+    urls = ["http://a.net", "http://a.net/", "ftp://Example.NET/en/x?y", "http://sub.example.net/en/", "http://xexample.com/de/", "http://example.com/de/#f",
+            "http://org/fr/", "http://a.b.org/fr", "no scheme", None, "", "://", "http://net./", "x://spam-farm.example.org/q", "http://h?://net/"]
+    df = spark.createDataFrame([(i, u, "k", 1) for i, u in enumerate(urls)], "page_id long, url string, key string, turn int")
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_rules.judge(df.union(df), url_rules.rule_table(spark)).collect()}
+    assert got == {
+        0: ("a.net", "", None, "allow"), 1: ("a.net", "/", "net/", "block"), 2: ("example.net", "/en/x", "example.net/en/", "allow"),
+        3: ("sub.example.net", "/en/", "example.net/en/", "allow"), 4: ("xexample.com", "/de/", None, "allow"),
+        5: ("example.com", "/de/", "example.com/de/", "block"), 6: ("org", "/fr/", "org/fr/", "allow"), 7: ("a.b.org", "/fr", None, "allow"),
+        8: ("", "", None, "block"), 9: ("", "", None, "block"), 10: ("", "", None, "block"), 11: ("", "", None, "block"),
+        12: ("net.", "/", None, "allow"), 13: ("spam-farm.example.org", "/q", None, "block"), 14: ("h", "", None, "allow")}
+    deep = [(".".join("abcdefgh"[k:]), "/" * 1, "block" if k % 2 else "allow") for k in range(8)]
+    rules = url_rules.rule_table(spark, deep, [])
+    got = {r.host: r.verdict for r in url_rules.judge(spark.createDataFrame(
+        [(k, f"x://{'z.' * (k % 3)}{h}/p") for k, (h, _, _) in enumerate(deep)], "page_id long, url string"), rules).collect()}
+    assert all(got["z." * (k % 3) + h] == v for k, (h, _, v) in enumerate(deep))
+    assert url_rules.judge(df.limit(0), url_rules.rule_table(spark)).isEmpty()
+    assert {r.verdict for r in url_rules.judge(df.limit(2), rules.limit(0)).collect()} == {"allow"}
+
+
+def test_contamination(spark, docs):
+    bench = spark.createDataFrame([(1, "same words here now again one two three"), (2, None), (None, "a b"), (3, "q " * 9)],
+                                  "item_id long, text string")
+    assert spaced_seeds.find(docs, bench).isEmpty()
+    assert spaced_seeds.keep_clean(docs, bench).count() == len(AWKWARD)
+    exact = spark.createDataFrame([(7, "Word, " * 20), (8, "same words here now again one same words")], "item_id long, text string")
+    assert text_rows(spaced_seeds.find(docs, exact), "doc_id", "item_id") == Counter({(6, 7): 1, (7, 7): 1})
+    assert spaced_seeds.keep_clean(docs, exact).count() == len(AWKWARD) - 2
+    assert spaced_seeds.find(docs.limit(0), exact).isEmpty() and spaced_seeds.find(docs, exact.limit(0)).isEmpty()
+
+
+def test_pages(spark):
+    page = "<body><div class='c{}'><p>{}</p></div><div class='teaser'><p>{}</p></div></body>"
+    rows = [(i, "http://h.x/", page.format(i, "long main text " * 9, "short")) for i in range(9)]
+    rows += [(9, "http://h.x/", page.format(3, "tiny", "a longer teaser that would win on its own page")), (10, None, None), (None, "u", ""), (11, "u", "no markup")]
+    df = spark.createDataFrame([(*r, "k") for r in rows], "page_id long, url string, html string, path string")
+    for most in (html_paths.HOSTS, 0):
+        out = {r.page_id: r for r in html_paths.extract(df, most_hosts=most).collect()}
+        assert out[9].text == "tiny" and out[0].text == ("long main text " * 9).strip()
+        assert (out[10].text, out[None].text, out[11].text, out[11].n_chars) == ("", "", "no markup", 9)
+    assert html_paths.extract(df.limit(0)).isEmpty()
+
+
+def test_packed_documents(spark, docs):
+    out = packing.pack_documents(docs).collect()
+    assert Counter(r.doc_id for r in out if r.start == 0) == IDS
+    assert {r.doc_tokens for r in out if r.doc_id in (3, 4, 5)} == {1}
+    assert max(r.offset + r.length for r in out) <= 2048
+    ex = spark.createDataFrame([(1, [5, 6, 7], [False, True]), (2, None, None), (3, [1] * 3000, [True] * 3000)], "k long, ids array<int>, m array<boolean>")
+    got = packing.pack_examples(ex, "k", "ids", "m").collect()
+    assert sorted((r.doc_tokens, r.start, r.length, r.n_loss) for r in got) == [(0, 0, 0, 0), (3, 0, 3, 1), (3000, 0, 2048, 2048), (3000, 2048, 952, 952)]
+    assert packing.pack_documents(docs.limit(0)).isEmpty()
+
+
+@data
+def test_queries_match_their_sql(spark):
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    for t in ("documents", "pages"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
+    for name, sql in queries.ORACLE_SQL.items():
+        df = queries.QUERIES[name](spark, SF)
+        cols = sorted(df.columns)
+        want = con.sql(f"select {', '.join(cols)} from ({sql})").fetchall()
+        assert Counter(tuple(r[c] for c in cols) for r in df.collect()) == Counter(want), name
+
+
+@data
+def test_pipeline(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    kept = docs
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        kept = stage(spark, kept, SF).persist()
+        if k < 4:
+            assert kept.columns == docs.columns
+        if name == "near_duplicates":
+            assert len({texts[r.doc_id] for r in kept.collect()}) == kept.count()
+        if name == "personal_data":
+            last = {r.doc_id: (r.text, r.n_chars) for r in kept.collect()}
+            assert all(n == len(t) and not _spans(t) for t, n in last.values())
+    assert {r.doc_id for r in kept.collect()} == set(last) and len(last) > 150
