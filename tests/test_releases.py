@@ -14,7 +14,7 @@ SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test data not present")
 
 COUNTS = ["row_count", "pii_cell_count", "exact_duplicate_pairs", "near_duplicate_pairs",
-          "leakage_pairs", "conflicting_groups", "near_comparisons", "rows_at_token_limit",
+          "leakage_pairs", "conflicting_groups", "near_comparisons",
           "label_classes", "status", "block_count", "warning_count"]
 
 

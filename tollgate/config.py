@@ -71,7 +71,7 @@ IMBALANCE_MAJORITY = 0.75
 IMBALANCE_MINORITY = 0.15
 
 SCHEMA_VERSION = "1.0"
-DETECTOR_VERSION = "data-trust-gate-rules-v1"
+DETECTOR_VERSION = "tollgate-detectors-2"
 
 # ---------------------------------------------------------------------------
 # Configuration
@@ -80,28 +80,30 @@ DETECTOR_VERSION = "data-trust-gate-rules-v1"
 
 @dataclass(frozen=True)
 class Limits:
-    """Work and intake limits.
+    """Intake and report limits; ``None`` means unlimited.
 
-    ``rows``/``file_bytes`` are unlimited by default: the Spark gate is
-    meant for tables far beyond a single request.  ``pair_budget`` of
-    ``None`` means the near-duplicate count is exact over all pairs; an
-    integer reproduces the sequential budgeted scan (first N comparisons in
-    (left, right) row order).
+    The readers refuse a source that breaks a limit, by row or column number
+    only; nothing is ever cut to fit.  Near duplicates are decided on all
+    tokens of a row; a ``token_limit`` compares openings instead and is meant
+    for callers who ask for that.  ``evidence_per_finding`` above 1,000 is
+    refused: beyond it Spark no longer limits groups before the shuffle.
     """
 
     rows: int | None = None
     columns: int | None = None
     key_characters: int = 128
-    cell_characters: int = 4096
+    cell_characters: int | None = 4096
     metadata_characters: int = 500
     evidence_per_finding: int = 6
-    pair_budget: int | None = None
-    token_limit: int | None = 64
+    token_limit: int | None = None
 
+    def __post_init__(self):
+        if not 0 <= self.evidence_per_finding <= 1000:
+            raise ValueError("evidence_per_finding must lie between 0 and 1,000")
 
-#: The limits a single interactive request used to have; useful for intake
-#: checks that must flag what that path would have refused.
-REQUEST_LIMITS = Limits(rows=1000, columns=40, pair_budget=50_000)
+
+#: The intake limits of one interactive request.
+REQUEST_LIMITS = Limits(rows=1000, columns=40)
 
 
 @dataclass(frozen=True)
@@ -126,3 +128,11 @@ class Release:
     split_column: str = ""
     id_column: str = ""
     extra: dict = field(default_factory=dict, compare=False)
+
+
+#: What a reader of a report must know about its reach.
+LIMITATIONS = (
+    "Identifiers are found by pattern; names, addresses and free descriptions of a person are not.",
+    "Similarity is judged by shared words, so a paraphrase or a translation is not found.",
+    "Provenance and license are checked for presence only, not for truth.",
+)

@@ -23,21 +23,15 @@ FINDING_SPECS = {
 FINDING_ORDER = {fid: i + 1 for i, fid in enumerate(FINDING_SPECS)}
 
 REMEDIATION = {
-    "pii-email": "Remove or replace direct identifiers with governed values and rerun the gate; "
-                 "masking the report does not anonymise the source.",
-    "exact-duplicates": "Check whether the repeats are real observations; otherwise deduplicate "
-                        "before splitting or training.",
-    "near-duplicates": "Review the pairs, pick a threshold that suits the domain and keep only "
-                       "meaningful variants.",
-    "split-leakage": "Group duplicates before splitting and keep related records in one split.",
-    "conflicting-labels": "Adjudicate the conflicting annotations before training and record "
-                          "the decision.",
-    "class-imbalance": "Evaluate per class (precision, recall, support); rebalance only with a "
-                       "documented reason.",
-    "missing-provenance": "Record source, collection method, date range, transformations and "
-                          "the accountable custodian.",
-    "missing-license": "Confirm redistribution and training rights with the owner and record "
-                       "the license or approval.",
+    "pii-email": "Take the identifiers out of the source table itself; what this report masks is "
+                 "still in the data.",
+    "exact-duplicates": "Keep one row of each group unless the repetition carries meaning.",
+    "near-duplicates": "Read the listed pairs and decide which variants earn their place.",
+    "split-leakage": "Assign splits by group of equal rows, then build the splits anew.",
+    "conflicting-labels": "Have the disagreeing rows labelled again by someone who sees them together.",
+    "class-imbalance": "Report results for each class on its own before trusting an average.",
+    "missing-provenance": "Write down where the rows come from and who answers for them.",
+    "missing-license": "Find the terms under which the rows may be shared and name them.",
 }
 for _k in ("pii-phone", "pii-nric", "pii-ip"):
     REMEDIATION[_k] = REMEDIATION["pii-email"]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import METADATA_FIELDS, Release
 from ..functions.literals import literal_frame
-from ..functions.text import placeholder_like
+from ..functions.text import js_trim, placeholder_like
 from .findings import evidence_rows, finding_rows
 
 RELEASE_SCHEMA = "release_id string, " + ", ".join(f"{f} string" for f in METADATA_FIELDS)
@@ -23,7 +23,7 @@ def clean_releases(releases: DataFrame) -> DataFrame:
     cols = [F.col("release_id").cast("string").alias("release_id")]
     for f in METADATA_FIELDS:
         src = F.col(f) if f in releases.columns else F.lit(None)
-        cols.append(F.trim(F.coalesce(src.cast("string"), F.lit(""))).alias(f))
+        cols.append(js_trim(F.coalesce(src.cast("string"), F.lit(""))).alias(f))
     return releases.select(*cols)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..config import DETECTOR_VERSION, SCHEMA_VERSION
+from ..config import DETECTOR_VERSION, LIMITATIONS, METADATA_FIELDS, SCHEMA_VERSION
 from .governance import clean_releases
 
 #: Fan-in of the dataset hash tree: rows per leaf chunk, chunks per node.
@@ -46,12 +46,12 @@ def configuration_hash(releases: DataFrame) -> DataFrame:
     return r.select("release_id", F.sha2(body, 256).alias("configuration_hash"))
 
 
-def report_hash(summary: DataFrame, findings: DataFrame, evidence: DataFrame,
+def report_hash(releases: DataFrame, summary: DataFrame, findings: DataFrame, evidence: DataFrame,
                 hashes: DataFrame) -> DataFrame:
-    """SHA-256 over the ordered findings with their evidence, the summary
-    and the two input hashes; excludes time and the rendered card.  Each
-    release holds at most 11 findings of at most k evidence items, so the
-    per-release lists are bounded."""
+    """SHA-256 over the ordered findings with their evidence, the summary, the
+    metadata, the limitations, the schema version and the two input hashes;
+    excludes time and the rendered card.  Each release holds at most 11
+    findings of at most k evidence items, so the lists are bounded."""
     ev = (evidence.groupBy("release_id", "finding_id")
           .agg(F.array_sort(F.collect_list(F.struct(
               "ordinal", "key", "row", "other_row", "column", "masked_value", "detail")))
@@ -63,6 +63,21 @@ def report_hash(summary: DataFrame, findings: DataFrame, evidence: DataFrame,
              "remediation", "evidence"))).alias("findings")))
     s = summary.select("release_id", F.struct(*[c for c in summary.columns if c != "release_id"])
                        .alias("summary"))
-    core = s.join(f, "release_id", "left").join(hashes, "release_id", "left")
-    body = F.to_json(F.struct("dataset_hash", "configuration_hash", "summary", "findings"))
+    meta = clean_releases(releases).select("release_id", F.struct(*METADATA_FIELDS).alias("metadata"))
+    core = (s.join(f, "release_id", "left").join(hashes, "release_id", "left").join(meta, "release_id", "left")
+            .withColumn("limitations", F.array(*[F.lit(x) for x in LIMITATIONS]))
+            .withColumn("schema_version", F.lit(SCHEMA_VERSION)))
+    body = F.to_json(F.struct("schema_version", "dataset_hash", "configuration_hash", "metadata", "summary",
+                              "findings", "limitations"))
     return core.select("release_id", F.sha2(body, 256).alias("report_hash"))
+
+
+def table_hash(df: DataFrame, keys: list[str]) -> DataFrame:
+    """SHA-256 of any table with a key, such as a set of expected results: rows
+    in the order of their keys, hashed as a tree."""
+    from .rows import with_row_number
+
+    row = F.sha2(F.to_json(F.struct(*[F.col(f"`{c}`") for c in sorted(df.columns)]), {"ignoreNullFields": "false"}), 256)
+    hashed = df.select(F.lit("table").alias("release_id"), row.alias("row_hash"), *[F.col(f"`{k}`") for k in keys])
+    numbered = with_row_number(hashed, [F.col(f"`{k}`") for k in keys] + [F.col("row_hash")])
+    return dataset_fingerprint(numbered).select(F.col("dataset_hash").alias("table_hash"))

@@ -14,14 +14,15 @@ from .rows import with_row_number
 
 
 def _label_firsts(prep: Prepared) -> DataFrame:
-    return (prep.df.groupBy("release_id", "fp_feature", "label_norm")
+    # a NULL label_norm is a release without a label column
+    return (prep.df.where(F.col("label_norm").isNotNull()).groupBy("release_id", "fp_feature", "label_norm")
             .agg(F.min("_row").alias("first_l")))
 
 
 def conflict_groups(prep: Prepared) -> DataFrame:
     """Feature groups (id, split and label set aside) holding two or more
     normalised labels; two-level aggregate."""
-    if not prep.roles.label:
+    if not prep.has_role("label"):
         return empty_frame(prep.df.sparkSession, "release_id string, fp_feature binary, labels bigint, first_row bigint")
     return (_label_firsts(prep).groupBy("release_id", "fp_feature")
             .agg(F.count(F.lit(1)).alias("labels"), F.min("first_l").alias("first_row"))
@@ -37,7 +38,7 @@ def conflict_evidence(prep: Prepared) -> DataFrame:
     """First k conflicting groups by first row: their first row, the first
     row carrying another label, and the number of labels."""
     k = prep.limits.evidence_per_finding
-    if not prep.roles.label:
+    if not prep.has_role("label"):
         return evidence_rows(prep.df.limit(0), "conflicting-labels", F.lit(""),
                              detail=F.lit(""), ordinal=F.lit(0))
     top = top_k(conflict_groups(prep), ["release_id"], [F.col("first_row")], k)
@@ -46,12 +47,13 @@ def conflict_evidence(prep: Prepared) -> DataFrame:
               .where(F.col("first_l") > F.col("first_row"))
               .groupBy("release_id", "fp_feature", "first_row", "labels", "__rank")
               .agg(F.min("first_l").alias("second_row")))
+    second = prep.with_role(second, "label")
     return evidence_rows(
         second, "conflicting-labels",
         F.concat_ws(":", F.lit("conflict"), (F.col("first_row") + 1).cast("string"),
                     (F.col("second_row") + 1).cast("string")),
         row=F.col("first_row") + 1, other_row=F.col("second_row") + 1,
-        column=F.lit(prep.roles.label),
+        column=F.col("__role"),
         detail=F.concat(F.col("labels").cast("string"),
                         F.lit(" different labels are assigned to the same feature values.")),
         ordinal=F.col("__rank"))
@@ -65,10 +67,10 @@ def _label_distribution(prep: Prepared) -> DataFrame:
     """Rows per normalised label (NULL is the class ``null``, ``''`` is
     ``(empty)``), numbered by first appearance as neutral ``class-NN``
     tokens; label text never leaves this operator."""
-    if not prep.roles.label:
+    if not prep.has_role("label"):
         return empty_frame(prep.df.sparkSession, "release_id string, category string, count bigint, class_index bigint")
     lab = F.when(F.col("label_norm") == "", F.lit("(empty)")).otherwise(F.col("label_norm"))
-    counts = (prep.df.groupBy("release_id", lab.alias("__label"))
+    counts = (prep.df.where(F.col("label_norm").isNotNull()).groupBy("release_id", lab.alias("__label"))
               .agg(F.count(F.lit(1)).alias("count"), F.min("_row").alias("__first")))
     numbered = with_row_number(counts, [F.col("__first")], group="release_id", name="__idx",
                                max_groups=prep.n_releases)
@@ -110,8 +112,8 @@ def label_findings(prep: Prepared) -> tuple[DataFrame, DataFrame]:
     f_imb = finding_rows(imb, "class-imbalance", F.lit(1),
                          F.lit("The label distribution may hide minority-class performance."))
     e_imb = evidence_rows(
-        imb, "class-imbalance", F.lit("imbalance:label-distribution"),
-        column=F.lit(prep.roles.label),
+        prep.with_role(imb, "label"), "class-imbalance", F.lit("imbalance:label-distribution"),
+        column=F.col("__role"),
         detail=F.concat(F.lit("Largest class "), percent_text(F.col("majority_share")),
                         F.lit("%; smallest class "), percent_text(F.col("minority_share")),
                         F.lit("%.")),

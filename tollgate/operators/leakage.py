@@ -21,7 +21,7 @@ def _split_counts(prep: Prepared) -> DataFrame:
 def leakage_groups(prep: Prepared) -> DataFrame:
     """Per fingerprint: rows with a split, splits, and cross-split pairs
     (n^2 - sum n_s^2) / 2 -- a two-level aggregate, no pair enumeration."""
-    if not prep.roles.split:
+    if not prep.has_role("split"):
         return empty_frame(prep.df.sparkSession, "release_id string, fp_split binary, "
                            "n bigint, splits bigint, pairs bigint")
     return (_split_counts(prep).groupBy("release_id", "fp_split")
@@ -46,7 +46,7 @@ def leakage_evidence(prep: Prepared) -> DataFrame:
     first k qualifying rows and first k+1 splits -- all top-k selections.
     """
     k = prep.limits.evidence_per_finding
-    if not prep.roles.split:
+    if not prep.has_role("split"):
         return evidence_rows(prep.df.limit(0), "split-leakage", F.lit(""), detail=F.lit(""),
                              ordinal=F.lit(0))
     counts = _split_counts(prep)
@@ -68,13 +68,13 @@ def leakage_evidence(prep: Prepared) -> DataFrame:
                       "first_s")
     cand = (rows.join(s, ["release_id", "fp_split"])
             .where((F.col("o_split") != F.col("split_norm")) & (F.col("first_s") < F.col("_row"))))
-    top = top_k(cand, ["release_id"], [F.col("__g"), F.col("_row"), F.col("first_s")], k)
+    top = prep.with_role(top_k(cand, ["release_id"], [F.col("__g"), F.col("_row"), F.col("first_s")], k), "split")
     return evidence_rows(
         top, "split-leakage",
         F.concat_ws(":", F.lit("leakage"), (F.col("first_s") + 1).cast("string"),
                     (F.col("_row") + 1).cast("string")),
         row=F.col("first_s") + 1, other_row=F.col("_row") + 1,
-        column=F.lit(prep.roles.split),
+        column=F.col("__role"),
         detail=F.lit("The same example appears in more than one split; split values are withheld."),
         ordinal=F.col("__rank"))
 

@@ -1,48 +1,47 @@
 """Token statistics and near-duplicate pairs (Jaccard >= 0.82).
 
-Exact mode (default) is a set-similarity self-join rewritten as an
-equi-join, so no nested loop ever appears in the plan:
+Token sets hold every token of a row's feature texts.  The similarity join is
+an equi-join, so no nested loop ever appears in the plan:
 
 1. rows with at least 5 tokens collapse to distinct token sets (a set
-   repeated a million times is one row with multiplicity m);
+   repeated a million times is one row with multiplicity m); tokens become
+   64-bit hashes;
 2. tokens are ordered globally by (number of sets holding them, token),
-   rarest first, and each set sorts its tokens in that order;
-3. each set emits its prefix: the first k - ceil(0.82 k) + 1 tokens.  Two
-   sets with Jaccard >= 0.82 share a prefix token, so the candidates are an
-   equi-join on (release, token);
-4. the join condition itself keeps only the pair's first shared prefix token
-   (no duplicate candidates, no dropDuplicates shuffle), applies the size
-   and position bounds, and verifies the Jaccard test in integers -- only
-   verified pairs ever leave the join.
-
-Pairs are then counted without enumerating rows: sum m_A*m_B over similar
-set pairs, plus C(m,2) minus the equal-fingerprint pairs inside each set.
-
-Budgeted mode reproduces a sequential scan that stops after N
-comparisons in (left, right) row order, using a closed form for the
-comparison ordinal: at most ~sqrt(2N) left rows and N pairs are touched.
+   rarest first.  The counts of tokens found in a ten-thousandth of all token
+   places or more, at most 10,000 of them, are broadcast; the others are joined;
+3. each set emits its prefix, the first k - ceil(0.82 k) + 1 tokens, as thin
+   rows (token, set, k, position).  Two sets with Jaccard >= 0.82 share a
+   prefix token, so candidates are an equi-join on (release, token), under
+   the size and position bounds;
+4. each candidate pair is verified once, against the sets, in integers.
+
+Pairs are counted without enumerating rows: sum m_A*m_B over similar set pairs,
+plus C(m,2) minus the equal-fingerprint pairs inside each set.  The sums are kept
+for each left set; no table of pairs is ever written.
 """
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import JACCARD_DEN, JACCARD_NUM, MIN_NEAR_TOKENS
 from ..functions.tokens import exact, jaccard_ok, min_size, pairs_of, percent_text, prefix_length
+from ..session import cut_lineage
 from .findings import bounded_broadcast, evidence_rows, finding_rows, plural, top_k
 from .prepare import Prepared
 
+#: A token with at least this share of all token places is looked up by broadcast.
+FREQUENT_SHARE = 10_000
+
 # ---------------------------------------------------------------------------
-# Token statistics and comparison telemetry
+# Token statistics
 # ---------------------------------------------------------------------------
 
 def token_stats(prep: Prepared) -> DataFrame:
-    """Per release: rows, rows with >= 5 tokens, rows at the token limit,
-    and T, the comparisons a full sequential scan would make
-    (sum over eligible rows i of n-1-i), in one aggregate."""
+    """Per release: rows, rows with >= 5 tokens, rows at the token limit
+    (none without a limit), and the row pairs with an eligible left row, in one
+    aggregate."""
     eligible = F.col("k") >= MIN_NEAR_TOKENS
     agg = prep.df.groupBy("release_id").agg(
         F.count(F.lit(1)).alias("rows"),
@@ -57,22 +56,8 @@ def token_stats(prep: Prepared) -> DataFrame:
         .alias("total_comparisons"))
 
 
-def near_telemetry(prep: Prepared) -> DataFrame:
-    budget = prep.limits.pair_budget
-    s = token_stats(prep)
-    if budget is None:
-        return s.select("release_id", F.col("total_comparisons").alias("comparisons"),
-                        F.lit(None).cast("bigint").alias("comparison_limit"),
-                        F.lit(False).alias("capped"), "rows_at_token_limit")
-    return s.select("release_id",
-                    F.least(F.col("total_comparisons"), F.lit(budget)).alias("comparisons"),
-                    F.lit(budget).cast("bigint").alias("comparison_limit"),
-                    (F.col("total_comparisons") > budget).alias("capped"),
-                    "rows_at_token_limit")
-
-
 # ---------------------------------------------------------------------------
-# Exact mode
+# The join
 # ---------------------------------------------------------------------------
 
 def _eligible_rows(prep: Prepared) -> DataFrame:
@@ -97,91 +82,91 @@ def token_sets(prep: Prepared) -> DataFrame:
 
 
 def _token_sets(prep: Prepared) -> DataFrame:
-    sets = (_subgroups(prep).groupBy("release_id", "set_key")
-            .agg(F.sum("c").alias("m"),
-                 F.sum(pairs_of(F.col("c"))).alias("same_fp_pairs"),
-                 F.count(F.lit(1)).alias("n_fp"),
-                 F.min("first").alias("first_row"),
-                 F.any_value("tokens").alias("tokens")))
-    # global order: (number of sets holding the token, token) -- rarest first.
-    # Each set sorts its own tokens by that key; no global numbering needed.
-    vocab = (sets.select(F.explode("tokens").alias("token")).groupBy("token")
-             .agg(F.count(F.lit(1)).alias("df")))
-    # the lookup has one row per token; a hot token is skewed only on the
-    # exploded side, which AQE splits (skew join) -- or the lookup is
-    # broadcast when its materialised size is small
-    ordered = (sets.select("release_id", "set_key", F.explode("tokens").alias("token"))
-               .join(vocab, "token")
-               .groupBy("release_id", "set_key")
-               .agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("__o")))
-    ids = ordered.select("release_id", "set_key",
-                         F.transform("__o", lambda s: s["token"]).alias("ids"))
-    return (sets.drop("tokens").join(ids, ["release_id", "set_key"])
+    sets = cut_lineage(
+        _subgroups(prep).groupBy("release_id", "set_key")
+        .agg(F.sum("c").alias("m"),
+             F.sum(pairs_of(F.col("c"))).alias("same_fp_pairs"),
+             F.min("first").alias("first_row"),
+             F.any_value("tokens").alias("tokens"))
+        .withColumn("tokens", F.transform("tokens", lambda t: F.xxhash64(t))))
+    places = sets.agg(F.sum(F.size("tokens"))).first()[0] or 0
+    each = sets.select("release_id", "set_key", F.explode("tokens").alias("token"))
+    vocab = cut_lineage(each.groupBy("token").agg(F.count(F.lit(1)).alias("df")))
+    often = F.col("df") * FREQUENT_SHARE >= places
+    known = each.join(bounded_broadcast(vocab.where(often), FREQUENT_SHARE), "token", "left")
+    counted = known.where(F.col("df").isNotNull()).unionByName(
+        known.where(F.col("df").isNull()).drop("df").join(vocab.where(~often), "token"))
+    ordered = (counted.groupBy("release_id", "set_key")
+               .agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("__o"))
+               .select("release_id", "set_key", F.transform("__o", lambda s: s["token"]).alias("ids")))
+    return (sets.drop("tokens").join(ordered, ["release_id", "set_key"])
             .withColumn("k", F.size("ids")))
 
 
-def similar_set_pairs(prep: Prepared) -> DataFrame:
-    """Pairs of distinct token sets with Jaccard >= 0.82 (a before b by
-    first row), via the prefix equi-join; verification happens inside the
-    join condition."""
-    return prep.memo("near_set_pairs", lambda: _similar_set_pairs(prep))
-
-
-def _similar_set_pairs(prep: Prepared) -> DataFrame:
+def similar_sets(prep: Prepared, lefts: DataFrame | None = None) -> DataFrame:
+    """Pairs of distinct token sets with Jaccard >= 0.82, named by their first
+    rows (``sa`` < ``sb``); with ``lefts`` (release_id, sa) only those."""
     sets = token_sets(prep)
-    pre = sets.select(
-        "release_id", "set_key", "first_row", "m", "k", "ids",
-        F.posexplode(F.slice("ids", 1, prefix_length(F.col("k")))).alias("pos", "tok"))
-    a, b = pre.alias("a"), pre.alias("b")
-    ka, kb = F.col("a.k"), F.col("b.k")
-    pa, pb = F.col("a.pos"), F.col("b.pos")
-    inter = F.size(F.array_intersect(F.col("a.ids"), F.col("b.ids")))
+    prefix = sets.select("release_id", F.col("first_row").alias("s"), "k",
+                         F.posexplode(F.slice("ids", 1, prefix_length(F.col("k")))).alias("pos", "tok"))
+    a = prefix.select("release_id", "tok", F.col("s").alias("sa"), F.col("k").alias("ka"), F.col("pos").alias("pa"))
+    if lefts is not None:
+        a = a.join(lefts, ["release_id", "sa"], "left_semi")
+    b = prefix.select("release_id", "tok", F.col("s").alias("sb"), F.col("k").alias("kb"), F.col("pos").alias("pb"))
+    ka, kb = F.col("ka"), F.col("kb")
     # overlap any pair must reach: ceil(t/(1+t) * (ka+kb)), t = 82/100
     need = F.floor(((ka + kb) * JACCARD_NUM + (JACCARD_NUM + JACCARD_DEN - 1))
                    / (JACCARD_NUM + JACCARD_DEN))
-    cond = ((F.col("a.release_id") == F.col("b.release_id"))
-            & (F.col("a.tok") == F.col("b.tok"))
-            & (F.col("a.first_row") < F.col("b.first_row"))
-            & (kb >= min_size(ka)) & (ka >= min_size(kb))
-            & (F.least(ka - pa, kb - pb) >= need)
-            & (F.size(F.array_intersect(F.slice(F.col("a.ids"), 1, pa),
-                                        F.slice(F.col("b.ids"), 1, pb))) == 0)
-            & jaccard_ok(inter, ka, kb))
-    return a.join(b, cond).select(
-        F.col("a.release_id").alias("release_id"),
-        F.col("a.set_key").alias("a_key"), F.col("b.set_key").alias("b_key"),
-        F.col("a.first_row").alias("a_first"), F.col("b.first_row").alias("b_first"),
-        ka.alias("ka"), kb.alias("kb"), inter.alias("inter"),
-        F.col("a.m").alias("ma"), F.col("b.m").alias("mb"))
-
-
-def near_pair_count_exact(prep: Prepared) -> DataFrame:
-    """Exact near-duplicate row pairs per release."""
-    cross = similar_set_pairs(prep).groupBy("release_id").agg(
-        F.sum(exact(F.col("ma")) * exact(F.col("mb"))).alias("cross"))
+    found = (a.join(b, ["release_id", "tok"])
+             .where((F.col("sa") < F.col("sb")) & (kb >= min_size(ka)) & (ka >= min_size(kb))
+                    & (F.least(ka - F.col("pa"), kb - F.col("pb")) >= need))
+             .select("release_id", "sa", "sb").distinct())
+
+    def side(x: str) -> DataFrame:
+        return sets.select("release_id", F.col("first_row").alias(f"s{x}"), F.col("ids").alias(f"i{x}"),
+                           F.col("m").alias(f"m{x}"), F.col("set_key").alias(f"{x}_key"))
+
+    inter = F.size(F.array_intersect("ia", "ib"))
+    return (found.join(side("a"), ["release_id", "sa"]).join(side("b"), ["release_id", "sb"])
+            .select("release_id", "sa", "sb", "ma", "mb", "a_key", "b_key", inter.alias("inter"),
+                    F.size("ia").alias("ka"), F.size("ib").alias("kb"))
+            .where(jaccard_ok(F.col("inter"), F.col("ka"), F.col("kb"))))
+
+
+def _left_sums(prep: Prepared) -> DataFrame:
+    """For each set with a similar set after it, the row pairs with all of those:
+    at most one row for each set."""
+    return prep.memo("near_left", lambda: similar_sets(prep).groupBy("release_id", "sa").agg(
+        F.sum(exact(F.col("ma")) * exact(F.col("mb"))).alias("pairs")))
+
+
+def near_pairs(prep: Prepared) -> DataFrame:
+    """Near-duplicate row pairs per release."""
+    cross = _left_sums(prep).groupBy("release_id").agg(F.sum("pairs").alias("cross"))
     within = token_sets(prep).groupBy("release_id").agg(
         F.sum(pairs_of(F.col("m")) - F.col("same_fp_pairs")).alias("within"))
-    return (within.join(cross, "release_id", "full")
+    return (within.join(cross, "release_id", "left")
             .select("release_id",
                     (F.coalesce("within", F.lit(0)) + F.coalesce("cross", F.lit(0)))
                     .cast("bigint").alias("pairs")))
 
 
-def _near_evidence_exact(prep: Prepared) -> DataFrame:
+def _near_evidence(prep: Prepared) -> DataFrame:
     """The first k row pairs (l, r) over all similar pairs.
 
     Every row pair comes from one source: a similar set pair, or one set
     whose rows carry different fingerprints.  Only the k sources with the
-    smallest first pair can contribute; from a set pair only each side's
-    first k rows matter; inside a set only the first k rows of its first
-    k+1 fingerprint subgroups.  All are top-k selections.
+    smallest first pair can contribute, and those have their left set among the
+    first k that have any; from a set pair only each side's first k rows matter;
+    inside a set only the first k rows of its first k+1 fingerprint subgroups.
+    All are top-k selections.
     """
     k = prep.limits.evidence_per_finding
-    sp = similar_set_pairs(prep)
-    sp_top = top_k(sp.select("release_id", "a_key", "b_key",
-                             F.least("a_first", "b_first").alias("__l"),
-                             F.greatest("a_first", "b_first").alias("__r")),
-                   ["release_id"], [F.col("__l"), F.col("__r")], k, "__sp")
+    n = prep.n_releases
+    lefts = top_k(_left_sums(prep).select("release_id", "sa"), ["release_id"], [F.col("sa")], k, "__lf")
+    lefts = bounded_broadcast(lefts.select("release_id", "sa"), k * n)
+    sp_top = prep.memo(f"near_first:{k}", lambda: top_k(
+        similar_sets(prep, lefts), ["release_id"], [F.col("sa"), F.col("sb")], k, "__sp"), k * n)
     subs = _subgroups(prep)
     sub_rank = top_k(subs.select("release_id", "set_key", "fp_feature", "first"),
                      ["release_id", "set_key"], [F.col("first")], k + 1, "__sg")
@@ -195,122 +180,45 @@ def _near_evidence_exact(prep: Prepared) -> DataFrame:
               .unionByName(sp_top.select("release_id", F.col("b_key").alias("set_key")))
               .unionByName(ws_top.select("release_id", "set_key"))
               .distinct())
-    chosen = bounded_broadcast(chosen, 3 * k * prep.n_releases)
+    chosen = bounded_broadcast(chosen, 3 * k * n)
     sub_keep = bounded_broadcast(sub_rank.join(chosen, ["release_id", "set_key"])
                                  .select("release_id", "set_key", "fp_feature"),
-                                 3 * k * (k + 1) * prep.n_releases)
-    rows = (_eligible_rows(prep).select("release_id", "set_key", "fp_feature", "_row")
+                                 3 * k * (k + 1) * n)
+    rows = (_eligible_rows(prep).select("release_id", "set_key", "fp_feature", "_row", "k")
             .join(sub_keep, ["release_id", "set_key", "fp_feature"]))
-    rows = top_k(rows, ["release_id", "set_key", "fp_feature"], [F.col("_row")], k, "__rr")
-    rows = rows.select("release_id", "set_key", "fp_feature", "_row").persist()
+    rows = prep.memo(f"near_rows:{k}", lambda: top_k(
+        rows, ["release_id", "set_key", "fp_feature"], [F.col("_row")], k, "__rr")
+        .select("release_id", "set_key", "fp_feature", "_row", "k"), 3 * k * k * (k + 1) * n)
     x, y = rows.alias("x"), rows.alias("y")
     within_pairs = (x.join(y, (F.col("x.release_id") == F.col("y.release_id"))
                            & (F.col("x.set_key") == F.col("y.set_key"))
                            & (F.col("x.fp_feature") != F.col("y.fp_feature"))
                            & (F.col("x._row") < F.col("y._row")))
                     .join(bounded_broadcast(ws_top.select(F.col("release_id").alias("__wr"),
-                                                          F.col("set_key").alias("__wk")),
-                                            k * prep.n_releases),
+                                                          F.col("set_key").alias("__wk")), k * n),
                           (F.col("x.release_id") == F.col("__wr"))
                           & (F.col("x.set_key") == F.col("__wk")))
                     .select(F.col("x.release_id").alias("release_id"),
                             F.col("x._row").alias("l"), F.col("y._row").alias("r"),
-                            F.col("x.set_key").alias("sa"), F.col("y.set_key").alias("sb")))
-    spk = bounded_broadcast(sp_top.select("release_id", "a_key", "b_key"), k * prep.n_releases)
-    cross_pairs = (spk.join(x, (spk.release_id == F.col("x.release_id"))
-                            & (spk.a_key == F.col("x.set_key")))
-                   .join(y, (spk.release_id == F.col("y.release_id"))
-                         & (spk.b_key == F.col("y.set_key")))
-                   .select(spk.release_id.alias("release_id"),
+                            F.col("x.k").alias("inter"), F.col("x.k").alias("ka"), F.col("x.k").alias("kb")))
+    first = bounded_broadcast(sp_top.select("release_id", "a_key", "b_key", "inter", "ka", "kb"), k * n)
+    cross_pairs = (first.join(x, (first.release_id == F.col("x.release_id"))
+                              & (first.a_key == F.col("x.set_key")))
+                   .join(y, (first.release_id == F.col("y.release_id"))
+                         & (first.b_key == F.col("y.set_key")))
+                   .select(first.release_id.alias("release_id"),
                            F.least("x._row", "y._row").alias("l"),
                            F.greatest("x._row", "y._row").alias("r"),
-                           F.col("x.set_key").alias("sa"), F.col("y.set_key").alias("sb")))
-    pairs = within_pairs.unionByName(cross_pairs)
-    top = top_k(pairs, ["release_id"], [F.col("l"), F.col("r")], k)
-    # similarity of the chosen pairs from their sets
-    sets = token_sets(prep).select("release_id", "set_key", "ids")
-    sa, sb = sets.alias("sa_"), sets.alias("sb_")
-    top = (top.join(sa, (top.release_id == F.col("sa_.release_id")) & (top.sa == F.col("sa_.set_key")))
-           .join(sb, (top.release_id == F.col("sb_.release_id")) & (top.sb == F.col("sb_.set_key")))
-           .select(top.release_id, "l", "r", "__rank",
-                   F.size(F.array_intersect("sa_.ids", "sb_.ids")).alias("inter"),
-                   F.size("sa_.ids").alias("ka"), F.size("sb_.ids").alias("kb")))
+                           first.inter.alias("inter"), first.ka.alias("ka"), first.kb.alias("kb")))
+    top = top_k(within_pairs.unionByName(cross_pairs), ["release_id"], [F.col("l"), F.col("r")], k)
     return top.select("release_id", (F.col("l") + 1).alias("l"), (F.col("r") + 1).alias("r"),
                       (F.col("inter") / (F.col("ka") + F.col("kb") - F.col("inter"))).alias("sim"),
                       "__rank")
 
 
-# ---------------------------------------------------------------------------
-# Budgeted mode (the sequential scan, closed form)
-# ---------------------------------------------------------------------------
-
-def max_reachable_lefts(budget: int) -> int:
-    """Left rows a budget can reach: the cheapest m lefts still cost
-    0+1+...+(m-1) comparisons, so m(m-1)/2 <= budget."""
-    return int((1 + math.isqrt(1 + 8 * budget)) // 2) + 2
-
-
-def _budget_pairs(prep: Prepared) -> DataFrame:
-    """The (left, right) comparisons the budgeted scan makes, at most
-    ``budget`` per release, with the comparison outcome."""
-    budget = prep.limits.pair_budget
-    m = max_reachable_lefts(budget)
-    n = prep.df.groupBy("release_id").agg(F.count(F.lit(1)).alias("n"))
-    lefts = top_k(prep.df.where(F.col("k") >= MIN_NEAR_TOKENS).select("release_id", "_row"),
-                  ["release_id"], [F.col("_row")], m, "__i")
-    lefts = lefts.join(bounded_broadcast(n, prep.n_releases), "release_id")
-    w = Window.partitionBy("release_id").orderBy("_row").rowsBetween(Window.unboundedPreceding, -1)
-    lefts = lefts.withColumn(
-        "base", F.coalesce(F.sum(F.col("n") - 1 - F.col("_row")).over(w), F.lit(0)))
-    lefts = lefts.withColumn(
-        "last_r", F.least(F.col("n") - 1, F.col("_row") + (F.lit(budget) - F.col("base"))))
-    pairs = (lefts.where(F.col("last_r") > F.col("_row"))
-             .select("release_id", F.col("_row").alias("l"),
-                     F.explode(F.sequence(F.col("_row") + 1, F.col("last_r"))).alias("r")))
-    bound = m + budget + 1
-    side = prep.df.where(F.col("_row") <= bound).select(
-        "release_id", "_row", "fp_feature", "tokens", "k")
-    pairs = bounded_broadcast(pairs, budget * prep.n_releases, limit=2_000_000)
-    L, R = side.alias("L"), side.alias("R")
-    joined = (pairs.join(L, (pairs.release_id == F.col("L.release_id")) & (pairs.l == F.col("L._row")))
-              .join(R, (pairs.release_id == F.col("R.release_id")) & (pairs.r == F.col("R._row"))))
-    ka, kb = F.col("L.k"), F.col("R.k")
-    inter = F.size(F.array_intersect(F.col("L.tokens"), F.col("R.tokens")))
-    hit = ((F.col("L.fp_feature") != F.col("R.fp_feature"))
-           & (4 * F.least(ka, kb) >= 3 * F.greatest(ka, kb))
-           & (ka > 0) & (kb > 0) & jaccard_ok(inter, ka, kb))
-    return joined.select(pairs.release_id.alias("release_id"), "l", "r", hit.alias("hit"),
-                         (inter / (ka + kb - inter)).alias("sim"))
-
-
-def near_pairs_budgeted(prep: Prepared) -> DataFrame:
-    return prep.memo(f"near_budget_pairs:{prep.limits.pair_budget}",
-                     lambda: _budget_pairs(prep).where("hit"))
-
-
-# ---------------------------------------------------------------------------
-# Public operators
-# ---------------------------------------------------------------------------
-
-def near_pairs(prep: Prepared) -> DataFrame:
-    """Near-duplicate pair count per release (exact, or budgeted when
-    ``limits.pair_budget`` is set)."""
-    if prep.limits.pair_budget is None:
-        return near_pair_count_exact(prep)
-    return near_pairs_budgeted(prep).groupBy("release_id").agg(
-        F.count(F.lit(1)).alias("pairs"))
-
-
 def near_evidence(prep: Prepared) -> DataFrame:
-    k = prep.limits.evidence_per_finding
-    if prep.limits.pair_budget is None:
-        top = _near_evidence_exact(prep)
-    else:
-        top = top_k(near_pairs_budgeted(prep).select(
-            "release_id", (F.col("l") + 1).alias("l"), (F.col("r") + 1).alias("r"), "sim"),
-            ["release_id"], [F.col("l"), F.col("r")], k)
     return evidence_rows(
-        top, "near-duplicates",
+        _near_evidence(prep), "near-duplicates",
         F.concat_ws(":", F.lit("near"), F.col("l").cast("string"), F.col("r").cast("string")),
         row=F.col("l"), other_row=F.col("r"),
         detail=F.concat(F.lit("Token similarity "), percent_text(F.col("sim")),
@@ -319,12 +227,8 @@ def near_evidence(prep: Prepared) -> DataFrame:
 
 
 def near_findings(prep: Prepared) -> tuple[DataFrame, DataFrame]:
-    pairs = near_pairs(prep).where(F.col("pairs") > 0)
-    tel = near_telemetry(prep)
-    p = pairs.join(tel, "release_id")
-    budget_note = F.when(F.col("capped") | (F.col("rows_at_token_limit") > 0),
-                         F.lit(" within the comparison and token budgets")).otherwise(F.lit(""))
+    p = near_pairs(prep).where(F.col("pairs") > 0)
     summary = F.concat(F.col("pairs").cast("string"),
                        plural(F.col("pairs"), " highly similar pair", " highly similar pairs"),
-                       F.lit(" may reduce dataset diversity"), budget_note, F.lit("."))
+                       F.lit(" may reduce dataset diversity."))
     return finding_rows(p, "near-duplicates", F.col("pairs"), summary), near_evidence(prep)

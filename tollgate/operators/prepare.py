@@ -19,7 +19,7 @@ from ..config import ID_CANDIDATES, LABEL_CANDIDATES, SPLIT_CANDIDATES, Limits,
 from ..functions import pii as pii_fn
 from ..functions import text as text_fn
 from ..functions import tokens as tok_fn
-from ..session import cut_lineage, ensure_checkpoint_dir, tune_session
+from ..session import cut_lineage, ensure_checkpoint_dir
 from .rows import file_order_key, with_row_number
 
 INTERNAL_PREFIX = "__"
@@ -68,11 +68,43 @@ def _digest(c: Column) -> Column:
     return F.sha2(c, 256)
 
 
-def fingerprint(digests: dict[str, Column], keep: list[str]) -> Column:
+def resolve_release_roles(columns: list[str], releases: DataFrame) -> tuple[Roles, DataFrame | None]:
+    """The roles of every release in a ``releases`` table.  A configured column
+    that does not exist is refused by release id.  Releases that agree give one
+    :class:`Roles`; otherwise the frame (release_id, label, split, id) says
+    which column plays which role in each."""
+    known = {}
+    for c in columns:
+        known.setdefault(c.lower(), c)
+    names = F.create_map(*[F.lit(x) for kv in known.items() for x in kv]) if known else None
+    resolved, missing = {}, []
+    for role, what, candidates in (("label", "label", LABEL_CANDIDATES), ("split", "split", SPLIT_CANDIDATES),
+                                   ("id", "identifier", ID_CANDIDATES)):
+        asked = F.lower(text_fn.js_trim(F.coalesce(F.col(f"{role}_column"), F.lit(""))))
+        named = names[asked] if names is not None else F.lit(None).cast("string")
+        default = infer_column(columns, None, candidates)
+        resolved[role] = F.when(asked == "", F.lit(default).cast("string")).otherwise(named)
+        missing.append(F.when((asked != "") & named.isNull(), F.lit(what)))
+    frame = releases.select("release_id", *[c.alias(r) for r, c in resolved.items()],
+                            F.coalesce(*missing).alias("__missing"))
+    bad = frame.where(F.col("__missing").isNotNull()).agg(
+        F.min("release_id").alias("r"), F.min_by("__missing", "release_id").alias("w")).first()
+    if bad.r is not None:
+        raise ValueError(f"Release {bad.r}: the configured {bad.w} column does not exist in the dataset.")
+    frame = frame.drop("__missing")
+    kinds = frame.select("label", "split", "id").distinct().limit(2).collect()
+    if len(kinds) <= 1:
+        return Roles(**kinds[0].asDict()) if kinds else resolve_roles(columns), None
+    return Roles(), frame
+
+
+def fingerprint(digests: dict[str, Column], keep: list[str], without=None) -> Column:
     """Row fingerprint over the kept columns: SHA-256 of the (sorted) column
     name -> value-digest JSON.  Equal exactly when all kept normalised
-    values are equal; an empty column list gives one shared value."""
-    fields = [digests[c].alias(c) for c in sorted(keep)]
+    values are equal; an empty column list gives one shared value.
+    ``without(c)`` leaves a column out of some rows: NULL fields are not in
+    the JSON, so such a row has the fingerprint of the table without it."""
+    fields = [(F.when(~without(c), digests[c]) if without else digests[c]).alias(c) for c in sorted(keep)]
     body = F.to_json(F.struct(*fields)) if fields else F.lit("{}")
     return F.unhex(F.sha2(body, 256))
 
@@ -106,8 +138,19 @@ class Prepared:
     limits: Limits
     multi_release: bool
     n_releases: int = 1
+    role_frame: DataFrame | None = None
     _memo: dict = field(default_factory=dict)
 
+    def has_role(self, role: str) -> bool:
+        """Whether any release has the role (label, split or id)."""
+        return self.role_frame is not None or bool(getattr(self.roles, role))
+
+    def with_role(self, df: DataFrame, role: str, name: str = "__role") -> DataFrame:
+        """``df`` with the name of the column that plays the role in its release."""
+        if self.role_frame is None:
+            return df.withColumn(name, F.lit(getattr(self.roles, role)).cast("string"))
+        return df.join(self.role_frame.select("release_id", F.col(role).alias(name)), "release_id", "left")
+
     def memo(self, name: str, build, max_rows: int | None = None):
         """Build a derived frame once per prepared table and keep it cached
         (checkpointed).  Names must carry every limit the frame depends on.
@@ -118,7 +161,8 @@ class Prepared:
             parts = None if max_rows is None else max(1, -(-max_rows // ROWS_PER_PARTITION))
 
             def keep(df):
-                return cut_lineage(df.coalesce(parts) if parts else df)
+                # dealt out anew, never coalesced: the work below keeps its tasks
+                return cut_lineage(df.repartition(parts) if parts else df)
             self._memo[name] = (tuple(keep(b) for b in built) if isinstance(built, tuple)
                                 else keep(built))
         return self._memo[name]
@@ -130,13 +174,14 @@ class Prepared:
             raise ValueError("a different token limit needs its own prepared table")
         return Prepared(df=self.df, roles=self.roles, columns=self.columns, dtypes=self.dtypes,
                         limits=limits, multi_release=self.multi_release,
-                        n_releases=self.n_releases, _memo=self._memo)
+                        n_releases=self.n_releases, role_frame=self.role_frame, _memo=self._memo)
 
 
 def prepare(df: DataFrame, *, release_id: str = "release", release_col: str | None = None,
             roles: Roles | None = None, release: Release | None = None,
             limits: Limits = Limits(), order_by: list[Column] | None = None,
-            checkpoint: bool = True, carry: tuple[str, ...] = ()) -> Prepared:
+            checkpoint: bool = True, carry: tuple[str, ...] = (),
+            releases: DataFrame | None = None) -> Prepared:
     """Build the prepared table of an audited DataFrame.
 
     ``release_col`` names a column that assigns rows to releases (many
@@ -144,14 +189,17 @@ def prepare(df: DataFrame, *, release_id: str = "release", release_col: str | No
     ``order_by`` fixes the row order (row numbers in evidence); by default
     the order rows have in their source files.  ``carry`` columns ride
     along untouched (not audited) so the same prepared table can later be
-    regrouped into other releases (see :func:`regroup`).
+    regrouped into other releases (see :func:`regroup`).  ``releases`` gives
+    each release its own label, split and id columns (``roles`` overrides it).
     """
-    tune_session(df.sparkSession)
     columns = [c for c in df.columns
                if c != release_col and c not in carry and not c.startswith(INTERNAL_PREFIX)]
     carried = [F.col(f"`{c}`") for c in carry]
     if release is not None:
         check_configured_columns(columns, release)
+    role_frame = None
+    if roles is None and releases is not None:
+        roles, role_frame = resolve_release_roles(columns, releases)
     roles = resolve_roles(columns, release, roles)
     dtypes = {f.name: f.dataType for f in df.schema.fields}
 
@@ -165,12 +213,24 @@ def prepare(df: DataFrame, *, release_id: str = "release", release_col: str | No
         F.struct(*[o.alias(f"k{i}") for i, o in enumerate(order)]).alias("__ord"),
         *carried, *[F.col(f"`{c}`") for c in columns])
     keyed = parallelism_floor(keyed)
+    role_cols = []
+    if role_frame is not None:
+        role_cols = [f"__role_{r}" for r in ("label", "split", "id")]
+        keyed = keyed.join(role_frame.select("release_id", *[F.col(c[7:]).alias(c) for c in role_cols]),
+                           "release_id", "left")
+
+    def plays(c: str, *names: str) -> Column:
+        """Whether column ``c`` plays one of the roles in the row's release."""
+        out = F.lit(False)
+        for r in names:
+            out = out | F.coalesce(F.col(f"__role_{r}") == c, F.lit(False))
+        return out
 
     # --- pass 1: NFKC once per string column, everything else from it
     nfkc_cols = {c: f"__nfkc_{i}" for i, c in enumerate(columns)
                  if isinstance(dtypes[c], T.StringType)}
     base = keyed.select(
-        "release_id", "__ord", *carried,
+        "release_id", "__ord", *carried, *role_cols,
         *[F.col(f"`{c}`") for c in columns],
         *[text_fn.nfkc(F.col(f"`{c}`")).alias(n) for c, n in nfkc_cols.items()],
     )
@@ -182,6 +242,9 @@ def prepare(df: DataFrame, *, release_id: str = "release", release_col: str | No
     feature_excl = {r for r in (roles.id, roles.split, roles.label) if r}
     token_cells = [tok_fn.cell_tokens(F.col(nfkc_cols[c]), limits.token_limit)
                    for c in columns if c in nfkc_cols and c not in feature_excl]
+    if role_frame is not None:
+        token_cells = [F.when(~plays(c, "id", "split", "label"), t)
+                       for c, t in zip([c for c in columns if c in nfkc_cols], token_cells)]
     tokens, at_limit = tok_fn.row_tokens(token_cells, limits.token_limit)
 
     split_norm = F.lit(None).cast("string")
@@ -189,14 +252,22 @@ def prepare(df: DataFrame, *, release_id: str = "release", release_col: str | No
         sn = norm[roles.split]
         split_norm = F.when(F.col(f"`{roles.split}`").isNull() | (sn == ""), F.lit(None)).otherwise(sn)
     label_norm = norm[roles.label] if roles.label else F.lit(None).cast("string")
+    if role_frame is not None:
+        split_norm = F.coalesce(*[F.when(plays(c, "split") & F.col(f"`{c}`").isNotNull() & (norm[c] != ""), norm[c])
+                                  for c in columns])
+        label_norm = F.coalesce(*[F.when(plays(c, "label"), norm[c]) for c in columns])
 
     id_text = F.lit(None).cast("string")
     if roles.id and (isinstance(dtypes[roles.id], T.StringType) or pii_fn.is_numeric(dtypes[roles.id])):
         id_text = text_fn.scalar_text(F.col(f"`{roles.id}`"), dtypes[roles.id])
+    if role_frame is not None:
+        texts = [F.when(plays(c, "id"), text_fn.scalar_text(F.col(f"`{c}`"), dtypes[c])) for c in columns
+                 if isinstance(dtypes[c], T.StringType) or pii_fn.is_numeric(dtypes[c])]
+        id_text = F.coalesce(*texts) if texts else id_text
     raw_json = F.to_json(F.struct(*[F.col(f"`{c}`") for c in columns]),
                          {"ignoreNullFields": "false"})
     stage = base.select(
-        "release_id", "__ord", *carried,
+        "release_id", "__ord", *carried, *role_cols,
         *[_digest(norm[c]).alias(digest_names[c]) for c in columns],
         label_norm.alias("label_norm"),
         split_norm.alias("split_norm"),
@@ -209,30 +280,31 @@ def prepare(df: DataFrame, *, release_id: str = "release", release_col: str | No
     digests = {c: F.col(digest_names[c]) for c in columns}
     excl_exact = {roles.id} if roles.id else set()
     excl_split = {r for r in (roles.id, roles.split) if r}
+    without = [(lambda c, r=r: plays(c, *r)) if role_frame is not None else None
+               for r in (("id",), ("id", "split"), ("id", "split", "label"))]
     prepared = stage.select(
         "release_id", "__ord", *carried,
-        fingerprint(digests, [c for c in columns if c not in excl_exact]).alias("fp_exact"),
-        fingerprint(digests, [c for c in columns if c not in excl_split]).alias("fp_split"),
-        fingerprint(digests, [c for c in columns if c not in feature_excl]).alias("fp_feature"),
+        fingerprint(digests, [c for c in columns if c not in excl_exact], without[0]).alias("fp_exact"),
+        fingerprint(digests, [c for c in columns if c not in excl_split], without[1]).alias("fp_split"),
+        fingerprint(digests, [c for c in columns if c not in feature_excl], without[2]).alias("fp_feature"),
         "label_norm", "split_norm", "tokens", F.size("tokens").alias("k"), "at_limit",
         "pii_hits", "row_hash", "id_text",
     )
     # one pass over the raw rows; everything after reads this narrow table
     prepared = prepared.persist()
-    numbered = with_row_number(prepared, [F.col("__ord")], group="release_id").drop("__ord")
+    # known before the offsets (a row for each release and sort task) are joined
+    n_releases = prepared.select("release_id").distinct().count() if release_col is not None else 1
+    numbered = with_row_number(prepared, [F.col("__ord")], group="release_id",
+                               max_groups=n_releases).drop("__ord")
     if checkpoint:
         # the recovery point every detector starts from: a reliable copy of
         # the narrow table in the cluster's checkpoint folder
         ensure_checkpoint_dir(df.sparkSession)
         numbered = numbered.checkpoint(eager=True)
         prepared.unpersist()
-    numbered = numbered.persist()
-    n_releases = 1
-    if release_col is not None:
-        n_releases = numbered.select("release_id").distinct().count()
     return Prepared(df=numbered, roles=roles, columns=columns, dtypes=dtypes,
                     limits=limits, multi_release=release_col is not None,
-                    n_releases=n_releases)
+                    n_releases=n_releases, role_frame=role_frame)
 
 
 def regroup(prep: Prepared, release_col: str) -> Prepared:
@@ -244,6 +316,6 @@ def regroup(prep: Prepared, release_col: str) -> Prepared:
           .withColumnRenamed("_row", "__prev"))
     n_releases = df.select("release_id").distinct().count()
     numbered = cut_lineage(with_row_number(df, [F.col("__prev")], group="release_id",
-                                           max_groups=n_releases).drop("__prev")).persist()
+                                           max_groups=n_releases).drop("__prev"))
     return Prepared(df=numbered, roles=prep.roles, columns=prep.columns, dtypes=prep.dtypes,
                     limits=prep.limits, multi_release=True, n_releases=n_releases)

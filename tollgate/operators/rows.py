@@ -18,11 +18,18 @@ from ..session import ensure_checkpoint_dir
 #: Offsets tables up to this many rows are broadcast; larger ones are joined.
 OFFSETS_BROADCAST_ROWS = 1_000_000
 
+#: Column in which readers keep a row's place in its source; never audited.
+ORDER_COLUMN = "__order"
+
 _LOCAL_BITS = 33  # monotonically_increasing_id: partition id << 33 | position
 
 
 def file_order_key(df: DataFrame) -> list[Column]:
-    """Sort key reproducing the order rows have in their source files."""
+    """Sort key reproducing the order rows have in their source files: the key
+    a reader of this package has put into ``ORDER_COLUMN``, or that of a plain
+    scan.  It does not depend on how files are packed into tasks."""
+    if ORDER_COLUMN in df.columns:
+        return [F.col(ORDER_COLUMN)]
     try:
         is_scan = bool(df.inputFiles()) and (
             "Relation" in df._jdf.queryExecution().analyzed().getClass().getSimpleName()
@@ -36,6 +43,13 @@ def file_order_key(df: DataFrame) -> list[Column]:
     return [F.monotonically_increasing_id()]
 
 
+def scan_order() -> Column:
+    """A row's place in its source, to be taken right at a file scan: file,
+    block, and position among the block's rows."""
+    return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+                    F.monotonically_increasing_id().alias("at"))
+
+
 def with_row_number(df: DataFrame, order_by: list[Column], *, group: str | None = None,
                     name: str = "_row", checkpoint: bool = False,
                     max_groups: int = 1) -> DataFrame:

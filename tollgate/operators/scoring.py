@@ -43,13 +43,11 @@ def prediction_keys(findings: DataFrame, evidence: DataFrame, row_ids: DataFrame
 
 
 def _named_rows(evidence: DataFrame, row_ids: DataFrame) -> DataFrame:
-    """Only the row ids that evidence names: evidence is capped per finding,
-    so the (release, row) list is small and broadcast, and the full row-id
-    table is streamed through a hash join instead of being shuffled."""
+    """Only the row ids that evidence names.  The list grows with the number of
+    releases, so the planner decides by its size whether it is broadcast."""
     named = (evidence.select("release_id", F.explode(F.array("row", "other_row")).alias("row"))
              .where(F.col("row").isNotNull()).distinct())
-    return row_ids.select("release_id", "row", "id_text").join(F.broadcast(named),
-                                                               ["release_id", "row"])
+    return row_ids.select("release_id", "row", "id_text").join(named, ["release_id", "row"])
 
 
 def _categories(spark: SparkSession) -> DataFrame:

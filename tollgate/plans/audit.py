@@ -33,7 +33,7 @@ class AuditResult:
         cfg = hashing.configuration_hash(self.releases)
         base = self.releases.select("release_id").join(ds, "release_id", "left").join(
             cfg, "release_id", "left")
-        rep = hashing.report_hash(self.summary, self.findings, self.evidence, base)
+        rep = hashing.report_hash(self.releases, self.summary, self.findings, self.evidence, base)
         return base.join(rep, "release_id", "left")
 
     def card(self) -> DataFrame:
@@ -54,7 +54,10 @@ def audit(df: DataFrame, release: Release | DataFrame | None = None, *,
     """Audit a table (or many releases of one table, keyed by ``release_col``).
 
     ``release`` is one :class:`Release` (single-release audit) or a
-    ``releases`` DataFrame with a ``release_id`` column.
+    ``releases`` DataFrame with a ``release_id`` column, each with label, split
+    and id columns of its own.  The prepared table and each detector's result
+    are written as they are built, so this call runs jobs; the frames it
+    returns are lazy over what is written.
     """
     spark = df.sparkSession
     if isinstance(release, DataFrame):
@@ -65,23 +68,22 @@ def audit(df: DataFrame, release: Release | DataFrame | None = None, *,
         releases = governance.releases_frame(spark, [rel_obj])
     rid = rel_obj.release_id if rel_obj is not None else "release"
     prep = prepared or prepare(df, release_id=rid, release_col=release_col, roles=roles,
-                               release=rel_obj, limits=limits, order_by=order_by)
+                               release=rel_obj, limits=limits, order_by=order_by,
+                               releases=releases if rel_obj is None else None)
 
     # detector results are kept on the prepared table, keyed by the limits
-    # they depend on, so audits that differ only in the pair budget share them
-    k, budget = prep.limits.evidence_per_finding, prep.limits.pair_budget
+    # they depend on
+    k = prep.limits.evidence_per_finding
     # per release: at most 4 PII findings and 2 label findings, k evidence each
     bound = prep.n_releases * 4 * max(k, 1)
     parts = [prep.memo(f"pii_findings:{k}", lambda: pii.pii_findings(prep), bound),
              prep.memo(f"exact_findings:{k}", lambda: duplicates.exact_findings(prep), bound),
-             prep.memo(f"near_findings:{k}:{budget}", lambda: neardup.near_findings(prep), bound),
+             prep.memo(f"near_findings:{k}", lambda: neardup.near_findings(prep), bound),
              prep.memo(f"leakage_findings:{k}", lambda: leakage.leakage_findings(prep), bound),
              prep.memo(f"label_findings:{k}", lambda: labels.label_findings(prep), bound),
              governance.governance_findings(releases)]
     findings = _union([p[0] for p in parts], FINDING_COLUMNS)
     evidence = _union([p[1] for p in parts], EVIDENCE_COLUMNS)
-    findings = findings.persist()
-    evidence = evidence.persist()
 
     summary = audit_summary(prep, releases, findings)
     return AuditResult(prepared=prep, releases=releases, findings=findings, evidence=evidence,
@@ -91,28 +93,31 @@ def audit(df: DataFrame, release: Release | DataFrame | None = None, *,
 def audit_summary(prep: Prepared, releases: DataFrame, findings: DataFrame) -> DataFrame:
     """One row per release; every metric is a per-release aggregate joined on
     release_id (tables of one row per release)."""
-    lim = prep.limits
     status = gate.gate_status(releases, findings)
-    stats = neardup.token_stats(prep).select("release_id", F.col("rows").alias("row_count"))
-    tel = neardup.near_telemetry(prep)
+    stats = neardup.token_stats(prep)
+
+    def raised(finding_id: str):
+        return F.max(F.when(F.col("finding_id") == finding_id, F.col("count")))
+
+    # what the findings have counted already is read from them
+    counted = findings.groupBy("release_id").agg(
+        raised("exact-duplicates").alias("exact_duplicate_pairs"),
+        raised("near-duplicates").alias("near_duplicate_pairs"),
+        raised("split-leakage").alias("leakage_pairs"),
+        raised("conflicting-labels").alias("conflicting_groups"))
     parts = [
-        stats,
+        stats.select("release_id", F.col("rows").alias("row_count"),
+                     F.col("total_comparisons").alias("near_comparisons")),
         pii.pii_cell_count(prep).select("release_id", F.col("pii_cells").alias("pii_cell_count")),
-        duplicates.exact_pairs(prep).select("release_id",
-                                            F.col("pairs").alias("exact_duplicate_pairs")),
-        neardup.near_pairs(prep).select("release_id", F.col("pairs").alias("near_duplicate_pairs")),
-        leakage.leakage_pairs(prep).select("release_id", F.col("pairs").alias("leakage_pairs")),
-        labels.conflicting_labels(prep).select("release_id",
-                                               F.col("groups").alias("conflicting_groups")),
-        tel.select("release_id", F.col("comparisons").alias("near_comparisons"),
-                   F.col("comparison_limit").alias("near_limit"),
-                   F.col("capped").alias("near_capped"), "rows_at_token_limit"),
+        counted,
         labels.label_distribution(prep).groupBy("release_id").agg(
             F.count(F.lit(1)).alias("label_classes")),
     ]
     out = status
     for p in parts:
         out = out.join(p, "release_id", "left")
+    for role in ("label", "split", "id"):
+        out = prep.with_role(out, role, f"{role}_column")
     zero = F.lit(0).cast("bigint")
     return out.select(
         "release_id", "status",
@@ -121,13 +126,6 @@ def audit_summary(prep: Prepared, releases: DataFrame, findings: DataFrame) -> D
         "block_count", "warning_count",
         *[F.coalesce(c, zero).alias(c) for c in (
             "pii_cell_count", "exact_duplicate_pairs", "near_duplicate_pairs", "leakage_pairs",
-            "conflicting_groups", "near_comparisons")],
-        "near_limit",
-        F.coalesce("near_capped", F.lit(False)).alias("near_capped"),
-        F.lit(lim.token_limit).cast("bigint").alias("near_token_limit"),
-        F.coalesce("rows_at_token_limit", zero).alias("rows_at_token_limit"),
-        F.coalesce("label_classes", zero).alias("label_classes"),
-        F.lit(prep.roles.label).cast("string").alias("label_column"),
-        F.lit(prep.roles.split).cast("string").alias("split_column"),
-        F.lit(prep.roles.id).cast("string").alias("id_column"),
+            "conflicting_groups", "near_comparisons", "label_classes")],
+        "label_column", "split_column", "id_column",
     )

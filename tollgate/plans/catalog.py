@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from ..operators import duplicates, gate, governance, hashing, labels, leakage, neardup, pii, scoring
 from ..sources import validate
 from . import views
-from .views import BUDGET_LIMITS
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -96,22 +95,10 @@ def q_near_duplicate_pairs(spark, sf):
     return neardup.near_pairs(_prep(spark, sf))
 
 
-def q_near_duplicate_budgeted(spark, sf):
-    return neardup.near_pairs(_prep(spark, sf, BUDGET_LIMITS))
-
-
-def q_near_duplicate_telemetry(spark, sf):
-    return neardup.near_telemetry(_prep(spark, sf, BUDGET_LIMITS))
-
-
 def q_near_duplicate_evidence(spark, sf):
     return neardup.near_evidence(_prep(spark, sf)).select(*_ev(), "detail")
 
 
-def q_near_duplicate_budgeted_evidence(spark, sf):
-    return neardup.near_evidence(_prep(spark, sf, BUDGET_LIMITS)).select(*_ev(), "detail")
-
-
 # --- leakage / labels -----------------------------------------------------------------
 
 def q_split_leakage_groups(spark, sf):
@@ -195,23 +182,38 @@ def q_data_card(spark, sf):
     return views.sources_audit(spark, sf).card()
 
 
-# --- scoring: budgeted predictions scored against exact ones ------------------------------
+# --- scoring: the audit of each source against the audit of the whole table -----------
 
-def _keys(spark, sf, limits):
-    a = views.documents_audit(spark, sf, limits)
-    return scoring.prediction_keys(a.findings, a.evidence, a.row_ids())
+def _keys(audit):
+    return scoring.prediction_keys(audit.findings, audit.evidence, audit.row_ids())
+
+
+def _source_keys(spark, sf):
+    """Keys of the audit of each source, as keys of the whole table."""
+    k = _keys(views.sources_audit(spark, sf))
+    return k.select(F.lit("documents").alias("case_id"), "category", F.concat(
+        F.lit("documents"), F.substring(F.col("key"), F.length("case_id") + 1, F.length("key"))).alias("key")).distinct()
 
 
 def q_prediction_keys(spark, sf):
-    return _keys(spark, sf, views.Limits())
+    return _keys(views.documents_audit(spark, sf))
 
 
 def q_score_by_category(spark, sf):
-    return scoring.score_by_category(_keys(spark, sf, BUDGET_LIMITS), _keys(spark, sf, views.Limits()))
+    return scoring.score_by_category(_source_keys(spark, sf), _keys(views.documents_audit(spark, sf)))
 
 
 def q_score_by_case(spark, sf):
-    return scoring.score_by_case(_keys(spark, sf, BUDGET_LIMITS), _keys(spark, sf, views.Limits()))
+    return scoring.score_by_case(_source_keys(spark, sf), _keys(views.documents_audit(spark, sf)))
+
+
+def q_score_overall(spark, sf):
+    return scoring.score_overall(_source_keys(spark, sf), _keys(views.documents_audit(spark, sf)))
+
+
+def q_metadata_violations(spark, sf):
+    """Over-long metadata of the releases derived from each source (limit 24)."""
+    return validate.metadata_violations(views.source_releases(spark, sf), views.Limits(metadata_characters=24))
 
 
 def q_clean_rows_flagged(spark, sf):
@@ -231,10 +233,7 @@ QUERIES: dict[str, Query] = {
     "exact_duplicate_evidence": q_exact_duplicate_evidence,
     "token_stats": q_token_stats,
     "near_duplicate_pairs": q_near_duplicate_pairs,
-    "near_duplicate_budgeted": q_near_duplicate_budgeted,
-    "near_duplicate_telemetry": q_near_duplicate_telemetry,
     "near_duplicate_evidence": q_near_duplicate_evidence,
-    "near_duplicate_budgeted_evidence": q_near_duplicate_budgeted_evidence,
     "split_leakage_groups": q_split_leakage_groups,
     "split_leakage_pairs": q_split_leakage_pairs,
     "split_leakage_evidence": q_split_leakage_evidence,
@@ -254,5 +253,7 @@ QUERIES: dict[str, Query] = {
     "prediction_keys": q_prediction_keys,
     "score_by_category": q_score_by_category,
     "score_by_case": q_score_by_case,
+    "score_overall": q_score_overall,
+    "metadata_violations": q_metadata_violations,
     "clean_rows_flagged": q_clean_rows_flagged,
 }

@@ -3,11 +3,13 @@
 The SQL is deliberately brute force where the Spark plan is clever: pairs
 come from a plain self-join, evidence from a window over all candidates.
 Normalisation in SQL skips NFKC (DuckDB has none; the test documents are
-already in NFKC) and uses RE2, whose ``\\b`` is ASCII like the reference's.
+already in NFKC) and uses RE2, whose ``\\b`` is ASCII.
 """
 
 from __future__ import annotations
 
+from ..config import CATEGORIES, DETECTOR_VERSION, SCHEMA_VERSION
+
 # FIXED VALUES: the same patterns as tollgate.functions, in RE2 syntax.
 WS = r"[\t\n\x0B\f\r \x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
 WSD = WS[:-1] + "-]"
@@ -82,8 +84,7 @@ n AS (
   FROM v
 ),
 tk AS (
-  SELECT g, r, n_text, list_distinct(list_slice(toks_all, 1, 64)) AS toks,
-         len(toks_all) >= 64 AS at_limit
+  SELECT g, r, n_text, list_distinct(toks_all) AS toks, false AS at_limit
   FROM n
 ),
 tk2 AS (SELECT *, len(toks) AS k FROM tk),
@@ -132,35 +133,12 @@ ts AS (
 )"""
 
 
-def budget_ctes(budget: int = 50_000) -> str:
-    """The sequential scan's first ``budget`` comparisons: comparison
-    (i, j) is number base_i + (j - i), base_i the comparisons of earlier
-    eligible lefts."""
-    return f""",
-lefts AS (
-  SELECT t.g, t.r, c.rows,
-         coalesce(sum(c.rows - 1 - t.r) OVER (PARTITION BY t.g ORDER BY t.r
-                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base
-  FROM tk2 t JOIN cnt c USING (g) WHERE t.k >= 5
-),
-bp AS (
-  SELECT a.g, a.r AS l, b.r AS rr, len(list_intersect(a.toks, b.toks)) AS i, a.k AS ka, b.k AS kb,
-         a.n_text AS fa, b.n_text AS fb
-  FROM lefts x JOIN tk2 a ON a.g = x.g AND a.r = x.r
-  JOIN tk2 b ON b.g = x.g AND b.r > x.r AND x.base + (b.r - x.r) <= {budget}
-),
-bh AS (
-  SELECT * FROM bp WHERE fa <> fb AND 4 * least(ka, kb) >= 3 * greatest(ka, kb)
-    AND ka > 0 AND kb > 0 AND 100 * i >= 82 * (ka + kb - i)
-)"""
-
-
 DOC = "'documents'"
 SRC = "d.source"
 
 
-def _with(group: str, body: str, budget: bool = False) -> str:
-    return "WITH " + base(group).lstrip() + (budget_ctes() if budget else "") + "\n" + body
+def _with(group: str, body: str) -> str:
+    return "WITH " + base(group).lstrip() + "\n" + body
 
 
 PCT = "CAST(round(i / (ka + kb - i) * 100) AS BIGINT)"
@@ -227,26 +205,12 @@ SELECT g AS release_id, rows, eligible_rows, rows_at_token_limit, total_comparis
 ORACLE_SQL["near_duplicate_pairs"] = _with(DOC, """
 SELECT g AS release_id, count(*) AS pairs FROM np GROUP BY g""")
 
-ORACLE_SQL["near_duplicate_budgeted"] = _with(DOC, """
-SELECT g AS release_id, count(*) AS pairs FROM bh GROUP BY g""", budget=True)
-
-ORACLE_SQL["near_duplicate_telemetry"] = _with(DOC, """
-SELECT g AS release_id, least(total_comparisons, 50000) AS comparisons,
-       CAST(50000 AS BIGINT) AS comparison_limit, total_comparisons > 50000 AS capped,
-       rows_at_token_limit FROM ts""")
-
 ORACLE_SQL["near_duplicate_evidence"] = _with(DOC, f"""
 SELECT g AS release_id, 'near:' || (l + 1) || ':' || (rr + 1) AS key, l + 1 AS row,
        rr + 1 AS other_row, row_number() OVER (PARTITION BY g ORDER BY l, rr) AS ordinal,
        'Token similarity ' || {PCT} || '%; the text is not included.' AS detail
 FROM np QUALIFY ordinal <= 6""")
 
-ORACLE_SQL["near_duplicate_budgeted_evidence"] = _with(DOC, f"""
-SELECT g AS release_id, 'near:' || (l + 1) || ':' || (rr + 1) AS key, l + 1 AS row,
-       rr + 1 AS other_row, row_number() OVER (PARTITION BY g ORDER BY l, rr) AS ordinal,
-       'Token similarity ' || {PCT} || '%; the text is not included.' AS detail
-FROM bh QUALIFY ordinal <= 6""", budget=True)
-
 ORACLE_SQL["split_leakage_groups"] = _with(DOC, """
 SELECT lg.g AS release_id, gfirst.gf + 1 AS first_row, CAST(nn AS BIGINT) AS n, splits, pairs
 FROM lg JOIN gfirst USING (g, n_text, n_label)""")
@@ -313,8 +277,10 @@ FROM imb2""")
 
 _REL = f"""
 rel AS (
-  SELECT source AS release_id, source AS dataset_name, trim(source) AS provenance,
-         trim(coalesce(min_by(line, doc_id) FILTER (WHERE line <> ''), '')) AS license,
+  SELECT source AS release_id, source AS dataset_name,
+         regexp_replace(source, {_q('^' + WS + '+|' + WS + '+$')}, '', 'g') AS provenance,
+         regexp_replace(coalesce(min_by(line, doc_id) FILTER (WHERE line <> ''), ''),
+                        {_q('^' + WS + '+|' + WS + '+$')}, '', 'g') AS license,
          '' AS purpose, 'label' AS label_column, 'split' AS split_column, 'doc_id' AS id_column
   FROM (SELECT source, doc_id, regexp_extract(text, {_q(LICENSE_LINE)}, 0) AS line FROM documents)
   GROUP BY source
@@ -371,9 +337,7 @@ SELECT g2.release_id, g2.status, ts.rows AS row_count, CAST(4 AS BIGINT) AS colu
        CAST(coalesce(nr.pairs, 0) AS BIGINT) AS near_duplicate_pairs,
        CAST(coalesce(lk.pairs, 0) AS BIGINT) AS leakage_pairs,
        CAST(coalesce(cf.groups, 0) AS BIGINT) AS conflicting_groups,
-       ts.total_comparisons AS near_comparisons, CAST(NULL AS BIGINT) AS near_limit,
-       false AS near_capped, CAST(64 AS BIGINT) AS near_token_limit,
-       ts.rows_at_token_limit, CAST(coalesce(lc.classes, 0) AS BIGINT) AS label_classes,
+       ts.total_comparisons AS near_comparisons, CAST(coalesce(lc.classes, 0) AS BIGINT) AS label_classes,
        'label' AS label_column, 'split' AS split_column, 'doc_id' AS id_column
 FROM gate2 g2
 JOIN ts ON ts.g = g2.release_id
@@ -468,85 +432,43 @@ SELECT g AS release_id, h AS dataset_hash FROM h1 WHERE (SELECT max(r) FROM rows
 UNION ALL
 SELECT g, h FROM h2 WHERE (SELECT max(r) FROM rows) >= 65536"""
 
-ORACLE_SQL["configuration_hash"] = "WITH " + _REL.lstrip() + """
-SELECT release_id, sha256('{"detector":"data-trust-gate-rules-v1","metadata":{"datasetName":'
+ORACLE_SQL["configuration_hash"] = "WITH " + _REL.lstrip() + f"""
+SELECT release_id, sha256('{{"detector":"{DETECTOR_VERSION}","metadata":{{"datasetName":'
   || to_json(dataset_name) || ',"idColumn":' || to_json(id_column) || ',"labelColumn":'
   || to_json(label_column) || ',"license":' || to_json(license) || ',"provenance":'
   || to_json(provenance) || ',"purpose":' || to_json(purpose) || ',"splitColumn":'
-  || to_json(split_column) || '},"schemaVersion":"1.0"}') AS configuration_hash
+  || to_json(split_column) || '}},"schemaVersion":"{SCHEMA_VERSION}"}}') AS configuration_hash
 FROM rel"""
 
+ORACLE_SQL["metadata_violations"] = "WITH " + _REL.lstrip() + "\n" + "\nUNION ALL\n".join(
+    f"SELECT release_id, '{c}' AS field, 'too-long' AS rule FROM rel WHERE length({c}) > 24"
+    for c in ("dataset_name", "provenance", "license"))
 
-def _keys_ctes(suffix: str, near: str) -> str:
-    """Evidence (capped at 6) and prediction keys of the documents audit
-    with near-duplicate pairs from ``near`` (np exact, bh budgeted)."""
-    return f""",
-ev{suffix} AS (
-  SELECT g, 'pii-' || kind AS finding_id, r + 1 AS row, CAST(NULL AS BIGINT) AS other_row,
-         "column", row_number() OVER (PARTITION BY g, kind ORDER BY r, col_pos) AS ordinal
-  FROM pc
-  UNION ALL SELECT g, 'exact-duplicates', l, rr, NULL,
-         row_number() OVER (PARTITION BY g ORDER BY gf, l, rr) FROM ep
-  UNION ALL SELECT g, 'near-duplicates', l + 1, rr + 1, NULL,
-         row_number() OVER (PARTITION BY g ORDER BY l, rr) FROM {near}
-  UNION ALL SELECT g, 'split-leakage', fs + 1, xr + 1, 'split',
-         row_number() OVER (PARTITION BY g ORDER BY gf, xr, fs) FROM lev
-  UNION ALL SELECT g, 'conflicting-labels', fr + 1, sr + 1, 'label',
-         row_number() OVER (PARTITION BY g ORDER BY fr) FROM cev
-  UNION ALL SELECT g, 'class-imbalance', NULL, NULL, 'label', 1 FROM imb2 WHERE imbalanced
-),
-kv{suffix} AS (
-  SELECT e.g,
-         CASE WHEN e.finding_id LIKE 'pii-%' THEN e.finding_id
-              WHEN e.finding_id = 'exact-duplicates' THEN 'exact-duplicate'
-              WHEN e.finding_id = 'near-duplicates' THEN 'near-duplicate'
-              WHEN e.finding_id = 'conflicting-labels' THEN 'conflicting-label'
-              ELSE e.finding_id END AS category,
-         e."column", CAST(a.doc_id AS VARCHAR) AS ia, CAST(b.doc_id AS VARCHAR) AS ib
-  FROM ev{suffix} e LEFT JOIN v a ON a.g = e.g AND a.r + 1 = e.row
-  LEFT JOIN v b ON b.g = e.g AND b.r + 1 = e.other_row
-  WHERE e.ordinal <= 6
-),
-pk{suffix} AS (
-  SELECT DISTINCT g AS case_id, category,
-         g || '|' || category || '|' || CASE
-           WHEN category = 'class-imbalance' THEN coalesce("column", 'label')
-           WHEN category LIKE 'pii-%' THEN ia || '|' || coalesce("column", 'unknown')
-           ELSE array_to_string(list_sort(list_filter([ia, ib], lambda x: x IS NOT NULL AND x <> '')), '|')
-         END AS key
-  FROM kv{suffix}
-)"""
-
-
-_SCORE = "," + _LEAK_EV + "," + _CONF_EV + "," + _IMB + """,
-em AS (SELECT n.g, n.r, eg.gf FROM n JOIN eg USING (g, n_text, n_split, n_label)),
-ep AS (SELECT a.g, a.gf, a.r + 1 AS l, b.r + 1 AS rr FROM em a JOIN em b
-       ON a.g = b.g AND a.gf = b.gf AND a.r < b.r)""" + _keys_ctes("_b", "bh") + \
-    _keys_ctes("_x", "np") + """,
-sj AS (
+# keys of the audit of each source, named like those of the whole table
+_SOURCE_KEYS = _with(SRC, "," + _REL + _KEYS + """
+SELECT 'documents' AS case_id, category, 'documents' || substr(key, length(case_id) + 1) AS key FROM pk
+UNION SELECT 'documents', finding_id, 'documents|' || finding_id || '|metadata' FROM gov""")
+_TABLE_KEYS = _with(DOC, _KEYS + "\nSELECT case_id, category, key FROM pk")
+_SCORE = f"""WITH sj AS (
   SELECT coalesce(p.case_id, x.case_id) AS case_id, coalesce(p.category, x.category) AS category,
          p.key IS NOT NULL AS p, x.key IS NOT NULL AS gld
-  FROM pk_b p FULL OUTER JOIN pk_x x ON p.case_id = x.case_id AND p.key = x.key
+  FROM ({_SOURCE_KEYS}) p FULL OUTER JOIN ({_TABLE_KEYS}) x ON p.case_id = x.case_id AND p.key = x.key
 )"""
-
 _TALLY = """count(*) FILTER (WHERE gld) AS expected,
        count(*) FILTER (WHERE p AND gld) AS matched,
        count(*) FILTER (WHERE p AND NOT gld) AS unexpected,
        count(*) FILTER (WHERE gld AND NOT p) AS missed"""
 
-_CATS = ", ".join(f"('{c}')" for c in (
-    "pii-email", "pii-phone", "pii-nric", "pii-ip", "exact-duplicate", "near-duplicate",
-    "split-leakage", "conflicting-label", "class-imbalance", "missing-provenance",
-    "missing-license"))
-
-ORACLE_SQL["score_by_category"] = _with(DOC, _SCORE + f"""
+ORACLE_SQL["score_by_category"] = _SCORE + f"""
 SELECT c.category, CAST(coalesce(t.expected, 0) AS BIGINT) AS expected,
        CAST(coalesce(t.matched, 0) AS BIGINT) AS matched,
        CAST(coalesce(t.unexpected, 0) AS BIGINT) AS unexpected,
        CAST(coalesce(t.missed, 0) AS BIGINT) AS missed
-FROM (VALUES {_CATS}) c(category)
-LEFT JOIN (SELECT category, {_TALLY} FROM sj GROUP BY category) t USING (category)""",
-                                        budget=True)
+FROM (VALUES {", ".join(f"('{c}')" for c in CATEGORIES)}) c(category)
+LEFT JOIN (SELECT category, {_TALLY} FROM sj GROUP BY category) t USING (category)"""
+
+ORACLE_SQL["score_by_case"] = _SCORE + f"""
+SELECT case_id, {_TALLY} FROM sj GROUP BY case_id"""
 
-ORACLE_SQL["score_by_case"] = _with(DOC, _SCORE + f"""
-SELECT case_id, {_TALLY} FROM sj GROUP BY case_id""", budget=True)
+ORACLE_SQL["score_overall"] = _SCORE + f"""
+SELECT {_TALLY} FROM sj"""

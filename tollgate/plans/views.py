@@ -26,9 +26,6 @@ DOCS_RELEASE = Release(release_id="documents", dataset_name="documents",
 DOCS_ROLES = Roles(label="label", split="split", id="doc_id")
 LICENSE_LINE = r"(?m)^[^\n]*[Ll]icen[cs]e[^\n]*"
 
-#: The budgeted configuration: the sequential scan's 50,000 comparisons.
-BUDGET_LIMITS = Limits(pair_budget=50_000)
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -73,7 +70,6 @@ def _key(spark: SparkSession, sf_dir: str, what: str):
 
 
 def documents_prepared(spark: SparkSession, sf_dir: str, limits: Limits = Limits()) -> Prepared:
-    # the prepared table depends on the token limit only; budgets share it
     key = _key(spark, sf_dir, ("prep", limits.token_limit))
     if key not in _CACHE:
         _CACHE[key] = prepare(documents_view(spark, sf_dir, with_source=True),

@@ -8,13 +8,16 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Session settings the gate relies on (AQE for skew and coalescing).
+#: Session settings the gate relies on (AQE for skew and coalescing).  Local
+#: sessions get them; the library never changes a caller's session.
 GATE_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # plan text is rendered for every execution; audits read many frames
+    "spark.sql.maxPlanStringLength": "100000",
 }
 
 
@@ -35,7 +38,6 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
-    tune_session(spark)
     return spark
 
 
@@ -65,27 +67,6 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or configured
 
 
-#: Plan text is rendered for every execution; audits read many cached
-#: frames, so cap its length (display only; plans themselves are untouched).
-MAX_PLAN_STRING = 100_000
-
-
-def tune_session(spark: SparkSession) -> None:
-    """Session settings an audit relies on, applied only where still at
-    their defaults."""
-    try:
-        current = int(spark.conf.get("spark.sql.maxPlanStringLength"))
-    except Exception:
-        current = None
-    if current is None or current > MAX_PLAN_STRING:
-        spark.conf.set("spark.sql.maxPlanStringLength", str(MAX_PLAN_STRING))
-    # coalesce shuffle output to the advisory size rather than to as many
-    # tiny tasks as possible (the setting Spark recommends for busy clusters)
-    first = "spark.sql.adaptive.coalescePartitions.parallelismFirst"
-    if spark.conf.get(first, "true") == "true":
-        spark.conf.set(first, "false")
-
-
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint of a derived frame: its rows are written once to
     the cluster's checkpoint folder and later plans start from there (short

@@ -2,114 +2,201 @@
 
 CSV cells are always text (no inference); JSON keeps numbers, booleans and
 NULL; Parquet and tables are native.  Headers are normalised and checked
-(S4, S5) on the driver from the schema only; rows never pass through it.
+(S4, S5) on the driver from the first record; rows never pass through it.
+
+Every reader carries each row's place in its source in ``ORDER_COLUMN``, which
+audits sort by and never audit: row numbers then do not depend on how files
+are packed into tasks.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import Limits
-from ..operators.rows import file_order_key, with_row_number
-from .validate import (IntakeError, blank_rows_removed, check_columns_scalar,
+from ..functions.text import js_trim
+from ..operators.rows import ORDER_COLUMN, scan_order, with_row_number
+from .validate import (IntakeError, blank_rows_removed, check_columns_scalar, check_limits,
                        json_record_violations, normalize_headers)
 
-
-CORRUPT = "__corrupt_record"
+# One cell: quoted (adjacent quoted sections are escaped quotes) or without
+# quotes.  Possessive throughout, so no input makes the matcher recurse.
+_CELL = r'(?:"[^"]*+(?:""[^"]*+)*+"|[^",{eol}]*+)'
+_RECORD = _CELL + "(?:," + _CELL + ")*+"
+LINE_RECORD = "^" + _RECORD.format(eol="") + "$"
+FILE_RECORDS = r"^\uFEFF?" + _RECORD.format(eol=r"\r\n") + r"(?:\r?\n" + _RECORD.format(eol=r"\r\n") + r")*+$"
 
 
-def _csv_reader(spark: SparkSession):
-    return (spark.read.option("header", True).option("multiLine", True)
+def _csv_reader(spark: SparkSession, multi_line: bool):
+    return (spark.read.option("multiLine", multi_line)
             .option("quote", '"').option("escape", '"').option("inferSchema", False)
             .option("mode", "PERMISSIVE"))
 
 
+def _unquoted(text: Column) -> Column:
+    """The text without its quoted sections."""
+    return F.regexp_replace(text, '"[^"]*"', "")
+
+
+def has_line_breaks(spark: SparkSession, path: str) -> bool:
+    """Whether some quoted cell may hold a line break: a line with an odd number
+    of quotes."""
+    quotes = F.length("value") - F.length(F.regexp_replace("value", '"', ""))
+    return bool(spark.read.text(path).where(quotes % 2 == 1).limit(1).count())
+
+
+def csv_headers(spark: SparkSession, path: str, multi_line: bool, limits: Limits = Limits()) -> list[str]:
+    """The header names as they stand in the first record, checked."""
+    first = _csv_reader(spark, multi_line).option("header", False).csv(path).first()
+    if first is None:
+        raise IntakeError("The dataset has no header.")
+    return normalize_headers([c or "" for c in first], limits)
+
+
 def csv_violations(spark: SparkSession, path: str) -> DataFrame:
-    """Data rows (1-based, blank rows skipped) holding more cells than
-    the header.  Spark keeps the text of every row whose cell count differs
-    from the header in the corrupt-record column; its cells are counted as
-    the delimiters outside quoted sections, plus one (so a trailing empty
-    cell counts too)."""
-    n = len(_csv_reader(spark).csv(path).columns)
-    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(n)]
-                          + [T.StructField(CORRUPT, T.StringType())])
-    raw = (_csv_reader(spark).schema(schema).option("enforceSchema", True)
-           .option("columnNameOfCorruptRecord", CORRUPT).csv(path))
-    unquoted = F.regexp_replace(F.col(CORRUPT), r'"(?:[^"]|"")*"', "")
-    cells_in_text = F.size(F.split(unquoted, ",", -1))
-    long_row = F.col(CORRUPT).isNotNull() & (cells_in_text > n)
-    blank = reduce(lambda a, b: a & b,
-                   [F.trim(F.coalesce(F.col(f"c{i}"), F.lit(""))) == "" for i in range(n)])
-    kept = raw.where(~blank | long_row)
-    numbered = with_row_number(kept.select(long_row.alias("__long")), file_order_key(raw))
-    return numbered.where("__long").select((F.col("_row") + 1).alias("row"),
-                                           F.lit("too-many-cells").alias("rule"))
+    """S8 and quoting: (row, rule) of data rows (1-based, blank rows skipped) of
+    a file without line breaks inside cells that hold more cells than the header
+    or a quote inside a cell.  Nothing is sorted unless there are any."""
+    n = len(csv_headers(spark, path, False))
+    lines = spark.read.text(path).select(scan_order().alias("at"), F.regexp_replace("value", r"\r$", "").alias("value"))
+    cells = F.size(F.split(_unquoted(F.col("value")), ",", -1))
+    rule = (F.when(~F.col("value").rlike(LINE_RECORD), F.lit("quote-inside-cell"))
+            .when(cells > n, F.lit("too-many-cells")))
+    # a file's first line is its header
+    head = (F.col("at.block") == 0) & (F.col("at.at").bitwiseAND(F.lit((1 << 33) - 1)) == 0)
+    blank = (js_trim(F.translate("value", '",', "")) == "") & (cells <= n)
+    rows = lines.select("at", rule.alias("rule"), head.alias("head"), blank.alias("blank")).where(~F.col("blank"))
+    if not rows.where(F.col("rule").isNotNull()).limit(1).count():
+        return rows.where("false").select(F.lit(0).cast("long").alias("row"), "rule")
+    numbered = with_row_number(rows.select("at", "rule"), [F.col("at")])
+    return numbered.where(F.col("rule").isNotNull()).select(F.col("_row").alias("row"), "rule")
+
+
+def _check_whole_files(spark: SparkSession, path: str, n: int) -> None:
+    """The same rules for files with line breaks inside cells, one file a task."""
+    text = F.regexp_replace("value", r"[\r\n]+$", "")
+    files = spark.read.text(path, wholetext=True).select(text.alias("value"))
+    if files.where(~F.col("value").rlike(FILE_RECORDS)).limit(1).count():
+        raise IntakeError("The file has a quote inside a cell or a quoted cell that does not end.")
+    records = files.select(F.explode(F.split(_unquoted(F.col("value")), r"\r?\n")).alias("record"))
+    if records.where(F.size(F.split("record", ",", -1)) > n).limit(1).count():
+        raise IntakeError("A row has more values than the header.")
 
 
 def read_csv(spark: SparkSession, path: str, limits: Limits = Limits(),
-             strict: bool = True) -> DataFrame:
+             strict: bool = True, multi_line: bool | None = None) -> DataFrame:
     """RFC-style CSV: header row, quoted fields with ``""`` escapes and
     embedded newlines, CRLF; all columns as strings; blank rows dropped and
-    missing cells as ''.  Rows with more cells than the header are refused
-    (``strict``), by row number only."""
-    raw = _csv_reader(spark).option("enforceSchema", False).csv(path)
-    headers = normalize_headers(raw.columns, limits)
+    missing cells as ''.  ``strict`` refuses rows with more cells than the
+    header, stray quotes, tables without rows and cells over the limits, by row
+    number only.  ``multi_line`` says whether quoted cells hold line breaks; such
+    files are read whole, others in splits.  By default a pass over the lines
+    finds out."""
+    if multi_line is None:
+        multi_line = has_line_breaks(spark, path)
+    headers = csv_headers(spark, path, multi_line, limits)
+    if strict and multi_line:
+        _check_whole_files(spark, path, len(headers))
+    elif strict:
+        bad = csv_violations(spark, path).orderBy("row").first()
+        if bad is not None:
+            raise IntakeError(f"Row {bad.row + 1} has more values than the header." if bad.rule == "too-many-cells"
+                              else f"Row {bad.row + 1} has a quote inside a cell.")
+    places = [f"c{i}" for i in range(len(headers))]
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in places])
+    raw = (_csv_reader(spark, multi_line).schema(schema).option("header", True).option("enforceSchema", True).csv(path)
+           .select(*[F.col(c).alias(h) for c, h in zip(places, headers)], scan_order().alias(ORDER_COLUMN)))
+    out = blank_rows_removed(raw)
     if strict:
-        bad = csv_violations(spark, path).orderBy("row").limit(1).collect()
-        if bad:
-            raise IntakeError(f"Row {bad[0].row + 1} has more values than the header.")
-    df = raw.toDF(*headers)
-    return blank_rows_removed(df)
+        check_limits(out, limits)
+    return out
 
 
 def json_lines_records(spark: SparkSession, path: str) -> DataFrame:
-    """(row, cells) for a JSON Lines file: each line parsed as
+    """(order, cells) for a JSON Lines file: each line parsed as
     ``map<string, variant>`` (NULL when the line is not an object)."""
-    lines = spark.read.text(path)
-    lines = lines.where(F.trim(F.col("value")) != "")
-    numbered = with_row_number(lines, file_order_key(spark.read.text(path)))
-    return numbered.select((F.col("_row") + 1).alias("row"),
-                           F.from_json("value", "map<string,variant>").alias("cells"))
+    lines = spark.read.text(path).select(scan_order().alias("order"), "value").where(js_trim(F.col("value")) != "")
+    return lines.select("order", F.try_parse_json("value").alias("v")).select(
+        "order", F.expr("try_cast(v as map<string,variant>)").alias("cells"))
 
 
 def json_array_records(spark: SparkSession, path: str) -> DataFrame:
-    """(row, cells) for a JSON file holding an array of records or an object
+    """(order, cells) for a JSON file holding an array of records or an object
     with a ``rows`` array.  Such a file is one document, so each file is
     parsed by one task (the scalable form is JSON Lines)."""
-    text = spark.read.text(path, wholetext=True)
-    as_array = F.from_json("value", "array<map<string,variant>>")
-    as_envelope = F.from_json("value", "struct<rows: array<map<string,variant>>>")["rows"]
-    records = text.select(F.coalesce(as_array, as_envelope).alias("records"))
-    return records.select(F.posexplode("records").alias("pos", "cells")).select(
-        (F.col("pos") + 1).alias("row"), "cells")
+    text = spark.read.text(path, wholetext=True).select(scan_order().alias("file"), F.try_parse_json("value").alias("v"))
+    rows = F.coalesce(F.expr("try_cast(v as array<variant>)"),
+                      F.expr("try_cast(try_variant_get(v, '$.rows', 'variant') as array<variant>)"))
+    if text.select(rows.alias("r")).where("r is null").limit(1).count():
+        raise IntakeError("The JSON file is not an array of records or an object with a rows array.")
+    return text.select("file", F.posexplode(rows).alias("pos", "v")).select(
+        F.struct(F.col("file.file").alias("file"), F.col("file.block").alias("block"),
+                 F.col("pos").cast("long").alias("at")).alias("order"),
+        F.expr("try_cast(v as map<string,variant>)").alias("cells"))
+
+
+def _numbered(records: DataFrame) -> DataFrame:
+    return with_row_number(records, [F.col("order")]).select((F.col("_row") + 1).alias("row"), "cells")
 
 
 def read_json(spark: SparkSession, path: str, limits: Limits = Limits(),
               lines: bool = False) -> DataFrame:
     """A top-level array of records, an object with a ``rows`` array, or
-    (``lines=True``, the scalable form) one record per line."""
+    (``lines=True``, the scalable form) one record per line.  Columns are named
+    and ordered as in the first record; other records match them ignoring case
+    and outer spaces."""
     records = json_lines_records(spark, path) if lines else json_array_records(spark, path)
-    bad = json_record_violations(records).orderBy("row").limit(1).collect()
-    if bad:
-        raise IntakeError(f"Row {bad[0].row} breaks the record rules ({bad[0].rule}).")
-    raw = spark.read.option("multiLine", not lines).json(path)
-    if not lines and raw.columns == ["rows"]:
-        raw = raw.select(F.explode("rows").alias("r")).select("r.*")
-    if "_corrupt_record" in raw.columns:
-        raise IntakeError("The JSON file is not valid JSON.")
-    check_columns_scalar(raw)
-    headers = normalize_headers(raw.columns, limits)
-    return raw.toDF(*headers)
+    first = records.orderBy("order").select(F.map_keys("cells").alias("keys")).first()
+    if first is None:
+        raise IntakeError("The dataset has no data rows.")
+    if first["keys"] is None or not first["keys"]:
+        raise IntakeError("Row 1 must be an object with at least one column.")
+    headers = normalize_headers(list(first["keys"]), limits)
+    wanted = F.array_sort(F.array(*[F.lit(h.lower()) for h in headers]))
+    keys = F.array_sort(F.transform(F.map_keys("cells"), lambda k: F.lower(js_trim(F.ltrim(k, F.lit("\ufeff"))))))
+    nested = F.exists(F.map_values("cells"), lambda v: F.schema_of_variant(v).startswith("OBJECT")
+                      | F.schema_of_variant(v).startswith("ARRAY"))
+    wrong = F.col("cells").isNull() | (keys != wanted) | nested
+    # rows are numbered, and so sorted, only where one is to be refused
+    if records.where(F.coalesce(wrong, F.lit(True))).limit(1).count():
+        bad = json_record_violations(_numbered(records)).orderBy("row").first()
+        if bad is not None:
+            raise IntakeError(f"Row {bad.row} breaks the record rules ({bad.rule}).")
+        raise IntakeError("A row does not match the columns of the first.")
+    named = F.map_from_entries(F.transform(F.map_entries("cells"), lambda e: F.struct(
+        F.lower(js_trim(F.ltrim(e["key"], F.lit("\ufeff")))).alias("key"), e["value"].alias("value"))))
+    cells = records.select("order", named.alias("m"))
+    places = [F.col("m")[h.lower()] for h in headers]
+    kinds = cells.agg(*[F.schema_of_variant_agg(c).alias(f"k{i}") for i, c in enumerate(places)]).first()
+    types = [_json_type(kinds[f"k{i}"]) for i in range(len(headers))]
+    out = cells.select(*[F.try_variant_get(c, "$", t).alias(h) for c, t, h in zip(places, types, headers)],
+                       F.col("order").alias(ORDER_COLUMN))
+    doubles = [F.count_if(F.isnan(F.col(f"`{h}`")) | (F.abs(F.col(f"`{h}`")) == float("inf"))).alias(f"d{i}")
+               for i, (h, t) in enumerate(zip(headers, types)) if t == "double"]
+    if doubles and any(out.agg(*doubles).first()):
+        raise IntakeError("A number is not finite.")
+    check_limits(out, limits)
+    return out
+
+
+def _json_type(kind: str) -> str:
+    """The column type for what a column's values have in common."""
+    if kind in ("BIGINT", "BOOLEAN"):
+        return kind.lower()
+    if kind.startswith("DECIMAL") or kind in ("DOUBLE", "FLOAT"):
+        return "double"
+    return "string"
 
 
 def read_parquet(spark: SparkSession, path: str, limits: Limits = Limits()) -> DataFrame:
+    """Parquet under its normalised column names; nested columns are refused."""
     df = spark.read.parquet(path)
-    normalize_headers(df.columns, limits)
-    return df
+    headers = normalize_headers(df.columns, limits)
+    check_columns_scalar(df)
+    return df.select(*[F.col(f"`{c}`").alias(h) for c, h in zip(df.columns, headers)],
+                     scan_order().alias(ORDER_COLUMN))
 
 
 def read_dataset(spark: SparkSession, path: str, fmt: str | None = None,

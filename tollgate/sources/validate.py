@@ -12,7 +12,8 @@ from pyspark.sql import types as T
 
 from ..config import FORBIDDEN_KEYS, METADATA_FIELDS, Limits
 from ..functions.literals import empty_frame
-from ..functions.text import utf16_length
+from ..operators.rows import ORDER_COLUMN
+from ..functions.text import js_trim, utf16_length
 
 VIOLATION_SCHEMA = "table string, column string, rule string, violations bigint"
 
@@ -49,7 +50,7 @@ def normalize_headers(names: list[str], limits: Limits = Limits()) -> list[str]:
 def check_columns_scalar(df: DataFrame) -> None:
     """S10 at schema level: nested columns are refused."""
     for i, f in enumerate(df.schema.fields):
-        if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)):
+        if f.name != ORDER_COLUMN and isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)):
             raise IntakeError(f"Column {i + 1} must contain scalar values.")
 
 
@@ -58,10 +59,14 @@ def _unpivot(df: DataFrame, table_name: str, rule: str, counts: dict) -> DataFra
     if not counts:
         return empty_frame(spark, VIOLATION_SCHEMA)
     agg = df.agg(*[c.cast("bigint").alias(f"__v{i}") for i, c in enumerate(counts.values())])
-    parts = [agg.select(F.lit(table_name).alias("table"), F.lit(name).alias("column"),
-                        F.lit(rule).alias("rule"), F.col(f"__v{i}").alias("violations"))
-             for i, name in enumerate(counts)]
-    return reduce(DataFrame.unionByName, parts)
+    return _listed(agg, table_name, [(name, rule) for name in counts])
+
+
+def _listed(agg: DataFrame, table_name: str, names: list[tuple[str, str]]) -> DataFrame:
+    """One row for each counted column of a single aggregate row."""
+    return agg.select(F.inline(F.array(*[
+        F.struct(F.lit(table_name).alias("table"), F.lit(name).alias("column"), F.lit(rule).alias("rule"),
+                 F.col(f"__v{i}").alias("violations")) for i, (name, rule) in enumerate(names)])))
 
 
 def cell_limit_violations(df: DataFrame, table_name: str = "dataset",
@@ -87,10 +92,7 @@ def scalar_violations(df: DataFrame, table_name: str = "dataset") -> DataFrame:
     if not counts:
         return empty_frame(df.sparkSession, VIOLATION_SCHEMA)
     agg = df.agg(*[v.cast("bigint").alias(f"__v{i}") for i, v in enumerate(counts.values())])
-    parts = [agg.select(F.lit(table_name).alias("table"), F.lit(name).alias("column"),
-                        F.lit(rules[name]).alias("rule"), F.col(f"__v{i}").alias("violations"))
-             for i, name in enumerate(counts)]
-    return reduce(DataFrame.unionByName, parts)
+    return _listed(agg, table_name, [(name, rules[name]) for name in counts])
 
 
 def row_shape_violations(maps: DataFrame, row_col: str = "row",
@@ -98,7 +100,7 @@ def row_shape_violations(maps: DataFrame, row_col: str = "row",
     """S9/S5 for JSON records read as ``map<string, ...>``: a row whose
     normalised key set (trimmed, lower case) differs from the first row's,
     a row with colliding keys, or a row without keys.  Output: row, rule."""
-    keys = F.array_sort(F.transform(F.map_keys(F.col(map_col)), lambda k: F.lower(F.trim(k))))
+    keys = F.array_sort(F.transform(F.map_keys(F.col(map_col)), lambda k: F.lower(js_trim(k))))
     k = maps.select(F.col(row_col).alias("row"), keys.alias("keys"))
     # the first row's key set: one row, joined on a constant key (a hash join)
     first = (k.orderBy("row").limit(1)
@@ -124,7 +126,7 @@ def blank_rows_removed(df: DataFrame) -> DataFrame:
     filled = df.na.fill("", subset=strings) if strings else df
     if not strings:
         return filled
-    any_text = reduce(lambda a, b: a | b, [F.trim(F.col(f"`{c}`")) != "" for c in strings])
+    any_text = reduce(lambda a, b: a | b, [js_trim(F.col(f"`{c}`")) != "" for c in strings])
     return filled.where(any_text)
 
 
@@ -142,3 +144,27 @@ def json_record_violations(records: DataFrame, row_col: str = "row",
               .select(F.col(row_col).alias("row"), F.lit("non-scalar").alias("rule")))
     return (row_shape_violations(parsed, row_col, map_col)
             .unionByName(not_object).unionByName(nested))
+
+
+def check_limits(df: DataFrame, limits: Limits = Limits()) -> None:
+    """Refuses a table over the row or cell limit, or without rows; one aggregate
+    pass, and the message names a column or a number only."""
+    strings = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
+    over = [] if limits.cell_characters is None else [
+        F.count_if(utf16_length(F.col(f"`{c}`")) > limits.cell_characters).alias(f"v{i}") for i, c in enumerate(strings)]
+    seen = df.agg(F.count(F.lit(1)).alias("n"), *over).first()
+    if not seen.n:
+        raise IntakeError("The dataset has no data rows.")
+    if limits.rows is not None and seen.n > limits.rows:
+        raise IntakeError(f"The dataset exceeds the {limits.rows} row limit.")
+    for i in range(len(over)):
+        if seen[f"v{i}"]:
+            raise IntakeError(f"A value in column {i + 1} of the text columns exceeds "
+                              f"{limits.cell_characters} characters.")
+
+
+def check_metadata(releases: DataFrame, limits: Limits = Limits()) -> None:
+    """Refuses over-long release metadata, by release and field."""
+    bad = metadata_violations(releases, limits).orderBy("release_id", "field").first()
+    if bad is not None:
+        raise IntakeError(f"Release {bad.release_id}: {bad.field} exceeds {limits.metadata_characters} characters.")
