@@ -102,8 +102,8 @@ def _strict(kind: str, value: Column, before: Column) -> tuple[Column, Column]:
     if kind == "email":
         return F.lit(True), value.rlike(r"\.[A-Za-z]{2,24}$")
     if kind == "ip":
-        ok = F.forall(F.split(value, r"\."), lambda p: (F.length(F.ltrim(F.lit("0"), p)) <= 3)
-                      & (F.coalesce(F.right(F.ltrim(F.lit("0"), p), F.lit(3)).try_cast("int"), F.lit(0)) <= 255))
+        ok = F.forall(F.split(value, r"\."), lambda p: (F.length(F.ltrim(p, F.lit("0"))) <= 3)
+                      & (F.coalesce(F.right(F.ltrim(p, F.lit("0")), F.lit(3)).try_cast("int"), F.lit(0)) <= 255))
         return ok, ok
     if kind == "card":
         ok = F.length(digits).between(12, 19) & F.when(F.length(digits).between(12, 19), _luhn(digits))
