@@ -141,6 +141,23 @@ def _numbered(records: DataFrame) -> DataFrame:
     return with_row_number(records, [F.col("order")]).select((F.col("_row") + 1).alias("row"), "cells")
 
 
+def _first_keys(spark: SparkSession, path: str, lines: bool) -> list[str]:
+    """The keys of the first record as they stand in it (a variant sorts them)."""
+    text = spark.read.text(path, wholetext=not lines).select(scan_order().alias("order"), "value")
+    if lines:
+        keys = F.json_object_keys("value")
+        text = text.where(js_trim(F.col("value")) != "")
+    else:
+        kind = "array<map<string,variant>>"
+        keys = F.map_keys(F.coalesce(F.from_json("value", kind), F.from_json("value", f"struct<rows:{kind}>")["rows"])[0])
+    first = text.orderBy("order").select(keys.alias("keys")).first()
+    if first is None:
+        raise IntakeError("The dataset has no data rows.")
+    if not first["keys"]:
+        raise IntakeError("Row 1 must be an object with at least one column.")
+    return list(first["keys"])
+
+
 def read_json(spark: SparkSession, path: str, limits: Limits = Limits(),
               lines: bool = False) -> DataFrame:
     """A top-level array of records, an object with a ``rows`` array, or
@@ -148,12 +165,7 @@ def read_json(spark: SparkSession, path: str, limits: Limits = Limits(),
     and ordered as in the first record; other records match them ignoring case
     and outer spaces."""
     records = json_lines_records(spark, path) if lines else json_array_records(spark, path)
-    first = records.orderBy("order").select(F.map_keys("cells").alias("keys")).first()
-    if first is None:
-        raise IntakeError("The dataset has no data rows.")
-    if first["keys"] is None or not first["keys"]:
-        raise IntakeError("Row 1 must be an object with at least one column.")
-    headers = normalize_headers(list(first["keys"]), limits)
+    headers = normalize_headers(_first_keys(spark, path, lines), limits)
     wanted = F.array_sort(F.array(*[F.lit(h.lower()) for h in headers]))
     keys = F.array_sort(F.transform(F.map_keys("cells"), lambda k: F.lower(js_trim(F.ltrim(k, F.lit("\ufeff"))))))
     nested = F.exists(F.map_values("cells"), lambda v: F.schema_of_variant(v).startswith("OBJECT")
