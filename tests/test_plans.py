@@ -52,5 +52,4 @@ def test_similarity_join_is_an_equi_join_of_thin_rows(spark):
     plan = _plan(neardup.similar_sets(prep))
     assert "Generate posexplode" in plan and "Join" in plan
     assert not [b for b in BANNED if b in plan]
-    by_token = [x for x in plan.splitlines() if re.search(r"Exchange hashpartitioning\(release_id#\d+, tok#", x)]
-    assert len(by_token) == 2
+    assert re.search(r"Join \[release_id#\w+, tok#\w+\], \[release_id#\w+, tok#\w+\]", plan)
