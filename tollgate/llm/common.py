@@ -8,7 +8,6 @@ import zipfile
 import zlib
 from pathlib import Path
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -90,25 +89,6 @@ def fold_number(doc_id) -> int:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode())
 
 
-class WordHashes(dict):
-    """A 64-bit hash for each word, kept for the words seen last."""
-
-    def __init__(self, limit: int = 400_000):
-        super().__init__()
-        self.limit = limit
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) >= self.limit:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
-
-
 def map_arrow(df: DataFrame, make, fields: str, keep: list[str], records: int = 512) -> DataFrame:
     """``df`` through ``make()`` in Arrow batches.  ``make`` is called once in
     each task and returns a function from a batch to a dict of columns; the

@@ -8,9 +8,10 @@ T - L times in all but the L longest of them; so the short lists are merged for
 candidates and the long ones only probed.
 
 Across the cluster the short lists are those of the |A| - ceil(3 |A| / 4) + 1
-rarest shingles of each set, by one order of all shingles: those found frequent in
-a first pass come last, by their counts, ties by hash.  The order decides only
-how much work there is, not the result.  Spark merges these lists:
+rarest shingles of each set, by one order of all shingles.  A first pass counts
+all shingles of all texts; the ``FREQUENT`` most frequent come last in the order,
+by their counts, the others go by hash.  The order decides only how much work
+there is, not the result.  Spark merges these lists:
 
 1. Equal sets are one node.  Shingles in one short list only are dropped where
    they meet; what is left are rows (shingle, node) of lists of two and more.
@@ -43,33 +44,84 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, small_batches, words_of, written
+from .common import FOLD, small_batches, written
 from .graph import components
 
 SHINGLE = 5
 BLOCK = 256
-#: How many of the most frequent shingles the order knows.
-FREQUENT = 1 << 18
-#: Shingles counted together in the first pass.
+#: How many of the most frequent shingles the order knows, and from which count.
+FREQUENT, LEAST = 1 << 20, 4
+#: Shingles that a task counts or packs together.
 CHUNK = 4_000_000
+#: Bytes of text hashed together (a longer text alone).
+PIECE = 1 << 20
 #: Cells of the table of wanted ids; it drops most other texts before they are
 #: read again, and its size is fixed.
 CELLS = 1 << 22
 _P, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
-def shingles(words: list[bytes], hashes: WordHashes) -> np.ndarray:
-    """The sorted hashes of the distinct shingles of a word sequence."""
-    h = hashes.of(words)
-    width = min(SHINGLE, len(h))
-    if not width:
-        return h
-    n = len(h) - width + 1
-    s = h[:n] + np.uint64(width)
-    for k in range(1, width):
-        s = (s ^ (s >> np.uint64(29))) * _P + h[k:k + n]
-    s = (s ^ (s >> np.uint64(32))) * _Q
-    return np.unique(s ^ (s >> np.uint64(32)))
+class TextSets:
+    """The sets of texts.  Words are hashed without being cut out: with powers of
+    an odd number as weights, a word's sum of weighted bytes is a difference of
+    running sums, and multiplied by the inverse power of its start it does not
+    depend on its place."""
+
+    def __init__(self):
+        rng = np.random.default_rng(5)
+        self.value = rng.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
+        self.blank = np.zeros(256, dtype=bool)
+        self.blank[[0x20, *range(0x09, 0x0E)]] = True
+        self.value[self.blank] = 0
+        self.power = self.inverse = np.ones(1, dtype=np.uint64)
+
+    def of(self, texts: list[str | None]) -> list[np.ndarray]:
+        """The sorted hashes of each text's distinct shingles."""
+        out, piece, size = [], [], 0
+        for t in texts:
+            raw = t.encode("utf-8", "surrogatepass") if t else b""
+            if piece and size + len(raw) > PIECE:
+                out += self._piece(piece)
+                piece, size = [], 0
+            piece.append(raw)
+            size += len(raw) + 1
+        return out + (self._piece(piece) if piece else [])
+
+    def _piece(self, raws: list[bytes]) -> list[np.ndarray]:
+        a = np.frombuffer((b" ".join(raws) + b" ").translate(FOLD), dtype=np.uint8)
+        if len(a) > len(self.power):
+            n = 1 << max(16, (len(a) - 1).bit_length())
+            self.power, self.inverse = (np.cumprod(np.r_[np.uint64(1), np.full(n - 1, x, dtype=np.uint64)])
+                                        for x in (_P, np.uint64(pow(int(_P), -1, 1 << 64))))
+        blank = self.blank[a]
+        edge = np.flatnonzero(np.r_[True, blank[:-1]] != blank)  # starts and ends in turn
+        start, end = edge[::2], edge[1::2]
+        sums = np.cumsum(self.value[a] * self.power[:len(a)])
+        before = np.where(start > 0, sums[start - 1], np.uint64(0))
+        h = (sums[end - 1] - before) * self.inverse[start]
+        h = (h ^ (h >> np.uint64(32))) * _Q
+        h ^= h >> np.uint64(29)
+        stops = np.cumsum([len(r) + 1 for r in raws])
+        cuts = np.r_[0, np.searchsorted(start, stops)]
+        n = len(h) - SHINGLE + 1
+        s = self._mixed(h, SHINGLE) if n > 0 else h[:0]
+        out = []
+        for lo, hi in zip(cuts.tolist(), cuts[1:].tolist()):
+            x = np.sort(s[lo:hi - SHINGLE + 1] if hi - lo >= SHINGLE else self._mixed(h[lo:hi], hi - lo))
+            out.append(x[np.r_[True, x[1:] != x[:-1]]] if len(x) else x)
+        return out
+
+    @staticmethod
+    def _mixed(h: np.ndarray, width: int) -> np.ndarray:
+        """The hash of each stretch of ``width`` words."""
+        if not width:
+            return h
+        n = len(h) - width + 1
+        s = h[:n] + np.uint64(width)
+        for k in range(1, width):
+            s = (s ^ (s >> np.uint64(29))) * _P + h[k:k + n]
+        s = (s ^ (s >> np.uint64(32))) * _Q
+        return s ^ (s >> np.uint64(32))
 
 
 def node_of(s: np.ndarray) -> int:
@@ -147,51 +199,113 @@ def search(query: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
 # ---------------------------------------------------------------------------
 
 
-def _first_pass(docs: DataFrame) -> DataFrame:
-    """kind 0: (row number, words' set size n, node) of each row, with its id;
-    kind 1: a shingle (node) counted n > 1 times among some distinct sets."""
-    import pyarrow as pa
+def _key(h: np.ndarray, parts: int) -> np.ndarray:
+    """What the counts know a shingle by: its target and upper half."""
+    return (h >> np.uint64(32)) << np.uint64(31) | h % np.uint64(parts)
 
-    def counts(kept, kind):
-        h, c = np.unique(np.concatenate(kept), return_counts=True)
-        h, c = h[c > 1], c[c > 1]
-        return pa.RecordBatch.from_arrays([
-            pa.array(np.ones(len(h), dtype=np.int32)), pa.nulls(len(h), kind),
-            pa.array(c.astype(np.int64)), pa.array(h.view(np.int64))], names=["kind", "id", "n", "node"])
 
-    def run(batches):
-        hashes, seen, kept, held, kind = WordHashes(), set(), [], 0, None
+def _dealt(at: np.ndarray, parts: int, *columns: np.ndarray):
+    """(target, the columns' rows for it) for each target."""
+    order = np.argsort(at.astype(np.uint16) if parts <= 1 << 16 else at, kind="stable")
+    at = at[order]
+    cut = np.flatnonzero(np.r_[True, at[1:] != at[:-1]]) if len(at) else np.empty(0, np.int64)
+    moved = [c[order] for c in columns]
+    for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(at)]):
+        yield int(at[a]), [c[a:b] for c in moved]
+
+
+def _first_pass(docs: DataFrame, parts: int) -> DataFrame:
+    """Rows with an id or without: (id, set size n, node) of each text; and with
+    ``key``: the count n of each shingle found at least ``LEAST`` times.
+
+    A task counts its own shingles and sends each target one packed block of those
+    found once (their upper halves) and one of those found more often, so a very
+    frequent shingle is a pair of numbers from each task."""
+    import pyarrow as pa
+
+    kind = docs.schema["id"].dataType.simpleString()
+
+    def sent(batches):
+        sets, seen, kept, held = TextSets(), set(), [], 0
+
+        def rows(at, ids=None, n=None, node=None, once=None, often=None):
+            nulls = lambda t: pa.nulls(len(at), t)
+            return pa.RecordBatch.from_arrays([
+                pa.array(at, pa.int32()), nulls(arrow) if ids is None else ids,
+                nulls(pa.int64()) if n is None else pa.array(n, pa.int64()),
+                nulls(pa.int64()) if node is None else pa.array(node, pa.int64()),
+                nulls(pa.binary()) if once is None else pa.array(once, pa.binary()),
+                nulls(pa.binary()) if often is None else pa.array(often, pa.binary())],
+                names=["at", "id", "n", "node", "once", "often"])
+
+        def counted():
+            h = np.sort(np.concatenate(kept))
+            cut = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+            c = np.diff(np.r_[cut, len(h)]).astype("<u4")
+            h = h[cut]
+            at, upper = (h % np.uint64(parts)).astype(np.int64), (h >> np.uint64(32)).astype("<u4")
+            one = c == 1
+            got = [(k, x.tobytes()) for k, (x,) in _dealt(at[one], parts, upper[one])]
+            yield rows([k for k, _ in got], once=[x for _, x in got])
+            got = [(k, np.concatenate([x, y]).tobytes()) for k, (x, y) in _dealt(at[~one], parts, upper[~one], c[~one])]
+            yield rows([k for k, _ in got], often=[x for _, x in got])
+
+        turn = 0
         for batch in batches:
-            kind = batch.column("id").type
-            n, nodes = [], []
-            for text in batch.column("text").to_pylist():
-                s = shingles(words_of(text), hashes)
-                n.append(len(s))
-                nodes.append(node_of(s) if len(s) else None)
-                if len(s) and nodes[-1] not in seen:
-                    seen.add(nodes[-1])
-                    kept.append(s)
-                    held += len(s)
-            yield pa.RecordBatch.from_arrays([
-                pa.array(np.zeros(len(n), dtype=np.int32)), batch.column("id"), pa.array(n, pa.int64()),
-                pa.array(nodes, pa.int64())], names=["kind", "id", "n", "node"])
+            arrow = batch.column("id").type
+            found = sets.of(batch.column("text").to_pylist())
+            nodes = [node_of(x) if len(x) else None for x in found]
+            for x, node in zip(found, nodes):
+                if node is not None and node not in seen:
+                    seen.add(node)
+                    kept.append(x)
+                    held += len(x)
+            turn += 1
+            first = (nodes[0] or 0) + turn
+            yield rows([(first + k) % parts for k in range(len(nodes))], batch.column("id"), [len(x) for x in found], nodes)
             if held > CHUNK:
-                yield counts(kept, kind)
+                yield from counted()
                 seen, kept, held = set(), [], 0
         if kept:
-            yield counts(kept, kind)
+            yield from counted()
 
-    return small_batches(docs, 512).mapInArrow(run, f"kind int, id {docs.schema['id'].dataType.simpleString()}, n long, node long")
+    def summed(batches):
+        once: dict[int, list] = {}
+        often: dict[int, list] = {}
+        for batch in batches:
+            plain = batch.filter(pa.array([a is None and b is None for a, b in zip(
+                batch.column("once").to_pylist(), batch.column("often").to_pylist())], pa.bool_()))
+            yield pa.RecordBatch.from_arrays([plain.column(c) for c in ("id", "n", "node")] + [pa.nulls(plain.num_rows, pa.int64())],
+                                             names=["id", "n", "node", "key"])
+            arrow = batch.column("id").type
+            for at, a, b in zip(*(batch.column(c).to_pylist() for c in ("at", "once", "often"))):
+                if a is not None:
+                    once.setdefault(at, []).append(np.frombuffer(a, "<u4"))
+                elif b is not None:
+                    often.setdefault(at, []).append(np.frombuffer(b, "<u4").reshape(2, -1))
+        for at in sorted({*once, *often}):
+            single, many = once.pop(at, []), often.pop(at, [])
+            x = np.concatenate([*single, *(m[0] for m in many)])
+            c = np.concatenate([np.ones(sum(map(len, single)), dtype=np.int64), *(m[1].astype(np.int64) for m in many)])
+            order = np.argsort(x, kind="stable")
+            x, c = x[order], c[order]
+            cut = np.flatnonzero(np.r_[True, x[1:] != x[:-1]])
+            c = np.add.reduceat(c, cut)
+            some = c >= LEAST
+            key = x[cut][some].astype(np.int64) << 31 | at
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(key), arrow), pa.array(c[some]), pa.nulls(len(key), pa.int64()),
+                                              pa.array(key)], names=["id", "n", "node", "key"])
+
+    return (small_batches(docs, 512).mapInArrow(sent, f"at int, id {kind}, n long, node long, once binary, often binary")
+            .repartition(parts, "at").mapInArrow(summed, f"id {kind}, n long, node long, key long"))
 
 
 def _frequent(first: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(shingles in order, ranks by count) of at most ``FREQUENT`` shingles."""
-    top = (first.where("kind = 1").groupBy("node").agg(F.sum("n").alias("c"))
-           .orderBy(F.desc("c"), "node").limit(FREQUENT).toArrow())
-    h = top.column("node").to_numpy().astype(np.int64).view(np.uint64)
-    c = top.column("c").to_numpy().astype(np.int64)
-    order = np.argsort(h)
-    return h[order], c[order]
+    """(keys in order, counts) of the ``FREQUENT`` most frequent shingles."""
+    top = first.where("key is not null").select("key", "n").orderBy(F.desc("n"), "key").limit(FREQUENT).toArrow()
+    key, c = top.column("key").to_numpy().astype(np.uint64), top.column("n").to_numpy().astype(np.int64)
+    order = np.argsort(key)
+    return key[order], c[order]
 
 
 def _short_lists(docs: DataFrame, frequent, parts: int) -> DataFrame:
@@ -199,59 +313,57 @@ def _short_lists(docs: DataFrame, frequent, parts: int) -> DataFrame:
 
     Rows travel in packed blocks, one for each target and task, so that the many
     shingles that occur once cost little.  A frequent shingle is known to be kept:
-    its rows stay in the task that made them and are never brought together here."""
+    its rows stay in the blocks of the task that made them and are never brought
+    together here."""
     import pyarrow as pa
 
     shared = docs.sparkSession.sparkContext.broadcast(frequent)  # bounded by FREQUENT
 
-    def packed(h, node, n, at, known):
-        order = np.lexsort((h, at))
-        h, node, n, at = h[order], node[order], n[order], at[order]
-        cut = np.flatnonzero(np.r_[True, at[1:] != at[:-1]]) if len(at) else np.empty(0, np.int64)
-        ends = np.r_[cut[1:], len(at)]
+    def block(got, known):
         return pa.RecordBatch.from_arrays([
-            pa.array(at[cut].astype(np.int32)), pa.array([known] * len(cut), pa.bool_()),
-            pa.array([h[a:b].tobytes() for a, b in zip(cut, ends)], pa.binary()),
-            pa.array([node[a:b].tobytes() for a, b in zip(cut, ends)], pa.binary()),
-            pa.array([n[a:b].astype("<u4").tobytes() for a, b in zip(cut, ends)], pa.binary())],
+            pa.array([k for k, _ in got], pa.int32()), pa.array([known] * len(got), pa.bool_()),
+            *(pa.array([c[x].tobytes() for _, c in got], pa.binary()) for x in range(3))],
             names=["at", "known", "h", "node", "n"])
 
     def make(batches):
         keys, counts = shared.value
-        hashes, seen, rare, known, held, turn = WordHashes(), set(), [], [], 0, 0
+        likely = np.zeros(1 << 22, dtype=bool)
+        likely[(keys >> np.uint64(41)).astype(np.int64)] = True  # the upper 22 bits of the shingle
+        sets, seen, rare, known, held, turn = TextSets(), set(), [], [], 0, 0
 
         def flush():
             for rows, is_known in ((rare, False), (known, True)):
                 if rows:
+                    sizes = [len(r[0]) for r in rows]
                     h = np.concatenate([r[0] for r in rows])
-                    node = np.repeat(np.array([r[1] for r in rows], dtype=np.int64), [len(r[0]) for r in rows])
-                    n = np.repeat(np.array([r[2] for r in rows], dtype=np.int64), [len(r[0]) for r in rows])
-                    at = (h % np.uint64(parts)).astype(np.int64) if not is_known else np.full(len(h), turn % parts)
-                    yield packed(h, node, n, at, is_known)
+                    node = np.repeat(np.array([r[1] for r in rows], dtype=np.int64), sizes)
+                    n = np.repeat(np.array([r[2] for r in rows], dtype="<u4"), sizes)
+                    if is_known:
+                        yield block([(turn % parts, [h, node, n])], True)
+                    else:
+                        yield block(list(_dealt((h % np.uint64(parts)).astype(np.int64), parts, h, node, n)), False)
                 rows.clear()
 
         for batch in batches:
-            for text in batch.column("text").to_pylist():
-                s = shingles(words_of(text), hashes)
-                if not len(s):
-                    continue
-                node = node_of(s)
-                if node in seen:
+            for s in sets.of(batch.column("text").to_pylist()):
+                node = node_of(s) if len(s) else None
+                if node is None or node in seen:
                     continue
                 seen.add(node)
-                if not turn:
-                    turn = node % (1 << 31) + 1
+                turn = turn or node % (1 << 31) + 1
                 p = _short(len(s))
-                if len(keys):
-                    place = np.minimum(np.searchsorted(keys, s), len(keys) - 1)
-                    often = keys[place] == s
-                else:
-                    often = np.zeros(len(s), dtype=bool)
+                maybe = np.flatnonzero(likely[(s >> np.uint64(42)).astype(np.int64)])
+                often = np.zeros(len(s), dtype=bool)
+                if len(maybe):
+                    key = _key(s[maybe], parts)
+                    place = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+                    hit = keys[place] == key
+                    often[maybe[hit]] = True
                 few = s[~often][:p]
                 rare.append((few, node, len(s)))
                 if len(few) < p:
-                    more, c = s[often], counts[place[often]]
-                    known.append((more[np.argsort(c, kind="stable")][:p - len(few)], node, len(s)))
+                    more = s[often][np.argsort(counts[place[hit]], kind="stable")][:p - len(few)]
+                    known.append((more, node, len(s)))
                 held += p
             if held > CHUNK:
                 yield from flush()
@@ -263,20 +375,24 @@ def _short_lists(docs: DataFrame, frequent, parts: int) -> DataFrame:
     def merged(batches):
         rest: dict[int, list] = {}
 
+        def out(h, node, n):
+            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(node), pa.array(n.astype(np.int64))],
+                                              names=["h", "node", "n"])
+
         def repeated(rows):
             h, node, n = (np.concatenate([r[k] for r in rows]) for k in range(3))
+            order = np.argsort(h, kind="stable")
+            same = h[order][1:] == h[order][:-1]
+            order = order[np.r_[False, same] | np.r_[same, False]]  # shingles that come again
+            h, node, n = h[order], node[order], n[order]
             order = np.lexsort((node, h))
             h, node, n = h[order], node[order], n[order]
-            new = np.r_[True, (h[1:] != h[:-1]) | (node[1:] != node[:-1])]
+            new = np.r_[True, (h[1:] != h[:-1]) | (node[1:] != node[:-1])] if len(h) else np.empty(0, bool)
             h, node, n = h[new], node[new], n[new]
-            same = np.r_[False, h[1:] == h[:-1]]
-            keep = same | np.r_[same[1:], False]
+            same = h[1:] == h[:-1]
+            keep = np.r_[False, same] | np.r_[same, False] if len(h) else np.empty(0, bool)
             return out(h[keep], node[keep], n[keep])
 
-        def out(h, node, n):
-            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(node), pa.array(n.astype(np.int64))],
-                                              names=["h", "node", "n"])
-
         for batch in batches:
             for at, known, h, node, n in zip(*(batch.column(c).to_pylist() for c in ("at", "known", "h", "node", "n"))):
                 row = (np.frombuffer(h, "<u8"), np.frombuffer(node, "<i8"), np.frombuffer(n, "<u4"))
@@ -305,12 +421,11 @@ def _sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
 
     def run(batches):
         bits = np.unpackbits(shared.value).astype(bool)
-        hashes, seen = WordHashes(), set()
+        sets, seen = TextSets(), set()
         for batch in batches:
             batch = batch.filter(pa.array(bits[batch.column("cell").to_numpy()]))
             keep, blobs = [], []
-            for text in batch.column("text").to_pylist():
-                s = shingles(words_of(text), hashes)
+            for s in sets.of(batch.column("text").to_pylist()):
                 node = node_of(s) if len(s) else None
                 if node is not None and node not in seen:
                     seen.add(node)
@@ -373,8 +488,8 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    first = written(_first_pass(docs), "jaccard-rows")
-    rows = first.where("kind = 0").select("id", "n", F.when(F.col("id").isNotNull(), F.col("node")).alias("node"))
+    first = written(_first_pass(docs, parts), "jaccard-rows")
+    rows = first.where("key is null").select("id", "n", F.when(F.col("id").isNotNull(), F.col("node")).alias("node"))
     nodes = rows.where("node is not null").groupBy("node").agg(F.min("id").alias("least"))
     named = docs.where("id is not null")
     lists = written(_short_lists(named, _frequent(first), parts).distinct(), "jaccard-lists")
