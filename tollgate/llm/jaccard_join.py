@@ -15,9 +15,10 @@ there is, not the result.  Spark merges these lists:
 
 1. Equal sets are one node.  Shingles in one short list only are dropped where
    they meet; what is left are rows (shingle, node) of lists of two and more.
-2. In each list all nodes pair with the least one, so a group of k similar sets
-   gives about k pairs and not k squared.  Pairs that share enough short lists are
-   searched, and the links found joined into components.
+2. In each list all nodes pair with one, so a group of k similar sets gives about
+   k pairs and not k squared.  Pairs that share enough short lists are searched,
+   and the links found joined into components.  Lists with several components
+   left go through this again with another node, up to ``STARS`` times.
 3. Nodes of *different* components that share a short list are paired, through
    (shingle, component) groups so that no pair inside a component is made.  Those
    that share at least T - L short lists are searched as well.  After this every
@@ -53,6 +54,8 @@ BLOCK = 256
 FREQUENT, LEAST = 1 << 20, 4
 #: Shingles that a task counts or packs together.
 CHUNK = 4_000_000
+#: How often lists pair with one of their nodes before all pairs are made.
+STARS = 4
 #: Bytes of text hashed together (a longer text alone).
 PIECE = 1 << 20
 #: Cells of the table of wanted ids; it drops most other texts before they are
@@ -483,6 +486,13 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, parts: int) -
     return small_batches(rows, 512).mapInArrow(run, "a long, b long")
 
 
+def _mixed(lists: DataFrame, roots: DataFrame) -> DataFrame:
+    """(h, node, n, c) of the lists that hold nodes of several components c."""
+    placed = lists.join(roots, "node", "left").select("h", "node", "n", F.coalesce("root", "node").alias("c"))
+    mixed = placed.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("h")
+    return placed.join(mixed, "h", "left_semi")
+
+
 def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id) for every row of ``docs``."""
     spark = docs.sparkSession
@@ -494,20 +504,23 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     named = docs.where("id is not null")
     lists = written(_short_lists(named, _frequent(first), parts).distinct(), "jaccard-lists")
 
-    # pairs with the least node of each list
-    heads = lists.groupBy("h").agg(F.min(F.struct("node", "n")).alias("head"))
-    star = (lists.join(heads, "h").where("node <> head.node")
-            .groupBy(F.col("head.node").alias("a"), F.col("node").alias("b"))
-            .agg(F.max("head.n").alias("na"), F.max("n").alias("nb"), F.count(F.lit(1)).alias("shared"))
-            .where(sizes_fit(F.col("na"), F.col("nb")) & (F.col("shared") * 2 >= enough(F.col("na"), F.col("nb")))))
-    links = written(_verified(star, named, nodes, parts), "jaccard-links")
-    roots = components(links, "jaccard-star")
+    # pairs with one node of each list, another one each time
+    links = roots = None
+    left = lists.withColumn("c", F.col("node"))
+    for turn in range(STARS):
+        heads = left.groupBy("h").agg(F.min_by(F.struct("node", "n", "c"), F.xxhash64(F.lit(turn), "node")).alias("head"))
+        star = (left.join(heads, "h").where("c <> head.c")
+                .groupBy(F.col("head.node").alias("a"), F.col("node").alias("b"))
+                .agg(F.max("head.n").alias("na"), F.max("n").alias("nb"), F.count(F.lit(1)).alias("shared"))
+                .where(sizes_fit(F.col("na"), F.col("nb")) & (F.col("shared") * 2 >= enough(F.col("na"), F.col("nb")))))
+        new = written(_verified(star, named, nodes, parts), "jaccard-links")
+        links = new if links is None else links.unionByName(new)
+        if turn and not new.limit(1).count():
+            break
+        roots = components(links, "jaccard-star")
+        left = written(_mixed(lists, roots), "jaccard-mixed")
 
     # pairs across the components found so far
-    placed = lists.join(roots, "node", "left").select("h", "node", "n", F.coalesce("root", "node").alias("c"))
-    placed = written(placed, "jaccard-placed")
-    mixed = placed.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("h")
-    left = placed.join(mixed, "h", "left_semi")
     groups = left.groupBy("h", "c").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
     other = groups.select("h", F.col("c").alias("d"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
     meet = groups.join(other, "h").where("c < d and 4 * hi >= 3 * lo2 and 4 * hi2 >= 3 * lo").select("h", "c", "d")
