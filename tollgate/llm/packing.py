@@ -28,7 +28,6 @@ from __future__ import annotations
 import re
 import zlib
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -43,46 +42,71 @@ VOCABULARY = "word_bpe_49k.json"
 
 
 class DocumentIds:
-    """Ids of texts: those of frequent stretches between white space are kept.
+    """Ids of texts; those of stretches between white space are kept.
 
     The vocabulary's normaliser and splitter never join characters across white
-    space, so the ids of a text are those of its stretches in turn.  Texts with
-    characters that Python and the tokenizer may not both take for white space,
-    or with the text of a special token, go through the tokenizer whole."""
+    space, so the ids of a text are those of its stretches in turn.  A stretch of
+    Latin letters, digits and signs is split by the vocabulary's own rule and its
+    words go straight to the model; others go through the whole tokenizer, and so
+    do texts with characters that Python and the tokenizer may not both take for
+    white space, or with the text of a special token."""
 
     WHOLE = re.compile("[\x1c-\x1f\x85]|<\\|")
+    #: No apostrophes (they have rules of their own), no other numbers than digits,
+    #: nothing that normalisation or lower-casing makes several characters.
+    LATIN = re.compile("[!-&(-~\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-\u012f\u0131-\u024f]+")
+    WORD = re.compile(r"[^\W\d_]+|\d|(?:[^\s\w]|_)+")
 
-    def __init__(self, path: str | None = None, limit: int = 200_000):
+    def __init__(self, path: str | None = None, limit: int = 1_000_000):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import public_tokenizers
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path or public_tokenizers.path(VOCABULARY))
+        self.plain = Tokenizer(self.tokenizer.model)
+        self.plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        vocabulary = self.plain.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[k for t, k in vocabulary.items() if t.endswith("</w>")]] = True
         self.limit = limit
-        self.kept: dict[str, list[int]] = {}
-
-    def _encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        self.kept: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        # the byte-level alphabet: printable bytes stand for themselves, the
+        # others for the characters from 256 on
+        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        others = [b for b in range(256) if b not in printable]
+        self.alphabet = {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(others)}
+
+    def _encode(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def _learn(self, words: set[str]) -> None:
+        """Keeps the ids of new words."""
+        new = [w for w in words if w not in self.words]
+        for k in range(0, len(new), 20_000):
+            part = new[k:k + 20_000]
+            mapped = " ".join(w if w.isascii() else "".join(map(self.alphabet.__getitem__, w.encode())) for w in part)
+            ids = np.array(self.plain.encode(mapped, add_special_tokens=False).ids, dtype="<u4")
+            raw, stops = ids.tobytes(), (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            assert len(stops) == len(part)
+            self.words.update((w, raw[a:b]) for w, a, b in zip(part, [0, *stops], stops))
 
     def of(self, texts: list[str | None]) -> list[np.ndarray]:
-        split = [t.split() if t and not self.WHOLE.search(t) else None for t in texts]
         if len(self.kept) > self.limit:
             self.kept = {}
-        new = [w for w in set(chain.from_iterable(s for s in split if s)) if w not in self.kept]
-        for k in range(0, len(new), 4096):
-            part = new[k:k + 4096]
-            self.kept.update(zip(part, self._encode(part)))
-        out = []
-        for t, s in zip(texts, split):
-            if s is not None:
-                ids = list(chain.from_iterable(map(self.kept.__getitem__, s)))
-            else:
-                ids = self._encode([t])[0] if t else []
-            ids.append(END_ID)
-            out.append(np.array(ids, dtype="<u4"))
-        return out
+        if len(self.words) > self.limit:
+            self.words = {}
+        split = [t.split() if t and not self.WHOLE.search(t) else None for t in texts]
+        new = set().union(*filter(None, split)) - self.kept.keys()
+        parts = {w: self.WORD.findall(w.lower()) for w in new if self.LATIN.fullmatch(w)}
+        self._learn(set().union(*parts.values()))
+        known = self.words.__getitem__
+        self.kept.update((w, b"".join(map(known, parts[w])) if w in parts else self._encode(w)) for w in new)
+        kept, end = self.kept.__getitem__, np.array([END_ID], dtype="<u4").tobytes()
+        return [np.frombuffer((b"".join(map(kept, s)) if s is not None else self._encode(t) if t else b"") + end, dtype="<u4")
+                for t, s in zip(texts, split)]
 
 
 @dataclass
