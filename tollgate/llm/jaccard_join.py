@@ -16,13 +16,18 @@ there is, not the result.  Spark merges these lists:
 1. Equal sets are one node.  Shingles in one short list only are dropped where
    they meet; what is left are rows (shingle, node) of lists of two and more.
 2. In each list all nodes pair with one, so a group of k similar sets gives about
-   k pairs and not k squared.  Pairs that share enough short lists are searched,
-   and the links found joined into components.  Lists with several components
-   left go through this again with another node, up to ``STARS`` times.
+   k pairs and not k squared.  It is the node with the fewest rarer shingles: an
+   edited copy holds shingles of its own, the text it was made from none, so
+   copies that do not link with each other meet in it.  Pairs that share enough
+   short lists are searched, and the links found joined into components.  While
+   the lists left hold over ``DENSE`` pairs of components a row, they go through
+   this again with another node, up to ``STARS`` times.
 3. Nodes of *different* components that share a short list are paired, through
-   (shingle, component) groups so that no pair inside a component is made.  Those
-   that share at least T - L short lists are searched as well.  After this every
-   link lies inside a component, which is all that components need.
+   (shingle, component) groups so that no pair inside a component is made.  The
+   rarest shingle that linked sets share has T - 1 more behind it in both, so
+   only lists with T places left in both sets pair them.  All these pairs are
+   searched.  After this every link lies inside a component, which is all that
+   components need.
 
 The search takes one query set and a block of at most ``BLOCK`` others in a task,
 builds the inverted lists of the block, merges the short ones by a heap and
@@ -54,8 +59,9 @@ BLOCK = 256
 FREQUENT, LEAST = 1 << 20, 4
 #: Shingles that a task counts or packs together.
 CHUNK = 4_000_000
-#: How often lists pair with one of their nodes before all pairs are made.
-STARS = 4
+#: How often lists pair with one of their nodes before all pairs are made, and
+#: from how many pairs of components a row again.  Neither changes the result.
+STARS, DENSE = 4, 16
 #: Bytes of text hashed together (a longer text alone).
 PIECE = 1 << 20
 #: Cells of the table of wanted ids; it drops most other texts before they are
@@ -312,7 +318,8 @@ def _frequent(first: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _short_lists(docs: DataFrame, frequent, parts: int) -> DataFrame:
-    """(shingle, node, n): the rows of all short lists of two nodes and more.
+    """(shingle, node, n, i): the rows of all short lists of two nodes and more;
+    i is the shingle's place in the order of the node's set.
 
     Rows travel in packed blocks, one for each target and task, so that the many
     shingles that occur once cost little.  A frequent shingle is known to be kept:
@@ -325,8 +332,8 @@ def _short_lists(docs: DataFrame, frequent, parts: int) -> DataFrame:
     def block(got, known):
         return pa.RecordBatch.from_arrays([
             pa.array([k for k, _ in got], pa.int32()), pa.array([known] * len(got), pa.bool_()),
-            *(pa.array([c[x].tobytes() for _, c in got], pa.binary()) for x in range(3))],
-            names=["at", "known", "h", "node", "n"])
+            *(pa.array([c[x].tobytes() for _, c in got], pa.binary()) for x in range(4))],
+            names=["at", "known", "h", "node", "n", "i"])
 
     def make(batches):
         keys, counts = shared.value
@@ -341,10 +348,11 @@ def _short_lists(docs: DataFrame, frequent, parts: int) -> DataFrame:
                     h = np.concatenate([r[0] for r in rows])
                     node = np.repeat(np.array([r[1] for r in rows], dtype=np.int64), sizes)
                     n = np.repeat(np.array([r[2] for r in rows], dtype="<u4"), sizes)
+                    i = np.concatenate([np.arange(r[3], r[3] + k, dtype="<u4") for r, k in zip(rows, sizes)])
                     if is_known:
-                        yield block([(turn % parts, [h, node, n])], True)
+                        yield block([(turn % parts, [h, node, n, i])], True)
                     else:
-                        yield block(list(_dealt((h % np.uint64(parts)).astype(np.int64), parts, h, node, n)), False)
+                        yield block(list(_dealt((h % np.uint64(parts)).astype(np.int64), parts, h, node, n, i)), False)
                 rows.clear()
 
         for batch in batches:
@@ -363,10 +371,10 @@ def _short_lists(docs: DataFrame, frequent, parts: int) -> DataFrame:
                     hit = keys[place] == key
                     often[maybe[hit]] = True
                 few = s[~often][:p]
-                rare.append((few, node, len(s)))
+                rare.append((few, node, len(s), 0))
                 if len(few) < p:
                     more = s[often][np.argsort(counts[place[hit]], kind="stable")][:p - len(few)]
-                    known.append((more, node, len(s)))
+                    known.append((more, node, len(s), len(few)))
                 held += p
             if held > CHUNK:
                 yield from flush()
@@ -378,27 +386,27 @@ def _short_lists(docs: DataFrame, frequent, parts: int) -> DataFrame:
     def merged(batches):
         rest: dict[int, list] = {}
 
-        def out(h, node, n):
-            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(node), pa.array(n.astype(np.int64))],
-                                              names=["h", "node", "n"])
+        def out(h, node, n, i):
+            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(node), pa.array(n.astype(np.int64)),
+                                               pa.array(i.astype(np.int64))], names=["h", "node", "n", "i"])
 
         def repeated(rows):
-            h, node, n = (np.concatenate([r[k] for r in rows]) for k in range(3))
+            h, node, n, i = (np.concatenate([r[k] for r in rows]) for k in range(4))
             order = np.argsort(h, kind="stable")
             same = h[order][1:] == h[order][:-1]
             order = order[np.r_[False, same] | np.r_[same, False]]  # shingles that come again
-            h, node, n = h[order], node[order], n[order]
+            h, node, n, i = h[order], node[order], n[order], i[order]
             order = np.lexsort((node, h))
-            h, node, n = h[order], node[order], n[order]
+            h, node, n, i = h[order], node[order], n[order], i[order]
             new = np.r_[True, (h[1:] != h[:-1]) | (node[1:] != node[:-1])] if len(h) else np.empty(0, bool)
-            h, node, n = h[new], node[new], n[new]
+            h, node, n, i = h[new], node[new], n[new], i[new]
             same = h[1:] == h[:-1]
             keep = np.r_[False, same] | np.r_[same, False] if len(h) else np.empty(0, bool)
-            return out(h[keep], node[keep], n[keep])
+            return out(h[keep], node[keep], n[keep], i[keep])
 
         for batch in batches:
-            for at, known, h, node, n in zip(*(batch.column(c).to_pylist() for c in ("at", "known", "h", "node", "n"))):
-                row = (np.frombuffer(h, "<u8"), np.frombuffer(node, "<i8"), np.frombuffer(n, "<u4"))
+            for at, known, h, node, n, i in zip(*(batch.column(c).to_pylist() for c in ("at", "known", "h", "node", "n", "i"))):
+                row = (np.frombuffer(h, "<u8"), np.frombuffer(node, "<i8"), np.frombuffer(n, "<u4"), np.frombuffer(i, "<u4"))
                 if known:
                     yield out(*row)
                 else:
@@ -406,8 +414,8 @@ def _short_lists(docs: DataFrame, frequent, parts: int) -> DataFrame:
         for at in list(rest):
             yield repeated(rest.pop(at))
 
-    blocks = small_batches(docs, 512).mapInArrow(make, "at int, known boolean, h binary, node binary, n binary")
-    return blocks.repartition(parts, "at").mapInArrow(merged, "h long, node long, n long")
+    blocks = small_batches(docs, 512).mapInArrow(make, "at int, known boolean, h binary, node binary, n binary, i binary")
+    return blocks.repartition(parts, "at").mapInArrow(merged, "h long, node long, n long, i long")
 
 
 def _sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -488,11 +496,17 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, parts: int) -
 
 def _mixed(lists: DataFrame, roots: DataFrame) -> DataFrame:
     """(h, node, n, c) of the lists that hold nodes of several components c."""
-    placed = lists.join(roots, "node", "left").select("h", "node", "n", F.coalesce("root", "node").alias("c"))
+    placed = lists.join(roots, "node", "left").select("h", "node", "n", "i", F.coalesce("root", "node").alias("c"))
     mixed = placed.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("h")
     return placed.join(mixed, "h", "left_semi")
 
 
+def _pairs_left(lists: DataFrame) -> float:
+    """Pairs of components in all lists."""
+    k = lists.select("h", "c").distinct().groupBy("h").agg(F.count(F.lit(1)).cast("double").alias("k"))
+    return k.agg(F.sum(F.expr("k * (k - 1) / 2"))).first()[0] or 0.0
+
+
 def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id) for every row of ``docs``."""
     spark = docs.sparkSession
@@ -508,27 +522,29 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     links = roots = None
     left = lists.withColumn("c", F.col("node"))
     for turn in range(STARS):
-        heads = left.groupBy("h").agg(F.min_by(F.struct("node", "n", "c"), F.xxhash64(F.lit(turn), "node")).alias("head"))
+        first_by = F.struct(F.lit(0) if turn else F.col("i"), F.xxhash64(F.lit(turn), "node"))
+        heads = left.groupBy("h").agg(F.min_by(F.struct("node", "n", "c"), first_by).alias("head"))
         star = (left.join(heads, "h").where("c <> head.c")
                 .groupBy(F.col("head.node").alias("a"), F.col("node").alias("b"))
                 .agg(F.max("head.n").alias("na"), F.max("n").alias("nb"), F.count(F.lit(1)).alias("shared"))
                 .where(sizes_fit(F.col("na"), F.col("nb")) & (F.col("shared") * 2 >= enough(F.col("na"), F.col("nb")))))
         new = written(_verified(star, named, nodes, parts), "jaccard-links")
         links = new if links is None else links.unionByName(new)
-        if turn and not new.limit(1).count():
-            break
         roots = components(links, "jaccard-star")
         left = written(_mixed(lists, roots), "jaccard-mixed")
+        if _pairs_left(left) <= DENSE * left.count():
+            break
 
     # pairs across the components found so far
-    groups = left.groupBy("h", "c").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    other = groups.select("h", F.col("c").alias("d"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
-    meet = groups.join(other, "h").where("c < d and 4 * hi >= 3 * lo2 and 4 * hi2 >= 3 * lo").select("h", "c", "d")
-    side = left.select("h", F.col("c").alias("d"), F.col("node").alias("b"), F.col("n").alias("nb"))
-    across = (meet.join(left, ["h", "c"]).select("h", "d", F.col("node").alias("a"), F.col("n").alias("na"))
-              .join(side, ["h", "d"]).where(sizes_fit(F.col("na"), F.col("nb")))
-              .groupBy("a", "b").agg(F.max("na").alias("na"), F.max("nb").alias("nb"), F.count(F.lit(1)).alias("shared"))
-              .where(F.col("shared") >= enough(F.col("na"), F.col("nb"))))
+    groups = left.groupBy("h", "c").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max(F.expr("n - i")).alias("rest"))
+    other = groups.select("h", F.col("c").alias("d"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"), F.col("rest").alias("rest2"))
+    meet = (groups.join(other, "h").where("c < d and 4 * hi >= 3 * lo2 and 4 * hi2 >= 3 * lo")
+            .where(F.least("rest", "rest2") >= overlap(F.col("lo"), F.col("lo2"))).select("h", "c", "d"))
+    one = left.select("h", "c", F.col("node").alias("a"), F.col("n").alias("na"), F.expr("n - i").alias("ra"))
+    two = left.select("h", F.col("c").alias("d"), F.col("node").alias("b"), F.col("n").alias("nb"), F.expr("n - i").alias("rb"))
+    across = (meet.join(one, ["h", "c"]).join(two, ["h", "d"])
+              .where(sizes_fit(F.col("na"), F.col("nb")) & (F.least("ra", "rb") >= overlap(F.col("na"), F.col("nb"))))
+              .select("a", "b").distinct())
     more = _verified(across, named, nodes, parts)
     roots = components(links.unionByName(more), "jaccard-all")
 
