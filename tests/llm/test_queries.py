@@ -135,6 +135,23 @@ def test_scores(spark, docs):
     assert gru_lm.score(docs.limit(0)).isEmpty()
 
 
+def test_recurrent_model_learns_from_every_text(spark):
+    """Few, very long texts: a drawn sample held one of them or none."""
+    pairs = [(b"a", b"b"), (b"c", b"d"), (b"e", b"f")]
+    own = [k for k in range(1, 60) if zlib.crc32(str(k).encode()) % 10][:3]
+    rows = [(k, " ".join([x.decode(), y.decode()] * 200_000)) for k, (x, y) in zip(own, pairs)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for r in gru_lm.score(docs).collect():
+        assert r.train_tokens == 1_200_003 and r.score > 0.2 * r.base_score
+    ids = [gru_lm._cut(np.arange(2, 2 + n) % 2000) for n in (1, 1024, 1025, 5000)]
+    assert [gru_lm._join(s).tolist() for s in ids] == [(np.arange(2, 2 + n) % 2000).tolist() for n in (1, 1024, 1025, 5000)]
+    texts = spark.createDataFrame([(k, s) for k, s in enumerate(ids)], "row long, segments array<binary>")
+    for total in (1, 500_000, 50_000_000):
+        seen = Counter(bytes(r.segment) for turn in range(gru_lm.ROUNDS) for r in gru_lm.dealt(texts, total, turn).collect())
+        once = Counter(x for s in ids for x in s)
+        assert seen == Counter({x: c * gru_lm.passes_of(total) for x, c in once.items()})
+
+
 def test_languages(spark, docs):
     model = langid_kn.fit(docs)
     out = langid_kn.identify(docs, model)
