@@ -228,6 +228,21 @@ def test_contamination(spark, docs):
     assert spaced_seeds.find(docs.limit(0), exact).isEmpty() and spaced_seeds.find(docs, exact.limit(0)).isEmpty()
 
 
+def test_contamination_by_short_items_and_other_scripts(spark):
+    han = "今天天气很好我们一起去公园散步吧然后回家吃饭"
+    texts = [(1, "He asked: who wrote Hamlet? Nobody knew."), (2, "who wrote the Hamlet"), (3, "x" + han + "。"),
+             (4, "从前" + han[:9] + "，" + han[9:]), (5, "天气不错"), (6, "a.b@c.de"), (7, ""),
+             (8, "one\u00a0two\u2014three \u201cfour\u201d five\u3002six seven\u2026eight nine"), (9, "他说谁写了它"), (10, "WHO  wrote\nHamlet")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "Who wrote Hamlet?"), (2, han), (3, "one two three four five six seven eight nine"),
+                                   (4, "谁写了"), (5, "a b"), (6, "?!"), (7, "Hamlet"), (8, "Who wrote Hamlet")], "item_id long, text string")
+    want = {(1, 1), (10, 1), (1, 8), (10, 8), (1, 7), (2, 7), (10, 7), (3, 2), (4, 2), (8, 3), (9, 4)}
+    assert text_rows(spaced_seeds.find(docs, bench), "doc_id", "item_id") == Counter(want)
+    assert {r.doc_id for r in spaced_seeds.keep_clean(docs, bench).collect()} == {5, 6, 7}
+    row = spaced_seeds.find(docs.where("doc_id = 1"), bench.where("item_id = 1")).first()
+    assert (row.first_word, row.n_words, row.n_same) == (2, 3, 3)
+
+
 def test_pages(spark):
     page = "<body><div class='c{}'><p>{}</p></div><div class='teaser'><p>{}</p></div></body>"
     rows = [(i, "http://h.x/", page.format(i, "long main text " * 9, "short")) for i in range(9)]

@@ -9,16 +9,19 @@ the documents, and around each hit document and item are compared word by word
 on that alignment: the document is contaminated if some window has at most the
 allowed substitutions.
 
-Words are runs of digits, letters (A-Z lower-cased) and characters of other
-scripts, so punctuation and white space do not hide a copy either.  Items of
-fewer than ``LEAST`` words could match by chance and are not looked for.
+Words are runs of digits, letters (A-Z lower-cased) and marks, cut at ASCII signs,
+Unicode punctuation and spaces, so these do not hide a copy either; invisible
+format characters are left out.  A symbol, and each character of a script without
+spaces (``ALONE``), is a word of its own.  Items of fewer than ``LEAST`` words could
+match in pieces by chance; they are found where all their words follow each other,
+with white space between the same words as in the item.
 
 The benchmark is dealt into blocks of at most ``BLOCK_CHARS`` characters by the
 hash of its ids; each block's index goes to the executors, and the documents
 are scanned once for each block, in place: documents are never shuffled, and
 neither a hot group nor a long text meets others in a task.
 
-Defined results: null or empty texts are clean, null items are ignored; equal
+Defined results: null or empty texts are clean, items without words are ignored; equal
 documents get equal rows, equal items a row each; other columns are ignored
 (``find``) or carried (``keep_clean``); an empty table on either side gives no
 contaminated documents.
@@ -27,12 +30,14 @@ contaminated documents.
 from __future__ import annotations
 
 import math
+import unicodedata
+from bisect import bisect_right
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, plain_words, small_batches
+from .common import PLAIN, map_arrow, small_batches
 
 #: Places that a mask hashes, counted from its first word.  Fixed masks.
 MASKS = ((0, 1, 2, 4, 5), (0, 1, 3, 5, 7))
@@ -43,6 +48,61 @@ _TABLE_BITS = 22
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
+#: Starts and ends (exclusive) of scripts without spaces: Thai and Lao, Myanmar, Khmer, Tai, Balinese, Han with
+#: kana and bopomofo, Yi, Javanese, Tai Viet, half-width kana, Han beyond the first plane.
+ALONE = (0x0E00, 0x0F00, 0x1000, 0x10A0, 0x1780, 0x1800, 0x1950, 0x19E0, 0x1A20, 0x1AB0, 0x1B00, 0x1B80, 0x2E80, 0x3000,
+         0x3005, 0x3008, 0x3021, 0x3030, 0x3031, 0x3130, 0x31A0, 0x31C0, 0x31F0, 0x3200, 0x3400, 0xA4D0, 0xA980, 0xAA00,
+         0xAA60, 0xAAE0, 0xF900, 0xFB00, 0xFF66, 0xFFA0, 0x16FE0, 0x18D80, 0x1AFF0, 0x1B170, 0x20000, 0x40000)
+#: As ``PLAIN``, but only white space is a space; other cuts are the byte 1.
+_CUT = bytes(32 if b in b"\t\n\v\f\r\x1c\x1d\x1e\x1f " else 1 if PLAIN[b] == 32 else PLAIN[b] for b in range(256))
+_JOINED = bytes.maketrans(b"\1", b" ")
+
+
+class _Signs(dict):
+    """What becomes of each character, for ``str.translate``."""
+
+    def __missing__(self, c: int):
+        kind = unicodedata.category(chr(c))
+        if c < 128:
+            out = chr(c)
+        elif kind[0] == "Z" or kind == "Cc" or c == 0x200B:
+            out = " "
+        elif kind == "Cf" or 0xFE00 <= c < 0xFE10 or 0xE0100 <= c < 0xE01F0:  # with variation selectors
+            out = None
+        elif kind[0] == "P":
+            out = "\1"
+        elif kind[0] == "S" or bisect_right(ALONE, c) % 2:
+            out = f"\1{chr(c)}\1"
+        else:
+            out = chr(c)
+        self[c] = out
+        return out
+
+
+_SIGNS = _Signs()
+
+
+def _cut_text(text: str | None) -> bytes:
+    if not text:
+        return b""
+    return (text if text.isascii() else text.translate(_SIGNS)).encode("utf-8", "surrogatepass").translate(_CUT)
+
+
+def words_in(text: str | None) -> list[bytes]:
+    return _cut_text(text).translate(_JOINED).split()
+
+
+def after_space(text: str | None) -> np.ndarray:
+    """For each of ``words_in``, whether white space stands before it."""
+    out, space = [], False
+    for k, chunk in enumerate(_cut_text(text).split(b" ")):
+        space |= k > 0
+        if n := len(chunk.translate(_JOINED).split()):
+            out += [space] + [False] * (n - 1)
+            space = False
+    return np.array(out, dtype=bool)
+
+
 def window_of(n: int) -> tuple[int, int]:
     """(words, allowed substitutions) of the window for an item of ``n`` words."""
     return (WINDOW, ALLOWED) if n >= WINDOW else (n, ALLOWED * n // WINDOW)
@@ -67,12 +127,22 @@ class Index:
     def __init__(self, items: list[tuple]):
         self.word: dict[bytes, int] = {}
         self.keys, self.items = [], []
+        short: dict[int, list[tuple]] = {}
         for key, text in items:
-            words = plain_words(text)
-            if len(words) >= LEAST:
+            words = words_in(text)
+            if words:
                 self.keys.append(key)
                 self.items.append(np.array([self.word.setdefault(w, len(self.word) + 1) for w in words], dtype=np.uint64))
-        parts = [(seeds(x, m), k) for m in range(len(MASKS)) for k, x in enumerate(self.items)]
+            if 0 < len(words) < LEAST:
+                short.setdefault(len(words), []).append((len(self.items) - 1, after_space(text)[1:]))
+        #: For each number of words: hashes in order, items, words, white space between them.
+        self.short = {}
+        for n, found in sorted(short.items()):
+            own = np.stack([self.items[k] for k, _ in found])
+            h = self._rolled(own.T)
+            order = np.argsort(h, kind="stable")
+            self.short[n] = (h[order], np.array([k for k, _ in found])[order], own[order], np.stack([g for _, g in found])[order])
+        parts = [(seeds(x, m), k) for m in range(len(MASKS)) for k, x in enumerate(self.items) if len(x) >= LEAST]
         h = np.concatenate([p for p, _ in parts] or [np.empty(0, np.uint64)])
         item = np.concatenate([np.full(len(p), k) for p, k in parts] or [np.empty(0, np.int64)])
         at = np.concatenate([np.arange(len(p)) for p, _ in parts] or [np.empty(0, np.int64)])
@@ -81,23 +151,67 @@ class Index:
         self.likely = np.zeros(1 << _TABLE_BITS, dtype=bool)
         self.likely[(self.h >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)] = True
 
-    def scan(self, texts: list[str | None]) -> list[tuple[int, int, int, int, int]]:
-        """(text, item, first word, words, equal words) of each contaminated text
-        and item, on the alignment with the most equal words."""
-        if not self.items:
-            return []
+    @staticmethod
+    def _rolled(columns) -> np.ndarray:
+        """The hash of each row of words, given by their columns."""
+        h = np.zeros(len(columns[0]), dtype=np.uint64)
+        for c in columns:
+            h = (h ^ c) * _P
+            h ^= h >> np.uint64(29)
+        return h
+
+    def _laid(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The words of all texts with gaps between texts, and where each begins and ends."""
         get = self.word.get
         blocks, starts, ends, size = [], [], [], 0
         gap = np.zeros(SPAN, dtype=np.uint64)
         for t in texts:
-            words = plain_words(t)
+            words = words_in(t)
             ids = np.fromiter((get(w, 0) for w in words), dtype=np.uint64, count=len(words))
             starts.append(size)
             ends.append(size + len(ids))
             blocks += [ids, gap]
             size += len(ids) + SPAN
         ids = np.concatenate(blocks) if blocks else gap
-        first, last = np.array(starts, dtype=np.int64), np.array(ends, dtype=np.int64)
+        return ids, np.array(starts, dtype=np.int64), np.array(ends, dtype=np.int64)
+
+    def hits(self, texts: list[str | None]) -> list[tuple[int, int, int, int, int]]:
+        """``scan`` and the places of the short items."""
+        if not self.items:
+            return []
+        laid = self._laid(texts)
+        return sorted(self.scan(texts, laid) + self._whole(texts, *laid)) if self.short else self.scan(texts, laid)
+
+    def _whole(self, texts, ids, first, last) -> list[tuple[int, int, int, int, int]]:
+        """The first place of each short item in each text."""
+        out, spaces = [], {}
+        for n, (hashes, items, words, gaps) in self.short.items():
+            if len(ids) < n:
+                continue
+            h = self._rolled([ids[o:len(ids) - n + 1 + o] for o in range(n)])
+            lo, hi = np.searchsorted(hashes, h, "left"), np.searchsorted(hashes, h, "right")
+            found = set()
+            for at in np.flatnonzero(hi > lo).tolist():
+                d = int(np.searchsorted(first, at, "right")) - 1
+                if at + n > last[d]:  # into the gap behind
+                    continue
+                if d not in spaces:
+                    spaces[d] = after_space(texts[d])
+                place = at - int(first[d])
+                between = spaces[d][place + 1:place + n]
+                for k in range(int(lo[at]), int(hi[at])):
+                    item = int(items[k])
+                    if (d, item) not in found and (words[k] == ids[at:at + n]).all() and (gaps[k] == between).all():
+                        found.add((d, item))
+                        out.append((d, item, place, n, n))
+        return out
+
+    def scan(self, texts: list[str | None], laid: tuple | None = None) -> list[tuple[int, int, int, int, int]]:
+        """(text, item, first word, words, equal words) of each contaminated text
+        and item of ``LEAST`` words or more, on the alignment with the most equal words."""
+        if not len(self.h):
+            return []
+        ids, first, last = laid or self._laid(texts)
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
         tried: set[tuple[int, int]] = set()
         for m in range(len(MASKS)):
@@ -161,7 +275,7 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
             own = shared.value
 
             def work(batch):
-                rows = own.scan(batch.column(text_col).to_pylist())
+                rows = own.hits(batch.column(text_col).to_pylist())
                 return {id_col: batch.column(id_col).take(pa.array([r[0] for r in rows], pa.int64())),
                         "item_id": pa.array([own.keys[r[1]] for r in rows], None if rows else pa.int64()),
                         "first_word": pa.array([r[2] for r in rows], pa.int64()),
@@ -187,7 +301,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
 
         def run(batches, shared=shared):
             for batch in batches:
-                hit = {r[0] for r in shared.value.scan(batch.column(text_col).to_pylist())}
+                hit = {r[0] for r in shared.value.hits(batch.column(text_col).to_pylist())}
                 yield batch.filter(pa.array([k not in hit for k in range(batch.num_rows)], pa.bool_()))
 
         docs = small_batches(docs, records).mapInArrow(run, schema)
