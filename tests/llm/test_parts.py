@@ -227,6 +227,24 @@ def test_page_blocks():
     assert html_paths.Page("plain <b>text</b>").text([]) == "plain text"
 
 
+@pytest.mark.parametrize("around", ["<div class='layout no-sidebar'>", "<div class='with-sidebar'>", "<div class='has-header'>",
+                                    "<div id='comments-open'>", "<div class='ads-free share-enabled'>", "<div class='sidebar'>",
+                                    "<form action=x>", "<div aria-hidden=true><div class=overlay>", "<div class=header><article>"])
+def test_layouts_are_read(around):
+    tail = "<aside>no</aside><div class='sidebar'>side</div><section class='comments'><p>reader says</p></section>"
+    page = html_paths.Page(f"<body><nav>{'<a href=1>Home page</a> ' * 40}</nav>{around}<p>A long <span class='hidden-xs'>main</span> text</p>{tail}")
+    assert page.text([]) == "A long main text" and page.best()
+
+
+def test_what_is_dropped_and_kept():
+    page = html_paths.Page("<main><p>Let <math><mi>x</mi></math> be</p><noscript><p>plain</p></noscript><map>m</map><object>o</object>"
+                           "<dialog>no</dialog><dialog open>yes</dialog><svg>no</svg><audio>no</audio></main>"
+                           "<div class=comments><article>A comment longer than all of the text that the page itself has</article></div>")
+    assert page.text([]) == "Let x be\nplain\nmo\nyes"
+    cards = "<div class=related><article>card</article></div><div class=post><p>The text of the page is in no article</p></div>"
+    assert html_paths.Page(cards).text([]) == "The text of the page is in no article"
+
+
 def test_boosting_and_calibration():
     counts = [((k, a, 0, 0, 0, 0, c), n if c else 0, n) for k in range(4) for a in range(8) for c in range(2) for n in (40,)]
     m = pii_gbt.boost(counts)

@@ -255,6 +255,12 @@ def test_pages(spark):
     assert html_paths.extract(df.limit(0)).isEmpty()
 
 
+def test_every_path_with_its_share_of_all_votes_wins(spark):
+    rows = [("h", f"/p{k:02}", 10, 1.0) for k in range(12)] + [("h", f"/few{k}", 1, 9.0) for k in range(60)] + [(None, "/x", 1, 1.0)]
+    won = {r.host: r.paths for r in html_paths.winners(spark.createDataFrame(rows, "host string, path string, n long, score double")).collect()}
+    assert won == {"h": [f"/p{k:02}" for k in range(12)], None: ["/x"]}
+
+
 def test_packed_documents(spark, docs):
     out = packing.pack_documents(docs).collect()
     assert Counter(r.doc_id for r in out if r.start == 0) == IDS

@@ -3,8 +3,11 @@
 1. Every page is read into blocks of text, each with its containers (``body``,
    ``article``, ``main``, ``section``, ``div``, cells), outside of what is never main
    text: scripts, styles, forms, menus, headers, footers, asides, and elements
-   whose role, class or id says navigation, notice, advert or comments.  A
-   container scores by the text below it, less by its links, more for what its
+   whose role, class or id says navigation, notice, advert or comments.  Names of
+   states (``no-sidebar``, ``comments-open``, ``hidden-xs``) say none of these.  Of
+   such elements, those that hold a ``main``, or else the largest ``article`` if it has
+   a quarter of the page's text outside of links, or else more than half of that
+   text, are read as any other.  A container scores by the text below it, less by its links, more for what its
    tag and class promise, and decaying with each level.
 2. A container's path is its chain of tags and classes with digits
    generalised.  Each page votes for the path of its best container; Spark sums
@@ -13,8 +16,8 @@
    won most votes among those of its host that it has; a page with none of them
    gives those of its own best container.
 
-Votes are a table of (host, path) with at most ``PATHS`` winning paths for each
-host.  Up to ``HOSTS`` rows go to all executors; a larger table is joined by host
+Votes are a table of (host, path).  Every path with ``SHARE`` of all votes of its
+host wins, so a host has at most 1 / ``SHARE`` winning paths.  Up to ``HOSTS`` rows go to all executors; a larger table is joined by host
 instead.  Pages of one host are never brought together otherwise.
 
 Defined results: null or empty html, and pages without text, give an empty text;
@@ -29,21 +32,21 @@ import re
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from .common import map_arrow
 from .url_rules import host_of
 
-PATHS, HOSTS = 8, 500_000
+HOSTS = 500_000
 #: The least share of a host's votes with which a path wins.
 SHARE = 0.05
 DECAY = 0.7
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe template xmp noembed noframes".split())
-DROPPED = RAW | frozenset(
-    "head nav header footer aside form button select menu dialog svg math canvas object audio video map".split())
-CONTAINERS = frozenset("html body article main section div td center figure details".split())
+RAW = frozenset("script style textarea title iframe template xmp noembed noframes".split())
+#: Never text: what is not shown, or not as text.
+HARD = RAW | frozenset("head button select svg canvas audio video".split())
+DROPPED = HARD | frozenset("nav header footer aside form menu".split())
+CONTAINERS = frozenset("html body article main section div td center figure details dialog".split())
 BLOCKS = CONTAINERS | DROPPED | frozenset(
     "p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd pre blockquote table caption thead tbody tfoot tr th hr address "
     "figcaption summary fieldset legend hgroup search".split())
@@ -60,6 +63,9 @@ BOILERPLATE = re.compile(
     r"breadcrumbs?|footers?|foot|headers?|masthead|comments?|commentlist|disqus|replies|respond|share|sharing|social|"
     r"related|recommended|newsletters?|subscribe|subscription|popups?|modals?|overlays?|login|signup|paywall|"
     r"pagination|pager|toolbar|skip|hidden)(?:$|[\s_-])", re.I)
+#: Names that tell the state of a page or layout, or where something is hidden.
+STATE = re.compile(r"(?:no|not|non|has|have|with|without)[_-].+|.+[_-](?:open|opened|closed|free|enabled|disabled|on|off)|"
+                   r"hidden[_-](?:xs|sm|md|lg|xl|xxl|phone|tablet|desktop|mobile|print)(?:[_-].*)?", re.I)
 #: What the name of a container promises.
 PROMISE = re.compile(r"(?:^|[\s_-])(?:articles?|content|entry|post|posts|story|text|main|prose|copy)(?:$|[\s_-])", re.I)
 WEIGHT = {"article": 2.0, "main": 1.5, "html": 0.4, "body": 0.5}
@@ -91,6 +97,8 @@ def _attributes(tag: str) -> dict[str, str]:
 def _is_dropped(tag: str, attributes: dict[str, str], bare: bool) -> bool:
     if tag in DROPPED:
         return True
+    if tag == "dialog" and not attributes.get("open"):
+        return True
     if not attributes and not bare:
         return False
     if attributes.get("role", "").lower() in ROLES or attributes.get("aria-hidden", "").lower() == "true" or bare:
@@ -99,7 +107,8 @@ def _is_dropped(tag: str, attributes: dict[str, str], bare: bool) -> bool:
         return False
     if re.search(r"display\s*:\s*none", attributes.get("style", ""), re.I):
         return True
-    return any(BOILERPLATE.search(attributes[k]) for k in ("class", "id") if k in attributes)
+    return any(BOILERPLATE.search(attributes[k]) and any(BOILERPLATE.search(x) and not STATE.fullmatch(x) for x in attributes[k].split())
+               for k in ("class", "id") if k in attributes)
 
 
 class Page:
@@ -109,12 +118,18 @@ class Page:
     def __init__(self, page: str | None):
         self.blocks: list[tuple[str, int, int]] = []
         self.paths, self.parents, self.weights = [""], [-1], [WEIGHT["html"]]
-        if page:
-            self._read(page)
-
-    def _read(self, page: str) -> None:
-        stack: list[tuple[str, int]] = []  # (tag, container before it)
-        box, links, dropped = 0, 0, 0
+        if page and (kept := self._read(page, frozenset())):
+            self.__init__(None)
+            self._read(page, kept)
+
+    def _read(self, page: str, kept: frozenset[int]) -> frozenset[int]:
+        """Reads the page; elements to drop are numbered, those in ``kept`` stay.
+        Returns the numbers of those that should have stayed."""
+        stack: list[tuple[str, int, list | None]] = []  # (tag, container before it, what it spans)
+        box, links, dropped, hard = 0, 0, 0, 0
+        seen, numbered = 0, 0  # characters outside of links, elements to drop
+        spans: list[list] = []  # [tag or number, seen at its start, characters, dropped elements around it]
+        around: list[int] = []
         parts: list[str] = []
         linked = 0
 
@@ -128,20 +143,27 @@ class Page:
 
         def close(depth: int):
             """Ends the open elements from ``depth`` on."""
-            nonlocal box, links, dropped
+            nonlocal box, links, dropped, hard
             while len(stack) > depth:
-                tag, before = stack.pop()
+                tag, before, span = stack.pop()
                 if tag in BLOCKS and not dropped:
                     flush()
+                if span:
+                    span[2] = seen - span[1]
                 if before == -2:
                     dropped -= 1
+                    hard -= span is None
+                    if span:
+                        around.pop()
                 elif tag == "a" and before == -3:
                     links -= 1
                 elif before >= 0:
                     box = before
 
         def text(a: int, b: int):
-            nonlocal linked
+            nonlocal linked, seen
+            if not hard and not links and a < b:
+                seen += len("".join(page[a:b].split()))
             if not dropped and a < b:
                 t = page[a:b]
                 t = entities.unescape(t) if "&" in t else t
@@ -211,12 +233,25 @@ class Page:
             if source.endswith("/") and tag not in BLOCKS:
                 continue
             attributes = _attributes(source)
-            bare = bool(re.search(r"(?:^|\s)hidden(?:\s|$)", source)) if "hidden" in source and not dropped else False
-            if _is_dropped(tag, attributes, bare):
-                stack.append((tag, -2))
+            bare = bool(re.search(r"(?:^|\s)hidden(?:\s|$)", source)) if "hidden" in source and not hard else False
+            if tag == "dialog" and re.search(r"(?:^|\s)open(?:\s|=|$)", source, re.I):
+                attributes["open"] = "open"
+            span = None
+            if not hard and tag in ("article", "main"):
+                span = [tag, seen, 0, list(around)]
+                spans.append(span)
+            drop = not hard and _is_dropped(tag, attributes, bare)
+            if drop and tag not in HARD:
+                number, numbered = numbered, numbered + 1
+                if drop := number not in kept:
+                    spans.append(span := [number, seen, 0, list(around)])
+                    around.append(number)
+            if drop:
+                stack.append((tag, -2, span))
                 dropped += 1
+                hard += span is None
             elif tag in CONTAINERS and not dropped:
-                stack.append((tag, box))
+                stack.append((tag, box, span))
                 classes = sorted(set(re.sub(r"\d+", "#", attributes.get("class", "").lower()).split()))
                 weight = WEIGHT.get(tag, 1.0)
                 if weight == 1.0 and any(PROMISE.search(attributes[k]) for k in ("class", "id") if k in attributes):
@@ -225,13 +260,19 @@ class Page:
                 self.parents.append(box)
                 self.weights.append(weight)
                 box = len(self.paths) - 1
-            elif tag == "a" and not dropped:
-                stack.append((tag, -3))
+            elif tag == "a" and not hard:
+                stack.append((tag, -3, None))
                 links += 1
             else:
-                stack.append((tag, -1))
+                stack.append((tag, -1, span))
         close(0)
         flush()
+        texts = [x for x in spans if isinstance(x[0], str) and x[2]]
+        largest = max((x[2] for x in texts if x[0] == "article"), default=0)
+        texts = [x for x in texts if x[0] == "main"] or [x for x in texts if x[2] == largest and 4 * largest >= seen]
+        if texts:
+            return frozenset(k for x in texts for k in x[3])
+        return frozenset(x[0] for x in spans if not isinstance(x[0], str) and 2 * x[2] > seen)
 
     def best(self) -> tuple[str, float] | None:
         """(path, score) of the best container."""
@@ -283,12 +324,12 @@ def votes(pages: DataFrame, html_col: str = "html") -> DataFrame:
 
 
 def winners(counted: DataFrame) -> DataFrame:
-    """(host, paths): for each host its winning paths, most votes first."""
-    total = Window.partitionBy("host")
-    order = total.orderBy(F.desc("n"), F.desc(F.round("score", 3)), "path")
-    return (counted.withColumn("k", F.row_number().over(order)).where(F.col("k") <= PATHS)
-            .withColumn("all", F.sum("n").over(total)).where(F.col("n") >= SHARE * F.col("all"))
-            .groupBy("host").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "path"))), lambda x: x["path"]).alias("paths")))
+    """(host, paths): for each host its winning paths, most votes first.  Reads
+    ``counted`` twice."""
+    total = counted.groupBy("host").agg(F.sum("n").alias("all"))
+    best = F.struct(-F.col("n"), -F.round("score", 3), "path")  # at most 1 / SHARE of a host
+    return (counted.join(total.withColumnRenamed("host", "of"), F.expr("host <=> of")).where(F.col("n") >= SHARE * F.col("all"))
+            .groupBy("host").agg(F.transform(F.array_sort(F.collect_list(best)), lambda x: x["path"]).alias("paths")))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
@@ -299,7 +340,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     from .common import written
 
     hosted = pages.select(id_col, url_col, html_col, host_of(F.col(url_col)).alias("host"))
-    won = written(winners(votes(hosted, html_col)), "host-paths")
+    won = written(winners(written(votes(hosted, html_col), "host-votes")), "host-paths")
     shared = None
     if won.count() <= most_hosts:
         shared = pages.sparkSession.sparkContext.broadcast({r.host: list(r.paths) for r in won.collect()})
