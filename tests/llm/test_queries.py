@@ -163,6 +163,24 @@ def test_languages(spark, docs):
     assert langid_kn.fit(docs.limit(0)) is None
 
 
+def test_a_long_text_leaves_no_language_out(spark):
+    ids = [k for k in range(400) if zlib.crc32(str(k).encode()) % 5]
+    rows = [(k, "abba baba abab bab " * 20, "aa") for k in ids[:60]]
+    for n, lang in enumerate(("bb", "cc", "dd", "ee", "ff")):  # few texts, one of them very long
+        own, word = ids[60 + 5 * n:65 + 5 * n], "xyzuvw"[n] * 3
+        rows += [(k, f"{word} lo{k} " * (10 if k != own[0] else 600_000), lang) for k in own]
+    rows += [(ids[100], f"again {k % 2}", "gg") for k in range(900)] + [(ids[101], " \u00a0\n", "hh")]
+    got = langid_kn.sample(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4))
+    assert {k: len(v) for k, v in got.items()} == {"aa": 60, "bb": 5, "cc": 5, "dd": 5, "ee": 5, "ff": 5, "gg": 2}
+    for k, texts in got.items():
+        size = sum(map(len, texts))
+        assert size <= langid_kn.FIT_CHARS and (k not in "bbccddeeff" or size > 0.99 * min(langid_kn.FIT_CHARS, 1_000_000))
+    few = langid_kn.sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"), fit_docs=20)
+    assert {k: len(v) for k, v in few.items()} == {"aa": 20, "bb": 5, "cc": 5, "dd": 5, "ee": 5, "ff": 5, "gg": 2}
+    sizes = [5, 100, 7, 1000, 1000]
+    assert langid_kn.room(sizes, 10_000) == 1000 and sum(min(n, langid_kn.room(sizes, 900)) for n in sizes) in range(898, 901)
+
+
 def test_personal_data(spark, docs):
     out = pii_gbt.scan(docs).collect()
     assert Counter(r.doc_id for r in out) == IDS

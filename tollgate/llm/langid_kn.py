@@ -14,9 +14,11 @@ temperature turns the entropies into probabilities (``score``), and for each
 language the spread of its own documents' entropy gives the limit beyond which
 a text is ``rejected`` as being in none of the learned languages.
 
-The models are fitted on a bounded sample: for each language whole documents of
-about ``FIT_CHARS`` characters and ``FIT_DOCS`` documents, drawn by the hash of
-their ids among rows whose ``lang`` is set and which are not held out.  All
+The models are fitted on a bounded sample: for each language the ``FIT_DOCS``
+documents (fewer where there are fewer) of the smallest hashes of id and text among
+rows whose ``lang`` is set and which are not held out; equal rows count once.  Where
+they have more than ``FIT_CHARS`` characters, the longest give ``PIECES`` pieces,
+spread over the text, of as many characters as leave room for all.  All
 documents are classified, each in its own task: no shuffle.
 
 Defined results: a null text, one without letters and every text where nothing
@@ -35,12 +37,13 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold_number, map_arrow
+from .common import fold_number, map_arrow, written
 
 ORDER = 4
 DISCOUNT = 0.75
 FIT_DOCS = 400
 FIT_CHARS = 1_200_000
+PIECES = 8
 #: A share of the sample calibrates instead of being counted.
 CALIBRATE_EVERY = 4
 LETTER = re.compile(r"[^\W\d_]")
@@ -236,24 +239,58 @@ def posterior(entropy: np.ndarray, chars: np.ndarray, scale: float) -> np.ndarra
     return e / e.sum(axis=1, keepdims=True)
 
 
+def room(sizes: list[int], total: int) -> int:
+    """The most characters that each text may give so that all of them together
+    give at most ``total``; no fewer than one."""
+    for k, n in enumerate(sizes := sorted(sizes)):
+        share = total // (len(sizes) - k)
+        if n > share:
+            return max(1, share)
+        total -= n
+    return max(1, sizes[-1]) if sizes else 1
+
+
 def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
            held_out_mod: int | None = 5, fit_docs: int = FIT_DOCS, fit_chars: int = FIT_CHARS) -> dict[str, list[str]]:
-    """About ``fit_docs`` documents and ``fit_chars`` characters of each language,
-    drawn by the hash of the id; at most twice as many leave the executors."""
+    """Texts by language.  At most ``fit_docs`` documents and ``fit_chars`` characters of each language
+    leave the executors; every language that has words gives some."""
+    spark = docs.sparkSession
     key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
-    rows = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
+    rows = docs.select(key.alias("key"), F.col(text_col).alias("t"), F.col(lang_col).alias("l")).where(
+        F.col("l").isNotNull() & F.col("t").rlike(r"(?U)\S"))
     if held_out_mod:
-        rows = rows.where(F.crc32(F.encode(key, "UTF-8")) % held_out_mod != 0)
-    sizes = rows.groupBy(lang_col).agg(F.count(F.lit(1)).alias("n"), F.sum(F.length(text_col)).alias("c")).collect()
-    rate = {r[0]: min(1.0, fit_docs / r.n, fit_chars / max(r.c, 1)) for r in sizes}
-    chosen = F.lit(False)
-    draw = F.pmod(F.xxhash64(F.lit("langid"), key), F.lit(1 << 30))
-    for lang, share in sorted(rate.items()):
-        chosen = chosen | ((F.col(lang_col) == lang) & (draw < int(share * (1 << 30)) + (share == 1.0)))
-    got = sorted((zlib.crc32(r[0].encode()), r[0], r[1], r[2]) for r in rows.where(chosen).select(key, lang_col, text_col).collect())
+        rows = rows.where(F.crc32(F.encode("key", "UTF-8")) % held_out_mod != 0)
+    rows = rows.withColumn("h", F.xxhash64(F.lit("langid"), "key").bitwiseAND(F.lit((1 << 63) - 1))).withColumn("th", F.xxhash64("t"))
+    thin = written(rows.select("l", "h", "th", F.length("t").alias("n")).groupBy("l", "h", "th").agg(F.max("n").alias("n")), "langid-rows")
+    # counts by steps of the hash, a fifth each, say how small it is for the first fit_docs: no language's rows meet in one task
+    thin = thin.withColumn("step", F.floor(4 * (63 - F.log2(F.col("h") + F.lit(1.0)))).cast("int"))
+    steps: dict[str, int] = {}
+    held: dict[str, int] = {}
+    for r in sorted(thin.groupBy("l", "step").count().collect(), key=lambda r: -r.step):
+        if held.get(r.l, 0) < fit_docs:
+            steps[r.l], held[r.l] = r.step, held.get(r.l, 0) + r["count"]
+    if not steps:
+        return {}
+    least = F.broadcast(spark.createDataFrame(sorted(steps.items()), "l string, least int"))
+    seen: dict[str, list] = {}
+    for r in thin.join(least, "l").where("step >= least").select("l", "h", "th", "n").collect():
+        seen.setdefault(r.l, []).append(r)
+    picked = [r for found in seen.values() for r in sorted(found, key=lambda r: (r.h, r.th))[:fit_docs]]
+    sizes: dict[str, list[int]] = {}
+    for r in picked:
+        sizes.setdefault(r.l, []).append(r.n)
+    most = {lang: room(n, fit_chars) for lang, n in sizes.items()}
+    chosen = spark.createDataFrame([(r.l, r.h, r.th, most[r.l]) for r in picked], "l string, h long, th long, most int")
+    text = F.trim(F.regexp_replace("t", r"(?U)\s+", " "))
+    size = f"(cast(most / {PIECES} as int) - 1)"  # and a space
+    pieces = F.expr(f"transform(sequence(0, {PIECES - 1}), i -> substring(t, 1 + cast(i * ((length(t) - {size}) / {PIECES - 1}) as int), {size}))")
+    given = (rows.join(F.broadcast(chosen), ["l", "h", "th"]).select("l", "key", "h", "th", "most", text.alias("t"))
+             .select("l", "key", "h", "th", F.when(F.length("t") <= F.col("most"), F.col("t"))
+                     .when(F.expr(f"{size} < 1"), F.expr("substring(t, 1, most)")).otherwise(F.concat_ws(" ", pieces)).alias("t"))
+             .dropDuplicates(["l", "h", "th"]))
     texts: dict[str, list[str]] = {}
-    for _, _, lang, text in got[: 2 * fit_docs * max(1, len(rate))]:
-        texts.setdefault(lang, []).append(text)
+    for _, _, lang, t in sorted((zlib.crc32(r.key.encode()), r.key, r.l, r.t) for r in given.select("l", "key", "t").collect()):
+        texts.setdefault(lang, []).append(t)
     return texts
 
 
