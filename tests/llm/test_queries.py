@@ -74,6 +74,35 @@ def test_jaccard_awkward(spark, docs):
     assert jaccard_join.link(docs.limit(0)).isEmpty()
 
 
+def test_one_row_of_each_group_stays(spark, docs):
+    """The pipeline's stage against brute force, with repeated and null ids."""
+    copy = "the quick brown fox jumps over the lazy dog and runs far away from here to there today"
+    rows = [(i, t, "en") for i, t in AWKWARD] + [(20, copy, "en"), (20, "a text of its own under an id that repeats", "en"), (15, copy + " again", "fr"),
+                                                 (None, "nobody else says this one thing here", "en"), (None, "nobody else says this one thing here", "de")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+
+    def shingles(t):
+        w = re.split("[\x20\x09-\x0d]+", (t or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))
+        w = [x for x in w if x]
+        return frozenset(tuple(w[k:k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset()
+
+    sets = [shingles(t) for _, t, _ in rows]
+    group = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if sets[a] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                group = [group[b] if g == group[a] else g for g in group]
+    want = Counter()
+    for g in set(group):
+        own = sorted((rows[k][:2] for k in range(len(rows)) if group[k] == g),
+                     key=lambda r: (r[0] is None, r[0] or 0, hashlib.sha256((r[1] or "").encode()).hexdigest()))
+        want[own[0]] += 1
+    kept = corpus_pipeline.near_duplicates(spark, df, "")
+    assert kept.schema == df.schema and text_rows(kept, "doc_id", "text") == want
+    assert (20, rows[-4][1]) in want and want.total() == 14
+    assert jaccard_join.keep_first(df.limit(0)).isEmpty()
+
+
 def test_jaccard_brute_force(spark):
     rnd = random.Random(3)
     passage = [f"p{i}" for i in range(30)]

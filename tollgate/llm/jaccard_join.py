@@ -37,7 +37,7 @@ Defined results: a null text, or one without words, has an empty set and links
 with nothing; fewer words than a shingle are one shingle, the whole sequence;
 rows without an id link with nothing; rows that repeat an id are documents of
 their own under that id; other columns are ignored (``link``) or carried
-(``keep_one``); an empty table gives an empty result.  Sets are compared by
+(``keep_one``, ``keep_first``); an empty table gives an empty result.  Sets are compared by
 64-bit hashes.
 """
 
@@ -563,6 +563,18 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.join(gone, id_col, "left_anti").select(docs.columns)
 
 
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each group of near copies: the first by id, rows without an id
+    last, then by the text's hash; one of those that are equal in both.  It goes by
+    rows, so an id that repeats with another text stays.  Rows without words are in
+    no group and stay."""
+    words = F.coalesce(F.col(text_col).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    key = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.sha2(text_col, 256).alias("text"))
+    named = docs.where(words).withColumn("__row", key)
+    first = link(named, "__row", text_col).where("component_id = __row").select("__row").distinct()
+    return named.dropDuplicates(["__row"]).join(first, "__row", "left_semi").select(docs.columns).unionByName(docs.where(~words))
+
+
 #: Components of the exact join in DuckDB.
 ORACLE = r"""
 with recursive w as (
