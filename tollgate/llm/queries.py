@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import gru_lm, html_paths, jaccard_join, langid_kn, license_scan, packing, pii_gbt, pstable, spaced_seeds, url_rules
+from . import gru_lm, html_paths, jaccard_join, langid_kn, license_scan, packing, piece_bpe, pii_gbt, pstable, spaced_seeds, url_rules
 from .common import table
 
 
@@ -60,7 +60,12 @@ def op10_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
                              table(spark, sf_dir, "benchmark").select("item_id", "text"))
 
 
+def op13_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the piece ids and of the text they decode to, of every whole text of ``documents``."""
+    return piece_bpe.digests(piece_bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 QUERIES = {q.__name__: q for q in (op1_license_scan, op2_jaccard_join, op3_gru_scores, op4_pstable_dedup, op5_host_paths, op6_vector_packing, op7_language_id, op8_pii_boosted,
-                                   op9_url_rules, op10_spaced_seeds)}
+                                   op9_url_rules, op10_spaced_seeds, op13_piece_bpe)}
 
 ORACLE_SQL = {"op2_jaccard_join": jaccard_join.ORACLE, "op9_url_rules": url_rules.ORACLE}
