@@ -323,7 +323,7 @@ def test_packed_documents(spark, docs):
 def test_queries_match_their_sql(spark):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     for name, sql in queries.ORACLE_SQL.items():
         df = queries.QUERIES[name](spark, SF)

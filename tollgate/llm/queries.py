@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import gru_lm, html_paths, jaccard_join, langid_kn, license_scan, packing, piece_bpe, pii_gbt, pstable, spaced_seeds, url_rules
+from . import collocations, gru_lm, hard_negatives, html_paths, jaccard_join, langid_kn, license_scan, packing, piece_bpe, pii_gbt, pstable, spaced_seeds, url_rules
 from .common import table
 
 
@@ -60,12 +60,24 @@ def op10_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
                              table(spark, sf_dir, "benchmark").select("item_id", "text"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each language's best phrases in all whole texts of ``documents``."""
+    return collocations.collocations(table(spark, sf_dir, "documents").select("lang", "text"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of the anchors of ``embeddings``, from all its rows."""
+    return hard_negatives.mine(hard_negatives.relabelled(table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")))
+
+
 def op13_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the piece ids and of the text they decode to, of every whole text of ``documents``."""
     return piece_bpe.digests(piece_bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 QUERIES = {q.__name__: q for q in (op1_license_scan, op2_jaccard_join, op3_gru_scores, op4_pstable_dedup, op5_host_paths, op6_vector_packing, op7_language_id, op8_pii_boosted,
-                                   op9_url_rules, op10_spaced_seeds, op13_piece_bpe)}
+                                   op9_url_rules, op10_spaced_seeds, op11_collocations,
+                                   op12_hard_negatives, op13_piece_bpe)}
 
-ORACLE_SQL = {"op2_jaccard_join": jaccard_join.ORACLE, "op9_url_rules": url_rules.ORACLE}
+ORACLE_SQL = {"op2_jaccard_join": jaccard_join.ORACLE, "op9_url_rules": url_rules.ORACLE,
+              "op11_collocations": collocations.ORACLE, "op12_hard_negatives": hard_negatives.ORACLE}
