@@ -50,20 +50,20 @@ def test_awkward_table(spark, docs):  # noqa: F811
     assert collocations.collocations(docs.limit(0)).collect() == []
 
 
-@pytest.mark.parametrize("mass", [16_000_000, 900])
-def test_random_tables(spark, monkeypatch, mass):
-    """Many partitions, flushes and rows of summaries; ties; hot words; nulls."""
+@pytest.mark.parametrize("mass, bits", [(16_000_000, 27), (60, 27), (300, 4)])
+def test_random_tables(spark, monkeypatch, mass, bits):
+    """Many partitions, flushes and rows of summaries; a full bit map; ties; hot words; nulls."""
     rnd = random.Random(mass)
-    if mass < 1000:
-        monkeypatch.setattr(collocations, "FLUSH", 40)
+    monkeypatch.setattr(collocations, "BITS", bits)
+    flush = 40 if mass < 1000 else collocations.FLUSH
     words = ["a", "B", "b", "ç", "x-y", "\x1c", "漢字", "d'e", "f", "g", "\U0001f600"]
     rows = [(rnd.choice(["en", None, "und", "fr"]),
              rnd.choice([None, ""]) if rnd.random() < .05 else
              "".join(rnd.choices(words, [9, 3, 3, 2, 2, 1, 1, 1, 1, 1, 1])[0] + rnd.choice([" ", " ", " ", "\t", ", ", "\n", "  ", ";"])
                      for _ in range(rnd.randrange(40)))) for _ in range(150)]
     df = spark.createDataFrame([(*r, 1, "k") for r in rows], "lang string, text string, phrase int, part string").repartition(5)
-    assert got(collocations.collocations(df, mass=mass)) == brute(rows)
-    assert got(collocations.collocations(df, keep=3, mass=mass)) == brute(rows, keep=3)
+    assert got(collocations.collocations(df, mass=mass, flush=flush)) == brute(rows)
+    assert got(collocations.collocations(df, keep=3, mass=mass, flush=flush)) == brute(rows, keep=3)
 
 
 def test_frequent_phrases_keep_a_counter():
@@ -74,7 +74,8 @@ def test_frequent_phrases_keep_a_counter():
         rnd.shuffle(stream)
         summary = collocations.Summary(len(stream) // least + 1)
         for part in np.array_split(stream, 70):
-            summary.add(*np.unique(part, return_counts=True))
+            h, c = np.unique(part, return_counts=True)
+            summary.add(h.astype(np.uint32), c)
             summary.merge()
         assert set(range(30)) <= set(summary.h.tolist()) and len(summary.h) <= summary.capacity
         assert 0 < summary.taken < least
@@ -95,7 +96,7 @@ def test_many_words_do_not_overflow():
     seen.ids["en"].append(np.array([2_999_997, 2_999_998, 2_999_999, 0, 2_999_997, 2_999_998, 2_999_999, 0]))
     collocations_hash, collocations.word_hash = collocations.word_hash, lambda w: 7
     try:
-        found = [(len(places), c.tolist()) for _, _, c, places in seen.counted()]
+        found = [(n, c.tolist()) for _, n, _, c, _ in seen.counted([], range(1, 4))]
     finally:
         collocations.word_hash = collocations_hash
     assert found == [(1, [2, 2, 2]), (2, [2, 2]), (3, [2])]

@@ -1,19 +1,21 @@
 """Phrase collocations: Misra-Gries summaries, then exact counts.
 
 Texts are lower-cased (A-Z), cut into pieces at punctuation and line breaks, and
-the pieces into words.  Every stretch of one to ``longest`` words inside a piece
-is an occurrence, counted for each language.  The occurrences are dealt into
-hash partitions; their number follows from the bytes of all texts, so that a
-partition holds at most ``MASS`` of them.
-
-First pass: a task counts the occurrences of ``FLUSH`` words at a time and sends
-each partition's summary (hash, count) there.  The receiver merges summaries
-with the Misra-Gries rule: with more than k counters, the (k+1)-th largest count
-is taken off all of them.  All that is taken off any phrase is below mass / (k + 1), and k
-exceeds the partition's mass divided by ``least``, so every phrase that occurs
-``least`` times keeps a counter.  Second pass: the texts are counted again with
-their words; what has no counter is dropped where it arrives, and the rest is
-counted exactly, by words and not by hashes.
+the pieces into words.  Every stretch of one to ``LONGEST`` words inside a piece
+is an occurrence, counted for each language.  The occurrences of one length are
+dealt into hash partitions; their number follows from the bytes of all texts, so
+that a partition holds at most about ``MASS`` of them.
+
+First pass, one length after another: a task counts the occurrences of ``FLUSH`` words at a
+time and sends each partition's summary (hashes and counts) there, with its mass.  The
+receiver merges summaries with the Misra-Gries rule: with more than k counters, the
+(k+1)-th largest count is taken off all of them.  All that is taken off any phrase is below
+mass / (k + 1), and k exceeds the partition's mass divided by ``least``, so every
+phrase that occurs ``least`` times keeps a counter.  What keeps one is marked in a bit map of
+at most 2^``BITS`` bits, whatever the input's size, which goes to all tasks.  A longer phrase is
+counted only where both shorter phrases inside it are marked, as a frequent one's are.
+Second pass: the marked phrases are counted exactly, by their words and not by hashes.  A
+map too full to tell phrases apart lets more of them through and changes no result.
 
 Every part of a frequent phrase is frequent itself, so the scores need nothing
 but the table of exact counts.  A hot word is one entry of a task's
@@ -40,7 +42,8 @@ from .common import LOWER, UPPER, small_batches, written
 
 UND = "und"
 LEAST, LONGEST, COVER, KEEP = 10, 3, 50, 2000
-MASS = 16_000_000  # occurrences in a hash partition, at most
+MASS = 16_000_000  # occurrences in a hash partition
+BITS = 27  # log2 of a bit map's size, at most
 FLUSH = 500_000  # words counted at a time
 STRETCH = 4_000_000  # bytes of a text tokenised at a time
 ENTRIES = 2048  # phrases in a row of a summary
@@ -49,7 +52,8 @@ BREAK = b"\xff"  # in no UTF-8 text
 #: A-Z lower-cased, the bytes that end a piece and the tab replaced.
 TABLE = bytes.maketrans(UPPER.encode() + b".,;:!?\n\x0b\x0c\r\t", LOWER.encode() + BREAK * 10 + b" ")
 
-SUMMARY = "part int, kind int, mass long, lang string, h array<long>, c array<long>, phrases array<string>"
+SUMMARY = "part int, kind int, mass long, lang string, h array<int>, c array<int>"
+MARKED = "part int, bits binary, lang string, n long"
 
 
 def stretches(text: bytes):
@@ -73,11 +77,22 @@ def word_hash(word: bytes) -> int:
     return int.from_bytes(blake2b(word, digest_size=8).digest(), "little")
 
 
+class Marks:
+    """A bit map over the first ``bits`` bits of 64-bit hashes."""
+
+    def __init__(self, bits: int, data: bytes | None = None):
+        self.bits = bits
+        self.data = np.zeros(1 << bits - 3, np.uint8) if data is None else np.frombuffer(data, np.uint8)
+
+    def has(self, h: np.ndarray) -> np.ndarray:
+        at = h >> np.uint64(64 - self.bits)
+        return (self.data[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
 class Occurrences:
     """Counts of the word sequences of some texts, by language."""
 
-    def __init__(self, longest: int = LONGEST):
-        self.longest = longest
+    def __init__(self):
         self.clear()
 
     def clear(self) -> None:
@@ -93,105 +108,78 @@ class Occurrences:
         self.ids[lang].append(np.fromiter(map(self.number.__getitem__, tokens), np.int64, len(tokens)))
         self.words += len(tokens)
 
-    def counted(self):
-        """(language, hashes, counts, word numbers by place) for each language and size."""
+    def counted(self, marks: list[Marks], sizes: range):
+        """(language, size, hashes, counts, word numbers by place) of the sequences of each
+        of the ``sizes`` that ``marks`` (one for each length from 1 on) let through."""
         size = len(self.number)
         hashes = np.fromiter(map(word_hash, self.number), np.uint64, size)
         for lang, got in self.ids.items():
             ids = np.concatenate(got)
-            seed = np.uint64(word_hash(lang.encode("utf-8", "surrogatepass")))
-            key, inside = ids, ids > 0
-            for n in range(1, self.longest + 1):
+            key, good = ids, ids > 0
+            h = mixed(np.full(1, word_hash(lang.encode("utf-8", "surrogatepass")), np.uint64), hashes[ids])
+            for n in range(1, sizes.stop):
                 if n > 1:
                     if int(key.max(initial=0)) + 1 > 2**62 // size:
                         key = np.unique(key, return_inverse=True)[1]
                     key = key[:-1] * size + ids[n - 1 :]
-                    inside = inside[:-1] & (ids[n - 1 :] > 0)
-                at = np.flatnonzero(inside)
-                if not len(at):
-                    break
-                _, first, times = np.unique(key[at], return_index=True, return_counts=True)
-                at = at[first]
-                places = [ids[at + k] for k in range(n)]
-                h = np.full(len(at), seed)
-                for p in places:
-                    h = mixed(h, hashes[p])
-                yield lang, h, times, places
-
-
-def parts_of(h: np.ndarray, parts: int) -> np.ndarray:
-    return ((h >> np.uint64(20)) % np.uint64(parts)).astype(np.int32)
-
-
-def _flushed(texts, make):
-    """Feeds (language, bytes) pairs and yields ``make(occurrences)`` at each flush."""
+                    h = mixed(h[:-1], hashes[ids[n - 1 :]])
+                    good = good[:-1] & good[1:]
+                if n <= len(marks):
+                    good = good & marks[n - 1].has(h)
+                if n in sizes and len(at := np.flatnonzero(good)):
+                    _, first, times = np.unique(key[at], return_index=True, return_counts=True)
+                    at = at[first]
+                    yield lang, n, h[at], times, [ids[at + k] for k in range(n)]
+
+
+def _flushed(batches, make, flush: int = FLUSH):
+    """Feeds batches of (language, bytes) and yields ``make(occurrences)`` at each flush."""
     got = Occurrences()
-    for lang, text in texts:
-        for stretch in stretches(text.translate(TABLE)):
-            got.add(lang, stretch)
-            if got.words >= FLUSH:
-                yield from make(got)
-                got.clear()
+    for batch in batches:
+        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for stretch in stretches(text.as_py().translate(TABLE)):
+                got.add(lang, stretch)
+                if got.words >= flush:
+                    yield from make(got)
+                    got.clear()
     if got.words:
         yield from make(got)
 
 
-def _rows(part: np.ndarray, h: np.ndarray, c: np.ndarray, lang: str | None, phrases):
-    """Record batches of summary rows, at most ``ENTRIES`` phrases of one part in each."""
+def _rows(h: np.ndarray, c: np.ndarray, parts: int, lang: str):
+    """A flush's summary rows: one of kind 0 with the mass of each part, and
+    rows of kind 1 with at most ``ENTRIES`` counters.  A hash's first ``parts`` bits name
+    the part, the next 32 the counter; a shared counter is only a counter too many."""
     import pyarrow as pa
 
+    part = (h >> np.uint64(64 - parts)).astype(np.int32) if parts else np.zeros(len(h), np.int32)
+    key = ((h << np.uint64(parts)) >> np.uint64(32)).astype(np.uint32).view(np.int32)
     order = np.argsort(part, kind="stable")
-    part, h, c = part[order], h[order].view(np.int64), c[order].astype(np.int64)
+    part, key, c = part[order], key[order], c[order].astype(np.int32)
     starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
     sizes = np.diff(np.r_[starts, len(part)])
     steps = -(-sizes // ENTRIES)
     inner = np.arange(steps.sum()) - np.repeat(np.cumsum(steps) - steps, steps)
-    offsets = np.r_[np.repeat(starts, steps) + inner * ENTRIES, len(part)].astype(np.int32)
-    at = pa.array(offsets)
-    n = len(offsets) - 1
-    mass = np.add.reduceat(c, offsets[:-1])
-    texts = (pa.ListArray.from_arrays(at, phrases.take(pa.array(order))) if phrases is not None
-             else pa.nulls(n, pa.list_(pa.string())))
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(part[offsets[:-1]]), pa.array(np.ones(n, np.int32)), pa.array(mass), pa.array([lang] * n, pa.string()),
-         pa.ListArray.from_arrays(at, pa.array(h)), pa.ListArray.from_arrays(at, pa.array(c)), texts],
-        names=["part", "kind", "mass", "lang", "h", "c", "phrases"])
-
-
-def _pairs(batches):
-    for batch in batches:
-        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-            yield lang, text.as_py()
+    at = np.r_[np.repeat(starts, steps) + inner * ENTRIES, len(part)].astype(np.int32)
+    for kind, rows in ((0, starts), (1, at[:-1])):
+        n = len(rows)
+        lists = [pa.ListArray.from_arrays(pa.array(at), pa.array(x)) if kind else pa.nulls(n, pa.list_(pa.int32())) for x in (key, c)]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(part[rows]), pa.array(np.full(n, kind, np.int32)), pa.array(np.add.reduceat(c, rows, dtype=np.int64)),
+             pa.array([lang] * n, pa.string()), *lists], names=["part", "kind", "mass", "lang", "h", "c"])
 
 
-def summaries(texts: DataFrame, parts: int, longest: int = LONGEST, words: bool = False) -> DataFrame:
-    """Summary rows of ``texts`` (lang, text as bytes).  Without ``words`` a row
-    of part -1 also tells the number of words of a language in a flush."""
+def summaries(texts: DataFrame, size: int, parts: int, marks: list, flush: int = FLUSH) -> DataFrame:
+    """Summary rows of the sequences of ``size`` words in ``texts`` (lang, text as bytes)."""
 
     def run(batches):
-        import pyarrow as pa
-        import pyarrow.compute as pc
+        known = [Marks(bits, data.value) for bits, data in marks]
 
-        def plain(got):
-            by_lang = list(got.counted())
-            if by_lang:
-                h = np.concatenate([x[1] for x in by_lang])
-                yield from _rows(parts_of(h, parts), h, np.concatenate([x[2] for x in by_lang]), None, None)
-            totals = {lang: int(c.sum()) for lang, _, c, places in by_lang if len(places) == 1}
-            for lang, n in totals.items():
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([-1], pa.int32()), pa.array([1], pa.int32()), pa.array([n]), pa.array([lang]),
-                     *(pa.nulls(1, pa.list_(t)) for t in (pa.int64(), pa.int64(), pa.string()))],
-                    names=["part", "kind", "mass", "lang", "h", "c", "phrases"])
-
-        def spelt(got):
-            names = pa.array(list(got.number)[1:], pa.binary()).cast(pa.string())
-            for lang, h, c, places in got.counted():
-                cols = [names.take(pa.array(p - 1)) for p in places]
-                yield from _rows(parts_of(h, parts), h, c, lang,
-                                 cols[0] if len(cols) == 1 else pc.binary_join_element_wise(*cols, " "))
+        def make(got):
+            for lang, _, h, c, _ in got.counted(known, range(size, size + 1)):
+                yield from _rows(h, c, parts, lang)
 
-        yield from _flushed(_pairs(batches), spelt if words else plain)
+        yield from _flushed(batches, make, flush)
 
     return small_batches(texts, 512).mapInArrow(run, SUMMARY)
 
@@ -201,7 +189,7 @@ class Summary:
 
     def __init__(self, capacity: int):
         self.capacity = capacity
-        self.h, self.c = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.h, self.c = np.zeros(0, np.uint32), np.zeros(0, np.int64)
         self.waiting: list[tuple[np.ndarray, np.ndarray]] = []
         self.entries = 0
         self.taken = 0  # off every count so far
@@ -215,9 +203,12 @@ class Summary:
     def merge(self) -> None:
         if not self.waiting:
             return
-        h, place = np.unique(np.concatenate([self.h, *(x[0] for x in self.waiting)]), return_inverse=True)
-        c = np.zeros(len(h), np.int64)
-        np.add.at(c, place, np.concatenate([self.c, *(x[1] for x in self.waiting)]))
+        h = np.concatenate([self.h, *(x[0] for x in self.waiting)])
+        c = np.concatenate([self.c, *(x[1] for x in self.waiting)])
+        order = np.argsort(h, kind="stable")
+        h, c = h[order], c[order]
+        starts = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+        h, c = h[starts], np.add.reduceat(c, starts, dtype=np.int64)
         if len(h) > self.capacity:
             off = np.partition(c, len(c) - self.capacity - 1)[len(c) - self.capacity - 1]
             c -= off
@@ -226,117 +217,97 @@ class Summary:
         self.h, self.c, self.waiting, self.entries = h, c, [], 0
 
 
-def _parts_in_turn(batches):
-    """(part, kind, batch, row) of rows sorted by part and kind."""
-    for batch in batches:
-        keys = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
-        for k, (part, kind) in enumerate(keys):
-            yield part, kind, batch, k
-
-
-def _list(batch, column: int, k: int):
-    return batch.column(column)[k].values
-
-
-def survivors(partials: DataFrame, least: int = LEAST) -> DataFrame:
-    """Summary rows of kind 0: the sorted hashes that keep a counter in each part."""
-    partials = partials.where("part >= 0")
-    masses = partials.groupBy("part").agg(F.sum("mass").alias("mass")).select(
-        "part", F.lit(0).alias("kind"), "mass", F.lit(None).cast("string").alias("lang"),
-        *(F.lit(None).cast(f"array<{t}>").alias(c) for c, t in (("h", "long"), ("c", "long"), ("phrases", "string"))))
+def survivors(partials: DataFrame, parts: int, bits: int, least: int = LEAST) -> DataFrame:
+    """(part, its piece of the bit map) and (lang, mass of the language in the part)."""
 
     def run(batches):
         import pyarrow as pa
 
-        def out(part, summary):
+        def out(part, masses, summary):
             summary.merge()
-            for k in range(0, len(summary.h), ENTRIES):
-                h = summary.h[k : k + ENTRIES]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([part], pa.int32()), pa.array([0], pa.int32()), pa.array([len(h)]), pa.nulls(1, pa.string()),
-                     pa.ListArray.from_arrays(pa.array([0, len(h)], pa.int32()), pa.array(h)),
-                     pa.nulls(1, pa.list_(pa.int64())), pa.nulls(1, pa.list_(pa.string()))],
-                    names=["part", "kind", "mass", "lang", "h", "c", "phrases"])
-
-        now, summary = None, None
-        for part, kind, batch, k in _parts_in_turn(batches):
-            if kind == 0:
-                if summary is not None:
-                    yield from out(now, summary)
-                now, summary = part, Summary(batch.column(2)[k].as_py() // least + 1)
-            else:
-                summary.add(_list(batch, 4, k).to_numpy(), _list(batch, 5, k).to_numpy())
+            piece = np.zeros(1 << bits - parts - 3, np.uint8)
+            at = summary.h >> np.uint32(32 - (bits - parts))
+            np.bitwise_or.at(piece, at >> np.uint32(3), np.uint8(1) << (at & np.uint32(7)).astype(np.uint8))
+            n = len(masses)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([part] * (n + 1), pa.int32()), pa.array([piece.tobytes()] + [None] * n, pa.binary()),
+                 pa.array([None, *masses], pa.string()), pa.array([None, *masses.values()], pa.int64())],
+                names=["part", "bits", "lang", "n"])
+
+        now, masses, summary = None, {}, None
+        for batch in batches:
+            h, c = batch.column(4), batch.column(5)
+            rows = zip(*(batch.column(k).to_pylist() for k in (0, 1, 2, 3)))
+            for k, (part, kind, mass, lang) in enumerate(rows):
+                if part != now:
+                    if summary is not None:
+                        yield from out(now, masses, summary)
+                    now, masses, summary = part, {}, None
+                if kind == 0:  # of one part, masses come first
+                    masses[lang] = masses.get(lang, 0) + mass
+                    continue
+                if summary is None:
+                    summary = Summary(sum(masses.values()) // least + 1)
+                # copied, so that a waiting summary does not hold its batch
+                summary.add(h[k].values.to_numpy().view(np.uint32).copy(), c[k].values.to_numpy().copy())
         if summary is not None:
-            yield from out(now, summary)
+            yield from out(now, masses, summary)
 
-    dealt = partials.unionByName(masses).repartition("part").sortWithinPartitions("part", "kind")
-    return small_batches(dealt, 512).mapInArrow(run, SUMMARY)
+    dealt = partials.repartition("part").sortWithinPartitions("part", "kind")
+    return small_batches(dealt, 512).mapInArrow(run, MARKED)
 
 
-def exact(kept: DataFrame, spelt: DataFrame, least: int = LEAST) -> DataFrame:
-    """(lang, phrase, f) of every phrase with ``least`` occurrences: the summary rows
-    with words, counted by words where their hash survived."""
+def exact(texts: DataFrame, marks: list, longest: int = LONGEST, least: int = LEAST, flush: int = FLUSH) -> DataFrame:
+    """(lang, phrase, f) of every phrase with ``least`` occurrences, counted by its words."""
 
     def run(batches):
         import pyarrow as pa
+        import pyarrow.compute as pc
 
-        names = ["lang", "phrase", "f"]
-
-        def counted(tables, final):
-            got = pa.concat_tables(tables).group_by(["lang", "phrase"]).aggregate([("f", "sum")])
-            got = got.select(["lang", "phrase", "f_sum"]).rename_columns(names)
-            if final:
-                got = got.filter(pa.array(got.column("f").to_numpy() >= least))
-            return got
-
-        now, hashes, kept_hashes, tables, entries = None, [], None, [], 0
-        for part, kind, batch, k in _parts_in_turn(batches):
-            if part != now:
-                if tables:
-                    yield from counted(tables, True).to_batches()
-                now, hashes, kept_hashes, tables, entries = part, [], None, [], 0
-            h = _list(batch, 4, k).to_numpy()
-            if kind == 0:
-                hashes.append(h)
-                continue
-            if kept_hashes is None:
-                kept_hashes = np.sort(np.concatenate(hashes)) if hashes else np.zeros(0, np.int64)
-                hashes = []
-            if not len(kept_hashes):
-                continue
-            place = np.minimum(np.searchsorted(kept_hashes, h), len(kept_hashes) - 1)
-            mask = pa.array(kept_hashes[place] == h)
-            phrases, c = _list(batch, 6, k).filter(mask), _list(batch, 5, k).filter(mask)
-            if len(c):
-                tables.append(pa.table([pa.repeat(batch.column(3)[k], len(c)), phrases, c], names=names))
-                entries += len(c)
-                if entries > 1_000_000 + 2 * len(kept_hashes):
-                    tables = [counted(tables, False)]
-                    entries = len(tables[0])
-        if tables:
-            yield from counted(tables, True).to_batches()
-
-    dealt = kept.unionByName(spelt).repartition("part").sortWithinPartitions("part", "kind")
-    return small_batches(dealt, 512).mapInArrow(run, "lang string, phrase string, f long")
-
-
-def frequent(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, mass: int = MASS) -> tuple[DataFrame, DataFrame]:
+        known = [Marks(bits, data.value) for bits, data in marks]
+
+        def make(got):
+            names = pa.array(list(got.number)[1:], pa.binary()).cast(pa.string())
+            for lang, _, _, c, places in got.counted(known, range(1, longest + 1)):
+                cols = [names.take(pa.array(p - 1)) for p in places]
+                phrase = cols[0] if len(cols) == 1 else pc.binary_join_element_wise(*cols, " ")
+                yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(lang, pa.string()), len(c)), phrase, pa.array(c, pa.int64())],
+                                                 names=["lang", "phrase", "f"])
+
+        yield from _flushed(batches, make, flush)
+
+    found = small_batches(texts, 512).mapInArrow(run, "lang string, phrase string, f long")
+    return found.groupBy("lang", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
+
+
+def frequent(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, mass: int = MASS,
+             flush: int = FLUSH) -> tuple[DataFrame, DataFrame]:
     """((lang, phrase, f) of all phrases with ``least`` occurrences, (lang, n) with the number of words)."""
+    spark = docs.sparkSession
     texts = docs.select(F.coalesce("lang", F.lit(UND)).alias("lang"),
                         F.coalesce("text", F.lit("")).cast("binary").alias("text"))
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    # a word and what follows it take two bytes at least
-    parts = max(1, -(-size * longest // (2 * mass)))
-    partials = written(summaries(texts, parts, longest), "phrase-summaries")
-    kept = written(survivors(partials, least), "phrase-survivors")
-    counts = written(exact(kept, summaries(texts, parts, longest, words=True), least), "phrases")
-    total = partials.where("part < 0").groupBy("lang").agg(F.sum("mass").alias("n"))
-    return counts, total
-
-
-def collocations(docs: DataFrame, least: int = LEAST, cover: int = COVER, keep: int = KEEP, mass: int = MASS) -> DataFrame:
+    bits = min(BITS, max(12, size.bit_length()))
+    # a word and the byte that ends it are two bytes at least
+    parts = min(bits - 3, max(0, (size // (2 * mass)).bit_length()))
+    marks, total = [], None
+    for n in range(1, longest + 1):
+        kept = written(survivors(summaries(texts, n, parts, marks, flush), parts, bits, least), f"phrase-marks-{n}")
+        if total is None:
+            total = kept.where("lang is not null").groupBy("lang").agg(F.sum("n").alias("n"))
+        # the bit map: 2^(bits - 3) bytes in all, at any size of the input
+        data = bytearray(1 << bits - 3)
+        step = len(data) >> parts
+        for r in kept.where("bits is not null").select("part", "bits").toLocalIterator():
+            data[r.part * step : (r.part + 1) * step] = r.bits
+        marks.append((bits, spark.sparkContext.broadcast(bytes(data))))
+    return written(exact(texts, marks, longest, least, flush), "phrases"), total
+
+
+def collocations(docs: DataFrame, least: int = LEAST, cover: int = COVER, keep: int = KEEP, mass: int = MASS,
+                 flush: int = FLUSH) -> DataFrame:
     """Each language's first ``keep`` phrases of two or three words by score."""
-    counts, total = frequent(docs, least, LONGEST, mass)
+    counts, total = frequent(docs, least, LONGEST, mass, flush)
     sized = counts.withColumn("words", F.size(F.split("phrase", " ")))
     candidates = sized.where("words >= 2")
     pair = F.struct(F.lit(1).alias("k"), F.substring_index("phrase", " ", 1).alias("left"),

@@ -45,7 +45,7 @@ MODEL = "piece_bpe_32k.model"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = range(1, 7)
 
 #: Remembered words and pairs of a task; only the work depends on it.
-WORDS, PAIRS, LONGEST_WORD = 300_000, 500_000, 64
+WORDS, PAIRS, LONGEST_WORD = 600_000, 500_000, 64
 
 
 def _varint(raw: bytes, at: int) -> tuple[int, int]:
