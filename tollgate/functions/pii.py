@@ -21,12 +21,22 @@ _WS_OR_DASH = WS_CLASS[:-1] + "-]"
 
 # FIXED VALUES: the four identifier patterns (ECMAScript originals, with \b
 # as an ASCII boundary and \s as the ECMAScript whitespace set).
-EMAIL_RE = "(?iu)" + B + r"[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}" + B
+EMAIL_LOCAL, EMAIL_DOMAIN = "[A-Z0-9._%+-]", r"[A-Z0-9.-]+\.[A-Z]{2,}"
 PHONE_RE = r"(?:\+?60|0)" + _WS_OR_DASH + r"?1[0-46-9](?:" + _WS_OR_DASH + r"?[0-9]){7,8}" + B
 NRIC_RE = B + r"[0-9]{6}-?[0-9]{2}-?[0-9]{4}" + B
 IPV4_RE = B + r"(?:[0-9]{1,3}\.){3}[0-9]{1,3}" + B
 PHONE_DIGITS_RE = r"^601[0-46-9][0-9]{7,8}$"
 
+# The email pattern (boundary, local part, @, domain, boundary) with the same matches
+# in linear time.  Whether a match ends well depends on the domain alone, so of
+# all boundaries inside one run of local characters only the first can start a
+# match: at the run's start (or the end of the last match, \\G), or where its first
+# word characters begin or end (the Kelvin sign is a word character, but no local
+# one).  The local part is possessive, as it cannot hold the @.
+_WORD, _NOT_WORD = ("(?:(?" + sign + "[A-Za-z0-9_])" + EMAIL_LOCAL + ")*+" for sign in "=!")
+EMAIL_RE = (r"(?iu)(?:\G|(?<!" + EMAIL_LOCAL + "))(?:" + B + "|" + _NOT_WORD + B + "|" + _WORD + B + ")"
+            + EMAIL_LOCAL + "++@" + EMAIL_DOMAIN + B)
+
 MAX_SAFE_INTEGER = 9007199254740991
 
 

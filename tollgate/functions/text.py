@@ -201,7 +201,7 @@ def collapse_ws(col: Column) -> Column:
 
 def js_trim(col: Column) -> Column:
     """String.prototype.trim: strip the ECMAScript whitespace set."""
-    return F.regexp_replace(col, f"^{WS_RUN}|{WS_RUN}$", "")
+    return F.trim(col, F.lit(" " + WS_OTHER))
 
 
 def utf16_length(col: Column) -> Column:
