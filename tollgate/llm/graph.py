@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -38,5 +38,6 @@ def components(edges: DataFrame, label: str = "edges", rounds: int = 60) -> Data
             return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
                 now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
         state = tuple(print_of)
-        now = written(_star(_star(now, True), False), label)
+        before, now = now, written(_star(_star(now, True), False), label)
+        discard(before)
     raise RuntimeError(f"components did not settle in {rounds} rounds")

@@ -50,7 +50,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import FOLD, small_batches, written
+from .common import FOLD, discard, small_batches, written
 from .graph import components
 
 SHINGLE = 5
@@ -58,7 +58,10 @@ BLOCK = 256
 #: How many of the most frequent shingles the order knows, and from which count.
 FREQUENT, LEAST = 1 << 20, 4
 #: Shingles that a task counts or packs together.
-CHUNK = 4_000_000
+CHUNK = 1_000_000
+#: Bytes of all texts for each target that the shingles are dealt to by hash; a task
+#: holds one target at a time.
+TARGET = 16 << 20
 #: How often lists pair with one of their nodes before all pairs are made, and
 #: from how many pairs of components a row again.  Neither changes the result.
 STARS, DENSE = 4, 16
@@ -223,6 +226,18 @@ def _dealt(at: np.ndarray, parts: int, *columns: np.ndarray):
         yield int(at[a]), [c[a:b] for c in moved]
 
 
+def _targets(docs: DataFrame) -> int:
+    """How many targets shingles are dealt to: in proportion to the texts."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    return max(parts, -(-size // TARGET))
+
+
+def _in_turn(blocks: DataFrame) -> DataFrame:
+    """Blocks dealt by target; a task gets its targets one after another."""
+    return blocks.repartition("at").sortWithinPartitions("at")
+
+
 def _first_pass(docs: DataFrame, parts: int) -> DataFrame:
     """Rows with an id or without: (id, set size n, node) of each text; and with
     ``key``: the count n of each shingle found at least ``LEAST`` times.
@@ -278,9 +293,20 @@ def _first_pass(docs: DataFrame, parts: int) -> DataFrame:
         if kept:
             yield from counted()
 
+    def totals(at, single, many, arrow):
+        x = np.concatenate([*single, *(m[0] for m in many)])
+        c = np.concatenate([np.ones(sum(map(len, single)), dtype=np.int64), *(m[1].astype(np.int64) for m in many)])
+        order = np.argsort(x, kind="stable")
+        x, c = x[order], c[order]
+        cut = np.flatnonzero(np.r_[True, x[1:] != x[:-1]])
+        c = np.add.reduceat(c, cut)
+        some = c >= LEAST
+        key = x[cut][some].astype(np.int64) << 31 | at
+        return pa.RecordBatch.from_arrays([pa.nulls(len(key), arrow), pa.array(c[some]), pa.nulls(len(key), pa.int64()),
+                                           pa.array(key)], names=["id", "n", "node", "key"])
+
     def summed(batches):
-        once: dict[int, list] = {}
-        often: dict[int, list] = {}
+        now, single, many = None, [], []
         for batch in batches:
             plain = batch.filter(pa.array([a is None and b is None for a, b in zip(
                 batch.column("once").to_pylist(), batch.column("often").to_pylist())], pa.bool_()))
@@ -288,25 +314,21 @@ def _first_pass(docs: DataFrame, parts: int) -> DataFrame:
                                              names=["id", "n", "node", "key"])
             arrow = batch.column("id").type
             for at, a, b in zip(*(batch.column(c).to_pylist() for c in ("at", "once", "often"))):
+                if a is None and b is None:
+                    continue
+                if at != now and (single or many):
+                    yield totals(now, single, many, arrow)
+                    single, many = [], []
+                now = at
                 if a is not None:
-                    once.setdefault(at, []).append(np.frombuffer(a, "<u4"))
-                elif b is not None:
-                    often.setdefault(at, []).append(np.frombuffer(b, "<u4").reshape(2, -1))
-        for at in sorted({*once, *often}):
-            single, many = once.pop(at, []), often.pop(at, [])
-            x = np.concatenate([*single, *(m[0] for m in many)])
-            c = np.concatenate([np.ones(sum(map(len, single)), dtype=np.int64), *(m[1].astype(np.int64) for m in many)])
-            order = np.argsort(x, kind="stable")
-            x, c = x[order], c[order]
-            cut = np.flatnonzero(np.r_[True, x[1:] != x[:-1]])
-            c = np.add.reduceat(c, cut)
-            some = c >= LEAST
-            key = x[cut][some].astype(np.int64) << 31 | at
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(key), arrow), pa.array(c[some]), pa.nulls(len(key), pa.int64()),
-                                              pa.array(key)], names=["id", "n", "node", "key"])
-
-    return (small_batches(docs, 512).mapInArrow(sent, f"at int, id {kind}, n long, node long, once binary, often binary")
-            .repartition(parts, "at").mapInArrow(summed, f"id {kind}, n long, node long, key long"))
+                    single.append(np.frombuffer(a, "<u4"))
+                else:
+                    many.append(np.frombuffer(b, "<u4").reshape(2, -1))
+        if single or many:
+            yield totals(now, single, many, arrow)
+
+    blocks = small_batches(docs, 512).mapInArrow(sent, f"at int, id {kind}, n long, node long, once binary, often binary")
+    return _in_turn(blocks).mapInArrow(summed, f"id {kind}, n long, node long, key long")
 
 
 def _frequent(first: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -384,7 +406,7 @@ def _short_lists(docs: DataFrame, frequent, parts: int) -> DataFrame:
         yield from flush()
 
     def merged(batches):
-        rest: dict[int, list] = {}
+        now, rest = None, []
 
         def out(h, node, n, i):
             return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(node), pa.array(n.astype(np.int64)),
@@ -409,13 +431,17 @@ def _short_lists(docs: DataFrame, frequent, parts: int) -> DataFrame:
                 row = (np.frombuffer(h, "<u8"), np.frombuffer(node, "<i8"), np.frombuffer(n, "<u4"), np.frombuffer(i, "<u4"))
                 if known:
                     yield out(*row)
-                else:
-                    rest.setdefault(at, []).append(row)
-        for at in list(rest):
-            yield repeated(rest.pop(at))
+                    continue
+                if at != now and rest:
+                    yield repeated(rest)
+                    rest = []
+                now = at
+                rest.append(row)
+        if rest:
+            yield repeated(rest)
 
     blocks = small_batches(docs, 512).mapInArrow(make, "at int, known boolean, h binary, node binary, n binary, i binary")
-    return blocks.repartition(parts, "at").mapInArrow(merged, "h long, node long, n long, i long")
+    return _in_turn(blocks).mapInArrow(merged, "h long, node long, n long, i long")
 
 
 def _sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -449,8 +475,8 @@ def _sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
     return made.join(wanted, "node", "left_semi").dropDuplicates(["node"])
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, parts: int) -> DataFrame:
-    """The pairs (a, b) that link."""
+def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs (a, b) that link, written; what led to them is deleted."""
     import pyarrow as pa
 
     pairs = written(pairs.select("a", "b"), "jaccard-pairs")
@@ -461,7 +487,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, parts: int) -
                                             F.col("b").alias("node"), F.lit(1).alias("role"))
     queries = others.select("a", "block").distinct().select("a", "block", F.col("a").alias("node"), F.lit(0).alias("role"))
     rows = (others.unionByName(queries).join(sets, "node")
-            .repartition(parts, "a", "block").sortWithinPartitions("a", "block", "role"))
+            .repartition("a", "block").sortWithinPartitions("a", "block", "role"))
 
     def run(batches):
         key, query, own, sets = None, None, [], []
@@ -491,7 +517,10 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, parts: int) -
                         own, sets = [], []
         yield from links()
 
-    return small_batches(rows, 512).mapInArrow(run, "a long, b long")
+    out = written(small_batches(rows, 512).mapInArrow(run, "a long, b long"), "jaccard-links")
+    discard(pairs)
+    discard(sets)
+    return out
 
 
 def _mixed(lists: DataFrame, roots: DataFrame) -> DataFrame:
@@ -509,9 +538,8 @@ def _pairs_left(lists: DataFrame) -> float:
 
 def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id) for every row of ``docs``."""
-    spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    parts = _targets(docs)
     first = written(_first_pass(docs, parts), "jaccard-rows")
     rows = first.where("key is null").select("id", "n", F.when(F.col("id").isNotNull(), F.col("node")).alias("node"))
     nodes = rows.where("node is not null").groupBy("node").agg(F.min("id").alias("least"))
@@ -528,10 +556,11 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
                 .groupBy(F.col("head.node").alias("a"), F.col("node").alias("b"))
                 .agg(F.max("head.n").alias("na"), F.max("n").alias("nb"), F.count(F.lit(1)).alias("shared"))
                 .where(sizes_fit(F.col("na"), F.col("nb")) & (F.col("shared") * 2 >= enough(F.col("na"), F.col("nb")))))
-        new = written(_verified(star, named, nodes, parts), "jaccard-links")
+        new = _verified(star, named, nodes)
         links = new if links is None else links.unionByName(new)
         roots = components(links, "jaccard-star")
-        left = written(_mixed(lists, roots), "jaccard-mixed")
+        before, left = left, written(_mixed(lists, roots), "jaccard-mixed")
+        discard(before)
         if _pairs_left(left) <= DENSE * left.count():
             break
 
@@ -545,7 +574,9 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     across = (meet.join(one, ["h", "c"]).join(two, ["h", "d"])
               .where(sizes_fit(F.col("na"), F.col("nb")) & (F.least("ra", "rb") >= overlap(F.col("na"), F.col("nb"))))
               .select("a", "b").distinct())
-    more = _verified(across, named, nodes, parts)
+    more = _verified(across, named, nodes)
+    discard(lists)
+    discard(left)
     roots = components(links.unionByName(more), "jaccard-all")
 
     # from nodes back to documents
@@ -569,10 +600,14 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rows, so an id that repeats with another text stays.  Rows without words are in
     no group and stay."""
     words = F.coalesce(F.col(text_col).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    key = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.sha2(text_col, 256).alias("text"))
-    named = docs.where(words).withColumn("__row", key)
-    first = link(named, "__row", text_col).where("component_id = __row").select("__row").distinct()
-    return named.dropDuplicates(["__row"]).join(first, "__row", "left_semi").select(docs.columns).unionByName(docs.where(~words))
+    row = "row"
+    while row in docs.columns:
+        row += "_"
+    key = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"),
+                   F.xxhash64(text_col).alias("text"), F.xxhash64(F.lit(1), text_col).alias("again"))
+    named = docs.where(words).withColumn(row, key)
+    first = link(named, row, text_col).where(F.col("component_id") == F.col(row)).select(row).distinct()
+    return named.dropDuplicates([row]).join(first, row, "left_semi").select(docs.columns).unionByName(docs.where(~words))
 
 
 #: Components of the exact join in DuckDB.
