@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 import zlib
 from itertools import combinations
@@ -250,6 +251,6 @@ def test_boosting_and_calibration():
     m = pii_gbt.boost(counts)
     assert all((m.margin(x) > 0) == (p > 0) for x, p, _ in counts)
     pii_gbt.calibrate(m, counts)
-    assert set(m.threshold) == {0, 1, 2, 3}
+    assert set(m.threshold) == set(range(6)) and m.threshold[4] == m.threshold[5] == math.log(0.95 / (1 - 0.95))
     assert all((m.margin(x) >= m.threshold[x[0]]) == (p > 0) for x, p, _ in counts)
     assert pii_gbt.boost([]).trees == []

@@ -4,9 +4,13 @@ High-recall patterns propose spans of every kind; spans of different kinds may
 overlap.  Each candidate gets binned features of its format (length, digits,
 letters, separators) and its context (the character before it, a cue word in
 the 24 characters before it).  A span that passes its kind's strict rule
-(``base``) is always kept.  For the others, gradient-boosted trees estimate the
-probability of being personal data; a threshold for each kind, calibrated on
-documents held out from boosting, selects what is added.
+is always kept: the contract's rule (``base``), or for secrets a known key prefix
+or an assignment to a telling name, for id numbers their form.  So what has
+such a sign is found alike in a table of any size.  For the others, gradient-boosted
+trees estimate from format and context the probability of being personal data; a
+threshold for each kind, calibrated on documents held out from boosting, selects
+what is added.  Where the held-out candidates are too few for that, or none of
+their margins is precise enough, it is the margin of ``PRIOR``.
 
 Nothing is labelled by hand: a candidate counts as positive if its kind's strict
 rule holds (top-level domain, octets, Luhn sum, digit count, key prefix or
@@ -43,7 +47,9 @@ PATTERNS = {
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "secret": r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]{0,40}[0-9])[A-Za-z0-9+/_-]{12,}+",
+    "secret": r"(?<=(?i:passw|passwd|password|pwd|pass|token|secret|api[_-]?key)[\x20]{0,2}[=:][\x20]{0,2}[\"']{0,1})"
+              r"(?=[^\s\"'<>0-9]*+[0-9])[^\s\"'<>]{6,}+"
+              r"|(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{12,}+",
     "id": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
 }
 #: What a text must hold for a kind's pattern to be tried at all.
@@ -54,6 +60,11 @@ CUES = {
     "phone": "phone|tel|call|fax|mobile", "secret": "pass|token|secret|key|pwd|auth",
     "id": "ssn|social|id",
 }
+#: The probability from which trees add a span that calibration cannot judge.
+PRIOR = 0.95
+#: The name and sign before an assigned secret, and the forms of well-known keys.
+ASSIGNED = r"(?i)(passw|passwd|password|pwd|pass|token|secret|api[_-]?key)[\x20]{0,2}[=:][\x20]{0,2}[\"']?$"
+KEYS = "^(AKIA[0-9A-Z]{16}|ghp_[0-9A-Za-z]{30,}|sk-[0-9A-Za-z]{20,})$"
 FEATURES = ("kind", "length", "digits", "letters", "seps", "before", "cue")
 BINS = (6, 8, 6, 4, 4, 4, 2)
 MAX_VECTORS = math.prod(BINS)
@@ -112,8 +123,7 @@ def _strict(kind: str, value: Column, before: Column) -> tuple[Column, Column]:
         ok = F.length(digits).between(9, 15)
         return ok, ok
     if kind == "secret":
-        said = before.rlike(r"(?i)(pass(word|wd)?|pwd|token|secret|api[_-]?key)[\x20]*[=:][\x20]*[\"']?$")
-        return F.lit(False), said | value.rlike("^(AKIA[0-9A-Z]{16}|ghp_[0-9A-Za-z]{30,}|sk-[0-9A-Za-z]{20,})$")
+        return F.lit(False), before.rlike(ASSIGNED) | value.rlike(KEYS)
     return F.lit(False), ~value.rlike("^(000|666|9)|-00-|-0000$")
 
 
@@ -220,10 +230,12 @@ def boost(counts: list, rounds: int = 24, rate: float = 0.4, lam: float = 1.0) -
     return model
 
 
-def calibrate(model: Trees, held: list, precision: float = 0.95, least: int = 20) -> None:
+def calibrate(model: Trees, held: list, precision: float = PRIOR, least: int = 20) -> None:
     """For each kind the lowest margin from which on at least ``precision`` of the
-    held-out candidates are positive; a kind with fewer than ``least`` gets none."""
+    held-out candidates are positive, judged by ``least`` of them or more; without
+    one, the margin of that probability."""
     for kind in range(len(KINDS)):
+        model.threshold[kind] = math.log(precision / (1 - precision))
         rows = sorted(((model.margin(x), p, n) for x, p, n in held if x[0] == kind), reverse=True)
         pos = n = 0
         for m, p, k in rows:
@@ -246,10 +258,11 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds:
 
 
 def spans(text: Column, model: Trees) -> Column:
-    """array<struct<start,kind,end,base>> in order: base spans and those added."""
+    """array<struct<start,kind,end,base>> in order: base spans, those that their rule
+    marks, and those the trees add."""
 
     def keep(c: Column) -> Column:
-        added = F.lit(False)
+        added = (c["kind"] >= N_BASE) & c["positive"]
         for kind, m in sorted(model.threshold.items()):
             added = added | ((c["kind"] == kind) & (model.margin_column(c["x"]) >= m - 1e-9))
         return c["base"] | added
