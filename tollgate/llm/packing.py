@@ -57,7 +57,7 @@ class DocumentIds:
     LATIN = re.compile("[!-&(-~\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-\u012f\u0131-\u024f]+")
     WORD = re.compile(r"[^\W\d_]+|\d|(?:[^\s\w]|_)+")
 
-    def __init__(self, path: str | None = None, limit: int = 1_000_000):
+    def __init__(self, path: str | None = None, limit: int = 500_000):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -109,6 +109,18 @@ class DocumentIds:
                 for t, s in zip(texts, split)]
 
 
+_ENCODERS: dict[str | None, DocumentIds] = {}
+
+
+def encoder(path: str | None = None) -> DocumentIds:
+    """One encoder in a worker for all its tasks, so that words are learnt once; it
+    keeps at most ``limit`` of them, and as many stretches."""
+    if path not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[path] = DocumentIds(path)
+    return _ENCODERS[path]
+
+
 @dataclass
 class Piece:
     key: object
@@ -255,10 +267,10 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     bear loss."""
 
     def read():
-        encoder = DocumentIds(tokenizer_path)
+        ids_of = encoder(tokenizer_path).of
 
         def work(batch):
-            for ids in encoder.of(batch.column(text_col).to_pylist()):
+            for ids in ids_of(batch.column(text_col).to_pylist()):
                 bears = np.ones(len(ids), dtype=bool)
                 bears[0] = False
                 yield ids, bears
