@@ -8,7 +8,11 @@
    such elements, those that hold a ``main``, or else the largest ``article`` if it has
    a quarter of the page's text outside of links, or else more than half of that
    text, are read as any other.  A container scores by the text below it, less by its links, more for what its
-   tag and class promise, and decaying with each level.
+   tag and class promise, and decaying with each level.  The best one gives way to the outermost
+   article around it, and then to its parent as long as what else the parent holds is
+   headings and running text rather than links: so a title, a lead or a second part beside the
+   longest one is not lost.  Repeated siblings named as posts, outside of the page's article, are a
+   thread of readers' comments and no part of it.
 2. A container's path is its chain of tags and classes with digits
    generalised.  Each page votes for the path of its best container; Spark sums
    the votes for each host.
@@ -46,6 +50,8 @@ RAW = frozenset("script style textarea title iframe template xmp noembed noframe
 #: Never text: what is not shown, or not as text.
 HARD = RAW | frozenset("head button select svg canvas audio video".split())
 DROPPED = HARD | frozenset("nav header footer aside form menu".split())
+#: Of those, the ones that are no layout around a text, however much they hold.
+NEVER = frozenset("nav header footer aside menu".split())
 CONTAINERS = frozenset("html body article main section div td center figure details dialog".split())
 BLOCKS = CONTAINERS | DROPPED | frozenset(
     "p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd pre blockquote table caption thead tbody tfoot tr th hr address "
@@ -68,6 +74,11 @@ STATE = re.compile(r"(?:no|not|non|has|have|with|without)[_-].+|.+[_-](?:open|op
                    r"hidden[_-](?:xs|sm|md|lg|xl|xxl|phone|tablet|desktop|mobile|print)(?:[_-].*)?", re.I)
 #: What the name of a container promises.
 PROMISE = re.compile(r"(?:^|[\s_-])(?:articles?|content|entry|post|posts|story|text|main|prose|copy)(?:$|[\s_-])", re.I)
+#: Siblings of one path with such a name are a thread where the page has an article beside them.
+THREAD = re.compile(r"\.(?:[^/]*[._-])?(?:posts?|reply|replies|messages?|comments?|answers?|reviews?)(?:[._-][^/]*)?$")
+#: Unlinked characters from which on a block counts as running text.
+RUNNING = 25
+HEADINGS = frozenset("h1 h2 h3".split())
 WEIGHT = {"article": 2.0, "main": 1.5, "html": 0.4, "body": 0.5}
 
 NAME = re.compile(r"/?([A-Za-z][^\s/>]*)")
@@ -117,6 +128,8 @@ class Page:
 
     def __init__(self, page: str | None):
         self.blocks: list[tuple[str, int, int]] = []
+        self.titles: set[int] = set()  # blocks that are headings
+        self.thread: list[bool] | None = None  # containers of a thread
         self.paths, self.parents, self.weights = [""], [-1], [WEIGHT["html"]]
         if page and (kept := self._read(page, frozenset())):
             self.__init__(None)
@@ -133,11 +146,13 @@ class Page:
         parts: list[str] = []
         linked = 0
 
-        def flush():
+        def flush(title: bool = False):
             nonlocal parts, linked
             if parts:
                 text = " ".join("".join(parts).split())
                 if text:
+                    if title:
+                        self.titles.add(len(self.blocks))
                     self.blocks.append((text, box, min(linked, len(text))))
                 parts, linked = [], 0
 
@@ -147,7 +162,7 @@ class Page:
             while len(stack) > depth:
                 tag, before, span = stack.pop()
                 if tag in BLOCKS and not dropped:
-                    flush()
+                    flush(tag in HEADINGS)
                 if span:
                     span[2] = seen - span[1]
                 if before == -2:
@@ -244,7 +259,7 @@ class Page:
             if drop and tag not in HARD:
                 number, numbered = numbered, numbered + 1
                 if drop := number not in kept:
-                    spans.append(span := [number, seen, 0, list(around)])
+                    spans.append(span := [number, seen, 0, list(around), tag])
                     around.append(number)
             if drop:
                 stack.append((tag, -2, span))
@@ -272,19 +287,71 @@ class Page:
         texts = [x for x in texts if x[0] == "main"] or [x for x in texts if x[2] == largest and 4 * largest >= seen]
         if texts:
             return frozenset(k for x in texts for k in x[3])
-        return frozenset(x[0] for x in spans if not isinstance(x[0], str) and 2 * x[2] > seen)
+        return frozenset(x[0] for x in spans if not isinstance(x[0], str) and 2 * x[2] > seen and x[4] not in NEVER)
+
+    def _tag(self, box: int) -> str:
+        return self.paths[box].rpartition("/")[2].partition(".")[0]
+
+    def _threads(self) -> list[bool]:
+        """Which containers belong to a thread beside the page's article."""
+        if self.thread is None:
+            n = len(self.paths)
+            self.thread = [False] * n
+            article, plain = [False] * n, [0] * n
+            for text, box, linked in self.blocks:
+                plain[box] += len(text) - linked
+            groups: dict[tuple[int, str], int] = {}
+            for box in range(1, n):
+                article[box] = article[self.parents[box]] or self._tag(box) == "article"
+                if not article[box] and THREAD.search(self.paths[box]):
+                    key = self.parents[box], self.paths[box]
+                    groups[key] = groups.get(key, 0) + 1
+            if groups:
+                for box in range(1, n):
+                    up = self.parents[box]
+                    self.thread[box] = self.thread[up] or groups.get((up, self.paths[box]), 0) > 1
+                if not any(article[box] and not self.thread[box] and plain[box] for box in range(n)):
+                    self.thread = [False] * n
+        return self.thread
 
     def best(self) -> tuple[str, float] | None:
         """(path, score) of the best container."""
-        if not self.blocks:
+        thread = self._threads()
+        score, running, links = [0.0] * len(self.paths), [0] * len(self.paths), [0] * len(self.paths)
+        found = False
+        for k, (text, box, linked) in enumerate(self.blocks):
+            if thread[box]:
+                continue
+            found = True
+            plain = len(text) - linked
+            score[box] += plain + 0.1 * linked
+            links[box] += linked
+            if plain > linked * 2 and (plain >= RUNNING or k in self.titles):
+                running[box] += plain
+        if not found:
             return None
-        score = [0.0] * len(self.paths)
-        for text, box, linked in self.blocks:
-            score[box] += (len(text) - linked) + 0.1 * linked
         for box in range(len(self.paths) - 1, 0, -1):  # parents come before their children
-            score[self.parents[box]] += DECAY * score[box]
+            up = self.parents[box]
+            score[up] += DECAY * score[box]
+            running[up] += running[box]
+            links[up] += links[box]
         top = max(range(len(score)), key=lambda b: (score[b] * self.weights[b], -b))
-        return self.paths[top], score[top] * self.weights[top]
+        value = score[top] * self.weights[top]
+        box = top
+        while box > 0:
+            if self._tag(box) == "article":
+                top = box
+            box = self.parents[box]
+        box = top
+        while box > 0:
+            up = self.parents[box]
+            more, around = running[up] - running[top], links[up] - links[top]
+            if around > more:
+                break
+            if more > 0:
+                top = up
+            box = up
+        return self.paths[top], value
 
     def text(self, winners: list[str]) -> str:
         """The blocks in the containers of the first winning path on this page."""
@@ -293,9 +360,9 @@ class Page:
         if own is None:
             return ""
         path = next((p for p in winners if p in here), own[0])
-        inside = [False] * len(self.paths)
+        inside, thread = [False] * len(self.paths), self._threads()
         for box, p in enumerate(self.paths):
-            inside[box] = p == path or (box > 0 and inside[self.parents[box]])
+            inside[box] = (p == path or (box > 0 and inside[self.parents[box]])) and not thread[box]
         out = "\n".join(t for t, box, _ in self.blocks if inside[box])
         return out or self.text([own[0]]) if path != own[0] else out
 
