@@ -18,6 +18,8 @@ from pyspark.sql import types as T
 from ..config import Limits
 from ..functions.text import js_trim
 from ..operators.rows import ORDER_COLUMN, scan_order, with_row_number
+from ..session import cut_lineage
+from .splits import CsvLexer, JsonLexer, pieces, records, split_states
 from .validate import (IntakeError, blank_rows_removed, check_columns_scalar, check_limits,
                        json_record_violations, normalize_headers)
 
@@ -25,8 +27,7 @@ from .validate import (IntakeError, blank_rows_removed, check_columns_scalar, ch
 # quotes.  Possessive throughout, so no input makes the matcher recurse.
 _CELL = r'(?:"[^"]*+(?:""[^"]*+)*+"|[^",{eol}]*+)'
 _RECORD = _CELL + "(?:," + _CELL + ")*+"
-LINE_RECORD = "^" + _RECORD.format(eol="") + "$"
-FILE_RECORDS = r"^\uFEFF?" + _RECORD.format(eol=r"\r\n") + r"(?:\r?\n" + _RECORD.format(eol=r"\r\n") + r")*+$"
+LINE_RECORD = r"^\uFEFF?" + _RECORD.format(eol="") + r"\z"
 
 
 def _csv_reader(spark: SparkSession, multi_line: bool):
@@ -55,59 +56,68 @@ def csv_headers(spark: SparkSession, path: str, multi_line: bool, limits: Limits
     return normalize_headers([c or "" for c in first], limits)
 
 
-def csv_violations(spark: SparkSession, path: str) -> DataFrame:
-    """S8 and quoting: (row, rule) of data rows (1-based, blank rows skipped) of
-    a file without line breaks inside cells that hold more cells than the header
-    or a quote inside a cell.  Nothing is sorted unless there are any."""
-    n = len(csv_headers(spark, path, False))
-    lines = spark.read.text(path).select(scan_order().alias("at"), F.regexp_replace("value", r"\r$", "").alias("value"))
+def csv_records(spark: SparkSession, path: str, multi_line: bool) -> DataFrame:
+    """(at, value, head): the text of every record with its place in the source, and
+    whether it is its file's first.  With ``multi_line``, lines inside quoted cells are
+    put together across splits; no file is read as a whole."""
+    if not multi_line:
+        place = F.struct(F.col("o.file").alias("file"), F.col("o.block").alias("block"), F.col("o.at").alias("at"))
+        lines = spark.read.text(path).select(scan_order().alias("o"), F.regexp_replace("value", r"\r$", "").alias("value"))
+        first = (F.col("o.block") == 0) & (F.col("o.at").bitwiseAND(F.lit((1 << 33) - 1)) == 0)
+        return lines.select(place.alias("at"), "value", first.alias("head"))
+    lexer = CsvLexer()
+    found = pieces(spark, path, lexer.separator)
+    states = cut_lineage(split_states(found, lexer))  # one small row a split
+    return records(found, states, lexer).select(
+        F.struct("file", "block", "at").alias("at"), F.regexp_replace("text", r"\r?\n\z", "").alias("value"), "head")
+
+
+def csv_violations(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """S8 and quoting: (row, rule) of data rows (1-based, blank rows skipped) that
+    hold more cells than the header, a quote inside a cell, or a quoted cell that
+    does not end.  Nothing is sorted unless there are any."""
+    n = len(csv_headers(spark, path, multi_line))
+    return _record_violations(csv_records(spark, path, multi_line), n)
+
+
+def _record_violations(found: DataFrame, n: int) -> DataFrame:
     cells = F.size(F.split(_unquoted(F.col("value")), ",", -1))
     rule = (F.when(~F.col("value").rlike(LINE_RECORD), F.lit("quote-inside-cell"))
             .when(cells > n, F.lit("too-many-cells")))
-    # a file's first line is its header
-    head = (F.col("at.block") == 0) & (F.col("at.at").bitwiseAND(F.lit((1 << 33) - 1)) == 0)
     blank = (js_trim(F.translate("value", '",', "")) == "") & (cells <= n)
-    rows = lines.select("at", rule.alias("rule"), head.alias("head"), blank.alias("blank")).where(~F.col("blank"))
+    rows = found.select("at", rule.alias("rule"), "head", blank.alias("blank")).where(~F.col("blank"))
     if not rows.where(F.col("rule").isNotNull()).limit(1).count():
         return rows.where("false").select(F.lit(0).cast("long").alias("row"), "rule")
     numbered = with_row_number(rows.select("at", "rule"), [F.col("at")])
     return numbered.where(F.col("rule").isNotNull()).select(F.col("_row").alias("row"), "rule")
 
 
-def _check_whole_files(spark: SparkSession, path: str, n: int) -> None:
-    """The same rules for files with line breaks inside cells, one file a task."""
-    text = F.regexp_replace("value", r"[\r\n]+$", "")
-    files = spark.read.text(path, wholetext=True).select(text.alias("value"))
-    if files.where(~F.col("value").rlike(FILE_RECORDS)).limit(1).count():
-        raise IntakeError("The file has a quote inside a cell or a quoted cell that does not end.")
-    records = files.select(F.explode(F.split(_unquoted(F.col("value")), r"\r?\n")).alias("record"))
-    if records.where(F.size(F.split("record", ",", -1)) > n).limit(1).count():
-        raise IntakeError("A row has more values than the header.")
-
-
 def read_csv(spark: SparkSession, path: str, limits: Limits = Limits(),
              strict: bool = True, multi_line: bool | None = None) -> DataFrame:
     """RFC-style CSV: header row, quoted fields with ``""`` escapes and
     embedded newlines, CRLF; all columns as strings; blank rows dropped and
     missing cells as ''.  ``strict`` refuses rows with more cells than the
     header, stray quotes, tables without rows and cells over the limits, by row
-    number only.  ``multi_line`` says whether quoted cells hold line breaks; such
-    files are read whole, others in splits.  By default a pass over the lines
-    finds out."""
+    number only.  ``multi_line`` says whether quoted cells hold line breaks; by
+    default a pass over the lines finds out.  Files are read in splits either way."""
     if multi_line is None:
         multi_line = has_line_breaks(spark, path)
     headers = csv_headers(spark, path, multi_line, limits)
-    if strict and multi_line:
-        _check_whole_files(spark, path, len(headers))
-    elif strict:
-        bad = csv_violations(spark, path).orderBy("row").first()
+    found = csv_records(spark, path, multi_line)
+    if strict:
+        bad = _record_violations(found, len(headers)).orderBy("row").first()
         if bad is not None:
             raise IntakeError(f"Row {bad.row + 1} has more values than the header." if bad.rule == "too-many-cells"
-                              else f"Row {bad.row + 1} has a quote inside a cell.")
+                              else f"Row {bad.row + 1} has a quote inside a cell, or one that does not end.")
     places = [f"c{i}" for i in range(len(headers))]
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in places])
-    raw = (_csv_reader(spark, multi_line).schema(schema).option("header", True).option("enforceSchema", True).csv(path)
-           .select(*[F.col(c).alias(h) for c, h in zip(places, headers)], scan_order().alias(ORDER_COLUMN)))
+    if multi_line:
+        ddl = ", ".join(f"{c} string" for c in places)
+        parsed = found.where(~F.col("head")).select("at", F.from_csv("value", ddl, {"quote": '"', "escape": '"'}).alias("r"))
+        raw = parsed.select(*[F.col("r")[c].alias(h) for c, h in zip(places, headers)], F.col("at").alias(ORDER_COLUMN))
+    else:
+        schema = T.StructType([T.StructField(c, T.StringType()) for c in places])
+        raw = (_csv_reader(spark, False).schema(schema).option("header", True).option("enforceSchema", True).csv(path)
+               .select(*[F.col(c).alias(h) for c, h in zip(places, headers)], scan_order().alias(ORDER_COLUMN)))
     out = blank_rows_removed(raw)
     if strict:
         check_limits(out, limits)
@@ -115,42 +125,60 @@ def read_csv(spark: SparkSession, path: str, limits: Limits = Limits(),
 
 
 def json_lines_records(spark: SparkSession, path: str) -> DataFrame:
-    """(order, cells) for a JSON Lines file: each line parsed as
+    """(order, cells, text) for a JSON Lines file: each line parsed as
     ``map<string, variant>`` (NULL when the line is not an object)."""
     lines = spark.read.text(path).select(scan_order().alias("order"), "value").where(js_trim(F.col("value")) != "")
-    return lines.select("order", F.try_parse_json("value").alias("v")).select(
-        "order", F.expr("try_cast(v as map<string,variant>)").alias("cells"))
+    return lines.select("order", F.try_parse_json("value").alias("v"), F.col("value").alias("text")).select(
+        "order", F.expr("try_cast(v as map<string,variant>)").alias("cells"), "text")
 
 
 def json_array_records(spark: SparkSession, path: str) -> DataFrame:
-    """(order, cells) for a JSON file holding an array of records or an object
-    with a ``rows`` array.  Such a file is one document, so each file is
-    parsed by one task (the scalable form is JSON Lines)."""
-    text = spark.read.text(path, wholetext=True).select(scan_order().alias("file"), F.try_parse_json("value").alias("v"))
+    """(order, cells, text) for JSON files that hold an array of records, or an object with
+    a ``rows`` array.  Arrays are read in splits and put together across their borders;
+    an object is one document, so with one each file is parsed by one task."""
+    lexer = JsonLexer()
+    found = pieces(spark, path, lexer.separator)
+    states = cut_lineage(split_states(found, lexer))  # one small row a split
+    if states.where("start <> '['").limit(1).count() or states.isEmpty():
+        return _json_documents(spark, path)
+    got = records(found, states, lexer)
+    lead = F.when(F.col("head"), F.lit(r"^\uFEFF?\s*\[\s*(?=\{)")).otherwise(F.lit(r"^\s*,\s*(?=\{)"))
+    end = F.when(F.col("head"), F.lit(r"^\uFEFF?\s*\[\s*\]\s*$")).otherwise(F.lit(r"^\s*\]\s*$"))
+    body = F.regexp_replace("text", lead, F.lit(""))
+    order = F.struct("file", "block", "at").alias("order")
+    parts = got.select(order, "head", body.alias("body"), F.try_parse_json(body).alias("v"),
+                       (F.col("tail").isNotNull() & F.regexp_like("tail", end)).alias("end"),
+                       (F.col("tail").isNotNull() | ~F.regexp_like("text", lead)).alias("odd"), "file")
+    # every file ends its array once, and nothing else stands between its records
+    wrong = parts.groupBy("file").agg(F.count_if("end").alias("ends"), F.count_if(
+        (F.col("odd") & ~F.col("end")) | (~F.col("odd") & F.col("v").isNull())).alias("bad"))
+    if wrong.where("ends <> 1 or bad > 0").limit(1).count():
+        raise IntakeError("The JSON file is not an array of records or an object with a rows array.")
+    return parts.where("not odd").select("order", F.expr("try_cast(v as map<string,variant>)").alias("cells"), F.col("body").alias("text"))
+
+
+def _json_documents(spark: SparkSession, path: str) -> DataFrame:
+    """The same for files parsed as a whole, one a task."""
+    kind = "array<string>"
+    text = spark.read.text(path, wholetext=True).select(scan_order().alias("file"), "value", F.try_parse_json("value").alias("v"))
     rows = F.coalesce(F.expr("try_cast(v as array<variant>)"),
                       F.expr("try_cast(try_variant_get(v, '$.rows', 'variant') as array<variant>)"))
     if text.select(rows.alias("r")).where("r is null").limit(1).count():
         raise IntakeError("The JSON file is not an array of records or an object with a rows array.")
-    return text.select("file", F.posexplode(rows).alias("pos", "v")).select(
+    raw = F.coalesce(F.from_json("value", kind), F.from_json("value", f"struct<rows:{kind}>")["rows"])
+    return text.select("file", raw.alias("raw"), F.posexplode(rows).alias("pos", "v")).select(
         F.struct(F.col("file.file").alias("file"), F.col("file.block").alias("block"),
                  F.col("pos").cast("long").alias("at")).alias("order"),
-        F.expr("try_cast(v as map<string,variant>)").alias("cells"))
+        F.expr("try_cast(v as map<string,variant>)").alias("cells"), F.get("raw", F.col("pos")).alias("text"))
 
 
 def _numbered(records: DataFrame) -> DataFrame:
     return with_row_number(records, [F.col("order")]).select((F.col("_row") + 1).alias("row"), "cells")
 
 
-def _first_keys(spark: SparkSession, path: str, lines: bool) -> list[str]:
+def _first_keys(found: DataFrame) -> list[str]:
     """The keys of the first record as they stand in it (a variant sorts them)."""
-    text = spark.read.text(path, wholetext=not lines).select(scan_order().alias("order"), "value")
-    if lines:
-        keys = F.json_object_keys("value")
-        text = text.where(js_trim(F.col("value")) != "")
-    else:
-        kind = "array<map<string,variant>>"
-        keys = F.map_keys(F.coalesce(F.from_json("value", kind), F.from_json("value", f"struct<rows:{kind}>")["rows"])[0])
-    first = text.orderBy("order").select(keys.alias("keys")).first()
+    first = found.orderBy("order").select(F.json_object_keys("text").alias("keys")).first()
     if first is None:
         raise IntakeError("The dataset has no data rows.")
     if not first["keys"]:
@@ -164,22 +192,22 @@ def read_json(spark: SparkSession, path: str, limits: Limits = Limits(),
     (``lines=True``, the scalable form) one record per line.  Columns are named
     and ordered as in the first record; other records match them ignoring case
     and outer spaces."""
-    records = json_lines_records(spark, path) if lines else json_array_records(spark, path)
-    headers = normalize_headers(_first_keys(spark, path, lines), limits)
+    found = json_lines_records(spark, path) if lines else json_array_records(spark, path)
+    headers = normalize_headers(_first_keys(found), limits)
     wanted = F.array_sort(F.array(*[F.lit(h.lower()) for h in headers]))
     keys = F.array_sort(F.transform(F.map_keys("cells"), lambda k: F.lower(js_trim(F.ltrim(k, F.lit("\ufeff"))))))
     nested = F.exists(F.map_values("cells"), lambda v: F.schema_of_variant(v).startswith("OBJECT")
                       | F.schema_of_variant(v).startswith("ARRAY"))
     wrong = F.col("cells").isNull() | (keys != wanted) | nested
     # rows are numbered, and so sorted, only where one is to be refused
-    if records.where(F.coalesce(wrong, F.lit(True))).limit(1).count():
-        bad = json_record_violations(_numbered(records)).orderBy("row").first()
+    if found.where(F.coalesce(wrong, F.lit(True))).limit(1).count():
+        bad = json_record_violations(_numbered(found)).orderBy("row").first()
         if bad is not None:
             raise IntakeError(f"Row {bad.row} breaks the record rules ({bad.rule}).")
         raise IntakeError("A row does not match the columns of the first.")
     named = F.map_from_entries(F.transform(F.map_entries("cells"), lambda e: F.struct(
         F.lower(js_trim(F.ltrim(e["key"], F.lit("\ufeff")))).alias("key"), e["value"].alias("value"))))
-    cells = records.select("order", named.alias("m"))
+    cells = found.select("order", named.alias("m"))
     places = [F.col("m")[h.lower()] for h in headers]
     kinds = cells.agg(*[F.schema_of_variant_agg(c).alias(f"k{i}") for i, c in enumerate(places)]).first()
     types = [_json_type(kinds[f"k{i}"]) for i in range(len(headers))]
