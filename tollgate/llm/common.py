@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-import io
 import uuid
-import zipfile
 import zlib
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, ship
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
@@ -48,28 +45,6 @@ def discard(df: DataFrame) -> None:
         folder.getFileSystem(sc._jsc.hadoopConfiguration()).delete(folder, True)
 
 
-_SHIPPED: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Gives this package to the Python workers, once in each application:
-    a zip in the shared folder of ``spark.checkpoint.dir``, added to the job."""
-    sc = spark.sparkContext
-    if sc.applicationId in _SHIPPED:
-        return
-    root = Path(__file__).resolve().parent.parent
-    data = io.BytesIO()
-    with zipfile.ZipFile(data, "w") as z:
-        for f in sorted(root.rglob("*.py")):
-            z.write(f, f.relative_to(root.parent))
-    path = sc._jvm.org.apache.hadoop.fs.Path(f"{ensure_checkpoint_dir(spark)}/{root.name}-{uuid.uuid4().hex}.zip")
-    out = path.getFileSystem(sc._jsc.hadoopConfiguration()).create(path)
-    out.write(data.getvalue())
-    out.close()
-    sc.addPyFile(path.toString())
-    _SHIPPED.add(sc.applicationId)
-
-
 def small_batches(df: DataFrame, records: int) -> DataFrame:
     """Ships this package and caps the rows of one Arrow batch, so that a batch
     of very long texts fits a Python worker.  Only lowers the session's setting."""
