@@ -99,7 +99,7 @@ class DocumentIds:
         if len(self.words) > self.limit:
             self.words = {}
         split = [t.split() if t and not self.WHOLE.search(t) else None for t in texts]
-        new = set().union(*filter(None, split)) - self.kept.keys()
+        new = [w for w in set().union(*filter(None, split)) if w not in self.kept]
         parts = {w: self.WORD.findall(w.lower()) for w in new if self.LATIN.fullmatch(w)}
         self._learn(set().union(*parts.values()))
         known = self.words.__getitem__
