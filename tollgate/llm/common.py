@@ -20,6 +20,10 @@ FOLD = bytes.maketrans(UPPER.encode(), LOWER.encode())
 PLAIN = bytes(b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
 
 
+#: Bytes of an Arrow batch, beyond which a new one begins.
+BATCH_BYTES = 16 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -46,12 +50,15 @@ def discard(df: DataFrame) -> None:
 
 
 def small_batches(df: DataFrame, records: int) -> DataFrame:
-    """Ships this package and caps the rows of one Arrow batch, so that a batch
-    of very long texts fits a Python worker.  Only lowers the session's setting."""
+    """Ships this package and caps the rows and the bytes of one Arrow batch, so
+    that a batch of very long texts fits a Python worker.  Spark knows these two as
+    settings of the session only; they are lowered, never raised."""
     ship(df.sparkSession)
-    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(key, "10000")) <= records:
-        conf.set(key, str(records))
+    conf = df.sparkSession.conf
+    for key, most in (("maxRecordsPerBatch", records), ("maxBytesPerBatch", BATCH_BYTES)):
+        now = int(str(conf.get(f"spark.sql.execution.arrow.{key}", "0")).rstrip("b"))
+        if not 0 < now <= most:
+            conf.set(f"spark.sql.execution.arrow.{key}", str(most))
     return df
 
 

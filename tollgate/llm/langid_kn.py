@@ -174,7 +174,7 @@ class Entropies:
         for w in new:  # bounded arrays, however long the words are
             block.append(w)
             size += len(w)
-            if size > 500_000:
+            if size > 100_000:
                 blocks.append(self.model.word_logs(block))
                 block, size = [], 0
         blocks.append(self.model.word_logs(block))
