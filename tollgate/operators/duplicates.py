@@ -51,14 +51,13 @@ def exact_evidence(prep: Prepared) -> DataFrame:
         top, "exact-duplicates",
         F.concat_ws(":", F.lit("exact"), F.col("l").cast("string"), F.col("r").cast("string")),
         row=F.col("l"), other_row=F.col("r"),
-        detail=F.lit("Rows are identical once the identifier column is set aside."),
+        detail=F.lit("Both rows have one fingerprint; the id is not part of it."),
         ordinal=F.col("__rank"))
 
 
 def exact_findings(prep: Prepared) -> tuple[DataFrame, DataFrame]:
     pairs = exact_pairs(prep)
-    summary = F.concat(F.col("pairs").cast("string"),
-                       plural(F.col("pairs"), " duplicate pair", " duplicate pairs"),
-                       F.lit(" can overweight repeated examples."))
+    summary = F.concat(F.lit("Rows that repeat another one: "), F.col("pairs").cast("string"),
+                       plural(F.col("pairs"), " pair.", " pairs."))
     return (finding_rows(pairs.where(F.col("pairs") > 0), "exact-duplicates", F.col("pairs"),
                          summary), exact_evidence(prep))

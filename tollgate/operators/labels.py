@@ -55,7 +55,7 @@ def conflict_evidence(prep: Prepared) -> DataFrame:
         row=F.col("first_row") + 1, other_row=F.col("second_row") + 1,
         column=F.col("__role"),
         detail=F.concat(F.col("labels").cast("string"),
-                        F.lit(" different labels are assigned to the same feature values.")),
+                        F.lit(" labels stand beside one set of features.")),
         ordinal=F.col("__rank"))
 
 
@@ -105,17 +105,16 @@ def class_imbalance(prep: Prepared) -> DataFrame:
 def label_findings(prep: Prepared) -> tuple[DataFrame, DataFrame]:
     groups = conflicting_labels(prep)
     f_conf = finding_rows(groups, "conflicting-labels", F.col("groups"), F.concat(
-        F.col("groups").cast("string"),
-        plural(F.col("groups"), " feature group has", " feature groups have"),
-        F.lit(" inconsistent labels.")))
+        F.lit("Features labelled in more than one way: "), F.col("groups").cast("string"),
+        plural(F.col("groups"), " group.", " groups.")))
     imb = class_imbalance(prep).where("imbalanced")
     f_imb = finding_rows(imb, "class-imbalance", F.lit(1),
-                         F.lit("The label distribution may hide minority-class performance."))
+                         F.lit("One class holds too much or too little of the rows."))
     e_imb = evidence_rows(
         prep.with_role(imb, "label"), "class-imbalance", F.lit("imbalance:label-distribution"),
         column=F.col("__role"),
-        detail=F.concat(F.lit("Largest class "), percent_text(F.col("majority_share")),
-                        F.lit("%; smallest class "), percent_text(F.col("minority_share")),
+        detail=F.concat(F.lit("Share of the most frequent class: "), percent_text(F.col("majority_share")),
+                        F.lit("%, of the rarest: "), percent_text(F.col("minority_share")),
                         F.lit("%.")),
         ordinal=F.lit(1))
     return f_conf.unionByName(f_imb), conflict_evidence(prep).unionByName(e_imb)

@@ -75,14 +75,13 @@ def leakage_evidence(prep: Prepared) -> DataFrame:
                     (F.col("_row") + 1).cast("string")),
         row=F.col("first_s") + 1, other_row=F.col("_row") + 1,
         column=F.col("__role"),
-        detail=F.lit("The same example appears in more than one split; split values are withheld."),
+        detail=F.lit("Two splits hold this row; which ones is not shown."),
         ordinal=F.col("__rank"))
 
 
 def leakage_findings(prep: Prepared) -> tuple[DataFrame, DataFrame]:
     pairs = leakage_pairs(prep)
-    summary = F.concat(F.col("pairs").cast("string"),
-                       plural(F.col("pairs"), " identical pair crosses", " identical pairs cross"),
-                       F.lit(" dataset splits."))
+    summary = F.concat(F.lit("Equal rows in different splits: "), F.col("pairs").cast("string"),
+                       plural(F.col("pairs"), " pair.", " pairs."))
     return (finding_rows(pairs, "split-leakage", F.col("pairs"), summary),
             leakage_evidence(prep))

@@ -9,11 +9,16 @@ an equi-join, so no nested loop ever appears in the plan:
 2. tokens are ordered globally by (number of sets holding them, token),
    rarest first.  The counts of tokens found in a ten-thousandth of all token
    places or more, at most 10,000 of them, are broadcast; the others are joined;
-3. each set emits its prefix, the first k - ceil(0.82 k) + 1 tokens, as thin
-   rows (token, set, k, position).  Two sets with Jaccard >= 0.82 share a
-   prefix token, so candidates are an equi-join on (release, token), under
-   the size and position bounds;
-4. each candidate pair is verified once, against the sets, in integers.
+3. the prefix of a set are its first k - ceil(0.82 k) + 1 tokens.  The first token
+   that two sets with Jaccard >= 0.82 share lies in both prefixes.  If fewer than
+   ``DENSE`` sets hold it, the pair is found by an equi-join of thin rows (release,
+   token, set, k, position) under the size and position bounds, and verified
+   once, in integers, against the sets;
+4. the other tokens have long lists of sets, as groups of alike rows make.  A list
+   is dealt into blocks of about ``BLOCK`` sets, and every two blocks are a unit:
+   its sets are compared by products of 0/1 matrices, and a pair counts in the
+   unit of its first common token only, so no pair is made twice, nothing is made
+   distinct, and no task gets a long list whole.
 
 Pairs are counted without enumerating rows: sum m_A*m_B over similar set pairs,
 plus C(m,2) minus the equal-fingerprint pairs inside each set.  The sums are kept
@@ -27,13 +32,16 @@ from pyspark.sql import functions as F
 
 from ..config import JACCARD_DEN, JACCARD_NUM, MIN_NEAR_TOKENS
 from ..functions.tokens import exact, jaccard_ok, min_size, pairs_of, percent_text, prefix_length
-from ..session import cut_lineage
+from ..session import cut_lineage, ship
 from .findings import bounded_broadcast, evidence_rows, finding_rows, plural, top_k
 from .prepare import Prepared
 
 #: A token with at least this share of all token places is looked up by broadcast.
 FREQUENT_SHARE = 10_000
 
+#: Sets with a token from which on its list is compared in blocks, and a block's size.
+DENSE, BLOCK = 256, 512
+
 # ---------------------------------------------------------------------------
 # Token statistics
 # ---------------------------------------------------------------------------
@@ -98,17 +106,26 @@ def _token_sets(prep: Prepared) -> DataFrame:
         known.where(F.col("df").isNull()).drop("df").join(vocab.where(~often), "token"))
     ordered = (counted.groupBy("release_id", "set_key")
                .agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("__o"))
-               .select("release_id", "set_key", F.transform("__o", lambda s: s["token"]).alias("ids")))
+               .select("release_id", "set_key", F.transform("__o", lambda s: s["token"]).alias("ids"),
+                       F.size(F.filter("__o", lambda s: s["df"] < DENSE)).alias("rare")))
     return (sets.drop("tokens").join(ordered, ["release_id", "set_key"])
             .withColumn("k", F.size("ids")))
 
 
-def similar_sets(prep: Prepared, lefts: DataFrame | None = None) -> DataFrame:
+def similar_sets(prep: Prepared, lefts: DataFrame | None = None, first: int | None = None) -> DataFrame:
     """Pairs of distinct token sets with Jaccard >= 0.82, named by their first
-    rows (``sa`` < ``sb``); with ``lefts`` (release_id, sa) only those."""
+    rows (``sa`` < ``sb``); with ``lefts`` (release_id, sa) only those; with ``first`` at
+    least the first pairs of each release."""
     sets = token_sets(prep)
-    prefix = sets.select("release_id", F.col("first_row").alias("s"), "k",
-                         F.posexplode(F.slice("ids", 1, prefix_length(F.col("k")))).alias("pos", "tok"))
+    return _by_rare_tokens(sets, lefts).unionByName(_by_dense_tokens(sets, lefts, first))
+
+
+PAIR = ["release_id", "sa", "sb", "ma", "mb", "a_key", "b_key", "inter", "ka", "kb"]
+
+
+def _by_rare_tokens(sets: DataFrame, lefts: DataFrame | None) -> DataFrame:
+    prefix = sets.select("release_id", F.col("first_row").alias("s"), "k", F.posexplode(
+        F.slice("ids", 1, F.least(prefix_length(F.col("k")), F.col("rare")))).alias("pos", "tok"))
     a = prefix.select("release_id", "tok", F.col("s").alias("sa"), F.col("k").alias("ka"), F.col("pos").alias("pa"))
     if lefts is not None:
         a = a.join(lefts, ["release_id", "sa"], "left_semi")
@@ -133,11 +150,118 @@ def similar_sets(prep: Prepared, lefts: DataFrame | None = None) -> DataFrame:
             .where(jaccard_ok(F.col("inter"), F.col("ka"), F.col("kb"))))
 
 
+def _by_dense_tokens(sets: DataFrame, lefts: DataFrame | None, first: int | None = None, sums: bool = False) -> DataFrame:
+    """Pairs whose first common token is held by ``DENSE`` sets or more: all, or the
+    ``first`` of each unit.  With ``sums`` the row pairs (release_id, sa, pairs) of
+    each left set in each unit instead."""
+    base = sets.withColumn("s", F.col("first_row"))
+    if lefts is None:
+        base = base.withColumn("left", F.lit(True))
+    else:
+        base = base.join(lefts.select("release_id", F.col("sa").alias("s"), F.lit(True).alias("left")),
+                         ["release_id", "s"], "left").withColumn("left", F.coalesce("left", F.lit(False)))
+    places = base.where(prefix_length(F.col("k")) > F.col("rare")).select(
+        "release_id", "s", "m", "set_key", "k", "ids", "left",
+        F.explode(F.sequence(F.col("rare"), prefix_length(F.col("k")) - 1)).alias("pos")) \
+        .withColumn("tok", F.get("ids", F.col("pos")))
+    lists = places.groupBy("release_id", "tok").agg(
+        F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("g"), F.max("left").alias("any"), F.count(F.lit(1)).alias("n")) \
+        .where("any and n > 1").select("release_id", "tok", "g")
+    own = F.pmod(F.xxhash64("s"), F.col("g")).cast("int")
+    units = places.join(lists, ["release_id", "tok"]).withColumn("own", own).select(
+        "*", F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("other")).select(
+        "release_id", "tok", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own",
+        "s", "m", "set_key", "k", "pos", "left", "ids")
+    ship(sets.sparkSession)
+    kinds = {f.name: f.dataType.simpleString() for f in sets.schema.fields}
+    out = (f"release_id string, sa long, sb long, ma {kinds['m']}, mb {kinds['m']}, a_key {kinds['set_key']}, b_key {kinds['set_key']}, "
+           "inter int, ka int, kb int")
+    if sums:
+        out = "release_id string, sa long, pairs decimal(38,0)"
+    return units.groupBy("release_id", "tok", "i", "j").applyInArrow(
+        lambda key, table: compare_unit(key, table, first, sums), out)
+
+
+def _products(rows: list, cols: list):
+    """The numbers of common elements of every two arrays, one from each side."""
+    import numpy as np
+
+    sizes, other = np.array([len(r) for r in rows]), np.array([len(c) for c in cols])
+    values, place = np.unique(np.concatenate([*rows, *cols]), return_inverse=True)
+    split = int(sizes.sum())
+    x, y = place[:split], place[split:]
+    both = np.zeros(len(values), bool)
+    both[x] = True
+    shared = np.zeros(len(values), bool)
+    shared[y] = True
+    shared &= both  # elements of one side only are in no product
+    number = np.cumsum(shared) - 1
+    rx, ry = np.repeat(np.arange(len(rows)), sizes)[shared[x]], np.repeat(np.arange(len(cols)), other)[shared[y]]
+    x, y = number[x[shared[x]]], number[y[shared[y]]]
+    out = np.zeros((len(rows), len(cols)), np.float32)
+    for start in range(0, int(shared.sum()), 4096):
+        a, b = np.zeros((len(rows), 4096), np.float32), np.zeros((len(cols), 4096), np.float32)
+        at, bt = (x >= start) & (x < start + 4096), (y >= start) & (y < start + 4096)
+        a[rx[at], x[at] - start] = 1
+        b[ry[bt], y[bt] - start] = 1
+        out += a @ b.T
+    return out.astype(np.int64)
+
+
+def compare_unit(key, table, first: int | None = None, sums: bool = False):
+    """The similar pairs of two blocks of a token's list (or inside one) whose first
+    common token it is."""
+    from decimal import Decimal
+
+    import numpy as np
+    import pyarrow as pa
+
+    release, _, i, j = (k.as_py() for k in key)
+    s, k, pos, own, left = (table.column(c).to_numpy() for c in ("s", "k", "pos", "own", "left"))
+    ids = table.column("ids").combine_chunks()
+    offsets, values = ids.offsets.to_numpy(), ids.values.to_numpy()
+    sets = [values[a:b] for a, b in zip(offsets, offsets[1:])]
+    rows, cols = (np.flatnonzero(own == i), np.flatnonzero(own == j))
+    ka, kb = k[rows][:, None].astype(np.int64), k[cols][None, :].astype(np.int64)
+    # left sets come first: s of the left side is the smaller one
+    need = ((ka + kb) * JACCARD_NUM + (JACCARD_NUM + JACCARD_DEN - 1)) // (JACCARD_NUM + JACCARD_DEN)
+    forward = s[rows][:, None] < s[cols][None, :]
+    may = np.minimum(ka - pos[rows][:, None], kb - pos[cols][None, :]) >= need
+    may &= np.where(forward, left[rows][:, None], left[cols][None, :])
+    may &= forward if i == j else s[rows][:, None] != s[cols][None, :]
+    x, y = np.nonzero(may)
+    if len(x):
+        inter = _products([sets[r] for r in rows], [sets[c] for c in cols])
+        before = _products([sets[r][: pos[r]] for r in rows], [sets[c][: pos[c]] for c in cols])
+        good = may & (before == 0) & (inter * (JACCARD_NUM + JACCARD_DEN) >= (ka + kb) * JACCARD_NUM)
+        x, y = np.nonzero(good)
+    a, b = rows[x], cols[y]
+    swap = s[a] > s[b]
+    a, b = np.where(swap, b, a), np.where(swap, a, b)
+    shared = inter[x, y].astype(np.int32) if len(x) else np.zeros(0, np.int32)
+    if sums:
+        m = table.column("m").to_numpy().astype(np.int64)
+        lefts, place = np.unique(a, return_inverse=True)
+        total = np.zeros(len(lefts), np.int64)
+        np.add.at(total, place, m[b])
+        return pa.table([pa.array([release] * len(lefts), pa.string()), pa.array(s[lefts]), pa.array(
+            [Decimal(int(m[r]) * int(n)) for r, n in zip(lefts, total)], pa.decimal128(38, 0))], names=["release_id", "sa", "pairs"])
+    if first is not None and len(a) > first:
+        order = np.lexsort((s[b], s[a]))[:first]
+        a, b, shared = a[order], b[order], shared[order]
+    take = lambda c, at: table.column(c).combine_chunks().take(pa.array(at))
+    return pa.table([pa.array([release] * len(a), pa.string()), take("s", a), take("s", b), take("m", a), take("m", b),
+                     take("set_key", a), take("set_key", b), pa.array(shared), pa.array(k[a].astype(np.int32)), pa.array(k[b].astype(np.int32))],
+                    names=PAIR)
+
+
 def _left_sums(prep: Prepared) -> DataFrame:
     """For each set with a similar set after it, the row pairs with all of those:
     at most one row for each set."""
-    return prep.memo("near_left", lambda: similar_sets(prep).groupBy("release_id", "sa").agg(
-        F.sum(exact(F.col("ma")) * exact(F.col("mb"))).alias("pairs")))
+    sums = lambda: _by_rare_tokens(token_sets(prep), None).select(
+        "release_id", "sa", (exact(F.col("ma")) * exact(F.col("mb"))).cast("decimal(38,0)").alias("pairs"))
+    return prep.memo("near_left", lambda: sums().unionByName(_by_dense_tokens(token_sets(prep), None, sums=True))
+                     .groupBy("release_id", "sa").agg(F.sum("pairs").alias("pairs")))
 
 
 def near_pairs(prep: Prepared) -> DataFrame:
@@ -166,7 +290,7 @@ def _near_evidence(prep: Prepared) -> DataFrame:
     lefts = top_k(_left_sums(prep).select("release_id", "sa"), ["release_id"], [F.col("sa")], k, "__lf")
     lefts = bounded_broadcast(lefts.select("release_id", "sa"), k * n)
     sp_top = prep.memo(f"near_first:{k}", lambda: top_k(
-        similar_sets(prep, lefts), ["release_id"], [F.col("sa"), F.col("sb")], k, "__sp"), k * n)
+        similar_sets(prep, lefts, k), ["release_id"], [F.col("sa"), F.col("sb")], k, "__sp"), k * n)
     subs = _subgroups(prep)
     sub_rank = top_k(subs.select("release_id", "set_key", "fp_feature", "first"),
                      ["release_id", "set_key"], [F.col("first")], k + 1, "__sg")
@@ -221,14 +345,13 @@ def near_evidence(prep: Prepared) -> DataFrame:
         _near_evidence(prep), "near-duplicates",
         F.concat_ws(":", F.lit("near"), F.col("l").cast("string"), F.col("r").cast("string")),
         row=F.col("l"), other_row=F.col("r"),
-        detail=F.concat(F.lit("Token similarity "), percent_text(F.col("sim")),
-                        F.lit("%; the text is not included.")),
+        detail=F.concat(F.lit("The token sets agree by "), percent_text(F.col("sim")),
+                        F.lit("%.")),
         ordinal=F.col("__rank"))
 
 
 def near_findings(prep: Prepared) -> tuple[DataFrame, DataFrame]:
     p = near_pairs(prep).where(F.col("pairs") > 0)
-    summary = F.concat(F.col("pairs").cast("string"),
-                       plural(F.col("pairs"), " highly similar pair", " highly similar pairs"),
-                       F.lit(" may reduce dataset diversity."))
+    summary = F.concat(F.lit("Rows with nearly the same tokens: "), F.col("pairs").cast("string"),
+                       plural(F.col("pairs"), " pair.", " pairs."))
     return finding_rows(p, "near-duplicates", F.col("pairs"), summary), near_evidence(prep)

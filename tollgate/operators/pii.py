@@ -34,9 +34,8 @@ def pii_cell_count(prep: Prepared) -> DataFrame:
 def pii_findings(prep: Prepared) -> tuple[DataFrame, DataFrame]:
     by_kind = pii_by_kind(prep)
     title = F.create_map(*[x for k in PII_KINDS for x in (F.lit(k), F.lit(PII_TITLES[k][0]))])
-    summary = F.concat(F.col("cells").cast("string"), plural(F.col("cells"), " cell", " cells"),
-                       F.lit(" matched the "), title[F.col("kind")],
-                       F.lit(" detector; evidence is masked."))
+    summary = F.concat(F.lit("Found by the pattern for "), title[F.col("kind")], F.lit(": "),
+                       F.col("cells").cast("string"), plural(F.col("cells"), " cell.", " cells."))
     findings = finding_rows(by_kind, F.concat(F.lit("pii-"), F.col("kind")), F.col("cells"),
                             summary)
     k = prep.limits.evidence_per_finding
@@ -47,7 +46,7 @@ def pii_findings(prep: Prepared) -> tuple[DataFrame, DataFrame]:
         row=F.col("row"), column=F.col("column"),
         masked=F.concat(F.lit("["), F.col("kind"), F.lit(" redacted]")),
         detail=F.concat(F.col("matches").cast("string"),
-                        plural(F.col("matches"), " matching pattern", " matching patterns"),
-                        F.lit(" in this cell; the value is not returned.")),
+                        plural(F.col("matches"), " hit", " hits"),
+                        F.lit("; the cell stays hidden.")),
         ordinal=F.col("__rank"))
     return findings, evidence

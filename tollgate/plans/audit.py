@@ -74,16 +74,15 @@ def audit(df: DataFrame, release: Release | DataFrame | None = None, *,
     # detector results are kept on the prepared table, keyed by the limits
     # they depend on
     k = prep.limits.evidence_per_finding
-    # per release: at most 4 PII findings and 2 label findings, k evidence each
-    bound = prep.n_releases * 4 * max(k, 1)
-    parts = [prep.memo(f"pii_findings:{k}", lambda: pii.pii_findings(prep), bound),
-             prep.memo(f"exact_findings:{k}", lambda: duplicates.exact_findings(prep), bound),
-             prep.memo(f"near_findings:{k}", lambda: neardup.near_findings(prep), bound),
-             prep.memo(f"leakage_findings:{k}", lambda: leakage.leakage_findings(prep), bound),
-             prep.memo(f"label_findings:{k}", lambda: labels.label_findings(prep), bound),
-             governance.governance_findings(releases)]
-    findings = _union([p[0] for p in parts], FINDING_COLUMNS)
-    evidence = _union([p[1] for p in parts], EVIDENCE_COLUMNS)
+    # per release: at most 4 PII, 2 label and 3 other findings, k evidence each; all
+    # findings are one job, all evidence another
+    bound = prep.n_releases * 9
+    detectors = (pii.pii_findings, duplicates.exact_findings, neardup.near_findings, leakage.leakage_findings, labels.label_findings)
+    raised = prep.memo(f"findings:{k}", lambda: _union([d(prep)[0] for d in detectors], FINDING_COLUMNS), bound)
+    shown = prep.memo(f"evidence:{k}", lambda: _union([d(prep)[1] for d in detectors], EVIDENCE_COLUMNS), bound * max(k, 1))
+    missing = governance.governance_findings(releases)
+    findings = _union([raised, missing[0]], FINDING_COLUMNS)
+    evidence = _union([shown, missing[1]], EVIDENCE_COLUMNS)
 
     summary = audit_summary(prep, releases, findings)
     return AuditResult(prepared=prep, releases=releases, findings=findings, evidence=evidence,

@@ -208,7 +208,7 @@ SELECT g AS release_id, count(*) AS pairs FROM np GROUP BY g""")
 ORACLE_SQL["near_duplicate_evidence"] = _with(DOC, f"""
 SELECT g AS release_id, 'near:' || (l + 1) || ':' || (rr + 1) AS key, l + 1 AS row,
        rr + 1 AS other_row, row_number() OVER (PARTITION BY g ORDER BY l, rr) AS ordinal,
-       'Token similarity ' || {PCT} || '%; the text is not included.' AS detail
+       'The token sets agree by ' || {PCT} || '%.' AS detail
 FROM np QUALIFY ordinal <= 6""")
 
 ORACLE_SQL["split_leakage_groups"] = _with(DOC, """
@@ -247,7 +247,7 @@ cev AS (
 ORACLE_SQL["conflict_evidence"] = _with(DOC, "," + _CONF_EV + """
 SELECT g AS release_id, 'conflict:' || (fr + 1) || ':' || (sr + 1) AS key, fr + 1 AS row,
        sr + 1 AS other_row, row_number() OVER (PARTITION BY g ORDER BY fr) AS ordinal,
-       labels || ' different labels are assigned to the same feature values.' AS detail
+       labels || ' labels stand beside one set of features.' AS detail
 FROM cev QUALIFY ordinal <= 6""")
 
 _LD = """
