@@ -37,7 +37,7 @@ def test_documents_scan_is_pruned(spark):
 
     df = views.documents_view(spark, SF)
     plan = df._jdf.queryExecution().executedPlan().toString()
-    assert "lang" not in plan and "n_chars" not in plan
+    assert "quality" in plan and "toxic" not in plan
 
 
 def test_similarity_join_is_an_equi_join_of_thin_rows(spark):

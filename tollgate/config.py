@@ -90,6 +90,7 @@ class Limits:
     """
 
     rows: int | None = None
+    bytes: int | None = None
     columns: int | None = None
     key_characters: int = 128
     cell_characters: int | None = 4096
@@ -103,7 +104,7 @@ class Limits:
 
 
 #: The intake limits of one interactive request.
-REQUEST_LIMITS = Limits(rows=1000, columns=40)
+REQUEST_LIMITS = Limits(rows=1000, bytes=1_000_000, columns=40)
 
 
 @dataclass(frozen=True)

@@ -14,6 +14,7 @@ from ..operators import duplicates, gate, governance, hashing, labels, leakage,
 from ..operators.card import data_card
 from ..operators.findings import EVIDENCE_COLUMNS, FINDING_COLUMNS
 from ..operators.prepare import Prepared, prepare
+from ..sources.validate import check_metadata
 
 
 @dataclass
@@ -66,6 +67,7 @@ def audit(df: DataFrame, release: Release | DataFrame | None = None, *,
     else:
         rel_obj = release or Release()
         releases = governance.releases_frame(spark, [rel_obj])
+    check_metadata(releases, limits)
     rid = rel_obj.release_id if rel_obj is not None else "release"
     prep = prepared or prepare(df, release_id=rid, release_col=release_col, roles=roles,
                                release=rel_obj, limits=limits, order_by=order_by,

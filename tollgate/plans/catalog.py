@@ -25,6 +25,10 @@ def _prep(spark, sf, limits=None):
     return views.documents_prepared(spark, sf, limits or views.Limits())
 
 
+def _texts(spark, sf):
+    return views.texts_prepared(spark, sf)
+
+
 # --- sources / intake --------------------------------------------------------
 
 def q_cell_limit_violations(spark, sf):
@@ -70,6 +74,29 @@ def q_pii_pages(spark, sf):
     return pii.pii_by_kind(p)
 
 
+def q_pii_identifiers(spark, sf):
+    """Identifiers held as numbers and as text, per column and kind."""
+    from ..operators.prepare import prepare
+    from ..config import Roles
+    p = prepare(views.order_identifiers(spark, sf), release_id="orders", roles=Roles(id="id"), order_by=[F.col("id")])
+    return pii.pii_cells(p).groupBy("column", "kind").agg(
+        F.count(F.lit(1)).alias("cells"), F.sum("matches").cast("bigint").alias("matches"))
+
+
+def q_row_shape_violations(spark, sf):
+    """Event records whose keys are not those of the first; purchases carry one more."""
+    e = views.table(spark, sf, "events")
+    props = F.from_json("props", "map<string,string>")
+    cells = F.when(F.col("event_type") == "purchase", F.map_concat(props, F.create_map(F.lit("Amount "), F.col("value").cast("string")))) \
+        .otherwise(props)
+    return validate.row_shape_violations(e.select((F.col("event_id") + 1).alias("row"), cells.alias("cells")))
+
+
+def q_table_hash(spark, sf):
+    """One hash over all rows of ``labels`` in the order of their ids."""
+    return hashing.table_hash(views.table(spark, sf, "labels"), ["doc_id"])
+
+
 # --- exact duplicates -----------------------------------------------------------------
 
 def q_exact_duplicate_groups(spark, sf):
@@ -102,7 +129,7 @@ def q_near_duplicate_evidence(spark, sf):
 # --- leakage / labels -----------------------------------------------------------------
 
 def q_split_leakage_groups(spark, sf):
-    p = _prep(spark, sf)
+    p = _texts(spark, sf)
     first = p.df.groupBy("release_id", "fp_split").agg(F.min("_row").alias("g_first"))
     return (leakage.leakage_groups(p).join(first, ["release_id", "fp_split"])
             .select("release_id", (F.col("g_first") + 1).alias("first_row"), "n", "splits",
@@ -110,19 +137,19 @@ def q_split_leakage_groups(spark, sf):
 
 
 def q_split_leakage_pairs(spark, sf):
-    return leakage.leakage_pairs(_prep(spark, sf))
+    return leakage.leakage_pairs(_texts(spark, sf))
 
 
 def q_split_leakage_evidence(spark, sf):
-    return leakage.leakage_evidence(_prep(spark, sf)).select(*_ev())
+    return leakage.leakage_evidence(_texts(spark, sf)).select(*_ev())
 
 
 def q_conflicting_labels(spark, sf):
-    return labels.conflicting_labels(_prep(spark, sf))
+    return labels.conflicting_labels(_texts(spark, sf))
 
 
 def q_conflict_evidence(spark, sf):
-    return labels.conflict_evidence(_prep(spark, sf)).select(*_ev(), "detail")
+    return labels.conflict_evidence(_texts(spark, sf)).select(*_ev(), "detail")
 
 
 def q_label_distribution(spark, sf):
@@ -228,6 +255,9 @@ QUERIES: dict[str, Query] = {
     "pii_by_kind": q_pii_by_kind,
     "pii_cell_count": q_pii_cell_count,
     "pii_pages": q_pii_pages,
+    "pii_identifiers": q_pii_identifiers,
+    "row_shape_violations": q_row_shape_violations,
+    "table_hash": q_table_hash,
     "exact_duplicate_groups": q_exact_duplicate_groups,
     "exact_duplicate_pairs": q_exact_duplicate_pairs,
     "exact_duplicate_evidence": q_exact_duplicate_evidence,

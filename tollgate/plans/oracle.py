@@ -54,13 +54,17 @@ def _num_count(col: str, kind: str) -> str:
     return f"CASE WHEN {ok} AND {rule} THEN 1 ELSE 0 END"
 
 
-def base(group: str) -> str:
-    """CTEs over the audited documents view; ``g`` is the release id."""
-    norm = f"coalesce(lower(trim(regexp_replace(text, {_q(WS + '+')}, ' ', 'g'))), 'null')"
-    toks_all = f"coalesce(regexp_extract_all(lower(text), {_q(TOKEN)}), [])"
+def base(group: str, full: bool = True) -> str:
+    """CTEs over the audited documents view (or its text alone, with id, split and label);
+    ``g`` is the release id."""
+    # one key for all features: equal exactly when every normalised feature is
+    norm = " || chr(1) || ".join([f"coalesce(lower(trim(regexp_replace({c}, {_q(WS + '+')}, ' ', 'g'))), 'null')"
+                                  for c in ("text", "lang", "source")] + ["coalesce(CAST(n_chars AS VARCHAR), 'null')"]
+                                 if full else [f"coalesce(lower(trim(regexp_replace(text, {_q(WS + '+')}, ' ', 'g'))), 'null')"])
+    toks_all = " || ".join(f"coalesce(regexp_extract_all(lower({c}), {_q(TOKEN)}), [])" for c in ("text", "lang", "source"))
     pii_parts = []
-    for col_pos, (col, numeric) in enumerate((("doc_id", True), ("text", False),
-                                              ("split", False), ("label", True))):
+    for col_pos, (col, numeric) in enumerate((("doc_id", True), ("text", False), ("lang", False), ("source", False),
+                                              ("n_chars", True), ("split", False), ("label", True))):
         for kind in ("email", "phone", "nric", "ip"):
             if numeric and kind in ("email", "ip"):
                 continue
@@ -71,7 +75,7 @@ def base(group: str) -> str:
     pii_union = "\n    UNION ALL ".join(pii_parts)
     return f"""
 v AS (
-  SELECT {group} AS g, d.doc_id, d.text, d.source,
+  SELECT {group} AS g, d.doc_id, d.text, d.lang, d.source, d.n_chars,
          CASE WHEN d.doc_id % 5 = 0 THEN 'test' ELSE 'train' END AS split,
          l.quality AS label,
          CAST(row_number() OVER (PARTITION BY {group} ORDER BY d.doc_id) - 1 AS BIGINT) AS r
@@ -137,8 +141,8 @@ DOC = "'documents'"
 SRC = "d.source"
 
 
-def _with(group: str, body: str) -> str:
-    return "WITH " + base(group).lstrip() + "\n" + body
+def _with(group: str, body: str, full: bool = True) -> str:
+    return "WITH " + base(group, full).lstrip() + "\n" + body
 
 
 PCT = "CAST(round(i / (ka + kb - i) * 100) AS BIGINT)"
@@ -213,11 +217,11 @@ FROM np QUALIFY ordinal <= 6""")
 
 ORACLE_SQL["split_leakage_groups"] = _with(DOC, """
 SELECT lg.g AS release_id, gfirst.gf + 1 AS first_row, CAST(nn AS BIGINT) AS n, splits, pairs
-FROM lg JOIN gfirst USING (g, n_text, n_label)""")
+FROM lg JOIN gfirst USING (g, n_text, n_label)""", full=False)
 
 ORACLE_SQL["split_leakage_pairs"] = _with(DOC, """
 SELECT g AS release_id, count(*) AS groups, CAST(sum(pairs) AS BIGINT) AS pairs
-FROM lg GROUP BY g""")
+FROM lg GROUP BY g""", full=False)
 
 _LEAK_EV = """
 lev AS (
@@ -232,10 +236,10 @@ lev AS (
 ORACLE_SQL["split_leakage_evidence"] = _with(DOC, "," + _LEAK_EV + """
 SELECT g AS release_id, 'leakage:' || (fs + 1) || ':' || (xr + 1) AS key, fs + 1 AS row,
        xr + 1 AS other_row, row_number() OVER (PARTITION BY g ORDER BY gf, xr, fs) AS ordinal
-FROM lev QUALIFY ordinal <= 6""")
+FROM lev QUALIFY ordinal <= 6""", full=False)
 
 ORACLE_SQL["conflicting_labels"] = _with(DOC, """
-SELECT g AS release_id, count(*) AS groups FROM cg GROUP BY g""")
+SELECT g AS release_id, count(*) AS groups FROM cg GROUP BY g""", full=False)
 
 _CONF_EV = """
 cev AS (
@@ -248,7 +252,7 @@ ORACLE_SQL["conflict_evidence"] = _with(DOC, "," + _CONF_EV + """
 SELECT g AS release_id, 'conflict:' || (fr + 1) || ':' || (sr + 1) AS key, fr + 1 AS row,
        sr + 1 AS other_row, row_number() OVER (PARTITION BY g ORDER BY fr) AS ordinal,
        labels || ' labels stand beside one set of features.' AS detail
-FROM cev QUALIFY ordinal <= 6""")
+FROM cev QUALIFY ordinal <= 6""", full=False)
 
 _LD = """
 ldn AS (
@@ -330,7 +334,7 @@ ORACLE_SQL["gate_status"] = _with(SRC, _FINDINGS + """
 SELECT release_id, status, block_count, warning_count FROM gate2""")
 
 ORACLE_SQL["audit_summary"] = _with(SRC, _FINDINGS + """
-SELECT g2.release_id, g2.status, ts.rows AS row_count, CAST(4 AS BIGINT) AS column_count,
+SELECT g2.release_id, g2.status, ts.rows AS row_count, CAST(7 AS BIGINT) AS column_count,
        g2.block_count, g2.warning_count,
        CAST(coalesce(pcc.cells, 0) AS BIGINT) AS pii_cell_count,
        CAST(coalesce(ex.pairs, 0) AS BIGINT) AS exact_duplicate_pairs,
@@ -422,6 +426,9 @@ WITH rows AS (
          CAST(row_number() OVER (ORDER BY d.doc_id) - 1 AS BIGINT) AS r,
          sha256('{"doc_id":' || coalesce(CAST(d.doc_id AS VARCHAR), 'null')
                 || ',"text":' || coalesce(to_json(d.text), 'null')
+                || ',"lang":' || coalesce(to_json(d.lang), 'null')
+                || ',"source":' || coalesce(to_json(d.source), 'null')
+                || ',"n_chars":' || coalesce(CAST(d.n_chars AS VARCHAR), 'null')
                 || ',"split":' || to_json(CASE WHEN d.doc_id % 5 = 0 THEN 'test' ELSE 'train' END)
                 || ',"label":' || coalesce(CAST(l.quality AS VARCHAR), 'null') || '}') AS h
   FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id
@@ -432,6 +439,42 @@ SELECT g AS release_id, h AS dataset_hash FROM h1 WHERE (SELECT max(r) FROM rows
 UNION ALL
 SELECT g, h FROM h2 WHERE (SELECT max(r) FROM rows) >= 65536"""
 
+_IDENT = """
+ident AS (
+  SELECT o_orderkey AS id, 60110000000 + o_orderkey % 10000000 AS contact,
+         (year(o_orderdate) % 100 * 10000 + o_orderkey % 15 * 100 + day(o_orderdate)) AS d, o_custkey AS c
+  FROM orders),
+held AS (
+  SELECT id, contact, CAST(d * 1000000 + c % 1000000 AS BIGINT) AS holder,
+         lpad(CAST(d AS VARCHAR), 6, '0') || '-14-' || lpad(CAST(c % 10000 AS VARCHAR), 4, '0') AS holder_text
+  FROM ident)"""
+
+ORACLE_SQL["pii_identifiers"] = "WITH " + _IDENT.lstrip() + """
+SELECT "column", kind, count(*) AS cells, CAST(sum(matches) AS BIGINT) AS matches FROM (
+""" + "\n  UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", '{kind}' AS kind, {_num_count(c, kind) if c != 'holder_text' else _str_count(c, kind)} AS matches FROM held"
+    for c in ("contact", "holder", "holder_text") for kind in ("email", "phone", "nric", "ip")
+    if c == "holder_text" or kind in ("phone", "nric")) + """
+) WHERE matches > 0 GROUP BY ALL"""
+
+ORACLE_SQL["row_shape_violations"] = """
+WITH k AS (
+  SELECT event_id + 1 AS row, list_sort(list_transform(json_keys(props), lambda x: lower(trim(x)))
+           || CASE WHEN event_type = 'purchase' THEN ['amount'] ELSE [] END) AS keys FROM events)
+SELECT row, CASE WHEN len(keys) = 0 THEN 'no-columns' WHEN len(keys) <> len(list_distinct(keys)) THEN 'colliding-columns'
+                 ELSE 'schema-mismatch' END AS rule
+FROM k WHERE len(keys) = 0 OR len(keys) <> len(list_distinct(keys)) OR keys <> (SELECT keys FROM k ORDER BY row LIMIT 1)"""
+
+ORACLE_SQL["table_hash"] = """
+WITH rows AS (
+  SELECT CAST(row_number() OVER (ORDER BY doc_id) - 1 AS BIGINT) AS r,
+         sha256('{"doc_id":' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ',"quality":' || coalesce(CAST(quality AS VARCHAR), 'null')
+                || ',"toxic":' || coalesce(CAST(toxic AS VARCHAR), 'null') || '}') AS h FROM labels),
+h1 AS (SELECT r // 65536 AS c, sha256(string_agg(h, '' ORDER BY r)) AS h FROM rows GROUP BY ALL),
+h2 AS (SELECT sha256(string_agg(h, '' ORDER BY c)) AS h FROM h1)
+SELECT h AS table_hash FROM h1 WHERE (SELECT max(r) FROM rows) < 65536
+UNION ALL SELECT h FROM h2 WHERE (SELECT max(r) FROM rows) >= 65536"""
+
 ORACLE_SQL["configuration_hash"] = "WITH " + _REL.lstrip() + f"""
 SELECT release_id, sha256('{{"detector":"{DETECTOR_VERSION}","metadata":{{"datasetName":'
   || to_json(dataset_name) || ',"idColumn":' || to_json(id_column) || ',"labelColumn":'

@@ -1,9 +1,11 @@
 """Audited views over the driver's test tables.
 
-``documents`` is the audited table: ordered by ``doc_id``; ``split`` is
-``test`` when ``doc_id % 5 = 0`` else ``train``; ``label`` is
+``documents`` is the audited table, with all its columns: ordered by ``doc_id``;
+``split`` is ``test`` when ``doc_id % 5 = 0`` else ``train``; ``label`` is
 ``labels.quality`` through a left join (NULL stays a class).  Roles: id =
-doc_id, split = split, label = label; the feature is ``text``.
+doc_id, split = split, label = label; the features are ``text``, ``lang``, ``source``
+and ``n_chars``.  Leakage and conflicting labels are also asked of the texts alone
+(``texts_prepared``).
 
 Releases for the multi-release audit are derived from the same table: one
 release per document ``source``, its provenance the source name and its
@@ -34,14 +36,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def documents_view(spark: SparkSession, sf_dir: str, with_source: bool = False) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
-    cols = [F.col("doc_id"), F.col("text"),
+    cols = [*(F.col(c) for c in docs.columns),
             F.when(F.col("doc_id") % 5 == 0, F.lit("test")).otherwise(F.lit("train")).alias("split"),
             F.col("label")]
-    if with_source:
-        cols.append(F.col("source"))
+    if with_source:  # beside the audited column, for regrouping
+        cols.append(F.col("source").alias("__source"))
     return docs.join(labels, "doc_id", "left").select(*cols)
 
 
+def order_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Identifiers derived from ``orders``, as numbers and as text: a phone number,
+    and twelve digits that begin with a date whose month may be none."""
+    date, key = F.col("o_orderdate"), F.col("o_orderkey")
+    day = (F.year(date) % 100) * 10_000 + (key % 15) * 100 + F.dayofmonth(date)
+    return table(spark, sf_dir, "orders").select(
+        key.alias("id"), (F.lit(60_110_000_000) + key % 10_000_000).alias("contact"),
+        (day * 1_000_000 + F.col("o_custkey") % 1_000_000).cast("bigint").alias("holder"),
+        F.concat_ws("-", F.lpad(day.cast("string"), 6, "0"), F.lit("14"),
+                    F.lpad((F.col("o_custkey") % 10_000).cast("string"), 4, "0")).alias("holder_text"))
+
+
 def source_releases(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     # cheap literal guard first; the anchored pattern is linear per line
@@ -74,11 +88,21 @@ def documents_prepared(spark: SparkSession, sf_dir: str, limits: Limits = Limits
     if key not in _CACHE:
         _CACHE[key] = prepare(documents_view(spark, sf_dir, with_source=True),
                               release_id="documents", roles=DOCS_ROLES, limits=limits,
-                              order_by=[F.col("doc_id")], carry=("source",))
+                              order_by=[F.col("doc_id")], carry=("__source",))
     base = _CACHE[key]
     return base if base.limits == limits else base.with_limits(limits)
 
 
+def texts_prepared(spark: SparkSession, sf_dir: str) -> Prepared:
+    """The documents' texts with id, split and label: rows that repeat a text count as
+    equal whatever their source.  Leakage and conflicts are asked of these."""
+    key = _key(spark, sf_dir, "texts")
+    if key not in _CACHE:
+        _CACHE[key] = prepare(documents_view(spark, sf_dir).select("doc_id", "text", "split", "label"),
+                              release_id="documents", roles=DOCS_ROLES, order_by=[F.col("doc_id")])
+    return _CACHE[key]
+
+
 def documents_audit(spark: SparkSession, sf_dir: str, limits: Limits = Limits()) -> AuditResult:
     key = _key(spark, sf_dir, ("audit", limits))
     if key not in _CACHE:
@@ -93,7 +117,7 @@ def sources_audit(spark: SparkSession, sf_dir: str, limits: Limits = Limits()) -
     if key not in _CACHE:
         # the documents' prepared table, regrouped by source: no second pass
         # over the raw text
-        prep = regroup(documents_prepared(spark, sf_dir, limits), "source")
+        prep = regroup(documents_prepared(spark, sf_dir, limits), "__source")
         _CACHE[key] = audit(prep.df, source_releases(spark, sf_dir), prepared=prep,
                             limits=limits)
     return _CACHE[key]

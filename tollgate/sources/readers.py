@@ -20,7 +20,7 @@ from ..functions.text import js_trim
 from ..operators.rows import ORDER_COLUMN, scan_order, with_row_number
 from ..session import cut_lineage
 from .splits import CsvLexer, JsonLexer, pieces, records, split_states
-from .validate import (IntakeError, blank_rows_removed, check_columns_scalar, check_limits,
+from .validate import (IntakeError, blank_rows_removed, check_bytes, check_columns_scalar, check_limits,
                        json_record_violations, normalize_headers)
 
 # One cell: quoted (adjacent quoted sections are escaped quotes) or without
@@ -243,6 +243,7 @@ def read_dataset(spark: SparkSession, path: str, fmt: str | None = None,
                  limits: Limits = Limits()) -> DataFrame:
     """Dispatch on ``fmt`` or the file extension: csv, json, jsonl, parquet."""
     kind = (fmt or path.rsplit(".", 1)[-1]).lower()
+    check_bytes(spark, path, limits)
     if kind == "csv":
         return read_csv(spark, path, limits)
     if kind == "json":

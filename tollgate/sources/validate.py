@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -168,3 +168,19 @@ def check_metadata(releases: DataFrame, limits: Limits = Limits()) -> None:
     bad = metadata_violations(releases, limits).orderBy("release_id", "field").first()
     if bad is not None:
         raise IntakeError(f"Release {bad.release_id}: {bad.field} exceeds {limits.metadata_characters} characters.")
+
+
+def check_bytes(spark: SparkSession, path: str, limits: Limits = Limits()) -> None:
+    """Refuses a source with a file over the byte limit before anything of it
+    is read; sizes come from the file system's listing."""
+    if limits.bytes is None:
+        return
+    sc = spark.sparkContext
+    place = sc._jvm.org.apache.hadoop.fs.Path(path)
+    system = place.getFileSystem(sc._jsc.hadoopConfiguration())
+    for root in system.globStatus(place) or []:
+        files = system.listFiles(root.getPath(), True)
+        while files.hasNext():
+            found = files.next()
+            if found.getLen() > limits.bytes and not found.getPath().getName().startswith(("_", ".")):
+                raise IntakeError(f"A file of the dataset exceeds {limits.bytes} bytes.")
