@@ -1,6 +1,7 @@
 """Personal-identifier matchers as column expressions (JVM regexes).
 
-Each matcher counts validated, non-overlapping matches in a string cell.
+Each matcher counts validated, non-overlapping matches in a string cell.  The kinds
+are a list of ``PiiPattern``, which a caller may extend.
 Numeric cells use a separate rule: a safe non-negative integer is tested
 as its decimal text (phone and NRIC only; email and IPv4 never match a
 number).
@@ -8,12 +9,14 @@ number).
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..config import PII_TITLES
 from .text import ASCII_BOUNDARY as B
 from .text import WS_CLASS
 
@@ -40,52 +43,62 @@ EMAIL_RE = (r"(?iu)(?:\G|(?<!" + EMAIL_LOCAL + "))(?:" + B + "|" + _NOT_WORD + B
 MAX_SAFE_INTEGER = 9007199254740991
 
 
+def _plausible_nric(x: Column) -> Column:
+    digits = F.regexp_replace(x, "-", "")
+    month = F.substring(digits, 3, 2).cast("int")
+    day = F.substring(digits, 5, 2).cast("int")
+    return digits.rlike("^[0-9]{12}$") & month.between(1, 12) & day.between(1, 31)
+
+
+def _ipv4_octets_ok(x: Column) -> Column:
+    return F.forall(F.split(x, r"\."), lambda p: p.cast("int") <= 255)
+
+
 @dataclass(frozen=True)
 class PiiPattern:
+    """A kind of identifier.  ``regex`` (Java) finds it in text cells, ``valid`` says
+    of a match whether it counts, ``guard`` is a pattern without which a cell holds none, and
+    ``numeric`` says of the digits of a whole number whether they are one; ``names``
+    are its singular and plural in reports."""
+
     kind: str
     regex: str
-    guard: str | None  # a cheap literal a match must contain
+    guard: str = ""
+    valid: Callable[[Column], Column] | None = None
+    numeric: Callable[[Column], Column] | None = None
+    names: tuple[str, str] | None = None
+
+    def titles(self) -> tuple[str, str]:
+        return self.names or (f"{self.kind} value", f"{self.kind} values")
 
 
 PATTERNS = (
-    PiiPattern("email", EMAIL_RE, "@"),
-    PiiPattern("phone", PHONE_RE, None),
-    PiiPattern("nric", NRIC_RE, None),
-    PiiPattern("ip", IPV4_RE, "."),
+    PiiPattern("email", EMAIL_RE, "@", names=PII_TITLES["email"]),
+    PiiPattern("phone", PHONE_RE, "[0-9]", numeric=lambda x: x.rlike(PHONE_DIGITS_RE), names=PII_TITLES["phone"]),
+    PiiPattern("nric", NRIC_RE, "[0-9]", _plausible_nric, _plausible_nric, PII_TITLES["nric"]),
+    PiiPattern("ip", IPV4_RE, r"\.", _ipv4_octets_ok, names=PII_TITLES["ip"]),
 )
 
 
-def _plausible_nric(x: Column) -> Column:
-    digits = F.regexp_replace(x, "-", "")
-    month = F.substring(digits, 3, 2).cast("int")
-    day = F.substring(digits, 5, 2).cast("int")
-    return digits.rlike("^[0-9]{12}$") & month.between(1, 12) & day.between(1, 31)
+def _pattern(kind: str | PiiPattern) -> PiiPattern:
+    return kind if isinstance(kind, PiiPattern) else next(p for p in PATTERNS if p.kind == kind)
 
 
-def _ipv4_octets_ok(x: Column) -> Column:
-    return F.forall(F.split(x, r"\."), lambda p: p.cast("int") <= 255)
-
-
-def string_match_count(col: Column, kind: str) -> Column:
+def string_match_count(col: Column, kind: str | PiiPattern) -> Column:
     """Validated match count of one kind in a string cell (0 for NULL)."""
-    pattern = next(p for p in PATTERNS if p.kind == kind)
+    pattern = _pattern(kind)
     matches = F.regexp_extract_all(col, F.lit(pattern.regex), 0)
-    if kind == "nric":
-        matches = F.filter(matches, _plausible_nric)
-    elif kind == "ip":
-        matches = F.filter(matches, _ipv4_octets_ok)
-    count = F.size(matches)
-    if pattern.guard is not None:
-        has = F.instr(col, pattern.guard) > 0
-    else:
-        has = col.rlike("[0-9]")
-    return F.when(col.isNotNull() & has, count).otherwise(F.lit(0))
+    if pattern.valid is not None:
+        matches = F.filter(matches, pattern.valid)
+    has = col.rlike(pattern.guard) if pattern.guard else F.lit(True)
+    return F.when(col.isNotNull() & has, F.size(matches)).otherwise(F.lit(0))
 
 
-def numeric_match_count(col: Column, dtype: T.DataType, kind: str) -> Column:
+def numeric_match_count(col: Column, dtype: T.DataType, kind: str | PiiPattern) -> Column:
     """0/1 for a numeric cell: a safe non-negative integer whose decimal
-    text passes the phone or NRIC rule."""
-    if kind not in ("phone", "nric"):
+    text passes the kind's rule for numbers."""
+    pattern = _pattern(kind)
+    if pattern.numeric is None:
         return F.lit(0)
     if isinstance(dtype, (T.DoubleType, T.FloatType, T.DecimalType)):
         v = col.cast("double")
@@ -94,8 +107,7 @@ def numeric_match_count(col: Column, dtype: T.DataType, kind: str) -> Column:
     else:
         ok = (col >= 0) & (col <= F.lit(MAX_SAFE_INTEGER))
         text = col.cast("string")
-    rule = text.rlike(PHONE_DIGITS_RE) if kind == "phone" else _plausible_nric(text)
-    return F.when(col.isNotNull() & ok & rule, F.lit(1)).otherwise(F.lit(0))
+    return F.when(col.isNotNull() & ok & pattern.numeric(text), F.lit(1)).otherwise(F.lit(0))
 
 
 def is_numeric(dtype: T.DataType) -> bool:
@@ -103,7 +115,7 @@ def is_numeric(dtype: T.DataType) -> bool:
                               T.FloatType, T.DoubleType, T.DecimalType))
 
 
-def match_count(col: Column, dtype: T.DataType, kind: str) -> Column:
+def match_count(col: Column, dtype: T.DataType, kind: str | PiiPattern) -> Column:
     """Match count for any scalar column type."""
     if isinstance(dtype, T.StringType):
         return string_match_count(col, kind)
@@ -112,21 +124,21 @@ def match_count(col: Column, dtype: T.DataType, kind: str) -> Column:
     return F.lit(0)
 
 
-def cell_hits(columns: list[tuple[str, T.DataType]]) -> Column:
+def cell_hits(columns: list[tuple[str, T.DataType]], patterns: Sequence[PiiPattern] = PATTERNS) -> Column:
     """array<struct<col_pos, column, kind, matches>> of the cells of a row
-    with at least one match, in column order then kind order."""
+    with at least one match, in column order then in the order of ``patterns``."""
     entries = []
     for pos, (name, dtype) in enumerate(columns):
         if not (isinstance(dtype, T.StringType) or is_numeric(dtype)):
             continue
-        for kind in ("email", "phone", "nric", "ip"):
-            if not isinstance(dtype, T.StringType) and kind not in ("phone", "nric"):
+        for pattern in patterns:
+            if not isinstance(dtype, T.StringType) and pattern.numeric is None:
                 continue
             entries.append(F.struct(
                 F.lit(pos).alias("col_pos"),
                 F.lit(name).alias("column"),
-                F.lit(kind).alias("kind"),
-                match_count(F.col(f"`{name}`"), dtype, kind).cast("int").alias("matches"),
+                F.lit(pattern.kind).alias("kind"),
+                match_count(F.col(f"`{name}`"), dtype, pattern).cast("int").alias("matches"),
             ))
     if not entries:
         return F.array().cast(

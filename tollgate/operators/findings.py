@@ -47,8 +47,9 @@ def plural(n: Column, one: str, many: str) -> Column:
 
 
 def finding_rows(df: DataFrame, finding_id: str | Column, count: Column,
-                 summary: Column) -> DataFrame:
-    """Findings from a frame with ``release_id`` (one row per raised finding)."""
+                 summary: Column, more: dict[str, tuple[str, str, str]] | None = None) -> DataFrame:
+    """Findings from a frame with ``release_id`` (one row per raised finding); ``more``
+    specifies ids beyond the known ones, which come after these."""
     if isinstance(finding_id, str):
         ftype, severity, title = FINDING_SPECS[finding_id]
         return df.select(
@@ -58,11 +59,12 @@ def finding_rows(df: DataFrame, finding_id: str | Column, count: Column,
             summary.alias("summary"), count.cast("bigint").alias("count"),
             F.lit(REMEDIATION[finding_id]).alias("remediation"),
             F.lit(FINDING_ORDER[finding_id]).alias("ordinal"))
-    spec = F.create_map(*[x for fid, (t, s, ti) in FINDING_SPECS.items()
+    specs = FINDING_SPECS | {k: v for k, v in (more or {}).items() if k not in FINDING_SPECS}
+    spec = F.create_map(*[x for o, (fid, (t, s, ti)) in enumerate(specs.items(), 1)
                           for x in (F.lit(fid), F.struct(F.lit(t).alias("t"), F.lit(s).alias("s"),
                                                          F.lit(ti).alias("ti"),
-                                                         F.lit(REMEDIATION[fid]).alias("r"),
-                                                         F.lit(FINDING_ORDER[fid]).alias("o")))])
+                                                         F.lit(REMEDIATION.get(fid, REMEDIATION["pii-email"])).alias("r"),
+                                                         F.lit(o).alias("o")))])
     sp = spec[finding_id]
     return df.select(
         "release_id", finding_id.alias("finding_id"), sp["t"].alias("type"),

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..config import PII_KINDS, PII_TITLES
 from .findings import evidence_rows, finding_rows, plural, top_k
 from .prepare import Prepared
 
@@ -33,11 +32,12 @@ def pii_cell_count(prep: Prepared) -> DataFrame:
 
 def pii_findings(prep: Prepared) -> tuple[DataFrame, DataFrame]:
     by_kind = pii_by_kind(prep)
-    title = F.create_map(*[x for k in PII_KINDS for x in (F.lit(k), F.lit(PII_TITLES[k][0]))])
+    title = F.create_map(*[x for p in prep.patterns for x in (F.lit(p.kind), F.lit(p.titles()[0]))])
+    specs = {f"pii-{p.kind}": ("pii", "block", f"Potential {p.titles()[1]}") for p in prep.patterns}
     summary = F.concat(F.lit("Found by the pattern for "), title[F.col("kind")], F.lit(": "),
                        F.col("cells").cast("string"), plural(F.col("cells"), " cell.", " cells."))
     findings = finding_rows(by_kind, F.concat(F.lit("pii-"), F.col("kind")), F.col("cells"),
-                            summary)
+                            summary, specs)
     k = prep.limits.evidence_per_finding
     cells = top_k(pii_cells(prep), ["release_id", "kind"], [F.col("row"), F.col("col_pos")], k)
     evidence = evidence_rows(

@@ -9,6 +9,7 @@ checkpointed once, and every detector is an aggregate over it.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -139,6 +140,7 @@ class Prepared:
     multi_release: bool
     n_releases: int = 1
     role_frame: DataFrame | None = None
+    patterns: tuple[pii_fn.PiiPattern, ...] = pii_fn.PATTERNS
     _memo: dict = field(default_factory=dict)
 
     def has_role(self, role: str) -> bool:
@@ -174,14 +176,16 @@ class Prepared:
             raise ValueError("a different token limit needs its own prepared table")
         return Prepared(df=self.df, roles=self.roles, columns=self.columns, dtypes=self.dtypes,
                         limits=limits, multi_release=self.multi_release,
-                        n_releases=self.n_releases, role_frame=self.role_frame, _memo=self._memo)
+                        n_releases=self.n_releases, role_frame=self.role_frame,
+                        patterns=self.patterns, _memo=self._memo)
 
 
 def prepare(df: DataFrame, *, release_id: str = "release", release_col: str | None = None,
             roles: Roles | None = None, release: Release | None = None,
             limits: Limits = Limits(), order_by: list[Column] | None = None,
             checkpoint: bool = True, carry: tuple[str, ...] = (),
-            releases: DataFrame | None = None) -> Prepared:
+            releases: DataFrame | None = None,
+            patterns: Sequence[pii_fn.PiiPattern] = pii_fn.PATTERNS) -> Prepared:
     """Build the prepared table of an audited DataFrame.
 
     ``release_col`` names a column that assigns rows to releases (many
@@ -273,7 +277,7 @@ def prepare(df: DataFrame, *, release_id: str = "release", release_col: str | No
         split_norm.alias("split_norm"),
         tokens.alias("tokens"),
         at_limit.alias("at_limit"),
-        pii_fn.cell_hits([(c, dtypes[c]) for c in columns]).alias("pii_hits"),
+        pii_fn.cell_hits([(c, dtypes[c]) for c in columns], patterns).alias("pii_hits"),
         F.sha2(raw_json, 256).alias("row_hash"),
         id_text.alias("id_text"),
     )
@@ -304,7 +308,7 @@ def prepare(df: DataFrame, *, release_id: str = "release", release_col: str | No
         prepared.unpersist()
     return Prepared(df=numbered, roles=roles, columns=columns, dtypes=dtypes,
                     limits=limits, multi_release=release_col is not None,
-                    n_releases=n_releases, role_frame=role_frame)
+                    n_releases=n_releases, role_frame=role_frame, patterns=tuple(patterns))
 
 
 def regroup(prep: Prepared, release_col: str) -> Prepared:
@@ -318,4 +322,4 @@ def regroup(prep: Prepared, release_col: str) -> Prepared:
     numbered = cut_lineage(with_row_number(df, [F.col("__prev")], group="release_id",
                                            max_groups=n_releases).drop("__prev"))
     return Prepared(df=numbered, roles=prep.roles, columns=prep.columns, dtypes=prep.dtypes,
-                    limits=prep.limits, multi_release=True, n_releases=n_releases)
+                    limits=prep.limits, multi_release=True, n_releases=n_releases, patterns=prep.patterns)

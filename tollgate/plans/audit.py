@@ -3,6 +3,7 @@ prepared table, roll findings up to a gate per release."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Limits, Release, Roles
+from ..functions.pii import PATTERNS, PiiPattern
 from ..operators import duplicates, gate, governance, hashing, labels, leakage, neardup, pii
 from ..operators.card import data_card
 from ..operators.findings import EVIDENCE_COLUMNS, FINDING_COLUMNS
@@ -51,12 +53,12 @@ def _union(frames: list[DataFrame], columns: list[str]) -> DataFrame:
 def audit(df: DataFrame, release: Release | DataFrame | None = None, *,
           release_col: str | None = None, roles: Roles | None = None,
           limits: Limits = Limits(), order_by: list[Column] | None = None,
-          prepared: Prepared | None = None) -> AuditResult:
+          prepared: Prepared | None = None, patterns: Sequence[PiiPattern] = PATTERNS) -> AuditResult:
     """Audit a table (or many releases of one table, keyed by ``release_col``).
 
     ``release`` is one :class:`Release` (single-release audit) or a
     ``releases`` DataFrame with a ``release_id`` column, each with label, split
-    and id columns of its own.  The prepared table and each detector's result
+    and id columns of its own.  ``patterns`` are the kinds of identifiers looked for.  The prepared table and each detector's result
     are written as they are built, so this call runs jobs; the frames it
     returns are lazy over what is written.
     """
@@ -71,14 +73,14 @@ def audit(df: DataFrame, release: Release | DataFrame | None = None, *,
     rid = rel_obj.release_id if rel_obj is not None else "release"
     prep = prepared or prepare(df, release_id=rid, release_col=release_col, roles=roles,
                                release=rel_obj, limits=limits, order_by=order_by,
-                               releases=releases if rel_obj is None else None)
+                               releases=releases if rel_obj is None else None, patterns=patterns)
 
     # detector results are kept on the prepared table, keyed by the limits
     # they depend on
     k = prep.limits.evidence_per_finding
-    # per release: at most 4 PII, 2 label and 3 other findings, k evidence each; all
-    # findings are one job, all evidence another
-    bound = prep.n_releases * 9
+    # per release: at most a PII finding for each pattern, 2 label and 3 other findings, k
+    # evidence each; all findings are one job, all evidence another
+    bound = prep.n_releases * (len(prep.patterns) + 5)
     detectors = (pii.pii_findings, duplicates.exact_findings, neardup.near_findings, leakage.leakage_findings, labels.label_findings)
     raised = prep.memo(f"findings:{k}", lambda: _union([d(prep)[0] for d in detectors], FINDING_COLUMNS), bound)
     shown = prep.memo(f"evidence:{k}", lambda: _union([d(prep)[1] for d in detectors], EVIDENCE_COLUMNS), bound * max(k, 1))
