@@ -21,7 +21,7 @@ from ..functions import pii as pii_fn
 from ..functions import text as text_fn
 from ..functions import tokens as tok_fn
 from ..session import cut_lineage, ensure_checkpoint_dir
-from .rows import file_order_key, with_row_number
+from .rows import file_order_key, release_copy, with_row_number
 
 INTERNAL_PREFIX = "__"
 
@@ -298,14 +298,15 @@ def prepare(df: DataFrame, *, release_id: str = "release", release_col: str | No
     prepared = prepared.persist()
     # known before the offsets (a row for each release and sort task) are joined
     n_releases = prepared.select("release_id").distinct().count() if release_col is not None else 1
-    numbered = with_row_number(prepared, [F.col("__ord")], group="release_id",
-                               max_groups=n_releases).drop("__ord")
+    sorted_rows = with_row_number(prepared, [F.col("__ord")], group="release_id", max_groups=n_releases)
+    numbered = sorted_rows.drop("__ord")
     if checkpoint:
         # the recovery point every detector starts from: a reliable copy of
         # the narrow table in the cluster's checkpoint folder
         ensure_checkpoint_dir(df.sparkSession)
         numbered = numbered.checkpoint(eager=True)
         prepared.unpersist()
+        release_copy(sorted_rows)
     return Prepared(df=numbered, roles=roles, columns=columns, dtypes=dtypes,
                     limits=limits, multi_release=release_col is not None,
                     n_releases=n_releases, role_frame=role_frame, patterns=tuple(patterns))
@@ -319,7 +320,8 @@ def regroup(prep: Prepared, release_col: str) -> Prepared:
     df = (prep.df.withColumn("release_id", F.col(f"`{release_col}`").cast("string"))
           .withColumnRenamed("_row", "__prev"))
     n_releases = df.select("release_id").distinct().count()
-    numbered = cut_lineage(with_row_number(df, [F.col("__prev")], group="release_id",
-                                           max_groups=n_releases).drop("__prev"))
+    sorted_rows = with_row_number(df, [F.col("__prev")], group="release_id", max_groups=n_releases)
+    numbered = cut_lineage(sorted_rows.drop("__prev"))
+    release_copy(sorted_rows)
     return Prepared(df=numbered, roles=prep.roles, columns=prep.columns, dtypes=prep.dtypes,
                     limits=prep.limits, multi_release=True, n_releases=n_releases, patterns=prep.patterns)

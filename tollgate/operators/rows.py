@@ -60,7 +60,8 @@ def with_row_number(df: DataFrame, order_by: list[Column], *, group: str | None
     checkpoint folder) so the counting pass and the numbering pass read the
     same partitions.  Positions stay stable even if a block is recomputed:
     the range bounds are fixed once the sort's shuffle exists, and the keys
-    (with the file-order tiebreaker) are unique.
+    (with the file-order tiebreaker) are unique.  A caller that writes the
+    result frees the persisted copy with ``release_copy``.
     """
     spark = df.sparkSession
     keys = ([F.col(group)] if group else []) + list(order_by)
@@ -94,4 +95,14 @@ def with_row_number(df: DataFrame, order_by: list[Column], *, group: str | None
                 .join(offsets, ["__rn_pid", *gcols])
                 .withColumn(name, F.col("__rn_off") + F.col("__rn_local") - F.col("__rn_first"))
                 .drop("__rn_pid", "__rn_local", "__rn_first", "__rn_off", "__rn_mid"))
+    if not checkpoint:
+        numbered.__dict__["sorted_copy"] = ordered
     return numbered
+
+
+def release_copy(numbered: DataFrame) -> None:
+    """Frees the sorted copy behind a frame of ``with_row_number`` once what was
+    made from it is written."""
+    copy = numbered.__dict__.pop("sorted_copy", None)
+    if copy is not None:
+        copy.unpersist()

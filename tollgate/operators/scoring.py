@@ -66,33 +66,52 @@ def _joined(predicted: DataFrame, gold: DataFrame) -> DataFrame:
                     F.coalesce("__g", F.lit(False)).alias("g"))
 
 
-def _tally(df: DataFrame, keys: list[str]) -> DataFrame:
-    return df.groupBy(*keys).agg(
+COUNTS = ("expected", "matched", "unexpected", "missed")
+
+
+def score_levels(predicted: DataFrame, gold: DataFrame) -> DataFrame:
+    """(level, case_id, category, counts): expected, matched, unexpected and missed
+    keys by case, by category and overall, as grouping sets over one join."""
+    tallied = _joined(predicted, gold).groupingSets([["case_id"], ["category"], []], "case_id", "category").agg(
+        F.grouping("case_id").alias("no_case"), F.grouping("category").alias("no_category"),
         F.count_if(F.col("g")).alias("expected"),
         F.count_if(F.col("p") & F.col("g")).alias("matched"),
         F.count_if(F.col("p") & ~F.col("g")).alias("unexpected"),
         F.count_if(~F.col("p") & F.col("g")).alias("missed"))
+    level = F.when(F.col("no_case") == 0, "case").when(F.col("no_category") == 0, "category").otherwise("overall")
+    return tallied.select(level.alias("level"), "case_id", "category", *COUNTS)
 
 
 def score_by_case(predicted: DataFrame, gold: DataFrame, cases: DataFrame | None = None) -> DataFrame:
     """expected / matched / unexpected / missed per case (cases without any
     key are kept with zeros when ``cases`` is given)."""
-    t = _tally(_joined(predicted, gold), ["case_id"])
+    return case_scores(score_levels(predicted, gold), cases)
+
+
+def score_by_category(predicted: DataFrame, gold: DataFrame) -> DataFrame:
+    """The same counts for each of the eleven categories (zero rows kept)."""
+    return category_scores(score_levels(predicted, gold))
+
+
+def score_overall(predicted: DataFrame, gold: DataFrame) -> DataFrame:
+    return overall_scores(score_levels(predicted, gold))
+
+
+def case_scores(levels: DataFrame, cases: DataFrame | None = None) -> DataFrame:
+    t = levels.where("level = 'case'").select("case_id", *COUNTS)
     if cases is not None:
         t = cases.select("case_id").distinct().join(t, "case_id", "left").na.fill(0)
     return t
 
 
-def score_by_category(predicted: DataFrame, gold: DataFrame) -> DataFrame:
-    """The same counts for each of the eleven categories (zero rows kept)."""
-    spark = predicted.sparkSession
-    t = _tally(_joined(predicted, gold), ["category"])
-    return (_categories(spark).join(t, "category", "left").na.fill(0)
+def category_scores(levels: DataFrame) -> DataFrame:
+    t = levels.where("level = 'category'").select("category", *COUNTS)
+    return (_categories(levels.sparkSession).join(t, "category", "left").na.fill(0)
             .orderBy("category_order").drop("category_order"))
 
 
-def score_overall(predicted: DataFrame, gold: DataFrame) -> DataFrame:
-    return _tally(_joined(predicted, gold).withColumn("__all", F.lit(1)), ["__all"]).drop("__all")
+def overall_scores(levels: DataFrame) -> DataFrame:
+    return levels.where("level = 'overall'").select(*COUNTS)
 
 
 def clean_rows_flagged(evidence: DataFrame, row_ids: DataFrame,

@@ -226,16 +226,22 @@ def q_prediction_keys(spark, sf):
     return _keys(views.documents_audit(spark, sf))
 
 
+def _levels(spark, sf):
+    """All scores from one join of the keys, written once: a row for each case and category."""
+    return views.documents_audit(spark, sf).prepared.memo("scores", lambda: scoring.score_levels(
+        _source_keys(spark, sf), _keys(views.documents_audit(spark, sf))))
+
+
 def q_score_by_category(spark, sf):
-    return scoring.score_by_category(_source_keys(spark, sf), _keys(views.documents_audit(spark, sf)))
+    return scoring.category_scores(_levels(spark, sf))
 
 
 def q_score_by_case(spark, sf):
-    return scoring.score_by_case(_source_keys(spark, sf), _keys(views.documents_audit(spark, sf)))
+    return scoring.case_scores(_levels(spark, sf))
 
 
 def q_score_overall(spark, sf):
-    return scoring.score_overall(_source_keys(spark, sf), _keys(views.documents_audit(spark, sf)))
+    return scoring.overall_scores(_levels(spark, sf))
 
 
 def q_metadata_violations(spark, sf):
