@@ -56,7 +56,7 @@ def small_batches(df: DataFrame, records: int) -> DataFrame:
     ship(df.sparkSession)
     conf = df.sparkSession.conf
     for key, most in (("maxRecordsPerBatch", records), ("maxBytesPerBatch", BATCH_BYTES)):
-        now = int(str(conf.get(f"spark.sql.execution.arrow.{key}", "0")).rstrip("b"))
+        now = int(str(conf.get(f"spark.sql.execution.arrow.{key}")).rstrip("b"))
         if not 0 < now <= most:
             conf.set(f"spark.sql.execution.arrow.{key}", str(most))
     return df
