@@ -47,7 +47,8 @@ PATTERNS = {
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "secret": r"(?<=(?i:passw|passwd|password|pwd|pass|token|secret|api[_-]?key)[\x20]{0,2}[=:][\x20]{0,2}[\"']{0,1})"
+    # the first two look-behinds say the same as the third, less and cheaper
+    "secret": r"(?<=[=:\x20\"'])(?<=[=:][\x20]{0,2}[\"']{0,1})(?<=(?i:passw|passwd|password|pwd|pass|token|secret|api[_-]?key)[\x20]{0,2}[=:][\x20]{0,2}[\"']{0,1})"
               r"(?=[^\s\"'<>0-9]*+[0-9])[^\s\"'<>]{6,}+"
               r"|(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{12,}+",
     "id": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
