@@ -99,8 +99,9 @@ class TextSets:
             size += len(raw) + 1
         return out + (self._piece(piece) if piece else [])
 
-    def _piece(self, raws: list[bytes]) -> list[np.ndarray]:
-        a = np.frombuffer((b" ".join(raws) + b" ").translate(FOLD), dtype=np.uint8)
+    def words(self, raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(hash, start, end) of every word of a text that ends with a blank."""
+        a = np.frombuffer(raw, dtype=np.uint8)
         if len(a) > len(self.power):
             n = 1 << max(16, (len(a) - 1).bit_length())
             self.power, self.inverse = (np.cumprod(np.r_[np.uint64(1), np.full(n - 1, x, dtype=np.uint64)])
@@ -112,7 +113,10 @@ class TextSets:
         before = np.where(start > 0, sums[start - 1], np.uint64(0))
         h = (sums[end - 1] - before) * self.inverse[start]
         h = (h ^ (h >> np.uint64(32))) * _Q
-        h ^= h >> np.uint64(29)
+        return h ^ (h >> np.uint64(29)), start, end
+
+    def _piece(self, raws: list[bytes]) -> list[np.ndarray]:
+        h, start, _ = self.words((b" ".join(raws) + b" ").translate(FOLD))
         stops = np.cumsum([len(r) + 1 for r in raws])
         cuts = np.r_[0, np.searchsorted(start, stops)]
         n = len(h) - SHINGLE + 1

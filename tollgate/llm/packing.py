@@ -34,28 +34,32 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .common import small_batches
+from .jaccard_join import TextSets
 
 TOKENS, SEGMENTS, LOSS = 2048, 256, 2048
 POOL = 1024
 END_ID = 1
+#: Bytes of text encoded together.
+PIECE, BLANK = 1 << 20, re.compile(rb"[\x20\x09-\x0d]")
 VOCABULARY = "word_bpe_49k.json"
 
 
 class DocumentIds:
-    """Ids of texts; those of stretches between white space are kept.
+    """Ids of texts; those of stretches between blanks are kept, by 64-bit hashes of
+    their bytes.
 
     The vocabulary's normaliser and splitter never join characters across white
-    space, so the ids of a text are those of its stretches in turn.  A stretch of
-    Latin letters, digits and signs is split by the vocabulary's own rule and its
-    words go straight to the model; others go through the whole tokenizer, and so
+    space, so the ids of a text are those of its stretches in turn.  New stretches of
+    Latin letters, digits and signs are split together by the vocabulary's own rule and
+    their words go straight to the model; others go through the whole tokenizer, and so
     do texts with characters that Python and the tokenizer may not both take for
     white space, or with the text of a special token."""
 
     WHOLE = re.compile("[\x1c-\x1f\x85]|<\\|")
     #: No apostrophes (they have rules of their own), no other numbers than digits,
     #: nothing that normalisation or lower-casing makes several characters.
-    LATIN = re.compile("[!-&(-~\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-\u012f\u0131-\u024f]+")
-    WORD = re.compile(r"[^\W\d_]+|\d|(?:[^\s\w]|_)+")
+    OTHER = re.compile("[^\n!-&(-~\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-\u012f\u0131-\u024f]")
+    WORD = re.compile(r"\n|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
 
     def __init__(self, path: str | None = None, limit: int = 500_000):
         import os
@@ -71,14 +75,20 @@ class DocumentIds:
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[k for t, k in vocabulary.items() if t.endswith("</w>")]] = True
         self.limit = limit
-        self.kept: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
+        self.sets = TextSets()
+        self._forget()
         # the byte-level alphabet: printable bytes stand for themselves, the
         # others for the characters from 256 on
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         others = [b for b in range(256) if b not in printable]
         self.alphabet = {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(others)}
 
+    def _forget(self) -> None:
+        """No stretch is known."""
+        self.hashes, self.ids = np.zeros(0, np.uint64), np.zeros(0, "<u4")
+        self.begin, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
     def _encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
@@ -93,20 +103,91 @@ class DocumentIds:
             assert len(stops) == len(part)
             self.words.update((w, raw[a:b]) for w, a, b in zip(part, [0, *stops], stops))
 
-    def of(self, texts: list[str | None]) -> list[np.ndarray]:
-        if len(self.kept) > self.limit:
-            self.kept = {}
+    def _unknown(self, stretches: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, their number for each) of new stretches, all split and looked up together."""
+        text = b"\n".join(stretches).decode("utf-8", "surrogatepass")
+        if self.OTHER.search(text):
+            found = [np.zeros(0, "<u4")] * len(stretches)
+            names = text.split("\n")
+            plain = [k for k, w in enumerate(names) if not self.OTHER.search(w)]
+            if plain:
+                ids, sizes = self._unknown([stretches[k] for k in plain])
+                for k, part in zip(plain, np.split(ids, np.cumsum(sizes)[:-1])):
+                    found[k] = part
+            for k in set(range(len(names))).difference(plain):
+                found[k] = np.frombuffer(self._encode(names[k]), dtype="<u4")
+            return np.concatenate(found), np.array([len(f) for f in found], dtype=np.int64)
+        parts = self.WORD.findall(text.lower() + "\n")
         if len(self.words) > self.limit:
             self.words = {}
-        split = [t.split() if t and not self.WHOLE.search(t) else None for t in texts]
-        new = [w for w in set().union(*filter(None, split)) if w not in self.kept]
-        parts = {w: self.WORD.findall(w.lower()) for w in new if self.LATIN.fullmatch(w)}
-        self._learn(set().union(*parts.values()))
-        known = self.words.__getitem__
-        self.kept.update((w, b"".join(map(known, parts[w])) if w in parts else self._encode(w)) for w in new)
-        kept, end = self.kept.__getitem__, np.array([END_ID], dtype="<u4").tobytes()
-        return [np.frombuffer((b"".join(map(kept, s)) if s is not None else self._encode(t) if t else b"") + end, dtype="<u4")
-                for t, s in zip(texts, split)]
+        self.words["\n"] = b""
+        self._learn(set(parts))
+        got = list(map(self.words.__getitem__, parts))
+        sizes = np.fromiter(map(len, got), np.int64, len(got)) // 4
+        ends = np.cumsum(sizes)[np.fromiter((k for k, w in enumerate(parts) if w == "\n"), np.int64, len(stretches))]
+        return np.frombuffer(b"".join(got), dtype="<u4"), np.diff(np.r_[0, ends])
+
+    def _piece(self, raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, the start of each stretch, ids before each stretch and in all) of a piece that
+        ends with a blank.  Stretches are known by 64-bit hashes."""
+        h, start, end = self.sets.words(raw)
+        new, first, place = np.unique(h, return_index=True, return_inverse=True)
+        if len(self.hashes) > self.limit:
+            self._forget()
+        at = np.minimum(np.searchsorted(self.hashes, new), max(len(self.hashes) - 1, 0))
+        found = self.hashes[at] == new if len(self.hashes) else np.zeros(len(new), bool)
+        if not found.all():
+            ids, sizes = self._unknown([raw[a:b] for a, b in zip(start[first[~found]].tolist(), end[first[~found]].tolist())])
+            begin = len(self.ids) + np.cumsum(sizes) - sizes
+            self.ids = np.concatenate([self.ids, ids])
+            into = np.searchsorted(self.hashes, new[~found])
+            self.hashes, self.begin, self.size = (np.insert(x, into, y) for x, y in (
+                (self.hashes, new[~found]), (self.begin, begin), (self.size, sizes)))
+            at = np.searchsorted(self.hashes, new)
+        begin, size = self.begin[at][place], self.size[at][place]
+        stops = np.cumsum(size)
+        where = np.repeat(begin - (stops - size), size) + np.arange(stops[-1] if len(stops) else 0)
+        return self.ids[where], start, np.r_[0, stops]
+
+    def of(self, texts: list[str | None]) -> list[np.ndarray]:
+        """The ids of each text, with the closing one."""
+        out: list[np.ndarray | None] = [None] * len(texts)
+        end, held, size = np.array([END_ID], dtype="<u4"), [], 0
+
+        def flush():
+            ids, start, before = self._piece(b" ".join([raw for _, raw in held]) + b" ")
+            stops = before[np.searchsorted(start, np.cumsum([len(raw) + 1 for _, raw in held]))].tolist()
+            for (k, _), a, b in zip(held, [0, *stops], stops):
+                out[k] = np.concatenate([ids[a:b], end])
+            held.clear()
+
+        for k, t in enumerate(texts):
+            if not t or self.WHOLE.search(t):
+                raw = self._encode(t) if t else b""
+                out[k] = np.concatenate([np.frombuffer(raw, dtype="<u4"), end])
+                continue
+            raw = t.encode("utf-8", "surrogatepass")
+            if len(raw) > PIECE:
+                out[k] = np.concatenate([*(self._piece(p)[0] for p in _cut(raw)), end])
+                continue
+            if size + len(raw) > PIECE and held:
+                flush()
+                size = 0
+            held.append((k, raw))
+            size += len(raw) + 1
+        if held:
+            flush()
+        return out
+
+
+def _cut(raw: bytes):
+    """A long text in pieces that end with a blank."""
+    at = 0
+    while at < len(raw):
+        stop = BLANK.search(raw, min(at + PIECE, len(raw)))
+        stop = stop.end() if stop else len(raw)
+        yield raw[at:stop] + b" "
+        at = stop
 
 
 _ENCODERS: dict[str | None, DocumentIds] = {}
