@@ -58,7 +58,7 @@ BLOCK = 256
 #: How many of the most frequent shingles the order knows, and from which count.
 FREQUENT, LEAST = 1 << 20, 4
 #: Shingles that a task counts or packs together.
-CHUNK = 1_000_000
+CHUNK = 250_000
 #: Bytes of all texts for each target that the shingles are dealt to by hash; a task
 #: holds one target at a time.
 TARGET = 16 << 20
