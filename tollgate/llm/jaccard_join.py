@@ -396,7 +396,7 @@ def _short_lists(docs: DataFrame, frequent, parts: int) -> DataFrame:
                     place = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
                     hit = keys[place] == key
                     often[maybe[hit]] = True
-                few = s[~often][:p]
+                few = s[~often][:p].copy()  # not a view of the whole set
                 rare.append((few, node, len(s), 0))
                 if len(few) < p:
                     more = s[often][np.argsort(counts[place[hit]], kind="stable")][:p - len(few)]
