@@ -75,3 +75,33 @@ def test_long_and_short_lists_give_every_pair_once(spark, monkeypatch):
         p = prepare(df, release_id="r", roles=Roles(id="id"), order_by=[df["__seq"]])
         got.append((neardup.near_pairs(p).first().pairs, neardup._dense(p)[1] > 0))
     assert got == [(want, True), (want, False)] and want > 500
+
+
+def test_slices_give_every_pair_and_read_few_texts(spark, monkeypatch):
+    """Candidates and long lists are compared in slices, whatever their number with one result, and
+    evidence compares only sets beside the first ones."""
+    from conftest import frame
+    from tollgate.config import Roles
+    from tollgate.operators.prepare import prepare
+
+    rng = np.random.default_rng(8)
+    rows = []
+    for g in range(60):
+        base = [f"g{g}w{j}" for j in range(30 + g)]
+        for _ in range(50 if g < 2 else 3):
+            rows.append(" ".join([w for w in base if rng.random() > .05] + [f"x{rng.integers(1 << 30)}"]))
+    sets = [set(r.split()) for r in rows]
+    similar = [(b + 1, a + 1) for a, x in enumerate(sets) for b, y in enumerate(sets[:a])
+               if x != y and 100 * len(x & y) >= 82 * len(x | y)]
+    df = frame(spark, [{"id": str(i), "text": r} for i, r in enumerate(rows)])
+    monkeypatch.setattr(neardup, "DENSE", 32)
+    for size in (20, 1000):
+        monkeypatch.setattr(neardup, "SLICE_SETS", size)
+        monkeypatch.setattr(neardup, "DENSE_SETS", size)
+        p = prepare(df, release_id="r", roles=Roles(id="id"), order_by=[df["__seq"]])
+        assert neardup.near_pairs(p).first().pairs == len(similar)
+        shown = [(r.row, r.other_row) for r in neardup.near_evidence(p).orderBy("ordinal").collect()]
+        assert shown == sorted(similar)[:6]
+        assert sum(name.startswith("near_compared:") for name in p._memo) == (8 if size == 20 else 1)
+        beside = p._memo["near_beside_places:6"].count()
+        assert beside < len(rows) // 2
