@@ -105,3 +105,64 @@ def test_slices_give_every_pair_and_read_few_texts(spark, monkeypatch):
         assert sum(name.startswith("near_compared:") for name in p._memo) == (8 if size == 20 else 1)
         beside = p._memo["near_beside_places:6"].count()
         assert beside < len(rows) // 2
+
+
+def test_pairs_of_lists_are_counted_in_slices(monkeypatch):
+    """Lists are cut from batches wherever these end; each pair of a list is counted once, in one slice."""
+    from collections import Counter
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(9)
+    lists, rows = [], []
+    for tok in range(300):
+        release = None if tok % 7 == 0 else f"r{tok % 2}"
+        members = sorted(rng.choice(40, int(rng.integers(1, 12)), replace=False).tolist())
+        held = [(s, 50 + s % 17, bool(rng.random() < .4)) for s in members]
+        lists.append((release, held))
+        rows += [(release, tok, *x) for x in held]
+    want = Counter()
+    for release, held in lists:
+        for i, (a, ka, ua) in enumerate(held):
+            for b, kb, ub in held[i + 1:]:
+                if not (ua and ub) and 100 * min(ka, kb) >= 82 * max(ka, kb):
+                    want[release, a, b, ua, ub] += 1
+    table = pa.table({"release_id": pa.array([r[0] for r in rows], pa.string()), "tok": pa.array([r[1] for r in rows], pa.int64()),
+                      "s": pa.array([r[2] for r in rows], pa.int64()), "k": pa.array([r[3] for r in rows], pa.int32()),
+                      "up": pa.array([r[4] for r in rows])})
+    for size, at_once in ((3, 5), (1000, 1 << 20)):
+        monkeypatch.setattr(neardup, "PAIRS_AT_ONCE", at_once)
+        made = pa.Table.from_batches(list(neardup._lists(table.to_batches(max_chunksize=size))))
+        assert made.num_rows == sum(len(held) > 1 and not all(u for _, _, u in held) for _, held in lists)
+        made = made.append_column("need", pa.array([4] * made.num_rows, pa.int32())).sort_by([("release_id", "ascending")])
+        got, places = Counter(), Counter()
+        for which in range(3):
+            slice_of = Counter()
+            for batch in neardup.list_pairs(made.to_batches(max_chunksize=50), which, 3):
+                for r in batch.to_pylist():
+                    assert r["need"] == 4
+                    slice_of[r["release_id"], r["sa"], r["sb"], r["ua"], r["ub"]] += r["shared"]
+            got += slice_of
+            places.update({x[1] for x in slice_of})
+        assert got == want and set(places.values()) == {1}
+
+
+def test_lists_of_one_set_are_dropped(spark, monkeypatch):
+    """Signatures are sorted into lists a slice at a time, with one result, and few are kept."""
+    from conftest import frame
+    from tollgate.config import Roles
+    from tollgate.operators.prepare import prepare
+
+    rng = np.random.default_rng(10)
+    rows = [" ".join(f"g{g}w{j}" for j in range(40 + g % 9) if c == 0 or rng.random() > .05) for g in range(60) for c in range(1 + 3 * (g < 10))]
+    sets = [set(r.split()) for r in rows]
+    want = sum(a != b and 100 * len(a & b) >= 82 * len(a | b) for i, a in enumerate(sets) for b in sets[:i])
+    df = frame(spark, [{"id": str(i), "text": r} for i, r in enumerate(rows)])
+    for size, slices in ((20, 5), (1000, 1)):
+        monkeypatch.setattr(neardup, "LIST_SETS", size)
+        p = prepare(df, release_id="r", roles=Roles(id="id"), order_by=[df["__seq"]])
+        assert neardup.near_pairs(p).first().pairs == want > 20
+        for name in ("near_lists:", "near_candidates:"):
+            assert sum(x.startswith(name) for x in p._memo) == slices
+        kept = sum(len(r.s) for r in neardup._short_lists(p).collect())
+        assert kept < neardup._places(neardup.signed_sets(p)).count() // 2
