@@ -254,3 +254,32 @@ def test_boosting_and_calibration():
     assert set(m.threshold) == set(range(6)) and m.threshold[4] == m.threshold[5] == math.log(0.95 / (1 - 0.95))
     assert all((m.margin(x) >= m.threshold[x[0]]) == (p > 0) for x, p, _ in counts)
     assert pii_gbt.boost([]).trees == []
+
+
+def test_shingles_are_counted_in_shares_of_a_target():
+    """A worker holds a share of a target's shingles at a time, and sums over a small piece of the texts."""
+    from collections import Counter
+
+    rng = np.random.default_rng(11)
+    want, single, many = Counter(), [], []
+    for k in range(40):
+        x = np.unique(np.r_[rng.integers(0, 1 << 32, 3000, dtype=np.uint64), rng.integers(0, 512, 50, dtype=np.uint64) << np.uint64(23),
+                            np.uint64(0), np.uint64((1 << 32) - 1)]).astype("<u4")
+        if k % 4:
+            single.append(x)
+            want.update(x.tolist())
+        else:
+            c = rng.integers(2, 9, len(x)).astype("<u4")
+            many.append(np.concatenate([x, c]).reshape(2, -1))
+            want.update(dict(zip(x.tolist(), c.tolist())))
+    shares = list(jaccard_join._shares(single, many))
+    assert max(len(x) + len(y) for x, y, _ in shares) < 40 * 3050 // 8
+    got = Counter()
+    for x, y, c in shares:
+        got.update(dict(zip(*(v.tolist() for v in jaccard_join.counts_of(x, y, c)))))
+    assert got == Counter({x: n for x, n in want.items() if n >= jaccard_join.LEAST})
+    none = np.empty(0, "<u4")
+    assert [len(v) for v in jaccard_join.counts_of(none, none, none)] == [0, 0]
+    sets = jaccard_join.TextSets()
+    sets.of([f"some words of text {k}" * 40 for k in range(3000)])
+    assert len(sets.power) <= 1 << 18

@@ -49,13 +49,13 @@ def discard(df: DataFrame) -> None:
         folder.getFileSystem(sc._jsc.hadoopConfiguration()).delete(folder, True)
 
 
-def small_batches(df: DataFrame, records: int) -> DataFrame:
+def small_batches(df: DataFrame, records: int, most_bytes: int = BATCH_BYTES) -> DataFrame:
     """Ships this package and caps the rows and the bytes of one Arrow batch, so
     that a batch of very long texts fits a Python worker.  Spark knows these two as
     settings of the session only; they are lowered, never raised."""
     ship(df.sparkSession)
     conf = df.sparkSession.conf
-    for key, most in (("maxRecordsPerBatch", records), ("maxBytesPerBatch", BATCH_BYTES)):
+    for key, most in (("maxRecordsPerBatch", records), ("maxBytesPerBatch", most_bytes)):
         now = int(str(conf.get(f"spark.sql.execution.arrow.{key}")).rstrip("b"))
         if not 0 < now <= most:
             conf.set(f"spark.sql.execution.arrow.{key}", str(most))

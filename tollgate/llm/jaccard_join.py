@@ -65,8 +65,13 @@ TARGET = 16 << 20
 #: How often lists pair with one of their nodes before all pairs are made, and
 #: from how many pairs of components a row again.  Neither changes the result.
 STARS, DENSE = 4, 16
-#: Bytes of text hashed together (a longer text alone).
-PIECE = 1 << 20
+#: Bytes of text hashed together (a longer text alone): the sums and powers of a
+#: piece take some 80 times as much in a worker.
+PIECE = 1 << 18
+#: Bytes of an Arrow batch here: packed blocks are held by Spark, as a batch and as rows.
+BATCH = 4 << 20
+#: Shares of a target that are counted one after another.
+SHARES = 16
 #: Cells of the table of wanted ids; it drops most other texts before they are
 #: read again, and its size is fixed.
 CELLS = 1 << 22
@@ -230,6 +235,31 @@ def _dealt(at: np.ndarray, parts: int, *columns: np.ndarray):
         yield int(at[a]), [c[a:b] for c in moved]
 
 
+def _shares(single: list[np.ndarray], many: list[np.ndarray]):
+    """(shingles found once, those found more often, their counts) of a target's blocks, a
+    range of the shingles at a time; blocks hold them in order."""
+    edges = np.arange(1, SHARES, dtype=np.uint64) * np.uint64((1 << 32) // SHARES)
+    cuts = [np.r_[0, np.searchsorted(x, edges.astype("<u4")), len(x)] for x in single]
+    more = [np.r_[0, np.searchsorted(m[0], edges.astype("<u4")), m.shape[1]] for m in many]
+    none = np.empty(0, "<u4")
+    for k in range(SHARES):
+        yield (np.concatenate([none, *(x[c[k]:c[k + 1]] for x, c in zip(single, cuts))]),
+               np.concatenate([none, *(m[0, c[k]:c[k + 1]] for m, c in zip(many, more))]),
+               np.concatenate([none, *(m[1, c[k]:c[k + 1]] for m, c in zip(many, more))]))
+
+
+def counts_of(once: np.ndarray, often: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(shingle, count) of those found ``LEAST`` times in all."""
+    x = np.concatenate([once, often])
+    c = np.concatenate([np.ones(len(once), dtype=np.int64), c.astype(np.int64)])
+    order = np.argsort(x, kind="stable")
+    x, c = x[order], c[order]
+    cut = np.flatnonzero(np.r_[True, x[1:] != x[:-1]]) if len(x) else np.empty(0, np.int64)
+    c = np.add.reduceat(c, cut) if len(x) else c
+    some = c >= LEAST
+    return x[cut][some], c[some]
+
+
 def _targets(docs: DataFrame) -> int:
     """How many targets shingles are dealt to: in proportion to the texts."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -298,16 +328,10 @@ def _first_pass(docs: DataFrame, parts: int) -> DataFrame:
             yield from counted()
 
     def totals(at, single, many, arrow):
-        x = np.concatenate([*single, *(m[0] for m in many)])
-        c = np.concatenate([np.ones(sum(map(len, single)), dtype=np.int64), *(m[1].astype(np.int64) for m in many)])
-        order = np.argsort(x, kind="stable")
-        x, c = x[order], c[order]
-        cut = np.flatnonzero(np.r_[True, x[1:] != x[:-1]])
-        c = np.add.reduceat(c, cut)
-        some = c >= LEAST
-        key = x[cut][some].astype(np.int64) << 31 | at
-        return pa.RecordBatch.from_arrays([pa.nulls(len(key), arrow), pa.array(c[some]), pa.nulls(len(key), pa.int64()),
-                                           pa.array(key)], names=["id", "n", "node", "key"])
+        found = [counts_of(x, upper, c) for x, upper, c in _shares(single, many)]
+        key = np.concatenate([x for x, _ in found]).astype(np.int64) << 31 | at
+        return pa.RecordBatch.from_arrays([pa.nulls(len(key), arrow), pa.array(np.concatenate([c for _, c in found])),
+                                           pa.nulls(len(key), pa.int64()), pa.array(key)], names=["id", "n", "node", "key"])
 
     def summed(batches):
         now, single, many = None, [], []
@@ -331,7 +355,7 @@ def _first_pass(docs: DataFrame, parts: int) -> DataFrame:
         if single or many:
             yield totals(now, single, many, arrow)
 
-    blocks = small_batches(docs, 512).mapInArrow(sent, f"at int, id {kind}, n long, node long, once binary, often binary")
+    blocks = small_batches(docs, 512, BATCH).mapInArrow(sent, f"at int, id {kind}, n long, node long, once binary, often binary")
     return _in_turn(blocks).mapInArrow(summed, f"id {kind}, n long, node long, key long")
 
 
@@ -444,7 +468,7 @@ def _short_lists(docs: DataFrame, frequent, parts: int) -> DataFrame:
         if rest:
             yield repeated(rest)
 
-    blocks = small_batches(docs, 512).mapInArrow(make, "at int, known boolean, h binary, node binary, n binary, i binary")
+    blocks = small_batches(docs, 512, BATCH).mapInArrow(make, "at int, known boolean, h binary, node binary, n binary, i binary")
     return _in_turn(blocks).mapInArrow(merged, "h long, node long, n long, i long")
 
 
@@ -475,7 +499,7 @@ def _sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(keep, pa.int64()), pa.array(blobs, pa.binary())], names=["node", "set"])
 
     rows = docs.where("id is not null").select("text", cell(F.col("id")).alias("cell"))
-    made = small_batches(rows, 512).mapInArrow(run, "node long, set binary")
+    made = small_batches(rows, 512, BATCH).mapInArrow(run, "node long, set binary")
     return made.join(wanted, "node", "left_semi").dropDuplicates(["node"])
 
 
@@ -521,7 +545,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
                         own, sets = [], []
         yield from links()
 
-    out = written(small_batches(rows, 512).mapInArrow(run, "a long, b long"), "jaccard-links")
+    out = written(small_batches(rows, 512, BATCH).mapInArrow(run, "a long, b long"), "jaccard-links")
     discard(pairs)
     discard(sets)
     return out
