@@ -166,3 +166,20 @@ def test_lists_of_one_set_are_dropped(spark, monkeypatch):
             assert sum(x.startswith(name) for x in p._memo) == slices
         kept = sum(len(r.s) for r in neardup._short_lists(p).collect())
         assert kept < neardup._places(neardup.signed_sets(p)).count() // 2
+
+
+def test_texts_are_signed_in_slices(spark, monkeypatch):
+    """The texts of the sets travel a slice at a time, with the same signatures whatever their number."""
+    from conftest import frame
+    from tollgate.config import Roles
+    from tollgate.operators.prepare import prepare
+
+    df = frame(spark, [{"id": str(i), "text": " ".join(f"g{i % 90}w{j}" for j in range(8 + i % 90))} for i in range(100)])
+    signed = []
+    for size, slices in ((20, 5), (1000, 1)):
+        monkeypatch.setattr(neardup, "LIST_SETS", size)
+        p = prepare(df, release_id="r", roles=Roles(id="id"), order_by=[df["__seq"]])
+        signed.append(sorted((r.s, r.k, tuple(r.own), tuple(r.above)) for r in neardup.signed_sets(p).collect()))
+        kept = [v for name, v in p._memo.items() if name.startswith("near_signed")]
+        assert len(kept) == slices and all(f.count() < 90 for f in kept) == (slices > 1)
+    assert signed[0] == signed[1] and len(signed[0]) == 90
