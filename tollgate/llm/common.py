@@ -49,17 +49,50 @@ def discard(df: DataFrame) -> None:
         folder.getFileSystem(sc._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def _lowered(spark: SparkSession, key: str, most: int) -> None:
+    """A setting that Spark knows for the session only: lowered to ``most``, never raised."""
+    now = int(str(spark.conf.get(key)).rstrip("b"))
+    if not 0 < now <= most:
+        spark.conf.set(key, str(most))
+
+
+def small_scans(df: DataFrame, records: int = 512) -> DataFrame:
+    """Caps the rows of one batch of a Parquet scan: a task holds a batch of whole texts in
+    arrays that stay, at Spark's 4,096 rows eight times as large."""
+    _lowered(df.sparkSession, "spark.sql.parquet.columnarReaderBatchSize", records)
+    return df
+
+
 def small_batches(df: DataFrame, records: int, most_bytes: int = BATCH_BYTES) -> DataFrame:
-    """Ships this package and caps the rows and the bytes of one Arrow batch, so
-    that a batch of very long texts fits a Python worker.  Spark knows these two as
-    settings of the session only; they are lowered, never raised."""
+    """Ships this package and caps the rows and the bytes of one Arrow batch, and the rows
+    of one batch of a scan, so that a batch of very long texts fits a Python worker."""
     ship(df.sparkSession)
-    conf = df.sparkSession.conf
     for key, most in (("maxRecordsPerBatch", records), ("maxBytesPerBatch", most_bytes)):
-        now = int(str(conf.get(f"spark.sql.execution.arrow.{key}")).rstrip("b"))
-        if not 0 < now <= most:
-            conf.set(f"spark.sql.execution.arrow.{key}", str(most))
-    return df
+        _lowered(df.sparkSession, f"spark.sql.execution.arrow.{key}", most)
+    return small_scans(df, records)
+
+
+def released(run):
+    """``run`` for ``mapInArrow``; once it ends, its worker returns the memory that freed arrays
+    leave with the allocators, since the worker stays for later tasks of other kinds."""
+    def whole(batches):
+        yield from run(batches)
+        _return_memory()
+
+    return whole
+
+
+def _return_memory() -> None:
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim is not None:
+        trim(0)
 
 
 def fold_case(c: Column) -> Column:
@@ -102,4 +135,4 @@ def map_arrow(df: DataFrame, make, fields: str, keep: list[str], records: int =
                     [a if isinstance(a, (pa.Array, pa.ChunkedArray)) else pa.array(a) for a in arrays],
                     names=schema.fieldNames())
 
-    return small_batches(df, records).mapInArrow(run, schema)
+    return small_batches(df, records).mapInArrow(released(run), schema)

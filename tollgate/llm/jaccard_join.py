@@ -50,7 +50,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import FOLD, discard, small_batches, written
+from .common import FOLD, discard, released, small_batches, written
 from .graph import components
 
 SHINGLE = 5
@@ -355,8 +355,8 @@ def _first_pass(docs: DataFrame, parts: int) -> DataFrame:
         if single or many:
             yield totals(now, single, many, arrow)
 
-    blocks = small_batches(docs, 512, BATCH).mapInArrow(sent, f"at int, id {kind}, n long, node long, once binary, often binary")
-    return _in_turn(blocks).mapInArrow(summed, f"id {kind}, n long, node long, key long")
+    blocks = small_batches(docs, 512, BATCH).mapInArrow(released(sent), f"at int, id {kind}, n long, node long, once binary, often binary")
+    return _in_turn(blocks).mapInArrow(released(summed), f"id {kind}, n long, node long, key long")
 
 
 def _frequent(first: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -468,8 +468,8 @@ def _short_lists(docs: DataFrame, frequent, parts: int) -> DataFrame:
         if rest:
             yield repeated(rest)
 
-    blocks = small_batches(docs, 512, BATCH).mapInArrow(make, "at int, known boolean, h binary, node binary, n binary, i binary")
-    return _in_turn(blocks).mapInArrow(merged, "h long, node long, n long, i long")
+    blocks = small_batches(docs, 512, BATCH).mapInArrow(released(make), "at int, known boolean, h binary, node binary, n binary, i binary")
+    return _in_turn(blocks).mapInArrow(released(merged), "h long, node long, n long, i long")
 
 
 def _sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -499,7 +499,7 @@ def _sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(keep, pa.int64()), pa.array(blobs, pa.binary())], names=["node", "set"])
 
     rows = docs.where("id is not null").select("text", cell(F.col("id")).alias("cell"))
-    made = small_batches(rows, 512, BATCH).mapInArrow(run, "node long, set binary")
+    made = small_batches(rows, 512, BATCH).mapInArrow(released(run), "node long, set binary")
     return made.join(wanted, "node", "left_semi").dropDuplicates(["node"])
 
 
@@ -545,7 +545,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
                         own, sets = [], []
         yield from links()
 
-    out = written(small_batches(rows, 512, BATCH).mapInArrow(run, "a long, b long"), "jaccard-links")
+    out = written(small_batches(rows, 512, BATCH).mapInArrow(released(run), "a long, b long"), "jaccard-links")
     discard(pairs)
     discard(sets)
     return out

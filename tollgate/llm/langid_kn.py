@@ -346,7 +346,7 @@ def keep_known(docs: DataFrame, model: Model | None, text_col: str = "text", rec
     """The rows of ``docs``, with all their columns, that are not rejected."""
     import pyarrow as pa
 
-    from .common import small_batches
+    from .common import released, small_batches
 
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -356,4 +356,4 @@ def keep_known(docs: DataFrame, model: Model | None, text_col: str = "text", rec
             if batch.num_rows:
                 yield batch.filter(pa.array([not r for r in classify(batch.column(text_col).to_pylist())[2]]))
 
-    return small_batches(docs, records).mapInArrow(run, docs.schema)
+    return small_batches(docs, records).mapInArrow(released(run), docs.schema)

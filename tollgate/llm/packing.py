@@ -33,7 +33,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import small_batches
+from .common import released, small_batches
 from .jaccard_join import TextSets
 
 TOKENS, SEGMENTS, LOSS = 2048, 256, 2048
@@ -339,7 +339,7 @@ def _run(df: DataFrame, id_col: str, columns: list[str], read, cut: bool, limits
             packer.pack(0)
             yield rows(kind)
 
-    return small_batches(df.select(id_col, *columns), records).mapInArrow(run, schema)
+    return small_batches(df.select(id_col, *columns), records).mapInArrow(released(run), schema)
 
 
 def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokens: int = TOKENS,

@@ -36,6 +36,8 @@ from functools import partial
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_scans
+
 #: Kinds in the order in which spans at one start are listed.
 KINDS = ("email", "ip", "card", "phone", "secret", "id")
 N_BASE = 4
@@ -249,7 +251,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds:
     """Boosts on the feature counts of all documents but one fold, by which the
     thresholds are calibrated."""
     held = F.pmod(F.xxhash64(F.col(id_col)), F.lit(folds)) == 0
-    counts = (docs.select(held.alias("held"), F.explode(candidates(F.col(text_col))).alias("c"))
+    counts = (small_scans(docs).select(held.alias("held"), F.explode(candidates(F.col(text_col))).alias("c"))
               .groupBy("held", F.col("c.x").alias("x"))
               .agg(F.sum(F.col("c.positive").cast("long")).alias("pos"), F.count(F.lit(1)).alias("n"))
               .limit(2 * MAX_VECTORS).collect())
@@ -312,7 +314,7 @@ def _is_kind(kind: int, span: Column) -> Column:
 def scan(docs: DataFrame, model: Trees | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document with its counts, base digest and spans."""
     model = model or fit(docs, id_col, text_col)
-    found = docs.select(F.col(id_col), spans(F.col(text_col), model).alias("s"))
+    found = small_scans(docs).select(F.col(id_col), spans(F.col(text_col), model).alias("s"))
     base = F.filter("s", lambda s: s["base"])
     return found.select(
         id_col,
@@ -328,5 +330,5 @@ def redact(docs: DataFrame, model: Trees | None = None, id_col: str = "doc_id",
     model = model or fit(docs, id_col, text_col)
     text = redacted(F.col(text_col), spans(F.col(text_col), model))
     size = [c for c in docs.columns if c == size_col]
-    out = docs.withColumn(text_col, text)
+    out = small_scans(docs).withColumn(text_col, text)
     return out.withColumns({c: F.length(text_col).cast(docs.schema[c].dataType) for c in size})

@@ -37,7 +37,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PLAIN, map_arrow, small_batches
+from .common import PLAIN, map_arrow, released, small_batches
 
 #: Places that a mask hashes, counted from its first word.  Fixed masks.
 MASKS = ((0, 1, 2, 4, 5), (0, 1, 3, 5, 7))
@@ -304,5 +304,5 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
                 hit = {r[0] for r in shared.value.hits(batch.column(text_col).to_pylist())}
                 yield batch.filter(pa.array([k not in hit for k in range(batch.num_rows)], pa.bool_()))
 
-        docs = small_batches(docs, records).mapInArrow(run, schema)
+        docs = small_batches(docs, records).mapInArrow(released(run), schema)
     return docs
