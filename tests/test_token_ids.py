@@ -70,3 +70,20 @@ def test_pairs_that_met_before_are_not_compared_again(monkeypatch):
     monkeypatch.undo()
     first = table.set_column(4, "pos", pa.array([0] * n, pa.int32()))
     assert neardup.compare_unit([pa.scalar(v) for v in ("r", 7, 0, 0)], first).num_rows == n * (n - 1) // 2
+
+
+def test_signatures_do_not_depend_on_the_batch():
+    """Parts of equal size and hash beginnings are taken in one order, whatever stands beside the set."""
+    rng = np.random.default_rng(4)
+    sets = [rng.integers(-(1 << 62), 1 << 62, n) for n in (5, 40, 300, 9000, 40, 6)]
+    for up in (0, 1):
+        sigs, n = neardup.signatures(np.concatenate(sets), [len(x) for x in sets], up)
+        for x, own in zip(sets, np.split(sigs, np.cumsum(n)[:-1])):
+            assert neardup.signatures(rng.permutation(x), [len(x)], up)[0].tolist() == own.tolist()
+
+
+def test_few_common_elements_make_narrow_matrices(monkeypatch):
+    widths, zeros = [], np.zeros
+    monkeypatch.setattr(np, "zeros", lambda shape, *a: (widths.append(shape[1]) if isinstance(shape, tuple) else None, zeros(shape, *a))[1])
+    rows = [np.array([1, 2, i]) for i in range(10, 14)]
+    assert neardup._products(rows, rows, True)[0, 1] == 2 and max(widths) == 4
